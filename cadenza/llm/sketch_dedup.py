@@ -5,10 +5,11 @@ each bin that is still empty keeps its least hash; after BINS rounds, round BINS
 so that every coordinate is full whatever the set's size. Equal coordinates estimate the Jaccard similarity with the
 concentration of minwise hashing. Bands of five coordinates deal out candidates; links are confirmed on full sets.
 
-Skew: sets that are equal form one class before anything is paired (a partial aggregate). In a band each class is
-compared with the band's least class first; only members that this leaves in different components are compared
-with each other, and only if their sketches allow the similarity. So neither copies nor near copies make all pairs,
-and no link between components is lost.
+Skew: sets that are equal form one class before anything is paired (a partial aggregate). Shingles that a class shares
+with no other candidate bound its similarity to all of them; classes that this rules out of a band leave it. In a band
+each class is compared with a pivot first, the class that has the least of its own; members that this leaves in
+different components are compared with each other only if bounds from those comparisons allow the similarity
+(`still_apart`). So neither copies nor near copies make all pairs, and no link between components is lost.
 
 Defined results: a null text is an empty one; a text without words has an empty set and links with nothing; a null
 doc_id gets a null component_id and stays; rows that repeat a doc_id are judged each by its own text; extra columns
@@ -25,14 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, discard, ship, stored
+from .shared import components, ship, stored
 
 ship(__name__)
 
 BINS, BIN_BITS = 128, 7
 BANDS, BAND_ROWS = 25, 5
-#: A pair whose sketches agree in so much less than the threshold has no chance: over five standard deviations.
-SLACK = 0.2
 CHUNK = 1 << 20
 
 SEEDS = np.random.default_rng(20260101).integers(1, 2**64, 2 * BINS, dtype=np.uint64, endpoint=False)
@@ -143,93 +142,129 @@ def bands(coordinates: np.ndarray) -> np.ndarray:
     return mix((rows * STEPS[:BAND_ROWS]).sum(axis=1, dtype=np.uint64) + SEEDS[:BANDS]).view(np.int64)
 
 
-SIGNATURE = "doc_id long, n_shingles long, set_key binary, bands array<bigint>, low binary"
+SIGNATURE = "doc_id long, n_shingles long, set_key binary, bands array<bigint>"
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """One row per document: size and digest of its set, its bands, and eight bits of each coordinate."""
+    """One row per document: size and digest of its set, and its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
             texts = batch.column("text").cast(pa.large_binary())
             for a in range(0, len(batch), 512):
-                ids, sizes, keys, parts, lows = batch.column("doc_id").slice(a, 512), [], [], [], []
+                ids, sizes, keys, parts = batch.column("doc_id").slice(a, 512), [], [], []
                 for s in shingler.by_chunk(texts.slice(a, 512).to_pylist()):
                     sizes.append(len(s))
                     if len(s):
-                        c = sketch(s)
                         keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                        parts.append(bands(c))
-                        lows.append(((c >> np.uint64(20)) & np.uint64(255)).astype(np.uint8).tobytes())
+                        parts.append(bands(sketch(s)))
                     else:
-                        keys.append(None), parts.append(None), lows.append(None)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(parts, pa.list_(pa.int64())), pa.array(lows, pa.binary())], ["doc_id", "n_shingles", "set_key", "bands", "low"])
+                        keys.append(None), parts.append(None)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(parts, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNATURE)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of pairs(a, b) those whose full sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi"))
+def lone_shingles(texts: DataFrame, words: int) -> DataFrame:
+    """(rep, lone): how many shingles of each of texts(doc_id, text) no other document of them has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, last, own = Shingler(words), None, None
+        shingler = Shingler(words)
         for batch in batches:
-            a_ids, b_ids, keep = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
-            a_text, b_text = batch.column("text_a"), batch.column("text_b")
-            for i in range(len(batch)):
-                ta, tb = a_text[i].as_py().encode(), b_text[i].as_py().encode()
-                if last != ta:
-                    last, own = ta, shingler.sets([ta])[0]
-                other = shingler.sets([tb])[0]
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                if both and 100 * both >= percent * (len(own) + len(other) - both):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a_ids[i] for i in keep], pa.int64()), pa.array([b_ids[i] for i in keep], pa.int64())], ["a", "b"])
+            for a in range(0, len(batch), 256):
+                part = batch.slice(a, 256)
+                sets = list(shingler.by_chunk(part.column("text").cast(pa.large_binary()).to_pylist()))
+                ids = np.repeat(part.column("doc_id").to_numpy(), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], ["rep", "shingle"])
 
-    full = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    rows = texts.mapInArrow(run, "rep long, shingle long")
+    return rows.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where("rep = other").groupBy("rep").agg(F.count(F.lit(1)).alias("lone"))
+
+
+COMPARED = "a long, b long, linked boolean, size_a long, size_b long, common long, delta array<bigint>"
 
 
-def alike(rows: DataFrame, percent: int) -> DataFrame:
-    """Of rows(a, b, low_a, low_b) the pairs whose sketches allow the similarity."""
+def compared(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of pairs(a, b), on full sets: whether 100 * intersection >= percent * union, the sizes, and what b has beyond a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("low_a", "low_b"))
-            ok = pa.array((x == y).sum(axis=1) >= BINS * (percent / 100 - SLACK))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
+        shingler, last, own = Shingler(words), None, None
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                batch = whole.slice(at, 256)
+                a_text, b_text = (batch.column(c).cast(pa.large_binary()).to_pylist() for c in ("text_a", "text_b"))
+                rows = []
+                for ta, tb in zip(a_text, b_text, strict=True):
+                    if last != ta:
+                        last, own = ta, shingler.sets([ta])[0]
+                    other = shingler.sets([tb])[0]
+                    delta = np.setdiff1d(other, own, assume_unique=True)
+                    both = len(other) - len(delta)
+                    rows.append((both > 0 and 100 * both >= percent * (len(own) + len(other) - both), len(own), len(other), both, delta.view(np.int64)))
+                cols = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(cols[0], pa.bool_()), *[pa.array(c, pa.int64()) for c in cols[1:4]], pa.array(cols[4], pa.list_(pa.int64()))], ["a", "b", "linked", "size_a", "size_b", "common", "delta"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    full = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    return full.select("a", "b", "text_a", "text_b").mapInArrow(run, COMPARED)
+
+
+def still_apart(tested: DataFrame, found: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one pivot, in different components, that can have the similarity.
+
+    What two members share beyond the pivot is in both their deltas. If the deltas are disjoint, what each has in
+    common with the pivot bounds their intersection; so a pair either shares a shingle of its deltas, which a join on
+    it finds, or its sizes must fit. Both kinds must also obey the triangle inequality of the Jaccard distance, and the
+    bound from shingles that no other candidate has.
+    """
+    label = found.select("id", "component")
+    of = lambda df, c, name: df.join(label.select(F.col("id").alias(c), F.col("component").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
+    rows = of(of(tested, "b", "label"), "a", "label_a").join(known.select(F.col("rep").alias("b"), F.col("common").alias("not_lone")), "b")
+    distance = 1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
+    room = lambda c: (100 + percent) * F.col(c) - percent * F.col("size_b")
+    rows = rows.withColumns({"distance": distance, "room": room("common"), "lone_room": room("not_lone"), "stray": F.col("label") != F.col("label_a")})
+    rows = stored(rows.join(rows.where("stray").select("a").distinct(), "a", "left_semi").select("a", F.col("b").alias("x"), "label", "stray", F.col("size_b").alias("size"), "distance", "room", "lone_room", "delta"))
+    plain = rows.drop("delta")
+    least = rows.groupBy("a").agg(F.min("size").alias("least"))
+
+    def met(left: DataFrame, right: DataFrame, on: list[str], sizes: bool) -> DataFrame:
+        r = right.select(*on, *[F.col(c).alias(f"{c}_r") for c in ("x", "label", "size", "distance", "room", "lone_room")])
+        fits = (F.col("label") != F.col("label_r")) & (F.abs(F.col("distance") - F.col("distance_r")) <= 1 - percent / 100 + 1e-9)
+        for name in ("lone_room", *(["room"] if sizes else [])):
+            fits = fits & (percent * F.col("size_r") <= F.col(name)) & (percent * F.col("size") <= F.col(f"{name}_r"))
+        return left.join(r, on).where(fits).select(F.least("x", "x_r").alias("a"), F.greatest("x", "x_r").alias("b"))
+
+    parts = rows.select("a", "x", "label", "stray", "size", "distance", "room", "lone_room", F.explode("delta").alias("s"))
+    shared = met(parts.where("stray"), parts, ["a", "s"], False)
+    able = plain.join(least, "a").where(percent * F.col("least") <= F.col("room")).drop("least")
+    sized = met(able.where("stray"), able, ["a"], True)
+    return shared.unionByName(sized).distinct()
 
 
 def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links), kept."""
     signed = stored(signatures(docs, words))
-    classes = stored(signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("low").alias("low")))
+    classes = stored(signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
     dealt = classes.select("rep", F.explode("bands").alias("h"))
-    buckets = dealt.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("a")).where("n > 1").drop("n")
-    shared = stored(dealt.join(buckets, "h"))
+    buckets = dealt.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    met = stored(dealt.join(buckets, "h"))
+    texts = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(met.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    # shingles that no other candidate has are in no intersection: what is left bounds the similarity from above
+    known = stored(classes.select("rep", F.col("n_shingles").alias("size")).join(lone_shingles(texts, words), "rep", "left").select("rep", "size", (F.col("size") - F.coalesce("lone", F.lit(0))).alias("common")))
+    sized = met.join(known, "rep")
+    least = sized.groupBy("h").agg(F.min("size").alias("least"))
+    able = sized.join(least, "h").where((100 + percent) * F.col("common") >= percent * (F.col("size") + F.col("least")))
+    # the pivot of a bucket is the member with the least of its own: the text that the others were made from
+    pivots = able.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((1 - F.col("common") / F.col("size")).alias("own"), "rep")).alias("p")).where("n > 1").select("h", F.col("p.rep").alias("a"))
+    shared = stored(able.select("h", "rep").join(pivots, "h"))
     tried = stored(shared.where("rep <> a").select("a", F.col("rep").alias("b")).distinct())
-    links = stored(confirmed(tried, docs, words, percent))
-    found = stored(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-    labelled = shared.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("h", "rep", F.coalesce("component", "rep").alias("label"))
-    open_ = labelled.groupBy("h").agg(F.min("label").alias("low_label"), F.max("label").alias("high_label")).where("low_label <> high_label").select("h")
-    rest = stored(labelled.join(open_, "h", "left_semi"))
-    x, y = (rest.select("h", F.col("rep").alias(v), F.col("label").alias(f"label_{v}")) for v in "ab")
-    apart = x.join(y, "h").where("a < b AND label_a <> label_b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    lows = classes.select("rep", "low")
-    apart = apart.join(lows.select(F.col("rep").alias("a"), F.col("low").alias("low_a")), "a").join(lows.select(F.col("rep").alias("b"), F.col("low").alias("low_b")), "b")
-    apart = stored(alike(apart.select("a", "b", "low_a", "low_b"), percent))
-    if apart.head(1):
-        more = stored(links.unionByName(confirmed(apart, docs, words, percent)))
-        if more.count() > links.count():
-            found = stored(components(more.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-    discard(shared), discard(rest)
+    tested = stored(compared(tried, texts, words, percent))
+    links = tested.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    found = stored(components(links))
+    apart = still_apart(tested, found, known, percent).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    more = stored(compared(stored(apart), texts, words, percent).where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    if more.head(1):
+        found = stored(components(links.unionByName(more)))
     whole = classes.select("set_key", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(whole, "set_key", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
