@@ -2,7 +2,7 @@
 
 The patterns give the base spans. The field reads runs of words that hold a digit, an @ or a +, with the word on either
 side, and labels every word as outside or as the beginning or inside of one of the four kinds. Its features are the
-shapes of the word and of both neighbours. It is trained on the driver, by gradient ascent of the conditional
+shapes of the word, fine and coarse, and of both neighbours. It is trained on the driver, by gradient ascent of the conditional
 log-likelihood, from a small labelled table (`labelled_runs`), and decoded by Viterbi for many runs at a time. Spans of
 the field that touch no base span are added; base spans always stay.
 
@@ -35,6 +35,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 ACTIVE = re.compile(r"[0-9@+]")
 SPACE = re.compile(r"\s")
+AREA = re.compile(r"\([0-9]+\)")
 
 
 def luhn(digits: str) -> bool:
@@ -76,7 +77,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def core(text: str, a: int, b: int) -> tuple[int, int]:
-    """The word without the marks around it."""
+    """The word without the marks around it; an area code keeps its brackets."""
+    if AREA.match(text, a, b):
+        return a, b
     while a < b and text[a] in "([{<\"'":
         a += 1
     while b > a and text[b - 1] in ".,;:!?)]}>\"'" and not (text[b - 1] == ")" and "(" in text[a:b]):
@@ -95,6 +98,17 @@ def shape(word: str) -> str:
     return "".join(out)
 
 
+def coarse(s: str) -> str:
+    """The shape without the lengths of its runs of digits."""
+    return re.sub(r"9\d+", "9", s)
+
+
+def features(s: list[str]) -> list[tuple[str, str, str, str]]:
+    """Of each word of a run: its shape, its coarse shape, and those of its neighbours."""
+    c = ["$", *map(coarse, s), "$"]
+    return [(x, c[i + 1], c[i], c[i + 2]) for i, x in enumerate(s)]
+
+
 def words_of(text: str) -> list[list[tuple[int, int]]]:
     """Runs of active words as (start, end), each with the word before and after, if any."""
     runs: list[list[tuple[int, int]]] = []
@@ -182,16 +196,18 @@ def labelled_runs() -> list[tuple[list[str], list[str]]]:
 
 
 class Field:
-    """Weights of shapes at a word, before it and after it, by label, and of label pairs."""
+    """Weights by label of each of a word's features, and of label pairs."""
 
-    def __init__(self, own: dict[str, np.ndarray], before: dict[str, np.ndarray], after: dict[str, np.ndarray], pairs: np.ndarray):
-        self.tables, self.pairs = (own, before, after), pairs
-        self.none = np.zeros(len(LABELS))
+    def __init__(self, tables: list[dict[str, np.ndarray]], pairs: np.ndarray, prior: np.ndarray):
+        self.tables, self.pairs, self.prior = tables, pairs, prior
 
     def scores(self, shapes: list[str]) -> np.ndarray:
-        own, before, after = self.tables
-        outside = [*shapes, "$"]
-        return np.array([own.get(s, self.none) + before.get(outside[i - 1], self.none) + after.get(outside[i + 1], self.none) for i, s in enumerate(shapes)])
+        out = np.tile(self.prior, (len(shapes), 1))
+        for row, found in zip(out, features(shapes), strict=True):
+            for table, f in zip(self.tables, found, strict=True):
+                if (w := table.get(f)) is not None:
+                    row += w
+        return out
 
 
 def allowed() -> np.ndarray:
@@ -208,12 +224,11 @@ def trained(rows: list[tuple[list[str], list[str]]] | None = None, steps: int =
     shapes = [[shape(x[slice(*core(x, 0, len(x)))]) for x in words] for words, _ in rows]
     index: dict[tuple[int, str], int] = {}
     size, most, k = len(rows), max(map(len, shapes)), len(LABELS)
-    at = np.zeros((size, most, 3), int)
+    at = np.zeros((size, most, 4), int)
     gold, mask = np.zeros((size, most), int), np.zeros((size, most), bool)
     for i, (s, (_, tags)) in enumerate(zip(shapes, rows, strict=True)):
-        outside = [*s, "$"]
-        for t in range(len(s)):
-            at[i, t] = [index.setdefault((f, v), len(index) + 1) for f, v in enumerate((s[t], outside[t - 1], outside[t + 1]))]
+        for t, found in enumerate(features(s)):
+            at[i, t] = [index.setdefault((f, v), len(index) + 1) for f, v in enumerate(found)]
             gold[i, t], mask[i, t] = LABELS.index(tags[t]), True
     n, hard = len(index) + 1, allowed()
     first = np.array([-1e9 if x[0] == "I" else 0.0 for x in LABELS])
@@ -224,7 +239,7 @@ def trained(rows: list[tuple[list[str], list[str]]] | None = None, steps: int =
     seen_pairs = np.zeros((k, k))
     np.add.at(seen_pairs, (gold[:, :-1][mask[:, 1:]], gold[:, 1:][mask[:, 1:]]), 1)
     target = np.zeros((n, k))
-    for f in range(3):
+    for f in range(4):
         np.add.at(target, (at[..., f][mask], gold[mask]), 1)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     lse = lambda x, axis: np.log(np.exp(x - x.max(axis=axis, keepdims=True)).sum(axis=axis)) + x.max(axis=axis)
@@ -242,7 +257,7 @@ def trained(rows: list[tuple[list[str], list[str]]] | None = None, steps: int =
         z = lse(alpha[:, -1], 1)
         node = np.exp(alpha + beta - z[:, None, None]) * mask[..., None]
         expect = np.zeros((n, k))
-        for f in range(3):
+        for f in range(4):
             np.add.at(expect, at[..., f], node)
         edge = np.zeros((k, k))
         for t in range(1, most):
@@ -252,12 +267,10 @@ def trained(rows: list[tuple[list[str], list[str]]] | None = None, steps: int =
             m[0] = 0.9 * m[0] + 0.1 * g
             m[1] = 0.99 * m[1] + 0.01 * g * g
             p += 0.15 * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8)
-    tables: list[dict[str, np.ndarray]] = [{}, {}, {}]
+    tables: list[dict[str, np.ndarray]] = [{}, {}, {}, {}]
     for (f, v), i in index.items():
-        tables[f][v] = params[0][i] + (prior if f == 0 else 0)
-    field = Field(*tables, params[1] + hard)
-    field.unseen = prior
-    return field
+        tables[f][v] = params[0][i]
+    return Field(tables, params[1] + hard, prior)
 
 
 def decoded(field: Field, runs: list[list[str]]) -> list[np.ndarray]:
@@ -266,8 +279,6 @@ def decoded(field: Field, runs: list[list[str]]) -> list[np.ndarray]:
     order = sorted(range(len(runs)), key=lambda i: len(runs[i]))
     k = len(LABELS)
     first = np.array([-1e9 if x[0] == "I" else 0.0 for x in LABELS])
-    own, before, after = field.tables
-    zero = np.zeros(k)
     at = 0
     while at < len(order):
         part = [order[at]]
@@ -278,9 +289,7 @@ def decoded(field: Field, runs: list[list[str]]) -> list[np.ndarray]:
         most = int(sizes.max())
         emit = np.zeros((len(part), most, k))
         for r, i in enumerate(part):
-            s = [*runs[i], "$"]
-            for t in range(len(s) - 1):
-                emit[r, t] = own.get(s[t], field.unseen) + before.get(s[t - 1], zero) + after.get(s[t + 1], zero)
+            emit[r, : len(runs[i])] = field.scores(runs[i])
         score = emit[:, 0] + first
         back = np.zeros((len(part), most, k), np.int8)
         for t in range(1, most):
