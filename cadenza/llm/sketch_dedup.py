@@ -32,7 +32,7 @@ ship(__name__)
 
 BINS, BIN_BITS = 128, 7
 BANDS, BAND_ROWS = 25, 5
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 SEEDS = np.random.default_rng(20260101).integers(1, 2**64, 2 * BINS, dtype=np.uint64, endpoint=False)
 LETTERS = np.random.default_rng(20260102).integers(1, 2**64, 256, dtype=np.uint64, endpoint=False)
