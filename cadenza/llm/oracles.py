@@ -32,6 +32,6 @@ SELECT *, NOT base_failed AND 1 - lost_share >= {quality_lines.LEAST_KEPT} AS ke
 OP8 = f"""WITH {frequent(line_dedup.MAX_RATIO, line_dedup.LEAST_PAGES)},
 each AS (SELECT k, i, l, f.line IS NOT NULL AS bad FROM (SELECT k, host, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM rows WHERE text IS NOT NULL) x LEFT JOIN frequent f ON f.host = x.host AND f.line = {normal('l')} AND regexp_matches(l, '{WORD}')),
 clean AS (SELECT k, coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT bad), '') AS t, count_if(bad) AS gone FROM each GROUP BY k)
-SELECT doc_id, t AS text, lang, source, CAST(length(t) AS BIGINT) AS n_chars, coalesce(gone, 0) AS n_lines_removed FROM rows LEFT JOIN clean USING (k)"""
+SELECT doc_id, t AS text, lang, source, CAST(length(t) AS BIGINT) AS n_chars, CAST(coalesce(gone, 0) AS BIGINT) AS n_lines_removed FROM rows LEFT JOIN clean USING (k)"""
 
 ORACLES: dict[str, str] = {"op3_quality_lines": OP3, "op8_frequent_lines": OP8}
