@@ -15,5 +15,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
+def long_counts(text: str) -> str:
+    """DuckDB's count_if is a HUGEINT; Spark's a long."""
+    out, at = [], 0
+    while (i := text.find("count_if(", at)) >= 0:
+        depth, j = 1, i + len("count_if(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[j], 0)
+            j += 1
+        out += [text[at:i], "CAST(", text[i:j], " AS BIGINT)"]
+        at = j
+    return "".join(out) + text[at:]
+
+
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in MODULES for k, s in m.ORACLES.items()}
+    return {k: long_counts(s) for m in MODULES for k, s in m.ORACLES.items()}
