@@ -3,8 +3,13 @@
 A gear hash rolls over the UTF-8 bytes: h = 2 h + gear[byte], of which the low bits depend on the last `GEAR` bytes.
 A chunk ends where the hash's `MASK_BITS` bits are zero, so the cuts inside a passage depend on the passage alone and
 return after an insertion. Chunks are known by a 64-bit digest. A chunk that occurs more than once is a copy at every
-occurrence but the first (in the document of least doc_id, there the first). Copies beside each other make a span, and spans of `LEAST_BYTES`
-or more count: over 50 words that repeat always hold such a span, chance repeats of a few words don't.
+occurrence but the first (in the document of least doc_id, there the first). Copies that touch or overlap make a span, and spans of `LEAST_BYTES`
+or more count, chance repeats of a few words don't.
+
+Cuts alone give no bound: a passage can hold few whole chunks, or none. So runs of `SEED` words are known by digests too.
+Of any `SEED` such runs side by side the least digest is taken, in whatever text they stand, so a passage of
+2 * SEED - 1 = 51 words always holds one that all its occurrences take. A span with a repeated seed counts whatever its bytes.
+Blanks between a seed's words may differ. A span's ends are those of its chunks and seeds, not exact to the word.
 
 Skew: counts and first places of digests are partial aggregates; occurrences meet them in a join that adaptive
 execution can split; texts are never shuffled.
@@ -27,9 +32,10 @@ from .shared import ship, stored
 
 ship(__name__)
 
-GEAR, MASK_BITS, LEAST_BYTES = 16, 5, 128
+GEAR, MASK_BITS, LEAST_BYTES, SEED = 16, 5, 128, 26
 TABLE = np.random.default_rng(20260401).integers(0, 2**32, 256, dtype=np.uint32)
 LETTERS = np.random.default_rng(20260402).integers(1, 2**64, 256, dtype=np.uint64)
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
 POWER = 0x9E3779B97F4A7C15
@@ -50,6 +56,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def sliding(of: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """of (minimum or maximum) over every `width` values side by side."""
+    span = 1
+    while 2 * span <= width:
+        x, span = of(x[:-span], x[span:]), 2 * span
+    return of(x[: len(x) - width + span], x[width - span :]) if span < width else x
+
+
 class Chunker:
     def __init__(self):
         self.up, self.down = powers(POWER, 1 << 16), powers(INVERSE, 1 << 16)
@@ -70,9 +84,28 @@ class Chunker:
         sums = np.add.reduceat(LETTERS[raw] * self.up[: len(raw)], starts)
         return ends, mix(sums * self.down[starts] + (ends - starts).astype(np.uint64)).view(np.int64)
 
+    def seeds(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the seeds, in bytes, and their digests. After `chunks` of the text, which sizes the powers."""
+        raw = np.frombuffer(text, np.uint8)
+        blank = BLANK[raw]
+        edges = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True]))))
+        starts, ends = edges[::2], edges[1::2]
+        n = len(starts)
+        if n < 2 * SEED - 1:
+            return starts[:0], starts[:0], starts[:0]
+        sums = np.add.reduceat(np.where(blank, np.uint64(0), LETTERS[raw]) * self.up[: len(raw)], starts)
+        words = mix(sums * self.down[starts] + (ends - starts).astype(np.uint64))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * self.up[:n])))
+        runs = mix((total[SEED:] - total[:-SEED]) * self.down[: n - SEED + 1])
+        least = sliding(np.minimum, runs, SEED)
+        none = np.zeros(SEED - 1, np.uint64)
+        # a run is taken if it is the least of a window that holds it
+        at = np.flatnonzero(runs == sliding(np.maximum, np.concatenate((none, least, none)), SEED))
+        return starts[at], ends[at + SEED - 1], (~runs[at]).view(np.int64)
+
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """doc_id (the least long for null), and of each chunk its start and end in bytes, its digest, and whether the document had it before."""
+    """doc_id (the least long for null), and of each chunk and seed its start and end in bytes, its digest, whether the document had it before, and whether it is a seed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunker = Chunker()
@@ -83,28 +116,29 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 for doc, text in zip(ids, batch.column("text").slice(a, 512).cast(pa.large_binary()).to_pylist(), strict=True):
                     if text:
                         ends, digests = chunker.chunks(text)
-                        again = np.ones(len(ends), bool)
-                        again[np.unique(digests, return_index=True)[1]] = False
-                        parts.append((np.full(len(ends), NO_ID if doc is None else doc), np.concatenate(([0], ends[:-1])), ends, digests, again))
+                        for seed, start, end, own in ((False, np.concatenate(([0], ends[:-1])), ends, digests), (True, *chunker.seeds(text))):
+                            again = np.ones(len(end), bool)
+                            again[np.unique(own, return_index=True)[1]] = False
+                            parts.append((np.full(len(end), NO_ID if doc is None else doc), start, end, own, again, np.full(len(end), seed)))
                 if parts:
-                    doc, start, end, digest, again = (np.concatenate(c) for c in zip(*parts, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(digest), pa.array(again)], ["doc_id", "start", "end", "digest", "again"])
+                    doc, start, end, digest, again, seed = (np.concatenate(c) for c in zip(*parts, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(digest), pa.array(again), pa.array(seed)], ["doc_id", "start", "end", "digest", "again", "seed"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, start int, end int, digest long, again boolean")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, start int, end int, digest long, again boolean, seed boolean")
 
 
 def copied_spans(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """doc_id, start, end (bytes of the text), copied, copies_of: every run of repeated chunks.
+    """doc_id, start, end (bytes of the text), copied, copies_of: every run of repeated chunks and seeds.
 
     copied: the bytes that are copies; 0 for a passage that is nowhere earlier. copies_of: the documents that hold
-    the copied chunks first.
+    the copied chunks and seeds first.
     """
     rows = chunk_rows(docs)
     firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc <> last_doc").select("digest", "first_doc")
     hit = rows.join(firsts, "digest", "left").where("first_doc IS NOT NULL OR again")
-    hit = hit.select("doc_id", "start", "end", F.coalesce("first_doc", "doc_id").alias("first_doc"), (F.col("again") | (F.col("first_doc") < F.col("doc_id"))).alias("copy"))
-    # all of a document's repeated chunks: at most its own chunks
-    per = hit.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end", "first_doc", "copy"))).alias("c"))
+    hit = hit.select("doc_id", "start", "end", F.coalesce("first_doc", "doc_id").alias("first_doc"), (F.col("again") | (F.col("first_doc") < F.col("doc_id"))).alias("copy"), "seed")
+    # all of a document's repeated chunks and seeds: at most its own
+    per = hit.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end", "first_doc", "copy", "seed"))).alias("c"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,13 +146,15 @@ def copied_spans(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
             for doc, chunks in zip(batch.column("doc_id").to_pylist(), batch.column("c").to_pylist(), strict=True):
                 i = 0
                 while i < len(chunks):
-                    j = i + 1
-                    while j < len(chunks) and chunks[j]["start"] == chunks[j - 1]["end"]:
-                        j += 1
+                    start, end, j, upto, copied = chunks[i]["start"], chunks[i]["end"], i, 0, 0
+                    while j < len(chunks) and chunks[j]["start"] <= end:
+                        c = chunks[j]
+                        end, j = max(end, c["end"]), j + 1
+                        if c["copy"]:  # bytes that several copies hold count once
+                            copied += max(0, c["end"] - max(c["start"], upto))
+                            upto = max(upto, c["end"])
                     run_ = chunks[i:j]
-                    start, end = run_[0]["start"], run_[-1]["end"]
-                    if end - start >= least_bytes:
-                        copied = sum(c["end"] - c["start"] for c in run_ if c["copy"])
+                    if end - start >= least_bytes or any(c["seed"] for c in run_):
                         of = sorted({c["first_doc"] for c in run_ if c["copy"] and c["first_doc"] != NO_ID})
                         for o, v in zip(out, (None if doc == NO_ID else doc, start, end, copied, of), strict=True):
                             o.append(v)

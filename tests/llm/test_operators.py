@@ -244,6 +244,21 @@ def test_repeated_passages(spark):
     assert chunk_dedup.repeated_passages(frame(spark, [])).count() == 0
 
 
+def test_every_passage_of_51_words_is_found(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(1, 9 if short else 12)))
+    docs = []
+    for i in range(600):
+        short = i % 2
+        passage = " ".join(word() for _ in range(51))
+        docs += [(2 * i + k, " ".join(word() for _ in range(rng.randrange(60))) + " " + passage + "\n" + " ".join(word() for _ in range(rng.randrange(60))), "a") for k in (0, 1)]
+    docs += [(5000 + i, " ".join(word() for _ in range(120)), "a") for i in range(100)]
+    got = {r.doc_id: r for r in chunk_dedup.repeated_passages(frame(spark, docs)).collect()}
+    assert set(got) == set(range(1200))
+    assert all(got[i].n_copied_bytes > 50 and i - 1 in got[i].copies_of for i in got if i % 2)
+    assert all(got[i].n_copied_bytes <= got[i].n_bytes for i in got)
+
+
 def test_chunks_resist_shifts():
     rng = random.Random(2)
     c = chunk_dedup.Chunker()
