@@ -64,6 +64,24 @@ def sliding(of: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
     return of(x[: len(x) - width + span], x[width - span :]) if span < width else x
 
 
+def spaced(at: np.ndarray, digests: np.ndarray) -> np.ndarray:
+    """Which seeds stay. Of equal ones close by, as in a text that repeats a word, one in each window does."""
+    order = np.lexsort((at, digests))
+    p, d = at[order], digests[order]
+    close = np.flatnonzero((d[1:] == d[:-1]) & (p[1:] - p[:-1] < SEED))
+    keep = np.ones(len(at), bool)
+    last, upto = 0, -2
+    for i in close.tolist():  # the pair i, i + 1
+        if i != upto:
+            last = p[i]
+        elif p[i + 1] - last <= SEED:
+            keep[order[i]] = False
+        else:
+            last = p[i]
+        upto = i + 1
+    return keep
+
+
 class Chunker:
     def __init__(self):
         self.up, self.down = powers(POWER, 1 << 16), powers(INVERSE, 1 << 16)
@@ -101,6 +119,7 @@ class Chunker:
         none = np.zeros(SEED - 1, np.uint64)
         # a run is taken if it is the least of a window that holds it
         at = np.flatnonzero(runs == sliding(np.maximum, np.concatenate((none, least, none)), SEED))
+        at = at[spaced(at, runs[at])]
         return starts[at], ends[at + SEED - 1], (~runs[at]).view(np.int64)
 
 

@@ -259,6 +259,14 @@ def test_every_passage_of_51_words_is_found(spark):
     assert all(got[i].n_copied_bytes <= got[i].n_bytes for i in got)
 
 
+def test_seeds_of_a_repeated_word_are_spaced():
+    c = chunk_dedup.Chunker()
+    for text in (b"tick tock " * 2000, b"word " * 4000):
+        c.chunks(text)
+        start, end, digest = c.seeds(text)
+        assert len(start) <= 4000 // 20 and (start[1:] <= end[:-1] + 1).all() and len(set(digest.tolist())) == 1
+
+
 def test_chunks_resist_shifts():
     rng = random.Random(2)
     c = chunk_dedup.Chunker()
