@@ -6,7 +6,8 @@ from labelled pages (`LABELLED`). Words of content score above zero; tags, and w
 linear scan finds the best contiguous region; blocks in it whose container scores below zero (an advert amid an
 article, reader comments) are left out. Text is joined block by block.
 
-Defined results: a null, empty or text-free page gives an empty text; unclosed tags end with the page or their parent;
+Defined results: a null, empty or text-free page gives an empty text; unclosed tags end with the page, their parent, or, as in
+HTML, at the next item, term, row or cell; a closing tag finds its element at any depth;
 unclosed scripts, styles and comments hide the rest of the page; equal scores give the first region; rows that repeat
 give repeated results; extra columns are ignored; an empty table gives an empty result.
 """
@@ -16,7 +17,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,6 +40,11 @@ CONTAINERS = frozenset("article main nav header footer aside form menu button la
 NAMED = re.compile(r"(?:^|[\s_-])(?:(ads?|advert\w*|banner|sponsor\w*|promo\w*)|(comments?|replies|reply|disqus|respond)|(nav\w*|menus?|breadcrumbs?|pagination)|(side-?bars?|related|widgets?|share|social)|(cookies?|notices?|consent|popup|modal|newsletter|subscribe|alert)|(foot\w*|copyright|legal)|(head(?:er)?|masthead|top-?bar)|(content|article|post|entry|story|main))(?=$|[\s_-])", re.IGNORECASE)
 NAMES = ("ad", "comments", "nav", "aside", "notice", "footer", "header", "content")
 CLOSES_P = BLOCKS - {"br", "body", "html"}
+#: Elements that end those of `ENDS` where one is the nearest open element but for these.
+THROUGH = frozenset(("address", "div", "p"))
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
+#: Parts of a table that end what is open of these in the same table.
+CELLS = {"td": ("td", "th", "caption"), "th": ("td", "th", "caption"), "tr": ("tr", "td", "th", "caption")} | dict.fromkeys(("thead", "tbody", "tfoot"), ("thead", "tbody", "tfoot", "tr", "td", "th", "caption"))
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 WORD = re.compile(r"\S+")
@@ -98,7 +104,8 @@ class Tokens:
         self.words: list[tuple[int, int, str]] = []  # token, block, text of a run
         self.kept: list[bool] = []
         keep, block, pos, n = False, 0, 0, len(page)
-        stack: list[tuple[str, str]] = []
+        stack: list[tuple[str, str, int]] = []  # name, context, place of the nearest that isn't in THROUGH
+        places: dict[str, list[int]] = defaultdict(list)  # in the stack, by name
         context, links = "body", 0
         closed: dict[str, bool] = {}
         while pos < n:
@@ -136,19 +143,30 @@ class Tokens:
             if name == "a":
                 links = max(0, links + (-1 if closing else 1))
             if closing:
-                at = next((i for i in range(len(stack) - 1, max(-1, len(stack) - 200), -1) if stack[i][0] == name), None)
-                if at is not None:
-                    del stack[at:]
+                if places[name]:
+                    self.close(stack, places, places[name][-1])
             elif name not in VOID:
                 if name in CLOSES_P and stack and stack[-1][0] == "p":
-                    stack.pop()
+                    self.close(stack, places, len(stack) - 1)
+                if name in ENDS and stack and (at := stack[-1][2]) >= 0 and stack[at][0] in ENDS[name]:
+                    self.close(stack, places, at)
+                elif name in CELLS:
+                    table = places["table"][-1] if places["table"] else -1
+                    if open_ := [places[x][-1] for x in CELLS[name] if places[x] and places[x][-1] > table]:
+                        self.close(stack, places, min(open_))
                 if name in BLOCKS or name in CONTAINERS or name in HIDDEN:
                     kind = "hidden" if name in HIDDEN else kind_of(name, page[m.end() : end - 1])
-                    stack.append((name, self.nearer(stack[-1][1] if stack else "body", kind)))
+                    places[name].append(len(stack))
+                    stack.append((name, self.nearer(stack[-1][1] if stack else "body", kind), (stack[-1][2] if stack else -1) if name in THROUGH else len(stack)))
             context = stack[-1][1] if stack else "body"
             self.kinds.append(("tag", context))
             self.kept.append(keep)
 
+    @staticmethod
+    def close(stack: list[tuple[str, str, int]], places: dict[str, list[int]], at: int) -> None:
+        while len(stack) > at:
+            places[stack.pop()[0]].pop()
+
     @staticmethod
     def nearer(outer: str, kind: str | None) -> str:
         """Containers inside one that isn't content don't make it content."""

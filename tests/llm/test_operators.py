@@ -139,6 +139,18 @@ def test_main_text_edges(spark):
     assert html_extract.main_texts(empty).columns == ["page_id", "url", "text", "n_chars"] and html_extract.main_texts(empty).count() == 0
 
 
+def test_main_text_after_many_unclosed_items():
+    weights = html_extract.trained()
+    article = "<article><p>It rained all day long, and then the sun came out.</p></article>"
+    want = "It rained all day long, and then the sun came out."
+    for items in ("<ul>" + "<li><a href='/'>Home</a>" * 1000 + "</ul>", "<ul>" + "<li><div>Home" * 1000 + "</ul>", "<dl>" + "<dt>One<dd>Two" * 500 + "</dl>", "<table>" + "<tr><td>One<td>Two" * 500 + "</table>", "<div>" * 1000, "<section>" * 1000):
+        assert html_extract.main_text(f"<body><nav>{items}</nav>{article}</body>", weights) == want
+    # what an omitted end tag leaves open ends with its predecessor, and not beyond its list or table
+    for page, contexts in (("<ul><li class='ad'>x<li>y</ul>z", ["ad", "body", "body"]), ("<ul><li class='ad'>x<ul><li>y</ul>z</ul>", ["ad"] * 3), ("<table><tr class='ad'><td>x<tr><td>y</table>", ["ad", "body"]), ("<table><tr><td class='ad'>x<table><tr><td>y</table>z<td>v</table>", ["ad", "ad", "ad", "body"]), ("<dl><dt class='ad'>x<dd>y</dl>", ["ad", "body"])):
+        t = html_extract.Tokens(page)
+        assert [t.kinds[at][1] for at, _, _ in t.words] == contexts, page
+
+
 def plain_spans(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
