@@ -15,39 +15,42 @@ from .panel_queries import ready
 from .reference_sql import with_ctes
 from .split_queries import SPLIT_CTES, plan
 
-#: What is mined: one feature of each kind of cuts. QUANTILES and DISCRETE_MAX shape the cuts.
+#: What the queries without `all_` mine: one feature of each kind of cuts. QUANTILES and DISCRETE_MAX shape the cuts.
 MINED = {"return_mean_20": "return_mean", "volume_shares_relative_20": "liquidity", "close_position": "candle", "sh000001_return_0": "market", "suspended_days_20": "history_state"}
 QUANTILES, DISCRETE_MAX = [0.1, 0.25, 0.5, 0.75, 0.9], 64
 SHOWN = ("up", "down_ge_5")
+#: What the queries named all_... mine and show: every feature, and the rates of every event.
+EVERY = {n: family for n, (family, _) in ft.catalogue().items()}
 BOOT_WIDTH, BOOT_REPS = 5, 200
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, families: dict[str, str] = MINED) -> DataFrame:
     """Rows of both phases: phase, fold, row_id, entity, day, y, the mined features and the events."""
     table = ft.catalogue()
-    wide = ready(spark, sf_dir).withColumns({n: F.expr(f"CAST({table[n][1]} AS FLOAT)") for n in MINED})
+    wide = ready(spark, sf_dir).withColumns({n: F.expr(f"CAST({table[n][1]} AS FLOAT)") for n in families})
     samples = tg.samples(wide, src.entities(spark, sf_dir))
     roles = sp.roles(samples, plan(spark, sf_dir)).where("(fold = 'F01' AND role = 'train') OR (fold <> 'holdout' AND role = 'score')")
-    rows = roles.select(F.when(F.col("role") == "train", "discovery").otherwise("confirmation").alias("phase"), "fold", "row_id", F.col("stock_id").alias("entity"), F.col("target_idx").alias("day"), "y", *MINED)
+    rows = roles.select(F.when(F.col("role") == "train", "discovery").otherwise("confirmation").alias("phase"), "fold", "row_id", F.col("stock_id").alias("entity"), F.col("target_idx").alias("day"), "y", *families)
     return ru.with_events(rows)
 
 
-def long_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ru.long_features(scored(spark, sf_dir), list(MINED), "phase", "fold", "row_id", "entity", "day", "y", *ru.EVENTS)
+def long_rows(spark: SparkSession, sf_dir: str, families: dict[str, str] = MINED) -> DataFrame:
+    # cuts read the rows several times
+    return ru.long_features(scored(spark, sf_dir, families).persist(), list(families), "phase", "fold", "row_id", "entity", "day", "y", *ru.EVENTS)
 
 
-def cuts_of(long: DataFrame) -> DataFrame:
+def cuts_of(long: DataFrame, families: dict[str, str] = MINED) -> DataFrame:
     """From discovery features alone, before any outcome is read."""
-    return ru.make_cuts(long.where("phase = 'discovery'").select("feature", "x", "day", "row_id"), MINED, QUANTILES, DISCRETE_MAX)
+    return ru.make_cuts(long.where("phase = 'discovery'").select("feature", "x", "day", "row_id"), families, QUANTILES, DISCRETE_MAX)
 
 
 class Mined:
     """The frames that several queries share."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.rows = scored(spark, sf_dir).persist()  # read by every statistic below
-        self.long = ru.long_features(self.rows, list(MINED), "phase", "fold", "row_id", "entity", "day", "y", *ru.EVENTS)
-        self.cuts = cuts_of(self.long).persist()  # a row a feature
+    def __init__(self, spark: SparkSession, sf_dir: str, families: dict[str, str] = MINED):
+        self.rows = scored(spark, sf_dir, families).persist()  # read by every statistic below
+        self.long = ru.long_features(self.rows, list(families), "phase", "fold", "row_id", "entity", "day", "y", *ru.EVENTS)
+        self.cuts = cuts_of(self.long, families).persist()  # a row a feature
         self.binned = ru.assign_bins(self.long, self.cuts)
 
     def stats(self, phase: str) -> DataFrame:
@@ -58,44 +61,44 @@ class Mined:
         return ru.interval_folds(self.binned.where("phase = 'confirmation'"), self.cuts, names)
 
 
-def cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cuts_of(long_rows(spark, sf_dir)).select("feature", F.posexplode("cuts").alias("nth", "cut")).select("feature", "nth", F.expr(f"{rounded('cut')} AS cut"))
+def cuts(spark: SparkSession, sf_dir: str, families: dict[str, str] = MINED) -> DataFrame:
+    return cuts_of(long_rows(spark, sf_dir, families), families).select("feature", F.posexplode("cuts").alias("nth", "cut")).select("feature", "nth", F.expr(f"{rounded('cut')} AS cut"))
 
 
-def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = Mined(spark, sf_dir)
+def bins(spark: SparkSession, sf_dir: str, families: dict[str, str] = MINED) -> DataFrame:
+    m = Mined(spark, sf_dir, families)
     return m.binned.groupBy("phase", "feature", "bin").agg(F.count(F.lit(1)).alias("n"), F.count_if("up").alias("up"))
 
 
-def interval_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = Mined(spark, sf_dir).stats("discovery")
-    names = ["mean_y", "max_day_share", "max_stock_share", *(f"{p}_{e}" for p in ("daily", "matched") for e in SHOWN)]
+def interval_stats(spark: SparkSession, sf_dir: str, families: dict[str, str] = MINED, shown: tuple[str, ...] = SHOWN) -> DataFrame:
+    out = Mined(spark, sf_dir, families).stats("discovery")
+    names = ["mean_y", "max_day_share", "max_stock_share", *(f"{p}_{e}" for p in ("daily", "matched") for e in shown)]
     return out.select("feature", "lo", "hi", "n", "dates", "stocks", *ru.EVENTS, *[F.expr(f"{rounded(n)} AS {n}") for n in names])
 
 
-def fold_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Mined(spark, sf_dir).folds(spark).select("feature", "lo", "hi", "fold", "n", "dates", *SHOWN)
+def fold_stats(spark: SparkSession, sf_dir: str, families: dict[str, str] = MINED, shown: tuple[str, ...] = SHOWN) -> DataFrame:
+    return Mined(spark, sf_dir, families).folds(spark).select("feature", "lo", "hi", "fold", "n", "dates", *shown)
 
 
-def classify_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = Mined(spark, sf_dir)
+def classify_rules(spark: SparkSession, sf_dir: str, families: dict[str, str] = MINED) -> DataFrame:
+    m = Mined(spark, sf_dir, families)
     return ru.classify(m.stats("discovery"), m.stats("confirmation"), m.folds(spark)).select("feature", "lo", "hi", "event", "discovery_n", "discovery_hits", "confirmation_n", "confirmation_hits", "supported_folds", "passing_folds", "state")
 
 
-def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ru.representatives(Mined(spark, sf_dir).stats("discovery")).select("feature", "event", "lo", "hi", "n", "hits")
+def representatives(spark: SparkSession, sf_dir: str, families: dict[str, str] = MINED) -> DataFrame:
+    return ru.representatives(Mined(spark, sf_dir, families).stats("discovery")).select("feature", "event", "lo", "hi", "n", "hits")
 
 
-def feature_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+def feature_overview(spark: SparkSession, sf_dir: str, families: dict[str, str] = MINED) -> DataFrame:
     """Per feature: intervals above 65 % in both phases, in each, and the correlation in discovery."""
-    m = Mined(spark, sf_dir)
+    m = Mined(spark, sf_dir, families)
     both = ru.classify(m.stats("discovery"), m.stats("confirmation"), m.folds(spark)).groupBy("feature").agg(
         F.count(F.lit(1)).alias("rules"), F.count_if(ru.over_65(F.col("discovery_hits"), F.col("discovery_n"))).alias("discovery_over"), F.count_if(ru.over_65(F.col("confirmation_hits"), F.col("confirmation_n"))).alias("confirmation_over"))
     return both.join(ru.correlation(m.long.where("phase = 'discovery'")), "feature", "left").select("feature", "rules", "discovery_over", "confirmation_over", F.expr(f"{rounded('correlation')} AS correlation"))
 
 
-def correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ru.correlation(long_rows(spark, sf_dir).where("phase = 'discovery'")).select("feature", "n", F.expr(f"{rounded('correlation')} AS correlation"))
+def correlation(spark: SparkSession, sf_dir: str, families: dict[str, str] = MINED) -> DataFrame:
+    return ru.correlation(long_rows(spark, sf_dir, families).where("phase = 'discovery'")).select("feature", "n", F.expr(f"{rounded('correlation')} AS correlation"))
 
 
 def events_ten(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,6 +128,9 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (cuts, bins, interval_stats, fold_stats, classify_rules, representatives, feature_overview, correlation, events_ten, phase_baselines, over65, bootstrap_ci)}
 QUERIES["intervals"] = lambda spark, sf_dir: ru.intervals(cuts_of(long_rows(spark, sf_dir)))
+QUERIES |= {f"all_{f.__name__}": lambda spark, sf_dir, f=f: f(spark, sf_dir, EVERY) for f in (cuts, bins, classify_rules, representatives, feature_overview, correlation)}
+QUERIES |= {f"all_{f.__name__}": lambda spark, sf_dir, f=f: f(spark, sf_dir, EVERY, ru.EVENTS) for f in (interval_stats, fold_stats)}
+QUERIES["all_intervals"] = lambda spark, sf_dir: ru.intervals(cuts_of(long_rows(spark, sf_dir, EVERY), EVERY))
 
 _EV = ru.event_expressions()
 _SUMS = ", ".join(f"CAST(sum({e}) AS BIGINT) AS {e}" for e in ru.EVENTS)
@@ -184,3 +190,23 @@ ORACLES = {
 }
 RULE_CTES["num"] = (("scored",), "SELECT row_number() OVER (ORDER BY day) - 1 AS nth, count_if(return_mean_20 > 0) AS n, count_if(return_mean_20 > 0 AND up) AS hits FROM scored WHERE phase = 'confirmation' GROUP BY day")
 ORACLES["bootstrap_ci"] = sql(f"SELECT count(*) AS resamples, {rounded('quantile_cont(h / CAST(n AS DOUBLE), 0.025)')} AS low, {rounded('quantile_cont(h / CAST(n AS DOUBLE), 0.975)')} AS high FROM (SELECT rep, sum(n) AS n, sum(hits) AS h FROM (SELECT rep, (((rep * 7919 + block * 104729 + 17) % days) + j) % days AS nth FROM range({BOOT_REPS}) a(rep), (SELECT count(*) AS days FROM num), range(0, 400) b(block), range(0, {BOOT_WIDTH}) c(j) WHERE block < ceil(days / {BOOT_WIDTH}e0) AND block * {BOOT_WIDTH} + j < days) JOIN num USING (nth) GROUP BY rep HAVING sum(n) > 0)", "num")
+
+# The text of the queries named all_...: the frames that list the mined features, over every feature; the others as above.
+_ALL_NAT = " ".join(f"WHEN '{n}' THEN [{', '.join(repr(c) + '::DOUBLE' for c in ru.natural_cuts(n, f))}]" for n, f in EVERY.items())
+_MARKET = ", ".join(f"'{n}'" for n, f in EVERY.items() if f == "market")
+ALL_CTES = RULE_CTES | {
+    "scored": (("roles", "feats"), f"SELECT *, {', '.join(f'{x} AS {n}' for n, x in _EV.items())} FROM (SELECT CASE role WHEN 'train' THEN 'discovery' ELSE 'confirmation' END AS phase, fold, row_id, r.stock_id AS entity, target_idx AS day, y, {', '.join(f'f.{n}' for n in EVERY)} FROM roles r JOIN feats f ON f.stock_id = r.stock_id AND f.cal_idx = r.cal_idx WHERE (fold = 'F01' AND role = 'train') OR (fold <> 'holdout' AND role = 'score'))"),
+    "long": (("scored",), " UNION ALL ".join(f"SELECT phase, fold, row_id, entity, day, y, {', '.join(ru.EVENTS)}, '{n}' AS feature, CAST({n} AS DOUBLE) AS x FROM scored" for n in EVERY)),
+    "vals": (("long",), f"SELECT feature, x FROM long WHERE phase = 'discovery' AND x IS NOT NULL AND feature NOT IN ({_MARKET}) UNION ALL SELECT feature, x FROM (SELECT feature, arg_min(x, row_id) AS x FROM long WHERE phase = 'discovery' AND feature IN ({_MARKET}) AND x IS NOT NULL GROUP BY feature, day)"),
+    "cuts": (("vals",), f"SELECT feature, CASE WHEN low = high THEN [] WHEN len(states) <= {DISCRETE_MAX} THEN list_transform(range(1, len(states)), lambda i: (states[i] + states[i + 1]) / 2) ELSE list_sort(list_distinct(list_filter(list_concat(q, CASE feature {_ALL_NAT} END), lambda c: c > low AND c <= high))) END AS cuts FROM (SELECT feature, min(x) AS low, max(x) AS high, quantile_cont(x, {QUANTILES}) AS q, list_sort(list(DISTINCT x)) AS states FROM vals GROUP BY feature)"),
+}
+
+
+def all_sql(body: str, *names: str) -> str:
+    return with_ctes(body, *names, extra=ALL_CTES)
+
+
+_ALL_SHOW = ["mean_y", "max_day_share", "max_stock_share", *(f"{p}_{e}" for p in ("daily", "matched") for e in ru.EVENTS)]
+ORACLES |= {f"all_{n}": all_sql(ORACLES[n][ORACLES[n].rindex(")\nSELECT") + 2 :], *of) for n, of in {"cuts": ("cuts",), "bins": ("binned",), "intervals": ("ints",), "classify_rules": ("classes",), "representatives": ("dlong",), "feature_overview": ("classes", "corr_"), "correlation": ("corr_",)}.items()}
+ORACLES["all_interval_stats"] = all_sql(f"SELECT feature, CAST(lo AS INTEGER) AS lo, CAST(hi AS INTEGER) AS hi, n, dates, stocks, {', '.join(ru.EVENTS)}, {', '.join(f'{rounded(n)} AS {n}' for n in _ALL_SHOW)} FROM dstats", "dstats")
+ORACLES["all_fold_stats"] = all_sql(f"SELECT feature, CAST(lo AS INTEGER) AS lo, CAST(hi AS INTEGER) AS hi, fold, n, dates, {', '.join(ru.EVENTS)} FROM fstats", "fstats")

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from cadenza.operators import audit, features, indicators, metrics, panel, rules, splits, targets
-from cadenza.plans import catalog
+from cadenza.plans import catalog, rule_queries
 
 BAR = "stock_id string, d date, open double, high double, low double, close double, volume_shares double, amount_yuan double, turnover double"
 
@@ -107,3 +107,14 @@ def test_against_duckdb(spark, data, name):
     got = catalog.queries()[name](spark, data).toPandas()
     tidy = lambda df: sorted(repr([None if v != v else float(v) if not isinstance(v, (str, bool)) else v for v in row]) for row in df[sorted(df.columns)].itertuples(index=False))
     assert tidy(got) == tidy(want)
+
+
+def test_every_feature_is_mined():
+    whole = {n.removeprefix("all_") for n in catalog.queries() if n.startswith("all_")}
+    assert whole == {"cuts", "bins", "intervals", "interval_stats", "fold_stats", "classify_rules", "representatives", "feature_overview", "correlation"}
+    assert set(rule_queries.EVERY) == set(features.FEATURES) and all(f"'{n}' AS feature" in catalog.oracle_sql()[f"all_{q}"] for q in whole for n in features.FEATURES)
+
+
+@pytest.mark.parametrize("name", ["all_cuts"])
+def test_whole_mining_against_duckdb(spark, data, name):
+    test_against_duckdb(spark, data, name)
