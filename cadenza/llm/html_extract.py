@@ -3,8 +3,8 @@
 A page is a row of tokens: words, and tags. A word's score is the sum of the log odds, in labelled pages (`LABELLED`), of
 what surrounds it: its nearest telling container, the element that holds it, and whether it is in a link, or how long its block is. A tag's score is
 one negative weight, under which the regions found in the labelled pages agree best with their labels. One
-linear scan finds the best contiguous region; blocks in it whose own words sum to zero or less (an advert amid an
-article, reader comments) are left out. Text is joined block by block; blanks between inline elements stay blanks.
+linear scan finds the best contiguous region; blocks in it whose own words sum to zero or less are left out. What
+isn't content inside an open article (an advert, reader comments) scores zero, so that it is left out but ends no region. Text is joined block by block; blanks between inline elements stay blanks.
 
 Class names of `html` and `body`, and names of a state (`has-sidebar`, `nav-open`), tell nothing. A form that holds an
 article, `main` or `h1`, and any other container that holds `main`, is a wrapper of the page and tells nothing either.
@@ -56,6 +56,8 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
 CELLS = {"td": ("td", "th", "caption"), "th": ("td", "th", "caption"), "tr": ("tr", "td", "th", "caption")} | dict.fromkeys(("thead", "tbody", "tfoot"), ("thead", "tbody", "tfoot", "tr", "td", "th", "caption"))
 #: Containers inside of which none is content.
 OUTER = frozenset(("hidden", "ad", "comments", "nav", "aside", "notice", "footer", "header", "form", "menu", "button", "label", "dialog"))
+#: Containers that what isn't content may interrupt, but not end.
+INNER = frozenset(("article", "main", "content"))
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 
@@ -215,10 +217,10 @@ class Tokens:
 
     @staticmethod
     def nearer(outer: str, kind: str | None) -> str:
-        """Containers inside one that isn't content don't make it content."""
-        if kind is None or outer in OUTER:
+        """Containers inside one that isn't content don't make it content. A star marks what isn't content inside of what is."""
+        if kind is None or outer.rstrip("*") in OUTER:
             return outer
-        return kind
+        return f"{kind}*" if kind in OUTER and outer in INNER else kind
 
     def text(self, run: str, where: tuple[str, str], link: bool, block: int, keep: bool) -> None:
         self.words.append((len(self.kinds), block, run))
@@ -250,7 +252,7 @@ def trained(pages: tuple[str, ...] = LABELLED) -> Weights:
     for t in read:
         for (kind, context, holder), n, kept in zip(t.kinds, t.counts, t.kept, strict=True):
             if n:
-                seen[kept].update({("context", context): n, ("holder", holder): n, ("kind", kind): n})
+                seen[kept].update({("context", context.rstrip("*")): n, ("holder", holder): n, ("kind", kind): n})
     out: Weights = {}
     for feature in ("context", "holder", "kind"):
         names = {x for s in seen.values() for x in s if x[0] == feature}
@@ -290,14 +292,14 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def chosen(t: Tokens, weights: Weights) -> list[tuple[int, int, str]]:
     """The runs of the best region's blocks, each block as a whole."""
-    memo = {k: weights["tag", ""] if k[0] == "tag" else word_score(weights, *k) for k in set(t.kinds)}
+    memo = {k: 0.0 if k[1].endswith("*") else weights["tag", ""] if k[0] == "tag" else word_score(weights, *k) for k in set(t.kinds)}
     scores = [memo[k] if k[0] == "tag" else n * memo[k] for k, n in zip(t.kinds, t.counts, strict=True)]
     a, b = best_region(scores)
     blocks = {block for at, block, _ in t.words if a <= at < b}
     sums: dict[int, float] = defaultdict(float)
     for at, block, _ in t.words:
         sums[block] += scores[at]
-    return [w for w in t.words if w[1] in blocks and sums[w[1]] > 0 and t.kinds[w[0]][1] != "hidden"]
+    return [w for w in t.words if w[1] in blocks and sums[w[1]] > 0 and t.kinds[w[0]][1].rstrip("*") != "hidden"]
 
 
 def main_text(page: str | None, weights: Weights) -> str:
