@@ -1,7 +1,8 @@
 """Line removal by site-relative frequency.
 
 Per host, the number of pages that contain a line is divided by the host's page total; lines above a ratio are
-boilerplate and go. Lines are compared after trimming, with runs of blanks as one and without regard to case. Pages of
+boilerplate and go. The ratio is MAX_RATIO, and on hosts of few pages, where shares say less, SMALL_HOST over the root of
+the pages: 3 of 3 pages, 5 of 9, 8 of 25, and from 225 pages on a tenth. Lines are compared after trimming, with runs of blanks as one and without regard to case. Pages of
 equal text count as one page, so that copies of a page don't make its own lines boilerplate.
 
 Skew: counts are partial aggregates by (host, line), so a hot host or line meets its counter as one row a task. The
@@ -20,7 +21,12 @@ from pyspark.sql import functions as F
 
 from .shared import WORD_BREAK, free_name, quoted
 
-MAX_RATIO, LEAST_PAGES = 0.1, 10
+MAX_RATIO, SMALL_HOST = 0.1, 1.5
+
+
+def too_often(n: Column, of: Column, max_ratio: float = MAX_RATIO, small_host: float = SMALL_HOST) -> Column:
+    """Whether n of a host's `of` pages are above the ratio for a host of that size."""
+    return n > F.greatest(F.lit(max_ratio), F.lit(small_host) / F.sqrt(of)) * of
 
 
 def normal_line(line: Column) -> Column:
@@ -32,14 +38,14 @@ def line_hash(line: Column) -> Column:
     return F.when(line.rlike("[^\\x20\\x09-\\x0D]"), F.xxhash64(normal_line(line)))
 
 
-def frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, line, n_pages, n_host): the lines on more than max_ratio of a host's distinct pages, and least_pages at least."""
+def frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, small_host: float = SMALL_HOST) -> DataFrame:
+    """(host, line, n_pages, n_host): the lines on more of a host's distinct pages than the ratio allows."""
     rows = page_rows(docs, host, text)
     pages = rows.select("host", "page").distinct()
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
     # copies go first: one row a page and line
-    lines = rows.select("host", "page", F.explode("hashes").alias("line")).distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= least_pages)
-    return lines.join(totals, "host").where(F.col("n_pages") > max_ratio * F.col("n_host"))
+    lines = rows.select("host", "page", F.explode("hashes").alias("line")).distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_pages")).where("n_pages > 1")
+    return lines.join(totals, "host").where(too_often(F.col("n_pages"), F.col("n_host"), max_ratio, small_host))
 
 
 def page_rows(docs: DataFrame, host: str, text: str) -> DataFrame:
@@ -48,9 +54,10 @@ def page_rows(docs: DataFrame, host: str, text: str) -> DataFrame:
     return docs.where(quoted(text).isNotNull()).select(F.coalesce(F.concat(F.lit("="), quoted(host).cast("string")), F.lit("null")).alias("host"), F.xxhash64(quoted(text)).alias("page"), hashes.alias("hashes"))
 
 
-def without_frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """The documents with their boilerplate lines removed, and `n_lines_removed`."""
-    bad = frequent_lines(docs, host, text, max_ratio, least_pages).select("host", "line")
+def without_frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, small_host: float = SMALL_HOST, bad: DataFrame | None = None) -> DataFrame:
+    """The documents with their boilerplate lines removed, and `n_lines_removed`. bad(host, line): lines found elsewhere."""
+    if bad is None:
+        bad = frequent_lines(docs, host, text, max_ratio, small_host).select("host", "line")
     rows = page_rows(docs, host, text)
     found = rows.select("host", "page", F.explode("hashes").alias("line")).distinct().join(bad, ["host", "line"], "left_semi")
     key_h, key_p, drop, count = (free_name(docs, n) for n in ("_host", "_page", "_drop", "n_lines_removed"))

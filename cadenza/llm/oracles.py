@@ -11,15 +11,15 @@ def normal(x: str) -> str:
     return f"lower(trim(regexp_replace({x}, '{GAP}', ' ', 'g'), ' '))"
 
 
-def frequent(share: float, least: int) -> str:
+def frequent(share: float, small: float) -> str:
     """CTEs rows(host, text, doc row), lines and frequent(host, line), over distinct texts."""
     return f"""rows AS MATERIALIZED (SELECT row_number() OVER () AS k, *, {HOST} AS host FROM documents),
 pages AS MATERIALIZED (SELECT DISTINCT host, text FROM rows WHERE text IS NOT NULL),
 plines AS MATERIALIZED (SELECT host, text, {normal('l')} AS line, length(l) AS n FROM (SELECT host, text, unnest(string_split(text, chr(10))) AS l FROM pages) WHERE regexp_matches(l, '{WORD}')),
-frequent AS MATERIALIZED (SELECT host, line FROM (SELECT host, line, count(DISTINCT text) AS c FROM plines GROUP BY ALL HAVING count(DISTINCT text) >= {least}) JOIN (SELECT host, count(*) AS h FROM pages GROUP BY host) USING (host) WHERE c > {share} * h)"""
+frequent AS MATERIALIZED (SELECT host, line FROM (SELECT host, line, count(DISTINCT text) AS c FROM plines GROUP BY ALL) JOIN (SELECT host, count(*) AS h FROM pages GROUP BY host) USING (host) WHERE c > greatest({share}e0, {small}e0 / sqrt(h)) * h)"""
 
 
-OP3 = f"""WITH {frequent(quality_lines.MAX_SHARE, quality_lines.LEAST_DOCUMENTS)},
+OP3 = f"""WITH {frequent(line_dedup.MAX_RATIO, line_dedup.SMALL_HOST)},
 w AS MATERIALIZED (SELECT *, regexp_extract_all(coalesce(text, ''), '{WORD}+') AS words FROM rows),
 win AS MATERIALIZED (SELECT k, i, list_slice(words, i, i + 7) AS s FROM (SELECT k, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8)),
 again AS (SELECT k, i FROM win JOIN (SELECT k, s FROM win GROUP BY ALL HAVING count(*) > 1) USING (k, s)),
@@ -29,7 +29,7 @@ lost AS (SELECT host, text, sum(CASE WHEN f.line IS NOT NULL THEN n END) / CAST(
 figures AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(coalesce(w.text, ''), '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.c, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(cover.c, 0) AS BIGINT) AS n_repeat_words, coalesce(lost, 0e0) AS lost_share FROM w LEFT JOIN cover USING (k) LEFT JOIN dup USING (k) LEFT JOIN lost ON lost.host = w.host AND lost.text = w.text)
 SELECT *, NOT base_failed AND 1 - lost_share >= {quality_lines.LEAST_KEPT} AS kept FROM (SELECT *, n_words < {quality_lines.LEAST_WORDS} OR 100 * n_repeat_words > {quality_lines.MOST_REPEATED} * n_words AS base_failed FROM figures)"""
 
-OP8 = f"""WITH {frequent(line_dedup.MAX_RATIO, line_dedup.LEAST_PAGES)},
+OP8 = f"""WITH {frequent(line_dedup.MAX_RATIO, line_dedup.SMALL_HOST)},
 each AS (SELECT k, i, l, f.line IS NOT NULL AS bad FROM (SELECT k, host, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM rows WHERE text IS NOT NULL) x LEFT JOIN frequent f ON f.host = x.host AND f.line = {normal('l')} AND regexp_matches(l, '{WORD}')),
 clean AS (SELECT k, coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT bad), '') AS t, count_if(bad) AS gone FROM each GROUP BY k)
 SELECT doc_id, t AS text, lang, source, CAST(length(t) AS BIGINT) AS n_chars, CAST(coalesce(gone, 0) AS BIGINT) AS n_lines_removed FROM rows LEFT JOIN clean USING (k)"""

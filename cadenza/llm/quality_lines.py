@@ -2,14 +2,14 @@
 
 All of it is DataFrame functions. Per document: words, their characters, symbols, repeated lines, and words in windows
 of eight words that occur twice or more. Across documents: lines are normalised (trimmed, blanks as one, case ignored)
-and hashed, distinct documents that hold a line are counted per host, lines above the limits are removed, and a document
-that keeps too few of its characters is rejected as depleted. Documents of equal text count once, so that copies of a
-document are not rejected for one another's lines.
+and hashed, distinct documents that hold a line are counted per host, lines above the limits are removed (`cleaned` returns
+the texts without them), and a document that keeps too few of its characters is rejected as depleted. Documents of equal
+text count once, so that copies of a document are not rejected for one another's lines.
 
 Skew: counters are partial aggregates by (host, line); the join that finds a document's frequent lines is one that
 adaptive execution can split; texts are never shuffled to judge them, only counts and hashes are.
 
-Defined results: a null text has no words and fails (under 20 words); a null host is a host of its own; repeated rows
+Defined results: a null text has no words, fails (under 20 words) and counts in no host; a null host is a host of its own; repeated rows
 get equal results; a null doc_id is kept; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -18,12 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .line_dedup import line_hash
+from .line_dedup import line_hash, too_often
 from .shared import WORD_BREAK, bound, free_name, quoted, stored
 
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
-#: A line is frequent on over MAX_SHARE of a host's distinct documents and on LEAST_DOCUMENTS at least; a document is depleted that keeps under LEAST_KEPT of the characters of its lines.
-MAX_SHARE, LEAST_DOCUMENTS, LEAST_KEPT = 0.1, 10, 0.3
+#: A line is frequent on more of a host's distinct documents than MAX_RATIO (or SMALL_HOST / root) of them; a document is depleted that keeps under LEAST_KEPT of the characters of its lines.
+LEAST_KEPT = 0.3
 SYMBOLS = "[#*$%&|<>]"
 
 
@@ -79,20 +79,31 @@ def host_of(docs: DataFrame) -> Column:
     return F.coalesce(F.concat(F.lit("="), quoted("source").cast("string")), F.lit("null"))
 
 
+def page_of(docs: DataFrame) -> Column:
+    """Equal for equal texts; null for null."""
+    return F.when(quoted("text").isNotNull(), F.xxhash64(quoted("text")))
+
+
 def scanned(docs: DataFrame) -> DataFrame:
     """One pass over the texts, stored: doc_id, host, page (a hash of the text), the figures, and of each line that isn't blank its hash and length."""
     lines = F.filter(F.transform(F.split(quoted("text"), "\n"), lambda x: F.struct(line_hash(x).alias("line"), F.length(x).alias("n"))), lambda e: e["line"].isNotNull())
-    rows = docs.select(quoted("doc_id").alias("doc_id"), host_of(docs).alias("host"), F.xxhash64(quoted("text")).alias("page"), text_figures(quoted("text")).alias("f"), F.coalesce(lines, F.array()).alias("lines"))
+    rows = docs.select(quoted("doc_id").alias("doc_id"), host_of(docs).alias("host"), page_of(docs).alias("page"), text_figures(quoted("text")).alias("f"), F.coalesce(lines, F.array()).alias("lines"))
     return stored(rows.select("doc_id", "host", "page", "f.*", "lines"))
 
 
+def frequent_of(scan: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, page, line, n): the characters of each line in each distinct text; and of those the lines above the limits, (host, line, bad)."""
+    texts = scan.where("page IS NOT NULL")
+    totals = texts.groupBy("host").agg(F.count_distinct("page").alias("n_host"))
+    pages = texts.groupBy("host", "page").agg(F.first("lines").alias("lines"))
+    each = stored(pages.select("host", "page", F.explode("lines").alias("e")).groupBy("host", "page", F.col("e.line").alias("line")).agg(F.sum("e.n").alias("n")))
+    often = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).where("n_docs > 1")
+    return each, often.join(totals, "host").where(too_often(F.col("n_docs"), F.col("n_host"))).select("host", "line", F.lit(1).alias("bad"))
+
+
 def depletion(scan: DataFrame) -> DataFrame:
     """(host, page, lost): the share of its characters that frequent lines take from each distinct text, where any do."""
-    totals = scan.groupBy("host").agg(F.count_distinct("page").alias("n_host"))
-    pages = scan.groupBy("host", "page").agg(F.first("lines").alias("lines"))
-    each = stored(pages.select("host", "page", F.explode("lines").alias("e")).groupBy("host", "page", F.col("e.line").alias("line")).agg(F.sum("e.n").alias("n")))
-    often = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= LEAST_DOCUMENTS)
-    frequent = often.join(totals, "host").where(F.col("n_docs") > MAX_SHARE * F.col("n_host")).select("host", "line", F.lit(1).alias("bad"))
+    each, frequent = frequent_of(scan)
     marked = each.join(frequent, ["host", "line"], "left")
     sums = marked.groupBy("host", "page").agg(F.sum(F.when(F.col("bad") == 1, F.col("n"))).alias("bad"), F.sum("n").alias("n"))
     return sums.where("bad > 0").select("host", "page", (F.col("bad") / F.col("n")).alias("lost"))
@@ -111,5 +122,13 @@ def accepted(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with the columns of the input alone."""
     h, p = (free_name(docs, x) for x in ("_host", "_page"))
     kept = judged(docs).where("kept").select(F.col("host").alias(h), F.col("page").alias(p)).distinct()
-    keyed = docs.withColumn(h, host_of(docs)).withColumn(p, F.xxhash64(quoted("text")))
+    keyed = docs.withColumn(h, host_of(docs)).withColumn(p, page_of(docs))
     return keyed.join(kept, [h, p], "left_semi").select(*[quoted(c) for c in docs.columns])
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """The documents that are kept, without the lines above the limits; the columns of the input, n_chars renewed."""
+    from .line_dedup import without_frequent_lines
+
+    bad = frequent_of(scanned(docs))[1].select("host", "line")
+    return without_frequent_lines(accepted(docs), bad=bad).select(*[quoted(c) for c in docs.columns])

@@ -12,8 +12,8 @@ different components are compared with each other only if bounds from those comp
 (`still_apart`). So neither copies nor near copies make all pairs, and no link between components is lost.
 
 Defined results: a null text is an empty one; a text without words has an empty set and links with nothing; a null
-doc_id gets a null component_id and stays; rows that repeat a doc_id are judged each by its own text; extra columns
-are ignored; an empty table gives an empty result.
+doc_id gets a null component_id and stays; rows that repeat a doc_id are judged each by its own text, as a class is
+known by its set and not by a doc_id; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, ship, stored
+from .shared import components, free_name, quoted, ship, stored
 
 ship(__name__)
 
@@ -94,7 +94,7 @@ class Shingler:
             if b - a >= k:
                 out.append(np.unique(rolled[a : b - k + 1]))
             else:
-                out.append(mix(np.array([(words[a:b] * STEPS[: b - a]).sum(dtype=np.uint64) + STEPS[63 - (b - a)]], np.uint64)) if b > a else np.zeros(0, np.uint64))
+                out.append(mix(np.array([(words[a:b] * STEPS[: b - a]).sum(dtype=np.uint64)], np.uint64) + STEPS[63 - (b - a)]) if b > a else np.zeros(0, np.uint64))
         return out
 
     def by_chunk(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
@@ -142,18 +142,27 @@ def bands(coordinates: np.ndarray) -> np.ndarray:
     return mix((rows * STEPS[:BAND_ROWS]).sum(axis=1, dtype=np.uint64) + SEEDS[:BANDS]).view(np.int64)
 
 
-SIGNATURE = "doc_id long, n_shingles long, set_key binary, bands array<bigint>"
+SIGNATURE = "doc_id long, page long, n_shingles long, set_key binary, bands array<bigint>"
+
+
+def page_of(docs: DataFrame) -> Column:
+    """Equal for equal texts; with the doc_id it tells a row's text among rows that repeat the doc_id."""
+    return F.xxhash64(quoted("text").cast("string"))
+
+
+def paged(docs: DataFrame) -> DataFrame:
+    return docs.select(quoted("doc_id").cast("long").alias("doc_id"), page_of(docs).alias("page"), quoted("text").cast("string").alias("text"))
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """One row per document: size and digest of its set, and its bands."""
+    """One row per document: a hash of its text, size and digest of its set, and its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
             texts = batch.column("text").cast(pa.large_binary())
             for a in range(0, len(batch), 512):
-                ids, sizes, keys, parts = batch.column("doc_id").slice(a, 512), [], [], []
+                ids, pages, sizes, keys, parts = batch.column("doc_id").slice(a, 512), batch.column("page").slice(a, 512), [], [], []
                 for s in shingler.by_chunk(texts.slice(a, 512).to_pylist()):
                     sizes.append(len(s))
                     if len(s):
@@ -161,13 +170,13 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                         parts.append(bands(sketch(s)))
                     else:
                         keys.append(None), parts.append(None)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(parts, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands"])
+                yield pa.RecordBatch.from_arrays([ids, pages, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(parts, pa.list_(pa.int64()))], ["doc_id", "page", "n_shingles", "set_key", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNATURE)
+    return paged(docs).mapInArrow(run, SIGNATURE)
 
 
 def lone_shingles(texts: DataFrame, words: int) -> DataFrame:
-    """(rep, lone): how many shingles of each of texts(doc_id, text) no other document of them has."""
+    """(node, lone): how many shingles of each of texts(node, text) no other of them has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -175,11 +184,11 @@ def lone_shingles(texts: DataFrame, words: int) -> DataFrame:
             for a in range(0, len(batch), 256):
                 part = batch.slice(a, 256)
                 sets = list(shingler.by_chunk(part.column("text").cast(pa.large_binary()).to_pylist()))
-                ids = np.repeat(part.column("doc_id").to_numpy(), [len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], ["rep", "shingle"])
+                ids = np.repeat(part.column("node").to_numpy(), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], ["node", "shingle"])
 
-    rows = texts.mapInArrow(run, "rep long, shingle long")
-    return rows.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where("rep = other").groupBy("rep").agg(F.count(F.lit(1)).alias("lone"))
+    rows = texts.select("node", "text").mapInArrow(run, "node long, shingle long")
+    return rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
 
 
 COMPARED = "a long, b long, linked boolean, size_a long, size_b long, common long, delta array<bigint>"
@@ -205,7 +214,7 @@ def compared(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(cols[0], pa.bool_()), *[pa.array(c, pa.int64()) for c in cols[1:4]], pa.array(cols[4], pa.list_(pa.int64()))], ["a", "b", "linked", "size_a", "size_b", "common", "delta"])
 
-    full = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    full = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     return full.select("a", "b", "text_a", "text_b").mapInArrow(run, COMPARED)
 
 
@@ -219,7 +228,7 @@ def still_apart(tested: DataFrame, found: DataFrame, known: DataFrame, percent:
     """
     label = found.select("id", "component")
     of = lambda df, c, name: df.join(label.select(F.col("id").alias(c), F.col("component").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
-    rows = of(of(tested, "b", "label"), "a", "label_a").join(known.select(F.col("rep").alias("b"), F.col("common").alias("not_lone")), "b")
+    rows = of(of(tested, "b", "label"), "a", "label_a").join(known.select(F.col("node").alias("b"), F.col("common").alias("not_lone")), "b")
     distance = 1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
     room = lambda c: (100 + percent) * F.col(c) - percent * F.col("size_b")
     rows = rows.withColumns({"distance": distance, "room": room("common"), "lone_room": room("not_lone"), "stray": F.col("label") != F.col("label_a")})
@@ -241,23 +250,34 @@ def still_apart(tested: DataFrame, found: DataFrame, known: DataFrame, percent:
     return shared.unionByName(sized).distinct()
 
 
-def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links), kept."""
+def texts_of(docs: DataFrame, met: DataFrame) -> DataFrame:
+    """(node, text) of the classes met(node, rep, page): one text each, the class's least doc_id's."""
+    found = stored(paged(docs).join(met.select(F.col("rep").alias("doc_id"), "page", "node").distinct(), ["doc_id", "page"]).select("node", "text"))
+    if found.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1):
+        # rows that are the same in both come once
+        return stored(found.groupBy("node").agg(F.first("text").alias("text")))
+    return found
+
+
+def near_rows(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, page, n_shingles, component_id, and the number of its group (null without a set or a doc_id). Stored."""
     signed = stored(signatures(docs, words))
-    classes = stored(signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
-    dealt = classes.select("rep", F.explode("bands").alias("h"))
+    grouped = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("doc_id", "page")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    # a class is a node; its number is fixed as it is written
+    classes = stored(grouped.select(F.monotonically_increasing_id().alias("node"), "set_key", F.col("first.doc_id").alias("rep"), F.col("first.page").alias("page"), "n_shingles", "bands"))
+    dealt = classes.select("node", "set_key", F.explode("bands").alias("h"))
     buckets = dealt.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     met = stored(dealt.join(buckets, "h"))
-    texts = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(met.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    texts = texts_of(docs, classes.select("node", "rep", "page").join(met.select("node").distinct(), "node"))
     # shingles that no other candidate has are in no intersection: what is left bounds the similarity from above
-    known = stored(classes.select("rep", F.col("n_shingles").alias("size")).join(lone_shingles(texts, words), "rep", "left").select("rep", "size", (F.col("size") - F.coalesce("lone", F.lit(0))).alias("common")))
-    sized = met.join(known, "rep")
+    known = stored(classes.select("node", F.col("n_shingles").alias("size")).join(lone_shingles(texts, words), "node", "left").select("node", "size", (F.col("size") - F.coalesce("lone", F.lit(0))).alias("common")))
+    sized = met.join(known, "node")
     least = sized.groupBy("h").agg(F.min("size").alias("least"))
     able = sized.join(least, "h").where((100 + percent) * F.col("common") >= percent * (F.col("size") + F.col("least")))
     # the pivot of a bucket is the member with the least of its own: the text that the others were made from
-    pivots = able.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((1 - F.col("common") / F.col("size")).alias("own"), "rep")).alias("p")).where("n > 1").select("h", F.col("p.rep").alias("a"))
-    shared = stored(able.select("h", "rep").join(pivots, "h"))
-    tried = stored(shared.where("rep <> a").select("a", F.col("rep").alias("b")).distinct())
+    pivots = able.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((1 - F.col("common") / F.col("size")).alias("own"), "set_key", "node")).alias("p")).where("n > 1").select("h", F.col("p.node").alias("a"))
+    shared = stored(able.select("h", "node").join(pivots, "h"))
+    tried = stored(shared.where("node <> a").select("a", F.col("node").alias("b")).distinct())
     tested = stored(compared(tried, texts, words, percent))
     links = tested.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     found = stored(components(links))
@@ -265,7 +285,32 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     more = stored(compared(stored(apart), texts, words, percent).where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst")))
     if more.head(1):
         found = stored(components(links.unionByName(more)))
-    whole = classes.select("set_key", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(whole, "set_key", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), (F.coalesce(own, F.lit(0)) == F.coalesce("doc_id", F.lit(0))).alias("kept"))
+    # the least doc_id of the component's classes
+    linked = found.select(F.col("id").alias("node"), "component").join(classes.select("node", "rep"), "node")
+    heads = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    linked = linked.join(heads, "component").select("node", "component", "component_id")
+    whole = classes.select("node", "set_key", "rep").join(linked, "node", "left").select("set_key", F.coalesce("component", "node").alias("group"), F.coalesce("component_id", "rep").alias("component_id"))
+    out = signed.select("doc_id", "page", "n_shingles", "set_key").join(whole, "set_key", "left")
+    return stored(out.select("doc_id", "page", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("group")).alias("group")))
+
+
+def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links), kept."""
+    rows = near_rows(docs, words, percent)
+    return rows.select("doc_id", "n_shingles", "component_id", (F.coalesce("component_id", F.lit(0)) == F.coalesce("doc_id", F.lit(0))).alias("kept"))
+
+
+def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group stays, the first of least doc_id, with the columns of the input; rows that repeat one go.
+
+    Documents without words, and those without a doc_id, are copies of nothing; of rows that are equal in doc_id and text one stays.
+    """
+    rows = near_rows(docs, words, percent)
+    d, p = (free_name(docs, x) for x in ("_doc", "_page"))
+    keyed = docs.withColumn(d, quoted("doc_id").cast("long")).withColumn(p, page_of(docs))
+    if rows.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1):
+        keyed = keyed.dropDuplicates([d, p])
+    able = rows.where("group IS NOT NULL").select("group", "doc_id", "page").distinct()
+    firsts = able.groupBy("group").agg(F.min(F.struct("doc_id", "page")).alias("first"))
+    gone = able.join(firsts, "group").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("page") != F.col("first.page"))).select(F.col("doc_id").alias(d), F.col("page").alias(p))
+    return keyed.join(gone, [d, p], "left_anti").select(*[quoted(c) for c in docs.columns])

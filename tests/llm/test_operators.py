@@ -76,6 +76,32 @@ def test_near_copies(spark, rows, k, percent):
     assert all(r.n_shingles == len(sets[r.doc_id]) and r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
+def test_near_copies_that_repeat_an_id(spark, k, percent):
+    rng = random.Random(21)
+    base, other = prose(rng, 120), prose(rng, 90)
+    given = [(1, base, "s"), (2, base + " one", "s"), (2, other, "s"), (3, base + " two", "s"), (7, other + " more", "s"), (7, other + " more", "s"), (7, None, "s"), (7, "", "s"), (8, base, "s"), (5, prose(rng, 80), "s"), (5, prose(rng, 80), "s")]
+    given += [(int(rng.randrange(20, 26)), variant(rng, base, rng.randrange(0, 4)), "s") for _ in range(15)]
+    sets = {n: next(iter(shingle_sets([row], k).values())) for n, row in enumerate(given)}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    label = {n: given[n][0] for n in sets}
+    for _ in sets:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = sketch_dedup.near_copies(frame(spark, given), k, percent).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == Counter((given[n][0], len(sets[n]), label[n], label[n] == given[n][0]) for n in sets)
+    # one row of each group stays, whatever ids its rows have
+    group = reachable(sets, links)
+    left = sketch_dedup.without_near_copies(frame(spark, given), k, percent)
+    assert left.columns == frame(spark, given).columns
+    kept = Counter((r.doc_id, r.text) for r in left.collect())
+    assert max(kept.values()) == 1 and len(kept) == len({group[n] for n in sets if sets[n]}) + len({given[n][:2] for n in sets if not sets[n]})
+    for key in {g for n, g in group.items() if sets[n]}:
+        members = [given[n][:2] for n in sets if group[n] == key]
+        stays = [m for m in set(members) if kept[m]]
+        assert len(stays) == 1 and stays[0][0] == min(i for i, _ in members)
+
+
 def test_near_copies_edges(spark):
     assert sketch_dedup.near_copies(frame(spark, [])).count() == 0
     got = sketch_dedup.near_copies(frame(spark, [(None, "a b c", "s"), (1, None, None)])).collect()
@@ -109,6 +135,54 @@ def test_near_vectors(spark):
     assert embed_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_near_vectors_that_repeat_an_id(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(4, 24))
+    given = [(int(rng.integers(0, 25)), (base[k % 4] * rng.choice([1.0, 2.0]) + rng.normal(size=24) * rng.choice([0.0, 0.06])).tolist()) for k in range(60)]
+    given += given[:7] + [(1, base[0].tolist()), (1, base[0].tolist()), (4, (base[0] + 0.01).tolist()), (90, base[0][:12].tolist()), (91, base[0][:12].tolist())]
+    unit = lambda v: np.array(v) / np.abs(v).max()
+    nodes = sorted({(i, tuple(unit(v))) for i, v in given})
+    cos = lambda v, w: len(v) == len(w) and np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) >= 0.95
+    # vectors of equal direction and length of components are one class; an id counts once in it
+    links = [(a, b) for a in range(len(nodes)) for b in range(len(nodes)) if a != b and cos(nodes[a][1], nodes[b][1])]
+    root = list(range(len(nodes)))
+    label = [i for i, _ in nodes]
+    for _ in nodes:
+        for a, b in links:
+            label[a] = min(label[a], label[b])
+    degree = Counter(a for a, _ in links)
+    want = Counter((nodes[k][0], degree[k], label[k]) for i, v in given for k in root if nodes[k] == (i, tuple(unit(v))))
+    got = embed_dedup.near_vectors(spark.createDataFrame(given, "vec_id long, embedding array<double>")).collect()
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in got) == want
+
+
+def test_hash_plan_grows_with_the_table():
+    for dim in (16, 64):
+        sizes = [embed_dedup.plan(dim, n, 0.95) for n in (1 << 8, 1 << 16, 1 << 24, 1 << 32)]
+        assert [h for _, h in sizes] == sorted(h for _, h in sizes) and sizes[0][1] < sizes[-1][1]
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    r = rng.normal(size=x.shape)
+    r -= (r * x).sum(axis=1, keepdims=True) * x
+    y = 0.951 * x + np.sqrt(1 - 0.951**2) * r / np.linalg.norm(r, axis=1, keepdims=True)
+    for n in (1 << 10, 1 << 20, 1 << 30):
+        h = embed_dedup.Hasher(64, n, 0.95)
+        p, q, z = h.codes(x), h.codes(y), h.codes(np.roll(x, 1, axis=0))
+        met = lambda u, v: (u[:, :, :, None] == v[:, :, None, :]).any(axis=(1, 2, 3)).mean()
+        assert met(p, q) > 0.998 and met(p, z) < 0.2
+
+
+def test_rotation_by_matrix_and_by_transform_agree():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(50, 40)).astype(np.float32)
+    r = embed_dedup.Rotations(40, 2)
+    padded = np.zeros((50, 64), np.float32)
+    padded[:, :40] = x
+    assert np.allclose(x @ r.matrices[1], r.transform(padded, 1), atol=1e-4)
+    assert np.allclose(np.linalg.norm(r.transform(padded, 0), axis=1), np.linalg.norm(x, axis=1), rtol=1e-4)
+
+
 def test_a_bucket_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "BLOCK", 8)
     rng = np.random.default_rng(3)
@@ -266,6 +340,42 @@ def test_depleted_documents_go_and_copies_stay(spark):
     assert quality_lines.accepted(frame(spark, docs)).columns == frame(spark, docs).columns
 
 
+def kept_by_rule(docs):
+    """op3 by plain Python: (kept, lines that go) of each row."""
+    host = {}
+    for _, t, s in docs:
+        if t is not None:
+            host.setdefault(s, set()).add(t)
+    lines_of = lambda t: [x for x in t.split("\n") if WORD.search(x)]
+    norm = lambda x: " ".join(WORD.findall(x)).lower()
+    bad = {s: {x for x, n in Counter(x for t in ts for x in {norm(y) for y in lines_of(t)}).items() if n > max(0.1, 1.5 / math.sqrt(len(ts))) * len(ts)} for s, ts in host.items()}
+    out = []
+    for _, t, s in docs:
+        w = WORD.findall(t or "")
+        grams = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        again = {i + j for i in range(len(w) - 7) if grams[tuple(w[i : i + 8])] > 1 for j in range(8)}
+        size = sum(len(x) for x in lines_of(t or ""))
+        lost = sum(len(x) for x in lines_of(t or "") if norm(x) in bad.get(s, ())) / size if size else 0
+        out.append((len(w) >= 20 and 100 * len(again) <= 30 * len(w) and 1 - lost >= 0.3, {x for x in (t or "").split("\n") if WORD.search(x) and norm(x) in bad.get(s, ())}))
+    return out
+
+
+def test_quality_on_hosts_at_the_limit_with_nulls(spark):
+    rng = random.Random(31)
+    foot = "All about cookies and consent in one long line of words that pages have at their end, again and again and again, and on"
+    docs = []
+    for host, n, with_foot, nulls in (("a", 99, 15, 1), ("b", 99, 14, 0), ("c", 225, 23, 3), (None, 9, 5, 2), ("d", 4, 4, 1), ("e", 3, 2, 5), ("f", 1, 1, 0)):
+        docs += [(None, (prose(rng, 6) + "\n" if i % 3 else "") + prose(rng, 5) + "\n  " + foot.replace(" ", "  " if i % 2 else " "), host) if i < with_foot else (None, prose(rng, 30), host) for i in range(n)]
+        docs += [(None, None, host)] * nulls
+    docs = [(i, t, s) for i, (_, t, s) in enumerate(docs)]
+    want = kept_by_rule(docs)
+    got = {r.doc_id: r.kept for r in quality_lines.judged(frame(spark, docs)).collect()}
+    assert [got[i] for i in range(len(docs))] == [k for k, _ in want]
+    assert {k for k, _ in want} == {True, False}
+    clean = {r.doc_id: r.text for r in quality_lines.cleaned(frame(spark, docs)).collect()}
+    assert clean == {i: "\n".join(x for x in t.split("\n") if x not in gone) for (i, t, _), (kept, gone) in zip(docs, want, strict=True) if kept}
+
+
 def test_frequent_lines(spark):
     rng = random.Random(4)
     docs = [(i, "  Read   MORE here\n" + prose(rng, 10) + "\n\nread more here", "s") for i in range(12)] + [(50, "read more here", None), (51, None, "s"), (52, "", "s")]
