@@ -21,9 +21,7 @@ def frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of least doc_id; rows that repeat it go too."""
-    docs = docs.select(*DOCUMENT_COLUMNS)
-    gone = sketch_dedup.near_copies(docs, words=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*DOCUMENT_COLUMNS)
+    return sketch_dedup.without_near_copies(docs.select(*DOCUMENT_COLUMNS), words=5, percent=80)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
