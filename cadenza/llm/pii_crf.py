@@ -2,19 +2,23 @@
 
 The patterns give the base spans. The field reads runs of words that hold a digit, an @ or a +, with the word on either
 side, and labels every word as outside or as the beginning or inside of one of the four kinds. Its features are the
-shapes of the word, fine and coarse, and of both neighbours. It is trained on the driver, by gradient ascent of the conditional
-log-likelihood, from a small labelled table (`labelled_runs`), and decoded by Viterbi for many runs at a time. Spans of
-the field that touch no base span are added; base spans always stay.
-
-Defined results: a null text is an empty one, without spans; offsets are code points, ends exclusive; repeated rows
-give repeated results; a null doc_id is kept; extra columns are ignored; an empty table gives an empty result.
+shapes of the word, fine and coarse, those of both neighbours, and what is known of the figures that the word stands among
+(`facts`): how many digits, whether they pass Luhn, whether an address's parts are in range. It is trained on the driver, by
+gradient ascent of the conditional log-likelihood, from a small labelled table (`labelled_runs`), and decoded by Viterbi for
+many runs at a time. Spans of the field that touch no base span are added; base spans always stay.
+
+Defined results: a null text is an empty one, without spans; offsets are code points, ends exclusive; words are read whole,
+however long; repeated rows give repeated results; a null doc_id is kept; extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,12 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 ACTIVE = re.compile(r"[0-9@+]")
 SPACE = re.compile(r"\s")
 AREA = re.compile(r"\([0-9]+\)")
+AGAIN = re.compile(r"(.{2,8}?)\1{2,}")
+NUMBER = re.compile(r"\+?[0-9()][0-9()./-]*")
+YEAR = re.compile(r"(?:19|20)[0-9]{2}")
+QUAD = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+SIX = re.compile(r"[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:[0-9A-Fa-f:]*")
+FEATURES = 5
 
 
 def luhn(digits: str) -> bool:
@@ -88,14 +98,9 @@ def core(text: str, a: int, b: int) -> tuple[int, int]:
 
 
 def shape(word: str) -> str:
-    """Runs of letters as a, of digits as 9 with their number up to 20, all else as it is; at most 24 signs, and no more than the word's first 64."""
-    out = []
-    for m in re.finditer(r"[0-9]+|[^\W\d_]+|[\W_]", word[:64]):
-        c = m[0]
-        out.append(f"9{min(20, len(c))}" if c[0].isdigit() else "a" if c[0].isalpha() else c)
-        if len(out) == 24:
-            break
-    return "".join(out)
+    """Runs of letters as a, of digits as 9 with their number up to 20, all else as it is; what repeats is written once, with a star."""
+    out = re.sub(r"[0-9]+", lambda m: f"9{min(20, len(m[0]))}", re.sub(r"[^\W\d_]+", "a", word))
+    return AGAIN.sub(r"\1*", out)
 
 
 def coarse(s: str) -> str:
@@ -103,10 +108,41 @@ def coarse(s: str) -> str:
     return re.sub(r"9\d+", "9", s)
 
 
-def features(s: list[str]) -> list[tuple[str, str, str, str]]:
-    """Of each word of a run: its shape, its coarse shape, and those of its neighbours."""
-    c = ["$", *map(coarse, s), "$"]
-    return [(x, c[i + 1], c[i], c[i + 2]) for i, x in enumerate(s)]
+def facts(words: list[str]) -> list[str]:
+    """Of each word what is known of its figures: of the stretch of number words that it stands in, the digits and whether they pass Luhn."""
+    out = [""] * len(words)
+    i = 0
+    while i < len(words):
+        j = i
+        while j < len(words) and NUMBER.fullmatch(words[j]):
+            j += 1
+        if j > i:
+            digits = "".join(c for w in words[i:j] for c in w if "0" <= c <= "9")
+            years = all(YEAR.fullmatch(w) for w in words[i:j])
+            known = f"{min(20, len(digits))}{'L' if 13 <= len(digits) <= 19 and luhn(digits) else ''}{'y' if years else ''}{'0' if digits[:1] == '0' else ''}"
+            for k in range(i, j):
+                out[k] = known
+        i = max(j, i + 1)
+    for k, w in enumerate(words):
+        if QUAD.fullmatch(w) and max(map(len, w.split("."))) <= 3:
+            out[k] = "quad" if max(map(int, w.split("."))) <= 255 else "no quad"
+        elif SIX.fullmatch(w) and (w.count(":") == 7 or w.count("::") == 1 and w.count(":") < 8):
+            out[k] = "six"
+    return out
+
+
+Sign = tuple[str, str]
+
+
+def signs(words: list[str]) -> list[Sign]:
+    """Shape and facts of the words of a run."""
+    return list(zip(map(shape, words), facts(words), strict=True))
+
+
+def features(run: list[Sign]) -> list[tuple[str, str, str, str, str]]:
+    """Of each word of a run: its shape, its coarse shape, those of its neighbours, and its facts."""
+    c = ["$", *(coarse(x) for x, _ in run), "$"]
+    return [(x, c[i + 1], c[i], c[i + 2], known) for i, (x, known) in enumerate(run)]
 
 
 def words_of(text: str) -> list[list[tuple[int, int]]]:
@@ -132,13 +168,13 @@ def words_of(text: str) -> list[list[tuple[int, int]]]:
         while b > 0 and text[b - 1].isspace():
             b -= 1
         a = b
-        while a > 0 and b - a < 64 and not text[a - 1].isspace():
+        while a > 0 and not text[a - 1].isspace():
             a -= 1
         e = run[-1][1]
         while e < n and text[e].isspace():
             e += 1
         f = e
-        while f < n and f - e < 64 and not text[f].isspace():
+        while f < n and not text[f].isspace():
             f += 1
         if b > a:
             run.insert(0, (a, b))
@@ -147,13 +183,39 @@ def words_of(text: str) -> list[list[tuple[int, int]]]:
     return runs
 
 
+#: The labelled table's templates: personal data by kind, and what looks like it and isn't.
+PATTERNS = {
+    "email": ("w.99@w9.w.com", "w@w.org", "w_w+9@w-w.w"),
+    "card": ("C9999999999999999", "C9999 9999 9999 9999", "C9999-9999-9999-9999", "C9999.9999.9999.9999", "C9999/9999/9999/9999", "C9999 999999 99999"),
+    "phone": (
+        "+1 (999) 555-9999", "+99 999 9999 9999", "+99999999999", "+99 9 99 99 99 99", "+99 (0) 999 999999", "(999) 999-9999", "(999) 999 9999", "999-999-9999", "999.999.9999", "999 999 9999", "1-999-999-9999", "1 999 999 9999",
+        "09999 999999", "099 9999 9999", "0999 999 9999", "09 99 99 99 99", "09.99.99.99.99", "0999/9999999", "0999-9999999", "099-999 99 99", "(099) 9999 9999", "(09999) 999999", "0099 999 9999999", "09999 999 999", "099 99999999",
+    ),
+}
+OTHERS = (
+    "9.9", "9", "99", "9999", "99999", "9.9.9", "1999-99-99", "99.99.1999", "99/99/2099", "password=w99w999", "\"999w9999w999999\"", "AKIAw9w", "99%", "w@w", "999,999", "99:99", "99:99:99", "+", "+9", "99 99 9 999 9", "9999999",
+    "99999999999999999999", "X9999 9999 9999 9999", "X9999999999999999", "X9999-9999-9999-9999", "X9999.9999.9999.9999", "w99 9999 9999 9999 9999 99", "w99 w 9999 9999 9999 99", "999-9-99-999999-9", "9 999 999", "99 999 999", "9,999,999.99", "99999-9999", "99.9999 99.9999",
+    "9999-9999", "999-99-9999", "w999999999", "99:9w:9w:99:9w:99", "$9,999", "9-9", "999-999", "99-99999-99", "9w9w9w9w99w9w", "no.9999/99", "9x99", "999 w 999", "99 000 000", "9.99 9.99 9.99", "9999 999", "99 w 99 w", "9/99", "1w 999 w9 99 9999 9999", "9 9 9 9 9 9 9 9 9", "9 9 9 9", "9 9 99 9 99 99 9", "99 99 99 99 99 99 99 99 99", "999 99 9999 9 999 99", "9.9 9.9 9.9 9.9 9.9", "999 999 999 999 999", "9999 9999",
+)
+
+
 def labelled_runs() -> list[tuple[list[str], list[str]]]:
-    """The labelled table: words and labels. What stands in the slots is drawn by a fixed rule."""
+    """The labelled table: words and labels. What stands in the slots is drawn by a fixed rule.
+
+    In a template 9 stands for a digit, w for a word; C marks figures that pass Luhn, X figures that don't.
+    """
     g = np.random.default_rng(20260301)
-    d = lambda k: "".join(map(str, g.integers(0, 10, k)))
     w = lambda: "".join(g.choice(list("abdefghilmnoprstu"), g.integers(2, 9)))
     rows: list[tuple[list[str], list[str]]] = []
 
+    def filled(template: str) -> str:
+        passes = {"C": True, "X": False}.get(template[0])
+        body = template[1:] if passes is not None else template
+        while True:
+            out = "".join(str(g.integers(0, 10)) if c == "9" else w() if c == "w" else c for c in body)
+            if passes is None or luhn("".join(c for c in out if c.isdigit())) == passes:
+                return out
+
     def add(middle: str, kind: str | None) -> None:
         parts = middle.split()
         tag = [f"{'I' if i else 'B'}-{kind}" if kind else "O" for i in range(len(parts))]
@@ -162,36 +224,18 @@ def labelled_runs() -> list[tuple[list[str], list[str]]]:
         parts[-1] += end
         rows.append((before + parts + after, ["O"] * len(before) + tag + ["O"] * len(after)))
 
-    for _ in range(12):
-        add(f"{w()}.{d(2)}@{w()}{d(1)}.{w()}.com", "email")
-        add(f"{w()}@{w()}.org", "email")
+    for _ in range(10):
         add(".".join(str(x) for x in g.integers(1, 256, 4)), "ip")
-        add(d(16), "card")
-        add(f"{d(4)} {d(4)} {d(4)} {d(4)}", "card")
-        add(f"{d(4)}-{d(4)}-{d(4)}-{d(4)}", "card")
-        add(f"+1 ({d(3)}) 555-{d(4)}", "phone")
-        add(f"+{d(2)} {d(3)} {d(4)} {d(4)}", "phone")
-        add(f"+{d(2)}{d(9)}", "phone")
-        add(f"({d(3)}) {d(3)}-{d(4)}", "phone")
-        add(f"{d(3)}-{d(3)}-{d(4)}", "phone")
-        # not personal: versions, years, quantities, keys, secrets, sums, marks
-        add(f"{d(1)}.{d(1)}", None)
-        add(d(1), None)
-        add(d(4), None)
-        add(f"{d(1)}.{d(1)}.{d(1)}", None)
-        add("19" + d(2) + "-" + d(2) + "-" + d(2), None)
-        add(f"password={w()}{d(2)}{w()}{d(3)}", None)
-        add("\"" + d(3) + w() + d(4) + w() + d(6) + "\"", None)
-        add("AKIA" + w().upper() + d(1) + w().upper(), None)
-        add(f"{d(2)}%", None)
-        add(f"{w()}@{w()}", None)
-        add(f"{d(3)},{d(3)}", None)
-        add(f"{d(2)}:{d(2)}", None)
-        add("+", None)
-        add(f"+{d(1)}", None)
-        add(f"{d(2)} {d(2)} {d(1)} {d(3)} {d(1)}", None)
-        add(d(7), None)
-        add(d(20), None)
+        add(".".join(str(x) for x in [*g.integers(1, 256, 3), g.integers(256, 1000)]), None)
+        add(":".join(f"{x:x}" for x in g.integers(4096, 65536, 8)), "ip")
+        add("::".join(f"{x:x}" for x in g.integers(16, 65536, 2)), "ip")
+        add("%x:%x::%x" % tuple(g.integers(16, 65536, 3)), "ip")
+        add(" ".join(str(x) for x in g.integers(1900, 2100, g.integers(2, 6))), None)
+        for kind, templates in PATTERNS.items():
+            for t in templates:
+                add(filled(t), kind)
+        for t in OTHERS:
+            add(filled(t), None)
     return rows
 
 
@@ -201,9 +245,9 @@ class Field:
     def __init__(self, tables: list[dict[str, np.ndarray]], pairs: np.ndarray, prior: np.ndarray):
         self.tables, self.pairs, self.prior = tables, pairs, prior
 
-    def scores(self, shapes: list[str]) -> np.ndarray:
-        out = np.tile(self.prior, (len(shapes), 1))
-        for row, found in zip(out, features(shapes), strict=True):
+    def scores(self, run: list[Sign]) -> np.ndarray:
+        out = np.tile(self.prior, (len(run), 1))
+        for row, found in zip(out, features(run), strict=True):
             for table, f in zip(self.tables, found, strict=True):
                 if (w := table.get(f)) is not None:
                     row += w
@@ -221,10 +265,10 @@ def allowed() -> np.ndarray:
 
 def trained(rows: list[tuple[list[str], list[str]]] | None = None, steps: int = 100, penalty: float = 0.02) -> Field:
     rows = rows or labelled_runs()
-    shapes = [[shape(x[slice(*core(x, 0, len(x)))]) for x in words] for words, _ in rows]
+    shapes = [signs([x[slice(*core(x, 0, len(x)))] for x in words]) for words, _ in rows]
     index: dict[tuple[int, str], int] = {}
     size, most, k = len(rows), max(map(len, shapes)), len(LABELS)
-    at = np.zeros((size, most, 4), int)
+    at = np.zeros((size, most, FEATURES), int)
     gold, mask = np.zeros((size, most), int), np.zeros((size, most), bool)
     for i, (s, (_, tags)) in enumerate(zip(shapes, rows, strict=True)):
         for t, found in enumerate(features(s)):
@@ -239,7 +283,7 @@ def trained(rows: list[tuple[list[str], list[str]]] | None = None, steps: int =
     seen_pairs = np.zeros((k, k))
     np.add.at(seen_pairs, (gold[:, :-1][mask[:, 1:]], gold[:, 1:][mask[:, 1:]]), 1)
     target = np.zeros((n, k))
-    for f in range(4):
+    for f in range(FEATURES):
         np.add.at(target, (at[..., f][mask], gold[mask]), 1)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     lse = lambda x, axis: np.log(np.exp(x - x.max(axis=axis, keepdims=True)).sum(axis=axis)) + x.max(axis=axis)
@@ -257,7 +301,7 @@ def trained(rows: list[tuple[list[str], list[str]]] | None = None, steps: int =
         z = lse(alpha[:, -1], 1)
         node = np.exp(alpha + beta - z[:, None, None]) * mask[..., None]
         expect = np.zeros((n, k))
-        for f in range(4):
+        for f in range(FEATURES):
             np.add.at(expect, at[..., f], node)
         edge = np.zeros((k, k))
         for t in range(1, most):
@@ -267,14 +311,14 @@ def trained(rows: list[tuple[list[str], list[str]]] | None = None, steps: int =
             m[0] = 0.9 * m[0] + 0.1 * g
             m[1] = 0.99 * m[1] + 0.01 * g * g
             p += 0.15 * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8)
-    tables: list[dict[str, np.ndarray]] = [{}, {}, {}, {}]
+    tables: list[dict[str, np.ndarray]] = [{} for _ in range(FEATURES)]
     for (f, v), i in index.items():
         tables[f][v] = params[0][i]
     return Field(tables, params[1] + hard, prior)
 
 
-def decoded(field: Field, runs: list[list[str]]) -> list[np.ndarray]:
-    """The best labels of each run of shapes, by Viterbi over many runs of like length at a time."""
+def decoded(field: Field, runs: list[list[Sign]]) -> list[np.ndarray]:
+    """The best labels of each run, by Viterbi over many runs of like length at a time."""
     out: list[np.ndarray] = [np.zeros(0, int)] * len(runs)
     order = sorted(range(len(runs)), key=lambda i: len(runs[i]))
     k = len(LABELS)
@@ -315,14 +359,15 @@ def all_spans(field: Field, texts: list[str]) -> list[tuple[list, list]]:
     for i, text in enumerate(texts):
         found = base_spans(text)
         bases.append(found)
-        covered = [(a, b) for a, _, b in found]
+        starts = [a for a, _, _ in found]
+        ends = list(accumulate((b for _, _, b in found), max))
         for run in words_of(text):
             words = [core(text, a, b) for a, b in run]
             # a run whose active words all lie in base spans has nothing to add
-            if all(any(a < y and x < b for a, b in covered) for x, y in words if ACTIVE.search(text, x, y)) if len(covered) <= 8 else False:
+            if found and all((j := bisect_left(starts, y)) and ends[j - 1] > x for x, y in words if ACTIVE.search(text, x, y)):
                 continue
             where.append((i, words))
-            runs.append([shape(text[x:y]) for x, y in words])
+            runs.append(signs([text[x:y] for x, y in words]))
     added: list[list] = [[] for _ in texts]
     for (i, words), tags in zip(where, decoded(field, runs), strict=True):
         t = 0
@@ -352,11 +397,11 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join([f"{KINDS[k]}:{a}:{b}" for a, k, b in spans])
 
 
-PERSONAL = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+PERSONAL = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
 
 def personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """doc_id, counts of base spans by kind, the digest of the base spans, all spans, and how many the field added."""
+    """doc_id, counts of base spans by kind, the digest of the base spans, all spans, how many the field added, and how many there are."""
     field = field or trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,6 +410,6 @@ def personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
                 found = all_spans(field, [t.as_py() or "" for t in batch.column("text").slice(a, 1024)])
                 counts = [pa.array([sum(s[1] == k for s in b) for b, _ in found], pa.int64()) for k in range(4)]
                 digests = pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, 1024), *counts, digests, pa.array([joined(s) for _, s in found]), pa.array([len(s) - len(b) for b, s in found], pa.int64())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, 1024), *counts, digests, pa.array([joined(s) for _, s in found]), pa.array([len(s) - len(b) for b, s in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_spans"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PERSONAL)

@@ -1,5 +1,6 @@
 """Each operator against brute force on small rows, with nulls, empties, long texts, repeats and clashing columns."""
 
+import hashlib
 import html
 import math
 import random
@@ -294,7 +295,7 @@ def test_field_on_held_out_runs():
     half = len(rows) // 2
     field = pii_crf.trained(rows[:half])
     held = rows[half:]
-    tags = pii_crf.decoded(field, [[pii_crf.shape(x[slice(*pii_crf.core(x, 0, len(x)))]) for x in w] for w, _ in held])
+    tags = pii_crf.decoded(field, [pii_crf.signs([x[slice(*pii_crf.core(x, 0, len(x)))] for x in w]) for w, _ in held])
     right = [pii_crf.LABELS[i] == t for got, (_, want) in zip(tags, held, strict=True) for i, t in zip(got, want, strict=True)]
     assert np.mean(right) > 0.97
 
@@ -303,18 +304,98 @@ def test_viterbi_is_the_best_path():
     field = pii_crf.trained(pii_crf.labelled_runs()[:60], steps=20)
     from itertools import product
 
-    run = ["a", "9 3", "+91", "a"][:3]
+    run = [("a", ""), ("93", "10"), ("+91", "10")]
     emit = field.scores(run)
     score = lambda path: sum(emit[t][y] for t, y in enumerate(path)) + sum(field.pairs[a, b] for a, b in zip(path, path[1:], strict=False)) + (-1e9 if pii_crf.LABELS[path[0]][0] == "I" else 0)
     best = max(product(range(len(pii_crf.LABELS)), repeat=3), key=score)
     assert abs(score(tuple(pii_crf.decoded(field, [run])[0])) - score(best)) < 1e-9
 
 
+#: Sentences written by hand, not drawn from the templates; [kind text] is personal, all other figures are not.
+SENTENCES = """Please ring me at [phone 020 7946 0958] after six.
+My mobile is [phone 07700 900123], and the office has [phone (0161) 496 0123].
+Call [phone 555 123 4567] or [phone 212.555.0188] for the tickets!
+Fax: [phone 030/9018200], desk [phone 030-901820].
+She wrote [email anna.berg+list@post.example.org] on the card.
+He uses bob@localhost on that machine and user@host in the manual.
+Charge it to [card 4111 1111 1111 1111], please.
+The number [card 5500-0000-0000-0004] was declined in 2021.
+They typed [card 4012.8888.8888.1881] with dots between.
+Order 1234 5678 9012 3456 was shipped in 2 boxes of 12 each.
+The router at [ip 10.0.0.138] answers, 10.0.0.338 does not.
+Its other address is [ip 2001:db8:0:1:1:1:1:1] and the link one is [ip fe80::1ff:fe23:4567:890a].
+We met at 12:30:45 on 2023-11-05, or was it 05.11.2023?
+Section 4.3.2 of version 10.15.7 lists 3 of the 25 cases.
+In 1914 1915 1916 1917 1918 the mill made 12 400 tons a year.
+The account DE89 3704 0044 0532 0130 00 has 1,250.75 left.
+ISBN 978-3-16-148410-0, shelf 820.9, page 112-118.
+You reach us on [phone +44 20 7946 0991] and on [phone 0044 20 7946 0992].
+Numéro : [phone 01 42 68 53 00], fermé le 14/07/2022.
+Rufen Sie [phone 089 1234567] an, Zimmer 214.
+Tel. [phone 1-800-555-0199], ext 42.
+The winning numbers were 4 8 15 16 23 42 again.
+Room 101, floor 7, 90210-1234 Beverly Hills.
+Speed 300 000 km per second, that is 299 792 458 metres.
+The score was 3-2 (1-1), with 45 000 people there.
+Write to [email j_smith99@mail.co.uk] or [email info@shop-24.de] by 9.
+MAC 00:1a:2b:3c:4d:5e belongs to port 8080.
+His SSN 078-05-1120 isn't a phone, nor is 12-345-6789.
+The serial is 4410-2231-0097, made in week 32.
+Text [phone (415) 555-2671] or [phone 415-555-2672].
+GPS 52.5200 13.4050, altitude 34 m.
+Mix 1 2 3 4 5 6 7 8 9 10 drops with 250 ml.
+Server [ip 192.0.2.44] sent 1500 bytes to [ip 198.51.100.7].
+Her card [card 3782 822463 10005] expires 11/27.
+Tracking 1Z 999 AA1 01 2345 6784 left on 3/14.
+Ring [phone 0171-2345678] or [phone 0043 1 5880 1234]."""
+
+
+def test_field_on_sentences_written_by_hand():
+    field = pii_crf.trained()
+    kinds = pii_crf.KINDS
+    hit = found = true = added_hit = added = beyond = 0
+    for line in SENTENCES.split("\n"):
+        want, text = set(), ""
+        for part in re.split(r"(\[(?:email|ip|card|phone) [^\]]*\])", line):
+            if part.startswith("["):
+                kind, own = part[1:-1].split(" ", 1)
+                want.add((len(text), kinds.index(kind), len(text) + len(own)))
+                text += own
+            else:
+                text += part
+        base, spans = pii_crf.all_spans(field, [text])[0]
+        assert set(base) <= set(spans)
+        hit, found, true = hit + len(want & set(spans)), found + len(spans), true + len(want)
+        new = set(spans) - set(base)
+        added_hit, added, beyond = added_hit + len(want & new), added + len(new), beyond + len(want - set(base))
+    print(f"all spans: precision {hit}/{found}, recall {hit}/{true}; the field's: precision {added_hit}/{added}, recall {added_hit}/{beyond}")
+    # measured, without tuning on these sentences: 24 of 26 and 24 of 28; of the field's own 14 of 16 and 14 of 18
+    assert hit / found >= 0.9 and hit / true >= 0.85 and added_hit / added >= 0.85 and added_hit / beyond >= 0.75
+
+
+def test_long_words_and_many_spans_are_whole():
+    field = pii_crf.trained()
+    long = "x" * 200_000
+    # what differs after the first signs of a word, or beyond its first characters, is seen
+    assert pii_crf.shape("a1" * 100 + "-7") != pii_crf.shape("a1" * 100 + "+7") and len(pii_crf.shape("a1" * 100_000)) < 20
+    text = " ".join(f"write u{i}@mail.example or 020 7946 {1000 + i} now" for i in range(50)) + f" {long} 07700 900123 {long}"
+    base, spans = pii_crf.all_spans(field, [text])[0]
+    assert len(base) == 50 and len(spans) == 101
+    a, _, b = spans[-1]
+    assert text[a:b] == "07700 900123"
+    # one text or many, with or without base spans before: the same spans
+    alone = pii_crf.all_spans(field, ["or 020 7946 1000 now"])[0][1]
+    assert [text[a:b] for a, k, b in spans if k == 3][0] == "020 7946 1000" and len(alone) == 1
+
+
 def test_personal_data(spark):
     texts = ["Mail jo.b@x9.example.com, now.", "call (212) 555-0188 now", None, "", "card 4111 1111 1111 1111."]
     got = {r.doc_id: r for r in pii_crf.personal_data(frame(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
     assert got[0].n_email == 1 and got[0].spans == "email:5:24" and got[4].n_card == 1 and got[2].spans == "" == got[3].spans
     assert got[1].n_phone == 0 and got[1].spans.startswith("phone:5:")
+    for i, t in enumerate(texts):
+        base = ",".join(f"{pii_crf.KINDS[k]}:{a}:{b}" for a, k, b in plain_spans(t or ""))
+        assert got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest() and got[i].n_spans == got[i].n_email + got[i].n_ip + got[i].n_card + got[i].n_phone + got[i].n_added
     assert pii_crf.personal_data(frame(spark, [])).count() == 0
 
 
