@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .shared import bound, quoted
 
-FEATURES, LEAST_PROBABILITY, LEAST_SHARE, WINDOW, STRIDE = 1 << 13, 0.5, 0.6, 50, 25
+FEATURES, LEAST_PROBABILITY, LEAST_SHARE, WINDOW, STRIDE = 1 << 13, 0.5, 0.67, 50, 25
 UNKNOWN = "unknown"
 #: Words by which notices tell themselves from prose.
 TELLING = tuple("license licence licensed gnu gpl lgpl agpl gplv2 gplv3 lgplv2 lgplv3 agplv3 mit bsd isc cc cc0 commons apache mozilla mpl eclipse epl boost zlib spdx domain unlicense unencumbered rights copyright permission redistribution permitted endorse warranty liable software hereby granted waived".split())
