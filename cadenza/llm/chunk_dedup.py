@@ -6,6 +6,8 @@ return after an insertion. Chunks are known by a 64-bit digest. A chunk that occ
 occurrence but the first (in the document of least doc_id, there the first). Copies that touch or overlap make a span, and spans of `LEAST_BYTES`
 or more count, chance repeats of a few words don't.
 
+`without_copies` returns the texts without the copied chunks of such spans; `repeated_passages` reports the spans.
+
 Cuts alone give no bound: a passage can hold few whole chunks, or none. So runs of `SEED` words are known by digests too.
 Of any `SEED` such runs side by side the least digest is taken, in whatever text they stand, so a passage of
 2 * SEED - 1 = 51 words always holds one that all its occurrences take. A span with a repeated seed counts whatever its bytes.
@@ -28,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ship, stored
+from .shared import free_name, quoted, ship
 
 ship(__name__)
 
-GEAR, MASK_BITS, LEAST_BYTES, SEED = 16, 5, 128, 26
+GEAR, MASK_BITS, LEAST_BYTES, SEED, LEAST_CUT = 16, 5, 256, 26, 64
 TABLE = np.random.default_rng(20260401).integers(0, 2**32, 256, dtype=np.uint32)
 LETTERS = np.random.default_rng(20260402).integers(1, 2**64, 256, dtype=np.uint64)
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -147,21 +149,22 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
 
 
 def copied_spans(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """doc_id, start, end (bytes of the text), copied, copies_of: every run of repeated chunks and seeds.
+    """doc_id, start, end (bytes of the text), copied, copies_of, digests: every run of repeated chunks and seeds.
 
     copied: the bytes that are copies; 0 for a passage that is nowhere earlier. copies_of: the documents that hold
-    the copied chunks and seeds first.
+    the copied chunks and seeds first. digests: the copied chunks that an earlier document holds, and those that this
+    one holds first and repeats.
     """
     rows = chunk_rows(docs)
     firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc <> last_doc").select("digest", "first_doc")
     hit = rows.join(firsts, "digest", "left").where("first_doc IS NOT NULL OR again")
-    hit = hit.select("doc_id", "start", "end", F.coalesce("first_doc", "doc_id").alias("first_doc"), (F.col("again") | (F.col("first_doc") < F.col("doc_id"))).alias("copy"), "seed")
+    hit = hit.select("doc_id", "start", "end", F.coalesce("first_doc", "doc_id").alias("first_doc"), (F.col("again") | (F.col("first_doc") < F.col("doc_id"))).alias("copy"), "seed", "digest")
     # all of a document's repeated chunks and seeds: at most its own
-    per = hit.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end", "first_doc", "copy", "seed"))).alias("c"))
+    per = hit.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end", "first_doc", "copy", "seed", "digest"))).alias("c"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for doc, chunks in zip(batch.column("doc_id").to_pylist(), batch.column("c").to_pylist(), strict=True):
                 i = 0
                 while i < len(chunks):
@@ -175,13 +178,70 @@ def copied_spans(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
                     run_ = chunks[i:j]
                     if end - start >= least_bytes or any(c["seed"] for c in run_):
                         of = sorted({c["first_doc"] for c in run_ if c["copy"] and c["first_doc"] != NO_ID})
-                        for o, v in zip(out, (None if doc == NO_ID else doc, start, end, copied, of), strict=True):
+                        own = [c for c in run_ if c["copy"] and not c["seed"]]
+                        known, again = (sorted({c["digest"] for c in own if (c["first_doc"] != doc) == other}) for other in (True, False))
+                        for o, v in zip(out, (None if doc == NO_ID else doc, start, end, copied, of, known, again), strict=True):
                             o.append(v)
                     i = j
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], ["doc_id", "start", "end", "copied", "copies_of"])
+            kinds = (*[pa.int64()] * 4, *[pa.list_(pa.int64())] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], ["doc_id", "start", "end", "copied", "copies_of", "known", "again"])
+
+    return per.mapInArrow(run, "doc_id long, start long, end long, copied long, copies_of array<bigint>, known array<bigint>, again array<bigint>")
+
 
-    return per.mapInArrow(run, "doc_id long, start long, end long, copied long, copies_of array<bigint>")
+def without_copies(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """The documents without the copied chunks of their repeated spans, with the columns of the input, n_chars renewed.
+
+    A chunk that an earlier document holds goes; one that this document holds first stays once.
+    Chunks are cut from the text anew, so rows that repeat a doc_id lose only what they hold. Cuts move to the next
+    character. Documents without such spans, null texts and null ids stay as they are.
+    """
+    spans = copied_spans(docs, least_bytes).where("doc_id IS NOT NULL").groupBy("doc_id").agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("known", "again")])
+    d, known, again = (free_name(docs, x) for x in ("_doc", "_known", "_again"))
+    joined = docs.withColumn(d, quoted("doc_id").cast("long")).join(spans.withColumnsRenamed({"doc_id": d, "known": known, "again": again}), d, "left").drop(d)
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunker = Chunker()
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts = batch.column(at).cast(pa.large_binary()).to_pylist()
+            for i, (k, a) in enumerate(zip(batch.column(known).to_pylist(), batch.column(again).to_pylist(), strict=True)):
+                if texts[i] and (k or a):
+                    texts[i] = cut_text(chunker, texts[i], set(k or ()), set(a or ()))
+            cut = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(pa.string())
+            columns_ = [cut if n == at else batch.column(n) for n in range(len(columns))]
+            yield pa.RecordBatch.from_arrays(columns_, schema=pa.schema([batch.schema.field(n).with_type(columns_[n].type) for n in range(len(columns))]))
+
+    out = joined.withColumn("text", quoted("text").cast("string")).mapInArrow(run, docs.withColumn("text", quoted("text").cast("string")).schema)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else out
+
+
+def cut_text(chunker: Chunker, text: bytes, known: set[int], again: set[int]) -> bytes:
+    """The text without runs of copied chunks; runs of under LEAST_CUT bytes, which chance makes, stay."""
+    ends, digests = chunker.chunks(text)
+    seen: set[int] = set()
+    gone: list[list[int]] = []
+    start = 0
+    for end, digest in zip(ends.tolist(), digests.tolist(), strict=True):
+        if digest in known or digest in again and digest in seen:
+            if gone and gone[-1][1] == start:
+                gone[-1][1] = end
+            else:
+                gone.append([start, end])
+        seen.add(digest)
+        start = end
+    parts, start = [], 0
+    for a, b in gone:
+        if b - a >= LEAST_CUT:
+            # ends inside a character move to its end
+            while a < len(text) and text[a] & 0xC0 == 0x80:
+                a += 1
+            while b < len(text) and text[b] & 0xC0 == 0x80:
+                b += 1
+            parts.append(text[start:a])
+            start = b
+    return b"".join([*parts, text[start:]])
 
 
 def repeated_passages(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:

@@ -584,6 +584,66 @@ def test_every_passage_of_51_words_is_found(spark):
     assert all(got[i].n_copied_bytes <= got[i].n_bytes for i in got)
 
 
+def test_copied_spans_by_brute_force(spark):
+    """The same chunks and seeds, joined on plain Python: spans, copied bytes, and the texts without copies."""
+    rng = random.Random(17)
+    passages = [prose(rng, 70), prose(rng, 55), prose(rng, 30) + " é ü ñ " * 30]
+    docs = [(i, " ".join([prose(rng, rng.randrange(5, 80)), *(rng.choice(passages) for _ in range(rng.randrange(0, 3))), prose(rng, rng.randrange(5, 60))]), "a") for i in range(40)]
+    docs += [(50, None, "a"), (51, "", "a"), (52, "tick tock " * 400, "a"), (53, docs[3][1], "a"), (54, docs[3][1] + " and more", "a"), (3, docs[3][1], "a"), (5, passages[0], "a"), (60, "x" * 50_000, "a")]
+    c = chunk_dedup.Chunker()
+    pieces = []
+    for i, t, _ in docs:
+        if t:
+            raw = t.encode()
+            ends, digests = c.chunks(raw)
+            seen = set()
+            for seed, rows in ((False, zip([0, *ends.tolist()], ends.tolist(), digests.tolist(), strict=False)), (True, zip(*[x.tolist() for x in c.seeds(raw)], strict=True))):
+                for a, b, d in rows:
+                    pieces.append((i, a, b, d, (d, seed) in seen, seed))
+                    seen.add((d, seed))
+    holders = {}
+    for i, _, _, d, _, _ in pieces:
+        holders.setdefault(d, set()).add(i)
+    want = {}
+    for i in sorted({p[0] for p in pieces}):
+        mine = sorted({(a, b, min(holders[d]) if len(holders[d]) > 1 else i, again or min(holders[d]) < i, seed) for j, a, b, d, again, seed in pieces if j == i and (len(holders[d]) > 1 or again)})
+        groups = []
+        for p in mine:
+            if groups and p[0] <= max(q[1] for q in groups[-1]):
+                groups[-1].append(p)
+            else:
+                groups.append([p])
+        for g in groups:
+            a, b = g[0][0], max(q[1] for q in g)
+            if b - a >= chunk_dedup.LEAST_BYTES or any(q[4] for q in g):
+                want.setdefault(i, []).append((a, b, len({k for q in g if q[3] for k in range(q[0], q[1])})))
+    got = {r.doc_id: r for r in chunk_dedup.repeated_passages(frame(spark, docs)).collect()}
+    assert {i: (r.spans, r.n_copied_bytes) for i, r in got.items()} == {i: (",".join(f"{a}:{b}" for a, b, _ in s), sum(n for *_, n in s)) for i, s in want.items()}
+    clean = chunk_dedup.without_copies(frame(spark, docs))
+    assert clean.columns == frame(spark, docs).columns
+    left = {}
+    for r in clean.collect():
+        left.setdefault(r.doc_id, []).append(r.text)
+        assert r.n_chars == (len(r.text) if r.text is not None else None)
+    assert left[50] == [None] and left[51] == [""] and len(left[3]) == 2 and len("".join(x for i in range(40) for x in left[i])) < 0.8 * sum(len(t) for i, t, _ in docs if i < 40)
+    # of the chunks of counted spans go, in runs of 64 bytes, those that an earlier document holds, and repeats of those that none does
+    for i, t, _ in docs:
+        if i in want and i not in (3, 5):
+            mine = [(a, b, d) for j, a, b, d, _, seed in pieces if j == i and not seed]
+            counted = {d for a, b, d in mine if any(x <= a and b <= y for x, y, _ in want[i])}
+            flag = [d in counted and (min(holders[d]) < i or d in {e for *_, e in mine[:k]}) for k, (_, _, d) in enumerate(mine)]
+            raw, kept, k = t.encode(), b"", 0
+            while k < len(mine):
+                m = k
+                while m < len(mine) and flag[m] == flag[k]:
+                    m += 1
+                if not flag[k] or mine[m - 1][1] - mine[k][0] < 64:
+                    kept += raw[mine[k][0] : mine[m - 1][1]]
+                k = m
+            assert left[i][0].encode().replace("é".encode(), b"") == kept.decode(errors="ignore").encode().replace("é".encode(), b""), i
+    assert all(len(t) < 60 for t in left[53]) and passages[0] in "".join(x or "" for ts in left.values() for x in ts)
+
+
 def test_seeds_of_a_repeated_word_are_spaced():
     c = chunk_dedup.Chunker()
     for text in (b"tick tock " * 2000, b"word " * 4000):
