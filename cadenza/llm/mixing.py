@@ -8,6 +8,9 @@ permutations: each pass over a source is a fresh hashed permutation of its docum
 up to the source's budget, and the running token count, divided by the source's share of a block, is the block number.
 Every block so holds each source in its weight.
 
+The sources stay distributed: repetition depends on the least and the greatest source alone, entropy is an aggregate over
+the sources at each step, and only such sums reach the driver.
+
 Skew: running counts of a hot source are sums within hashed ranges of the permutation and offsets of those ranges;
 a range is a task's window, and the number of ranges of a source grows with its documents.
 
@@ -19,6 +22,7 @@ a null doc_id is kept; equal rows share a place in the permutation; extra column
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,8 +54,19 @@ def repetitions(tokens: dict[str, int], weights: dict[str, float]) -> dict[str,
     return {s: p / least for s, p in per.items()}
 
 
-def bisect_alpha(tokens: dict[str, int], entropy: float | None = None, limit: float | None = None, steps: int = 60) -> float:
-    """alpha in [0, 1]. Entropy falls and repetition falls as alpha grows."""
+def bisected(too_flat: Callable[[float], bool], steps: int = 50) -> float:
+    """The least alpha in [0, 1] that isn't too flat. Entropy falls and repetition falls as alpha grows."""
+    low, high = 0.0, 1.0
+    if not too_flat(low):
+        return low
+    for _ in range(steps):
+        middle = (low + high) / 2
+        low, high = (middle, high) if too_flat(middle) else (low, middle)
+    return high
+
+
+def bisect_alpha(tokens: dict[str, int], entropy: float | None = None, limit: float | None = None) -> float:
+    """alpha for a few sources on the driver."""
     if len(tokens) < 2:
         return 1.0
 
@@ -61,31 +76,39 @@ def bisect_alpha(tokens: dict[str, int], entropy: float | None = None, limit: fl
             return -math.fsum(x * math.log(x) for x in w.values() if x > 0) > entropy
         return max(repetitions(tokens, w).values()) > limit
 
-    low, high = 0.0, 1.0
-    if not too_flat(low):
-        return low
-    for _ in range(steps):
-        middle = (low + high) / 2
-        low, high = (middle, high) if too_flat(middle) else (low, middle)
-    return high
+    return bisected(too_flat)
+
+
+def alpha_for(counts: DataFrame, total: int, least: int, most: int, entropy: float | None, limit: float) -> float:
+    """alpha for the sources with tokens. At alpha a source of t tokens is repeated (most / t) ** (1 - alpha) times."""
+    if least == most:
+        return 1.0
+    if entropy is None:
+        return bisected(lambda alpha: (most / least) ** (1 - alpha) > limit)
+
+    def too_flat(alpha: float) -> bool:
+        raw = F.pow(F.col("tokens") / F.lit(float(total)), F.lit(alpha))
+        norm, logs = counts.where("tokens > 0").agg(F.sum(raw), F.sum(raw * F.ln(raw))).head()
+        return math.log(norm) - logs / norm > entropy
+
+    return bisected(too_flat, 30)
 
 
 def source_plan(counts: DataFrame, entropy: float | None = None, limit: float = REPETITION_LIMIT) -> DataFrame:
-    """counts(source, tokens, docs) -> (source, tokens, docs, weight, passes, per_block).
-
-    The sources' names and totals come to the driver, which needs them together to bisect: a row a source. Up to
-    BROADCAST_SOURCES of them the plan is broadcast; beyond, it is joined like any table.
-    """
-    rows = counts.collect()
-    sized = F.broadcast if len(rows) <= BROADCAST_SOURCES else (lambda x: x)
-    tokens = {r.mix_source: r.tokens for r in rows if r.tokens}
-    schema = "mix_source string, tokens long, docs long, weight double, passes double, per_block double"
-    spark = counts.sparkSession
-    if not tokens:
-        return sized(spark.createDataFrame([(r.mix_source, 0, r.docs, 0.0, 1.0, 0.0) for r in rows], schema))
-    weights = weights_for(tokens, bisect_alpha(tokens, entropy, limit))
-    passes = repetitions(tokens, weights)
-    return sized(spark.createDataFrame([(r.mix_source, r.tokens, r.docs, weights.get(r.mix_source, 0.0), passes.get(r.mix_source, 1.0), weights.get(r.mix_source, 0.0) * BLOCK_TOKENS) for r in rows], schema))
+    """counts(mix_source, tokens, docs) -> those and weight, passes, per_block. Up to BROADCAST_SOURCES rows are broadcast; beyond, it is joined like any table."""
+    counts = stored(counts)
+    tokens = F.col("tokens").cast("double")
+    some = counts.where("tokens > 0").agg(F.sum("tokens").alias("total"), F.min("tokens").alias("least"), F.max("tokens").alias("most")).head()
+    if some.total is None:
+        weight, passes = F.lit(0.0), F.lit(1.0)
+    else:
+        alpha = alpha_for(counts, some.total, some.least, some.most, entropy, limit)
+        raw = F.pow(tokens / F.lit(float(some.total)), F.lit(alpha))
+        norm = counts.where("tokens > 0").agg(F.sum(raw)).head()[0]
+        weight = F.when(tokens > 0, raw / F.lit(norm)).otherwise(0.0)
+        passes = F.when(tokens > 0, F.pow(F.lit(float(some.most)) / tokens, F.lit(1 - alpha))).otherwise(1.0)
+    plan = counts.withColumns({"weight": weight, "passes": passes}).withColumn("per_block", F.col("weight") * BLOCK_TOKENS)
+    return F.broadcast(plan) if counts.count() <= BROADCAST_SOURCES else plan
 
 
 def order_key(doc: Column, epoch: Column) -> Column:

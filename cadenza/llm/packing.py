@@ -8,7 +8,7 @@ Pieces then find their place by their rank among the pieces of their length. The
 whatever the number of documents.
 
 A length may belong to a third of all pieces: ranks are counted within hashed parts of a length, whose offsets are
-sums of the parts' counts.
+sums of the parts' counts. A length has as many parts as its pieces need, `PART_ROWS` in each.
 
 Defined results: a null text is an empty one and gives just the end id; a null doc_id is kept; repeated rows are
 packed each; ties in rank are broken arbitrarily between equal rows; extra columns are ignored; an empty table gives
@@ -32,7 +32,7 @@ from .shared import ship, stored
 
 ship(__name__)
 
-SEQUENCE, END_ID, PARTS = 4096, 2, 256
+SEQUENCE, END_ID, PART_ROWS = 4096, 2, 8192
 TOKENIZER = "word_bpe_49k.json"
 #: Entries in a worker's memory of encoded pieces and words; beyond it they are encoded anew.
 MEMORY = 200_000
@@ -142,13 +142,15 @@ def placements(histogram: dict[int, int], size: int = SEQUENCE) -> list[tuple[in
 def packed(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = SEQUENCE) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    cut = stored(pieces(docs, tokenizer, size).withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(PARTS)).cast("int")))
-    counts = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
+    cut = stored(pieces(docs, tokenizer, size))
+    histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `size` rows
     lines: dict[int, list] = {}
     for length, rank, count, first, offset in placements(histogram, size):
         lines.setdefault(length, []).append((rank, count, first, offset))
     plan = spark.createDataFrame([(k, v) for k, v in lines.items()], "length long, lines array<struct<rank: long, count: long, first: long, at: long>>")
+    parts = spark.createDataFrame([(k, -(-n // PART_ROWS)) for k, n in histogram.items()], "length long, parts long")
+    cut = cut.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.col("parts"))).drop("parts")
+    counts = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     ranked = cut.withColumn("nth", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")))
     ranked = ranked.join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth") - 1)

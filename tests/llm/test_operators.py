@@ -684,6 +684,18 @@ def test_packing(spark, rows):
     assert packing.packed(frame(spark, [])).count() == 0
 
 
+def test_packing_in_parts(spark, rows, monkeypatch):
+    monkeypatch.setattr(packing, "PART_ROWS", 2)
+    docs = [*rows, *((1000 + i, "same words here", "a") for i in range(30))]
+    got = packing.packed(frame(spark, docs), size=64).collect()
+    filled = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == filled.get(r.sequence_id, 0)
+        filled[r.sequence_id] = r.offset + r.length
+    assert max(filled.values()) <= 64 and set(filled) == set(range(len(filled)))
+    assert {(r.doc_id, r.start, r.length) for r in got} == {(r.doc_id, r.start, r.length) for r in packing.pieces(frame(spark, docs), size=64).collect()}
+
+
 def test_placements_fill_well():
     rng = random.Random(1)
     lengths = Counter(min(4096, int(rng.expovariate(1 / 900)) + 1) for _ in range(20_000))
@@ -708,6 +720,13 @@ def test_mixture(spark):
         assert mine == [(30 * k, 30) for k in range(len(mine))] and len(mine) * 30 - 30 < passes[name] * tokens[name] <= len(mine) * 30 + 1
     flat = mixing.weights_for(tokens, mixing.bisect_alpha(tokens, entropy=1.0))
     assert abs(-sum(w * np.log(w) for w in flat.values()) - 1.0) < 1e-6
+    # the plan over the table of sources is that over a few on the driver, for both targets
+    counts = spark.createDataFrame([(s, n, 1) for s, n in tokens.items()] + [("none", 0, 2)], "mix_source string, tokens long, docs long")
+    for entropy in (None, 1.0):
+        want = mixing.weights_for(tokens, mixing.bisect_alpha(tokens, entropy=entropy, limit=2.0))
+        often = mixing.repetitions(tokens, want)
+        for r in mixing.source_plan(counts, entropy, 2.0).collect():
+            assert abs(r.weight - want.get(r.mix_source, 0)) < 1e-6 and abs(r.passes - often.get(r.mix_source, 1)) < 1e-5
     again = mixing.mixed_documents(frame(spark, docs))
     assert again.columns == frame(spark, docs).columns and {r.doc_id for r in again.collect()} == set(uses)
     assert mixing.mixture(frame(spark, [])).count() == 0
