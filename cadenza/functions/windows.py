@@ -55,5 +55,5 @@ def ratio(top: str, bottom: str) -> str:
 
 
 def rounded(x: str, digits: int = 6) -> str:
-    """Rounding that engines agree on: no decimal ties, no negative zero."""
-    return f"(floor(({x}) * 1e{digits} + 0.5e0) / 1e{digits} + 0e0)"
+    """Rounding that engines agree on: half up, but for a hair, so that noise at a tie rounds alike; no negative zero."""
+    return f"(floor(({x}) * 1e{digits} + 0.5001e0) / 1e{digits} + 0e0)"

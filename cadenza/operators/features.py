@@ -93,15 +93,11 @@ def features(ready: DataFrame, names: tuple[str, ...] = FEATURES) -> DataFrame:
 
 
 def feature_quality(rows: DataFrame, names: tuple[str, ...] = FEATURES) -> DataFrame:
-    """Per feature: finite and missing rows, finite eligible rows, least and greatest."""
-    long = rows.unpivot(["state"], list(names), "name", "x")
-    return long.groupBy("name").agg(
-        F.count("x").alias("finite_rows"),
-        F.count_if(F.col("x").isNull()).alias("nan_rows"),
-        F.count_if(F.col("x").isNotNull() & (F.col("state") == 1)).alias("eligible_finite_rows"),
-        F.min("x").cast("double").alias("minimum"),
-        F.max("x").cast("double").alias("maximum"),
-    )
+    """Per feature: finite and missing rows, finite eligible rows, least and greatest. One wide aggregate; its one row is unpivoted."""
+    figures = {"finite_rows": F.count, "eligible_finite_rows": lambda n: F.count(F.when(F.col("state") == 1, F.col(n))), "minimum": lambda n: F.min(n).cast("double"), "maximum": lambda n: F.max(n).cast("double")}
+    one = rows.agg(F.count(F.lit(1)).alias("rows"), *[F.struct(*[of(n).alias(k) for k, of in figures.items()]).alias(n) for n in names])
+    each = one.select("rows", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("f")) for n in names])).alias("e"))
+    return each.select("e.name", "e.f.finite_rows", (F.col("rows") - F.col("e.f.finite_rows")).alias("nan_rows"), "e.f.eligible_finite_rows", "e.f.minimum", "e.f.maximum")
 
 
 __all__ = ["AVERAGES", "FEATURES", "catalogue", "feature_quality", "features", "market_features", "position", "prepared", "quote_index"]

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import json
-import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 class HoldoutError(RuntimeError):
@@ -13,29 +12,38 @@ class HoldoutError(RuntimeError):
 
 
 class Registry:
-    """A folder on the driver; `open('x')` makes each step happen once."""
+    """A folder that Spark's file systems reach; creating a file that is there already fails, so each step happens once."""
 
-    def __init__(self, folder: str):
-        self.folder = folder
-        os.makedirs(folder, exist_ok=True)
+    def __init__(self, spark: SparkSession, folder: str):
+        self.folder = folder.rstrip("/")
+        self.path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self.files = self.path_of(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.files.mkdirs(self.path_of(self.folder))
+
+    def _there(self, name: str) -> bool:
+        return self.files.exists(self.path_of(f"{self.folder}/{name}"))
 
     def _once(self, name: str, value: dict) -> None:
+        text = json.dumps(value, sort_keys=True, allow_nan=False)
         try:
-            with open(os.path.join(self.folder, name), "x", encoding="utf-8") as out:
-                json.dump(value, out, sort_keys=True, allow_nan=False)
-        except FileExistsError as e:
+            out = self.files.create(self.path_of(f"{self.folder}/{name}"), False)
+        except Exception as e:
             raise HoldoutError(f"{name} is there already") from e
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
 
     def reserve(self, plan: str) -> None:
         self._once(f"{plan}.reserved", {"plan": plan})
 
     def expose(self, plan: str, predictions_digest: str) -> None:
-        if not os.path.exists(os.path.join(self.folder, f"{plan}.reserved")):
+        if not self._there(f"{plan}.reserved"):
             raise HoldoutError(f"{plan} is not reserved")
         self._once(f"{plan}.exposed", {"plan": plan, "predictions": predictions_digest})
 
     def finish(self, plan: str, result: dict) -> None:
-        if not os.path.exists(os.path.join(self.folder, f"{plan}.exposed")):
+        if not self._there(f"{plan}.exposed"):
             raise HoldoutError(f"{plan} is not exposed")
         self._once(f"{plan}.finished", result)
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..functions.ranks import quantiles, running
 
 
 def regression_aggregates(p: str = "p", y: str = "y") -> list[Column]:
@@ -32,9 +33,9 @@ def day_equal(rows: DataFrame, *by: str) -> DataFrame:
     return days.groupBy(*by).agg(F.sqrt(F.avg("mse")).alias("rmse"), F.avg("mae").alias("mae"), F.count(F.lit(1)).alias("score_days"))
 
 
-def volatility_boundaries(train: DataFrame, column: str) -> DataFrame:
-    """The distinct quartiles of what is there, of training rows alone: one row."""
-    return train.agg(F.array_distinct(F.percentile(F.col(column).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).alias("boundaries"))
+def volatility_boundaries(train: DataFrame, column: str, *by: str) -> DataFrame:
+    """The distinct quartiles of what is there, of training rows alone: a row a group."""
+    return quantiles(train.select(*by, F.col(column).cast("double").alias("_x")), list(by), "_x", [0.25, 0.5, 0.75]).select(*by, F.array_distinct("q").alias("boundaries"))
 
 
 def volatility_group(value: Column, boundaries: Column) -> Column:
@@ -49,7 +50,9 @@ def binary_aggregates(label: str = "label", p: str = "p", threshold: float = 0.5
 
 
 def clipped(p: str) -> Column:
-    return F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), F.col(p)))
+    """Away from 0 and 1 for logarithms. What is no probability is an error."""
+    x = F.col(p)
+    return F.when((x >= 0) & (x <= 1), F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), x))).when(x.isNotNull(), F.raise_error(F.lit("not a probability")))
 
 
 def binary_rates(counts: DataFrame) -> DataFrame:
@@ -66,11 +69,10 @@ def binary_scores(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def roc_auc(rows: DataFrame, by: str) -> DataFrame:
-    """Area under the curve by average ranks of ties; NULL for one class. Ranks run over distinct scores, not rows."""
+    """Area under the curve by average ranks of ties; NULL for one class. Ranks are running counts over distinct scores, range by range."""
     each = rows.groupBy(by, "p").agg(F.count(F.lit(1)).alias("c"), F.sum("label").alias("pos"))
-    order = Window.partitionBy(by).orderBy("p")
-    ranked = each.withColumn("start", F.sum("c").over(order) - F.col("c"))
-    sums = ranked.groupBy(by).agg(F.sum(F.col("pos") * (2 * F.col("start") + F.col("c") + 1)).alias("twice"), F.sum("pos").alias("positives"), F.sum("c").alias("n"))
+    ranked = running(each, [by], "p", ["c"])
+    sums = ranked.groupBy(by).agg(F.sum(F.col("pos") * (2 * F.col("before_c") + F.col("c") + 1)).alias("twice"), F.sum("pos").alias("positives"), F.sum("c").alias("n"))
     other = F.col("n") - F.col("positives")
     return sums.select(by, "n", "positives", F.when((F.col("positives") > 0) & (other > 0), (F.col("twice") / 2 - F.col("positives") * (F.col("positives") + 1) / 2) / (F.col("positives") * other)).alias("auc"))
 

@@ -1,37 +1,78 @@
 """Boosted trees per fold, by Spark ML: patience is replayed on the validation curve, then the best prefix is refitted.
 
+Rounds grow by doubling from twice the patience until the curve has gone a whole patience without a better round, or the
+cap is reached; the first trees of a longer fit are those of a shorter one, so the result is that of one fit up to the cap.
 Missing features get a value below any observed one and an indicator column, as trees here take no NaN.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import math
+from dataclasses import dataclass, fields
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MISSING = -1e6
 
 
+class ModelError(ValueError):
+    """Rows that no model may see, or a model that isn't what was saved."""
+
+
 @dataclass(frozen=True)
 class Settings:
-    rounds: int = 10
-    patience: int = 3
+    """The cap and the patience are the reference configuration's; queries state smaller ones."""
+
+    rounds: int = 10_000
+    patience: int = 200
     depth: int = 3
     bins: int = 32
     learning_rate: float = 0.1
     least_rows: int = 20
     subsample: float = 1.0
     seed: int = 7
-    extra: dict = field(default_factory=dict)
 
     def __post_init__(self):
-        if min(self.rounds, self.patience, self.depth, self.bins, self.least_rows) < 1 or not 0 < self.learning_rate <= 1:
-            raise ValueError("counts are at least 1 and the learning rate in (0, 1]")
+        if min(self.rounds, self.patience, self.depth, self.bins, self.least_rows) < 1 or not 0 < self.learning_rate <= 1 or not 0 < self.subsample <= 1:
+            raise ValueError("counts are at least 1, the learning rate and the sample in (0, 1]")
+
+    @classmethod
+    def from_mapping(cls, given: dict) -> Settings:
+        """Exactly the known fields, with values of their types."""
+        kinds = {f.name: f.type for f in fields(cls)}
+        if set(given) != set(kinds):
+            raise ValueError(f"settings differ in {sorted(set(given) ^ set(kinds))}")
+        for name, kind in kinds.items():
+            ok = isinstance(given[name], int) if kind == "int" else isinstance(given[name], int | float)
+            if not ok or isinstance(given[name], bool):
+                raise ValueError(f"{name} is no {kind}")
+        return cls(**given)
+
+
+def matrix_faults(rows: DataFrame, names: list[str], label: str | None = "label") -> DataFrame:
+    """One row: infinite features, and labels that are missing or not finite. All zero for rows that may be fitted."""
+    bad = F.lit(0)
+    for n in names:
+        bad = bad + F.coalesce(F.abs(F.col(n).cast("double")) == float("inf"), F.lit(False)).cast("int") + F.coalesce(F.isnan(F.col(n).cast("double")), F.lit(False)).cast("int")
+    out = [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(bad), F.lit(0)).cast("long").alias("infinite_features")]
+    if label:
+        y = F.col(label).cast("double")
+        out.append(F.count_if(y.isNull() | F.isnan(y) | (F.abs(y) == float("inf"))).alias("bad_labels"))
+    return rows.agg(*out)
+
+
+def check_matrix(rows: DataFrame, names: list[str], label: str | None = "label") -> None:
+    missing = [n for n in names if n not in rows.columns]
+    if missing:
+        raise ModelError(f"features are missing: {missing}")
+    found = matrix_faults(rows, names, label).head().asDict()
+    if not found["rows"] or found["infinite_features"] or found.get("bad_labels"):
+        raise ModelError(f"rows can't be used: {found}")
 
 
 def assembled(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -56,19 +97,30 @@ def _estimator(kind: str, s: Settings, rounds: int):
     return make(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=s.depth, maxBins=s.bins, stepSize=s.learning_rate, minInstancesPerNode=s.least_rows, subsamplingRate=s.subsample, seed=s.seed)
 
 
+def curve_of(model, held: DataFrame, kind: str) -> list[float]:
+    return model.evaluateEachIteration(held, *(() if kind == "binary" else ("squared",)))
+
+
 def fit(train: DataFrame, valid: DataFrame | None, names: list[str], kind: str = "regression", settings: Settings = Settings()):
     """A model and its rounds; without validation rows, of the settings' rounds."""
+    check_matrix(train, names)
     ready = assembled(train, names).select("features", "label").persist()
+    held = assembled(valid, names).select("features", "label").persist() if valid is not None else None
     try:
-        model = _estimator(kind, settings, settings.rounds).fit(ready)
-        if valid is None:
-            return model, settings.rounds
-        held = assembled(valid, names).select("features", "label")
-        loss = () if kind == "binary" else ("squared",)
-        rounds = replay_patience(model.evaluateEachIteration(held, *loss), settings.patience)
-        return (model if rounds == settings.rounds else _estimator(kind, settings, rounds).fit(ready)), rounds
+        if held is None:
+            return _estimator(kind, settings, settings.rounds).fit(ready), settings.rounds
+        upto = min(settings.rounds, 2 * settings.patience)
+        while True:
+            model = _estimator(kind, settings, upto).fit(ready)
+            best = replay_patience(curve_of(model, held, kind), settings.patience)
+            if best + settings.patience <= upto or upto == settings.rounds:
+                break
+            upto = min(settings.rounds, 2 * upto)
+        return (model if best == upto else _estimator(kind, settings, best).fit(ready)), best
     finally:
         ready.unpersist()
+        if held is not None:
+            held.unpersist()
 
 
 def predict(model, rows: DataFrame, names: list[str], kind: str = "regression") -> DataFrame:
@@ -77,7 +129,38 @@ def predict(model, rows: DataFrame, names: list[str], kind: str = "regression")
     return out.withColumn("p", p).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def feature_usage(model, names: list[str]) -> list[tuple[str, float]]:
-    """Share of the gain by feature, its missing indicator included."""
+def feature_usage(model, names: list[str]) -> list[tuple[str, float, int]]:
+    """Share of the gain and number of splits by feature, its missing indicator included."""
     gains = model.featureImportances.toArray()
-    return [(n, float(gains[i] + gains[i + len(names)])) for i, n in enumerate(names)]
+    splits = [0] * (2 * len(names))
+    for tree in model.trees:
+        for line in tree.toDebugString.splitlines():
+            if line.lstrip().startswith("If (feature "):
+                splits[int(line.split("feature ", 1)[1].split()[0])] += 1
+    return [(n, float(gains[i] + gains[i + len(names)]), splits[i] + splits[i + len(names)]) for i, n in enumerate(names)]
+
+
+def check_reload(model, path: str, rows: DataFrame, names: list[str], kind: str = "regression", tolerance: float = 1e-12):
+    """Save, read again, and compare the predictions of the rows; returns the model that was read."""
+    model.write().overwrite().save(path)
+    again = (GBTClassificationModel if kind == "binary" else GBTRegressionModel).load(path)
+    one = predict(model, rows, names, kind).select("row_id", F.col("p").alias("a"))
+    two = predict(again, rows, names, kind).select("row_id", F.col("p").alias("b"))
+    worst = one.join(two, "row_id").agg(F.max(F.abs(F.col("a") - F.col("b"))).alias("d"), F.count(F.lit(1)).alias("n")).head()
+    if not worst.n or worst.d > tolerance:
+        raise ModelError(f"the saved model predicts otherwise, by {worst.d} over {worst.n} rows")
+    return again
+
+
+def check_native_metric(model, scored: DataFrame, names: list[str], kind: str = "regression", tolerance: float = 1e-9) -> float:
+    """The library's loss of the last round against one computed from the predictions."""
+    native = curve_of(model, assembled(scored, names).select("features", "label"), kind)[-1]
+    rows = predict(model, scored, names, kind)
+    if kind == "binary":
+        # the library's loss is 2 log(1 + exp(-2 y m)) with y in {-1, 1}, and p = 1 / (1 + exp(-2 m))
+        own = 2 * rows.agg(F.avg(-F.when(F.col("label") == 1, F.ln("p")).otherwise(F.log1p(-F.col("p"))))).head()[0]
+    else:
+        own = rows.agg(F.avg((F.col("p") - F.col("label")) ** 2)).head()[0]
+    if not math.isclose(native, own, rel_tol=tolerance, abs_tol=tolerance):
+        raise ModelError(f"the library says {native}, the predictions {own}")
+    return own

@@ -1,4 +1,4 @@
-"""Chart rules, three-valued: unknown, known and not hit, hit. All rules are evaluated in one pass over the panel."""
+"""Chart rules, three-valued: unknown, known and not hit, hit. All rules are evaluated in one pass over the panel, as bits."""
 
 from __future__ import annotations
 
@@ -6,38 +6,61 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.ranks import quantiles
 
 FAMILIES = {"platform": "P", "bottom_volume": "B", "ascending_channel": "C"}
 VIEWS = ("all_qualifying_days", "first_after_5_clear_days")
 CLEAR_DAYS = 5
 
 
-def rule_grid(config: dict) -> list[dict]:
-    """Every combination of each family's parameters, numbered within the family."""
+#: Of each family the parameters that span its grid, in the order of their numbering, with the name that a rule has for each.
+GRID = {
+    "platform": (("windows", "window"), ("maximum_widths", "width"), ("breakout_minimums", "breakout"), ("volume_minimums", "volume")),
+    "bottom_volume": (("windows", "window"), ("minimum_drawdowns", "drawdown"), ("maximum_low_distances", "low_distance"), ("volume_minimums", "volume"), ("rising_today", "rising")),
+    "ascending_channel": (("windows", "window"), ("minimum_gains", "gain"), ("maximum_widths", "width"), ("positions", "position")),
+}
+#: What all rules of a family share.
+SHARED = {"ascending_channel": (("minimum_r_squared", "r_squared"), ("sigma_zero_tolerance", "sigma_zero"))}
+#: The rule of each family that stands for it in reports.
+CANONICAL = {"platform": (20, 0.10, 0.0, 1.5), "bottom_volume": (120, 0.20, 0.08, 2.0, True), "ascending_channel": (60, 0.10, 0.20, "all")}
+
+
+def rule_grid(config: dict, canonical: dict[str, tuple] = CANONICAL) -> list[dict]:
+    """Every combination of each family's parameters, numbered within the family; one of them may be canonical."""
     out: list[dict] = []
-    p = config["platform"]
-    for n, (w, width, breakout, volume) in enumerate(product(p["windows"], p["maximum_widths"], p["breakout_minimums"], p["volume_minimums"]), 1):
-        out.append({"rule_id": f"P{n:03}", "family": "platform", "window": w, "width": width, "breakout": breakout, "volume": volume})
-    b = config["bottom_volume"]
-    for n, (w, drawdown, low, volume, rising) in enumerate(product(b["windows"], b["minimum_drawdowns"], b["maximum_low_distances"], b["volume_minimums"], b["rising_today"]), 1):
-        out.append({"rule_id": f"B{n:03}", "family": "bottom_volume", "window": w, "drawdown": drawdown, "low_distance": low, "volume": volume, "rising": rising})
-    c = config["ascending_channel"]
-    for n, (w, gain, width, position) in enumerate(product(c["windows"], c["minimum_gains"], c["maximum_widths"], c["positions"]), 1):
-        out.append({"rule_id": f"C{n:03}", "family": "ascending_channel", "window": w, "gain": gain, "width": width, "position": position, "r_squared": c["minimum_r_squared"], "sigma_zero": c["sigma_zero_tolerance"]})
+    for family, spans in GRID.items():
+        given = config[family]
+        fixed = {name: given[key] for key, name in SHARED.get(family, ())}
+        for number, values in enumerate(product(*[given[key] for key, _ in spans]), 1):
+            out.append({"rule_id": f"{FAMILIES[family]}{number:03}", "family": family, "canonical": values == canonical.get(family), **{name: v for (_, name), v in zip(spans, values, strict=True)}, **fixed})
     return out
 
 
-RULE_SCHEMA = "rule_id string, family string, window int, width double, breakout double, volume double, drawdown double, low_distance double, rising boolean, gain double, position string, r_squared double, sigma_zero double"
+def rule_text(rule: dict) -> str:
+    """What a rule says, with shares in percent."""
+    w, share = rule["window"], lambda x: f"{100 * x:g} %"
+    volume = "any volume" if rule.get("volume") is None else f"volume at least {rule['volume']:g} times its mean"
+    if rule["family"] == "platform":
+        return f"the last {w} days are at most {share(rule['width'])} wide and drift at most {share(rule['width'] / 2)}; today breaks out by more than {share(rule['breakout'])}; {volume}"
+    if rule["family"] == "bottom_volume":
+        return f"yesterday at least {share(rule['drawdown'])} below the high and at most {share(rule['low_distance'])} above the low of {w} days; {volume}{'; today rises' if rule['rising'] else ''}"
+    part = {"all": "inside", "lower": "in the lower half of", "upper": "in the upper half of"}[rule["position"]]
+    return f"a fit of {w} days gains at least {share(rule['gain'])} with R2 of at least {rule['r_squared']:g} and is at most {share(rule['width'])} wide; today is {part} the channel"
+
+
+RULE_SCHEMA = "rule_id string, family string, canonical boolean, window int, width double, breakout double, volume double, drawdown double, low_distance double, rising boolean, gain double, position string, r_squared double, sigma_zero double"
 
 
 def rule_frame(spark: SparkSession, rules: list[dict]) -> DataFrame:
     names = [c.split()[0] for c in RULE_SCHEMA.split(", ")]
-    number = lambda r, n: float(r[n]) if n not in ("rule_id", "family", "window", "position", "rising") and r.get(n) is not None else r.get(n)
+    number = lambda r, n: float(r[n]) if n not in ("rule_id", "family", "canonical", "window", "position", "rising") and r.get(n) is not None else r.get(n)
     return spark.createDataFrame([tuple(number(r, n) for n in names) for r in rules], RULE_SCHEMA)
 
 
-def known_and_hit(rule: dict) -> tuple[str, str]:
-    """Two expressions over indicator columns, `volume_ratio_20`, `r` and `state`; neither is NULL after coalescing."""
+def conditions(rule: dict) -> tuple[list[str], list[str]]:
+    """What must be there for the rule to be known, and what must hold for a hit: expressions over indicators, `volume_ratio_20`, `r` and `state`."""
     w, have = rule["window"], ["state = 1"]
     if rule["family"] == "platform":
         have += [f"prior_width_{w} IS NOT NULL", f"prior_drift_{w} IS NOT NULL", f"breakout_{w} IS NOT NULL"]
@@ -54,35 +77,72 @@ def known_and_hit(rule: dict) -> tuple[str, str]:
         hit += {"lower": [f"{u} < 0"], "upper": [f"{u} >= 0"]}.get(rule["position"], [])
     if rule.get("volume") is not None:
         have, hit = [*have, "volume_ratio_20 IS NOT NULL", "volume_history_complete = 1"], [*hit, f"volume_ratio_20 >= {rule['volume']}e0"]
-    known = f"coalesce({' AND '.join(have)}, false)"
-    return known, f"coalesce({' AND '.join(have + hit)}, false)"
-
-
-def evaluated(panel: DataFrame, rules: list[dict], *keep: str) -> DataFrame:
-    """A row a rule and panel row: rule_id, family, known, hit. A generator, not a join: the rules are expressions."""
-    each = F.array(*[F.struct(F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["family"]).alias("family"), F.expr(known_and_hit(r)[0]).alias("known"), F.expr(known_and_hit(r)[1]).alias("hit")) for r in rules])
-    return panel.select("stock_id", "cal_idx", *keep, F.explode(each).alias("e")).select("stock_id", "cal_idx", *keep, "e.*")
-
-
-TRIGGER_BY = "PARTITION BY rule_id, stock_id ORDER BY cal_idx"
-
-
-def first_trigger_expressions(days: int = CLEAR_DAYS) -> dict[str, str]:
-    """Known now and on each of the days before, without a gap in the calendar and without a hit."""
-    over = f"OVER ({TRIGGER_BY} ROWS BETWEEN {days} PRECEDING AND 1 PRECEDING)"
-    clear = f"count(*) {over} = {days} AND cal_idx - lag(cal_idx, {days}) OVER ({TRIGGER_BY}) = {days}"
-    known = f"coalesce(known AND {clear} AND min(CASE WHEN known THEN 1 ELSE 0 END) {over} = 1, false)"
-    return {"first_known": known, "first_hit": f"coalesce({known} AND hit AND max(CASE WHEN hit THEN 1 ELSE 0 END) {over} = 0, false)"}
-
-
-def with_first_trigger(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({n: F.expr(e) for n, e in first_trigger_expressions().items()})
+    return have, hit
+
+
+#: Rules in a 64-bit word.
+WORD = 62
+
+
+def packed(panel: DataFrame, rules: list[dict], *keep: str) -> DataFrame:
+    """A row a panel row: for all rules at once, bit by bit, `known` and `hit`, and `first_known` and `first_hit` after clear days.
+
+    Conditions that rules share are evaluated once; one that fails takes away the rules that need it. The only exchange is
+    that of the panel by entity, whatever the number of rules.
+    """
+    words = -(-len(rules) // WORD)
+    needs: tuple[dict[str, list[int]], dict[str, list[int]]] = ({}, {})
+    for i, rule in enumerate(rules):
+        for side, some in zip(needs, conditions(rule), strict=True):
+            for c in some:
+                side.setdefault(c, [0] * words)[i // WORD] |= 1 << (i % WORD)
+    names = {c: f"_c{i}" for i, c in enumerate(dict.fromkeys([*needs[0], *needs[1]]))}
+    rows = panel.withColumns({n: F.coalesce(F.expr(c), F.lit(False)) for c, n in names.items()})
+
+    def lost(side: dict[str, list[int]], word: int) -> Column:
+        out = F.lit(0).cast("long")
+        for c, masks in side.items():
+            if masks[word]:
+                out = out.bitwiseOR(F.when(F.col(names[c]), F.lit(0).cast("long")).otherwise(F.lit(masks[word]).cast("long")))
+        return out
+
+    full = [sum(1 << (i % WORD) for i in range(len(rules)) if i // WORD == w) for w in range(words)]
+    rows = rows.withColumns({f"_k{w}": F.lit(full[w]).cast("long").bitwiseAND(F.bitwise_not(lost(needs[0], w))) for w in range(words)})
+    rows = rows.withColumns({f"_h{w}": F.col(f"_k{w}").bitwiseAND(F.bitwise_not(lost(needs[1], w))) for w in range(words)})
+    order = Window.partitionBy("stock_id").orderBy("cal_idx")
+    before = order.rowsBetween(-CLEAR_DAYS, -1)
+    # without a gap in the calendar
+    clear = (F.count(F.lit(1)).over(before) == CLEAR_DAYS) & (F.col("cal_idx") - F.lag("cal_idx", CLEAR_DAYS).over(order) == CLEAR_DAYS)
+    rows = rows.withColumn("_clear", F.coalesce(clear, F.lit(False)))
+    rows = rows.withColumns({f"_fk{w}": F.when(F.col("_clear"), F.col(f"_k{w}").bitwiseAND(F.bit_and(f"_k{w}").over(before))).otherwise(F.lit(0).cast("long")) for w in range(words)} | {f"_no{w}": F.bitwise_not(F.coalesce(F.bit_or(f"_h{w}").over(before), F.lit(0).cast("long"))) for w in range(words)})
+    some = lambda prefix: F.array(*[F.col(f"{prefix}{w}") for w in range(words)])
+    first = F.array(*[F.col(f"_fk{w}").bitwiseAND(F.col(f"_h{w}")).bitwiseAND(F.col(f"_no{w}")) for w in range(words)])
+    return rows.select("stock_id", "cal_idx", *keep, some("_k").alias("known"), some("_h").alias("hit"), some("_fk").alias("first_known"), first.alias("first_hit"))
+
+
+def unpacked(bits: DataFrame, rules: list[dict], only: str = "known") -> DataFrame:
+    """A row for each panel row and rule whose bit of `only` is set: rule_id, family, known, hit, first_known, first_hit."""
+    each = F.array(*[F.struct(F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["family"]).alias("family"), F.lit(i // WORD).alias("word"), F.lit(1 << (i % WORD)).cast("long").alias("mask")) for i, r in enumerate(rules)])
+    names = ("known", "hit", "first_known", "first_hit")
+    keep = [c for c in bits.columns if c not in names]
+    some = bits.where(F.exists(only, lambda w: w != 0)).withColumn("_r", F.explode(F.filter(each, lambda r: F.get(only, r["word"]).bitwiseAND(r["mask"]) != 0)))
+    return some.select(*keep, "_r.rule_id", "_r.family", *[(F.get(F.col(n), F.col("_r.word")).bitwiseAND(F.col("_r.mask")) != 0).alias(n) for n in names])
+
+
+def coverage(bits: DataFrame, rules: list[dict]) -> DataFrame:
+    """Per rule: eligible, known and hit rows of the grid, signals without an outcome. Rules that are never known are there."""
+    n = F.count_if
+    counted = unpacked(bits, rules).groupBy("rule_id").agg(n("known").alias("known"), n("hit").alias("signals"), n("first_hit").alias("first_signals"), n(F.col("hit") & F.col("y").isNull()).alias("unscorable_signals"))
+    eligible = bits.agg(n(F.col("state") == 1).alias("eligible"))
+    every = rule_frame(bits.sparkSession, rules).select("rule_id", "family").join(F.broadcast(eligible))  # one row
+    return every.join(counted, "rule_id", "left").na.fill(0)
 
 
-def coverage(rows: DataFrame) -> DataFrame:
-    """Per rule: eligible, known and hit rows of the grid, signals without an outcome."""
-    n = F.count_if
-    return rows.groupBy("rule_id", "family").agg(n(F.col("state") == 1).alias("eligible"), n("known").alias("known"), n("hit").alias("signals"), n("first_hit").alias("first_signals"), n(F.col("hit") & F.col("y").isNull()).alias("unscorable_signals"))
+def fold_statistics(rows: DataFrame, rules: list[dict], views: DataFrame, folds: DataFrame, events: tuple[str, ...]) -> DataFrame:
+    """rows(rule_id, view, fold, day, events) -> a row for every rule, view and fold, those without signals as zeros."""
+    counted = rows.groupBy("rule_id", "view", "fold").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("day").alias("dates"), *[F.count_if(F.col(e)).alias(e) for e in events])
+    every = rule_frame(rows.sparkSession, rules).select("rule_id").join(F.broadcast(views)).join(F.broadcast(folds))  # rules, two views and the folds
+    return every.join(counted, ["rule_id", "view", "fold"], "left").na.fill(0)
 
 
 def signal_statistics(rows: DataFrame, view: Column, events: tuple[str, ...]) -> DataFrame:
@@ -90,5 +150,6 @@ def signal_statistics(rows: DataFrame, view: Column, events: tuple[str, ...]) ->
     chosen = rows.where(view)
     by_day = chosen.groupBy("rule_id", "phase", "day").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(e)).alias(e) for e in events])
     days = by_day.groupBy("rule_id", "phase").agg(F.count(F.lit(1)).alias("dates"), (F.max("n") / F.sum("n")).alias("max_day_share"), *[F.avg(F.col(e) / F.col("n")).alias(f"daily_{e}") for e in events])
-    whole = chosen.groupBy("rule_id", "phase").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entity").alias("stocks"), F.avg("y").alias("mean_y"), F.percentile("y", F.lit(0.5)).alias("median_y"), *[F.count_if(F.col(e)).alias(e) for e in events])
-    return whole.join(days, ["rule_id", "phase"])
+    whole = chosen.groupBy("rule_id", "phase").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entity").alias("stocks"), F.avg("y").alias("mean_y"), *[F.count_if(F.col(e)).alias(e) for e in events])
+    middle = quantiles(chosen, ["rule_id", "phase"], "y", [0.5]).select("rule_id", "phase", F.col("q")[0].alias("median_y"))
+    return whole.join(days, ["rule_id", "phase"]).join(middle, ["rule_id", "phase"])

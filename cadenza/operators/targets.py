@@ -36,13 +36,17 @@ def samples(panel: DataFrame, entities: DataFrame) -> DataFrame:
     return rows.join(starts, "stock_id").withColumn("row_id", F.col("before") + F.col("nth") - 1).withColumn("prediction_eligible", F.col("state") == 1).drop("before", "nth")
 
 
-def sample_coverage(rows: DataFrame) -> DataFrame:
-    """Counters per entity over its listed rows."""
+def sample_coverage(rows: DataFrame, features: tuple[str, ...] = ()) -> DataFrame:
+    """Counters per entity over its listed rows; with features, the rows that lack any of them."""
     n = F.count_if
+    some = F.lit(False)
+    for x in features:
+        some = some | F.col(x).isNull()
+    lacking = [n(some).alias("rows_with_nan_features")] if features else []
     ok, status = F.col("prediction_eligible"), F.col("target_status")
     return rows.groupBy("stock_id").agg(
         F.count(F.lit(1)).alias("grid_rows"), n(ok).alias("prediction_eligible"), n(~ok).alias("information_day_paused"),
         n(status == 1).alias("target_observed"), n(status == 2).alias("target_suspended"), n(status == 3).alias("target_calendar_unknown"),
         n(ok & (status == 1)).alias("supervised_candidates"), n(ok & (status == 2)).alias("eligible_target_suspended"),
-        n(ok & (status == 3)).alias("eligible_target_calendar_unknown"), n((status == 1) & (F.col("y") == 0)).alias("observed_zero_labels"),
+        n(ok & (status == 3)).alias("eligible_target_calendar_unknown"), n((status == 1) & (F.col("y") == 0)).alias("observed_zero_labels"), *lacking,
     )

@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import rounded
 from ..operators import audit as au
-from ..operators import features as ft
 from ..operators import metrics as mt
 from ..operators import splits as sp
-from ..operators import targets as tg
-from ..sources import trade_panel as src
-from .panel_queries import ready
+from ..sources import prepared as prep
+from .reference_sql import rounded as round_sql
 from .reference_sql import with_ctes
 from .split_queries import SPLIT_CTES, plan
 
@@ -22,9 +20,7 @@ VOLATILITY = "return_std_20"
 
 
 def role_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = ft.catalogue()
-    wide = ready(spark, sf_dir).withColumns({VOLATILITY: F.expr(f"CAST({table[VOLATILITY][1]} AS FLOAT)"), "trend": F.expr(table["quote_index_ma_change_20_5"][1])})
-    rows = sp.roles(tg.samples(wide, src.entities(spark, sf_dir)), plan(spark, sf_dir))
+    rows = sp.roles(prep.samples(spark, sf_dir).withColumn("trend", F.col("quote_index_ma_change_20_5")), plan(spark, sf_dir))
     return rows.withColumnRenamed("target_idx", "day").withColumns({"p": F.expr(REGRESSION), "q_up": F.expr(PROBABILITY), "label": F.expr("CASE WHEN y > 0 THEN 1 ELSE 0 END")})
 
 
@@ -47,7 +43,7 @@ def shown(df: DataFrame, keys: tuple[str, ...], names: tuple[str, ...]) -> DataF
 def grouped(spark: SparkSession, sf_dir: str, score) -> DataFrame:
     """By volatility group of each fold's training rows, and by whether the trend is there."""
     rows = role_rows(spark, sf_dir).where("fold <> 'holdout'")
-    bounds = rows.where("role = 'train'").groupBy("fold").agg(F.array_distinct(F.percentile(F.col(VOLATILITY).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).alias("bounds"))
+    bounds = mt.volatility_boundaries(rows.where("role = 'train'"), VOLATILITY, "fold").withColumnRenamed("boundaries", "bounds")
     with_group = rows.where("role = 'score'").join(F.broadcast(bounds), "fold")
     parts = F.array(F.struct(F.lit("training_volatility").alias("grouping"), mt.volatility_group(F.col(VOLATILITY).cast("double"), F.col("bounds")).alias("group")), F.struct(F.lit("trend_availability").alias("grouping"), F.when(F.col("trend").isNull(), "missing").otherwise("complete").alias("group")), F.struct(F.lit("industry").alias("grouping"), F.lit("unknown").alias("group")))
     return score(with_group.withColumn("g", F.explode(parts)).select("*", "g.grouping", "g.group"))
@@ -70,20 +66,20 @@ def vol_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def periods_year_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows after a positive 20-week mean: by year, and by year and quarter."""
-    rows = tg.with_targets(ready(spark, sf_dir)).withColumns({"m": F.expr(ft.catalogue()["return_mean_20"][1]), "next_day": F.expr("lead(d) OVER (PARTITION BY stock_id ORDER BY cal_idx)")}).where("state = 1 AND y IS NOT NULL AND m > 0")
+    days = prep.calendar(spark, sf_dir).select(F.col("cal_idx").alias("target_idx"), F.col("d").alias("next_day"))
+    rows = triggered(spark, sf_dir).where("hit").join(F.broadcast(days), "target_idx")
     rows = rows.select(F.year("next_day").alias("year"), F.quarter("next_day").alias("quarter"), "y")
     return rows.groupingSets([["year"], ["year", "quarter"]], "year", "quarter").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") > 0).alias("up"), F.expr(f"{rounded('avg(y)')} AS mean_y"))
 
 
 def triggered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tg.with_targets(ready(spark, sf_dir)).withColumn("m", F.expr(ft.catalogue()["return_mean_20"][1]))
-    return rows.where("state = 1 AND y IS NOT NULL").withColumn("hit", F.col("m") > 0)
+    return prep.samples(spark, sf_dir).where("state = 1 AND y IS NOT NULL").withColumn("hit", F.col("return_mean_20") > 0)
 
 
 def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every calendar day with its triggers, none as zero."""
     counted = triggered(spark, sf_dir).where("hit").groupBy("target_idx").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") > 0).alias("up"))
-    return src.calendar(spark, sf_dir).select(F.col("cal_idx").alias("target_idx")).join(counted, "target_idx", "left").na.fill(0)
+    return prep.calendar(spark, sf_dir).select(F.col("cal_idx").alias("target_idx")).join(counted, "target_idx", "left").na.fill(0)
 
 
 def sensitivity_largest_day(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +101,7 @@ AUDIT_COLUMNS = {
 
 def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traded rows as an audit sees them. The label's reference is the close before, or a cent more, by rule; its percentage is exact."""
-    grid = src.panel(spark, sf_dir).join(src.entities(spark, sf_dir).select("stock_id", "number"), "stock_id").withColumns({"fault": F.expr(FAULT), "resumed": F.expr("coalesce(lag(state) OVER (PARTITION BY stock_id ORDER BY cal_idx) = 0, false)")})
+    grid = prep.panel(spark, sf_dir).join(prep.entities(spark, sf_dir).select("stock_id", "number"), "stock_id").withColumns({"fault": F.expr(FAULT), "resumed": F.expr("coalesce(lag(state) OVER (PARTITION BY stock_id ORDER BY cal_idx) = 0, false)")})
     rows = grid.where("state = 1").withColumns({"cents": F.expr(_C["close"])})
     rows = rows.withColumns({n: F.expr(e) for n, e in {**AUDIT_COLUMNS, "base_close": "close"}.items()})
     rows = rows.withColumn("prev_cents", F.expr("lag(cents) OVER (PARTITION BY stock_id ORDER BY cal_idx)"))
@@ -124,7 +120,7 @@ def reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_next_day_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     sound = reviewed(spark, sf_dir).where("issue IS NULL").select("stock_id", "cal_idx", F.lit(True).alias("valid"))
-    grid = src.panel(spark, sf_dir).select("stock_id", "cal_idx", "state").join(sound, ["stock_id", "cal_idx"], "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
+    grid = prep.panel(spark, sf_dir).select("stock_id", "cal_idx", "state").join(sound, ["stock_id", "cal_idx"], "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
     return au.next_day_counts(grid)
 
 
@@ -136,7 +132,7 @@ def audit_month_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_manifest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = src.panel(spark, sf_dir).where("state = 1")
+    bars = prep.panel(spark, sf_dir).where("state = 1")
     left = bars.groupBy("stock_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("stock_id").alias("path"), F.sha2(F.col("n").cast("string"), 256).alias("sha"))
     right = left.where(~F.col("path").endswith("1")).withColumn("sha", F.when(F.col("path").endswith("2"), F.sha2(F.lit("other"), 256)).otherwise(F.col("sha")))
     return au.manifest_merge(left, right)
@@ -144,7 +140,7 @@ def audit_manifest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_count_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declared: a bar a listed calendar row; counted: bars."""
-    rows = src.panel(spark, sf_dir).where("state >= 0")
+    rows = prep.panel(spark, sf_dir).where("state >= 0")
     return au.count_mismatches(rows.groupBy(F.col("stock_id").alias("name")).agg(F.count(F.lit(1)).alias("declared")), rows.where("state = 1").groupBy(F.col("stock_id").alias("name")).agg(F.count(F.lit(1)).alias("counted")))
 
 
@@ -154,17 +150,27 @@ _BIN_SQL = "count(*) AS n, count_if(label = 1 AND q_up > 0.5) AS tp, count_if(la
 _DIV = lambda a, b: f"CASE WHEN ({b}) > 0 THEN CAST({a} AS DOUBLE) / ({b}) END"
 _BIN_MORE = f"{_DIV('tp + tn', 'n')} AS accuracy, {_DIV('tp', 'tp + fn')} AS up_recall, {_DIV('tn', 'tn + fp')} AS not_up_recall, {_DIV('tp', 'tp + fp')} AS up_precision, {_DIV('tp + fp', 'n')} AS predicted_up_rate, {_DIV('tp + fn', 'n')} AS actual_up_rate, ({_DIV('tp', 'tp + fn')} + {_DIV('tn', 'tn + fp')}) / 2 AS balanced_accuracy"
 METRIC_CTES = SPLIT_CTES | {
-    "mrows": (("roles", "feats"), f"SELECT r.*, r.target_idx AS day, {REGRESSION.replace('r', 'r.r')} AS p, {PROBABILITY.replace('-r', '-r.r')} AS q_up, CASE WHEN r.y > 0 THEN 1 ELSE 0 END AS label, f.{VOLATILITY}, f.quote_index_ma_change_20_5 AS trend FROM roles r JOIN feats f ON f.stock_id = r.stock_id AND f.cal_idx = r.cal_idx"),
+    "mrows": (("roles", "feats"), f"SELECT r.*, r.target_idx AS day, 0.1e0 * r.r AS p, 1 / (1 + exp(-r.r)) AS q_up, CASE WHEN r.y > 0 THEN 1 ELSE 0 END AS label, f.return_std_20, f.quote_index_ma_change_20_5 AS trend FROM roles r JOIN feats f ON f.stock_id = r.stock_id AND f.cal_idx = r.cal_idx"),
     "mscore": (("mrows",), "SELECT * FROM mrows WHERE role = 'score' AND fold <> 'holdout'"),
     "mgroup": (("mscore",), f"SELECT s.*, grouping, CASE grouping WHEN 'training_volatility' THEN CASE WHEN {VOLATILITY} IS NULL THEN 'missing' ELSE 'Q' || CAST(len(list_filter(bounds, lambda b: b <= CAST({VOLATILITY} AS DOUBLE))) + 1 AS VARCHAR) END WHEN 'trend_availability' THEN CASE WHEN trend IS NULL THEN 'missing' ELSE 'complete' END ELSE 'unknown' END AS \"group\" FROM mscore s JOIN (SELECT fold, list_distinct(quantile_cont(CAST({VOLATILITY} AS DOUBLE), [0.25, 0.5, 0.75])) AS bounds FROM mrows WHERE role = 'train' GROUP BY fold) USING (fold) CROSS JOIN (SELECT unnest(['training_volatility', 'trend_availability', 'industry']) AS grouping)"),
     "bdays": (("mscore",), f"SELECT *, {_BIN_MORE} FROM (SELECT fold, day, {_BIN_SQL} FROM mscore GROUP BY fold, day)"),
-    "trg": (("targets",), f"SELECT *, lead(d) OVER (PARTITION BY stock_id ORDER BY cal_idx) AS next_day, {ft.catalogue()['return_mean_20'][1]} AS m FROM targets"),
+    "trg": (("targets", "feats", "cal"), "SELECT t.*, c.d AS next_day, f.return_mean_20 AS m FROM targets t JOIN feats f ON f.stock_id = t.stock_id AND f.cal_idx = t.cal_idx LEFT JOIN cal c ON c.cal_idx = t.target_idx"),
     "hits": (("trg",), "SELECT * FROM trg WHERE state = 1 AND y IS NOT NULL AND m > 0"),
-    "arows0": (("panel", "ent"), f"SELECT p.*, number, {FAULT} AS fault, coalesce(lag(state) OVER (PARTITION BY p.stock_id ORDER BY cal_idx) = 0, false) AS resumed FROM panel p JOIN ent e ON e.stock_id = p.stock_id"),
-    "arows1": (("arows0",), f"SELECT stock_id, cal_idx, d, list_date, resumed, fault, {', '.join(f'{e} AS {n}' for n, e in AUDIT_COLUMNS.items())} FROM arows0 WHERE state = 1"),
-    "arows": (("arows1",), f"SELECT *, lag(close) OVER (PARTITION BY stock_id ORDER BY d) AS previous, {', '.join(f'{e} AS {n}' for n, e in LABEL_COLUMNS.items())} FROM arows1"),
-    "rev": (("arows",), f"SELECT *, {au.first_issue()} AS issue FROM arows"),
-    "tagged": (("rev",), "SELECT *, unnest(CASE WHEN len(t) > 0 THEN t ELSE ['ordinary'] END) AS \"case\" FROM (SELECT *, list_filter([CASE WHEN d = list_date THEN 'listing_day' END, CASE WHEN resumed THEN 'resumed_after_pause' END, CASE WHEN previous IS NOT NULL AND ref <> previous THEN 'reference_differs_from_last_close' END], lambda x: x IS NOT NULL) AS t FROM rev WHERE issue IS NULL)"),
+    # the audit's rows in whole cents; a sign, a cent or a factor is wrong where the fault says so
+    "arows0": (("panel", "ent"), "SELECT p.*, (number * 31 + p.cal_idx * 17) % 101 AS fault, coalesce(b.state = 0, false) AS resumed, CAST(floor(p.open * 100 + 0.5e0) AS BIGINT) AS o, CAST(floor(p.high * 100 + 0.5e0) AS BIGINT) AS h, CAST(floor(p.low * 100 + 0.5e0) AS BIGINT) AS l, CAST(floor(p.close * 100 + 0.5e0) AS BIGINT) AS c FROM panel p JOIN ent e ON e.stock_id = p.stock_id LEFT JOIN panel b ON b.stock_id = p.stock_id AND b.cal_idx = p.cal_idx - 1"),
+    "arows1": (("arows0",), "SELECT stock_id, cal_idx, d, list_date, resumed, fault, o AS open_c, CASE WHEN fault = 1 THEN greatest(o, h, l, c) / 100e0 ELSE greatest(o, h, l, c) END AS high_c, least(o, h, l, c) AS low_c, CASE WHEN fault = 2 THEN -c ELSE c END AS close_c, CAST(volume_shares AS BIGINT) AS lots, CAST(volume_shares AS BIGINT) * CASE WHEN fault = 3 THEN 99 ELSE 100 END AS shares, CAST(floor(amount_yuan) AS BIGINT) AS amount, CASE WHEN fault = 4 THEN -1 ELSE 1 END AS turnover FROM arows0 WHERE state = 1"),
+    "arows": (("arows1",), "SELECT *, close_c / 100e0 AS close, lag(close_c) OVER t AS previous_c, CASE WHEN fault = 5 THEN -101 ELSE 0 END AS pct, CASE WHEN fault = 6 THEN 7 WHEN fault = 5 THEN -101 ELSE 0 END AS web_pct, CASE WHEN fault = 7 THEN close_c + 1 ELSE close_c END AS ref_c, CASE WHEN fault = 8 THEN 100 ELSE lag(close_c) OVER t END AS said_c FROM arows1 WINDOW t AS (PARTITION BY stock_id ORDER BY cal_idx)"),
+    "rev": (("arows",), """SELECT *, CASE WHEN open_c <= 0 OR high_c <= 0 OR low_c <= 0 OR close_c <= 0 THEN 'nonpositive_price'
+ WHEN low_c > open_c OR low_c > close_c OR high_c < open_c OR high_c < close_c THEN 'bar_order'
+ WHEN lots <= 0 OR shares <= 0 OR amount <= 0 OR turnover < 0 THEN 'nonpositive_volume'
+ WHEN shares <> lots * 100 THEN 'lot_conversion'
+ WHEN pct <= -100 THEN 'percent_range'
+ WHEN web_pct <> pct THEN 'web_mismatch'
+ WHEN ref_c <= 0 THEN 'reference_price'
+ WHEN abs(close_c * 100 - ref_c * (100 + pct)) * 1000000 > ref_c THEN 'reference_arithmetic'
+ WHEN (ref_c > 1 AND abs(close_c * 100 - (ref_c - 1) * (100 + pct)) * 1000000 <= ref_c - 1) OR abs(close_c * 100 - (ref_c + 1) * (100 + pct)) * 1000000 <= ref_c + 1 THEN 'reference_not_unique'
+ WHEN previous_c IS NOT NULL AND (said_c IS NULL OR said_c <> previous_c) THEN 'previous_close' END AS issue FROM arows"""),
+    "tagged": (("rev",), "SELECT *, unnest(CASE WHEN len(t) > 0 THEN t ELSE ['ordinary'] END) AS \"case\" FROM (SELECT *, list_filter([CASE WHEN d = list_date THEN 'listing_day' END, CASE WHEN resumed THEN 'resumed_after_pause' END, CASE WHEN previous_c IS NOT NULL AND ref_c <> previous_c THEN 'reference_differs_from_last_close' END], lambda x: x IS NOT NULL) AS t FROM rev WHERE issue IS NULL)"),
 }
 
 
@@ -173,7 +179,7 @@ def sql(body: str, *names: str) -> str:
 
 
 def _round(names: tuple[str, ...]) -> str:
-    return ", ".join(f"{rounded(n)} AS {n}" for n in names)
+    return ", ".join(f"{round_sql(n)} AS {n}" for n in names)
 
 
 QUERIES = {
@@ -201,17 +207,17 @@ ORACLES = {
     "reg_daily": sql(f"SELECT fold, day, n, {_round(('rmse', 'mae', 'direction_accuracy'))} FROM (SELECT fold, day, {_REG_SQL} FROM mscore GROUP BY fold, day)", "mscore"),
     "reg_groups": sql(f"SELECT fold, grouping, \"group\", n, {_round(('rmse', 'mae'))} FROM (SELECT fold, grouping, \"group\", {_REG_SQL} FROM mgroup GROUP BY ALL)", "mgroup"),
     "reg_day_equal": sql(f"SELECT fold, score_days, {_round(('rmse', 'mae'))} FROM (SELECT fold, count(*) AS score_days, sqrt(avg(mse)) AS rmse, avg(mae) AS mae FROM (SELECT fold, day, avg((p - y) * (p - y)) AS mse, avg(abs(p - y)) AS mae FROM mscore GROUP BY fold, day) GROUP BY fold)", "mscore"),
-    "vol_boundaries": sql(f"SELECT CAST(i - 1 AS INTEGER) AS nth, {rounded('b')} AS boundary FROM (SELECT unnest(q) AS b, generate_subscripts(q, 1) AS i FROM (SELECT list_sort(list_distinct(quantile_cont(CAST({VOLATILITY} AS DOUBLE), [0.25, 0.5, 0.75]))) AS q FROM mrows WHERE role = 'train' AND fold = 'F01'))", "mrows"),
+    "vol_boundaries": sql(f"SELECT CAST(i - 1 AS INTEGER) AS nth, {round_sql('b')} AS boundary FROM (SELECT unnest(q) AS b, generate_subscripts(q, 1) AS i FROM (SELECT list_sort(list_distinct(quantile_cont(CAST({VOLATILITY} AS DOUBLE), [0.25, 0.5, 0.75]))) AS q FROM mrows WHERE role = 'train' AND fold = 'F01'))", "mrows"),
     "bin_confusion": sql(f"SELECT fold, n, tp, tn, fp, fn FROM (SELECT fold, {_BIN_SQL} FROM mscore GROUP BY fold)", "mscore"),
     "bin_losses": sql(f"SELECT fold, {_round(RATES)} FROM (SELECT *, {_BIN_MORE} FROM (SELECT fold, {_BIN_SQL} FROM mscore GROUP BY fold))", "mscore"),
-    "bin_auc": sql(f"SELECT fold, n, positives, {rounded('CASE WHEN positives > 0 AND n > positives THEN (twice / 2e0 - positives * (positives + 1) / 2e0) / (positives * (n - positives)) END')} AS auc FROM (SELECT fold, CAST(sum(c) AS BIGINT) AS n, CAST(sum(pos) AS BIGINT) AS positives, sum(pos * (2 * s + c + 1)) AS twice FROM (SELECT *, sum(c) OVER (PARTITION BY fold ORDER BY p2) - c AS s FROM (SELECT fold, floor(q_up * 100) / 100e0 AS p2, count(*) AS c, sum(label) AS pos FROM mscore GROUP BY ALL)) GROUP BY fold)", "mscore"),
-    "bin_daily": sql(f"SELECT fold, count(accuracy) AS accuracy_days, count(balanced_accuracy) AS balanced_days, {rounded('avg(accuracy)')} AS accuracy, {rounded('avg(balanced_accuracy)')} AS balanced_accuracy FROM bdays GROUP BY fold", "bdays"),
-    "bin_groups": sql(f"SELECT fold, grouping, \"group\", n, tp, tn, {rounded('accuracy')} AS accuracy FROM (SELECT *, {_BIN_MORE} FROM (SELECT fold, grouping, \"group\", {_BIN_SQL} FROM mgroup GROUP BY ALL))", "mgroup"),
-    "calibration_bins": sql(f"SELECT CAST(k AS INTEGER) AS bin, coalesce(n, 0) AS n, {rounded('m')} AS mean_probability, {rounded('o')} AS observed_up_rate FROM range(10) t(k) LEFT JOIN (SELECT CAST(least(floor(q_up * 10), 9) AS INTEGER) AS b, count(*) AS n, avg(q_up) AS m, avg(label) AS o FROM mscore GROUP BY 1) ON b = k", "mscore"),
-    "training_prior": sql(f"SELECT CASE WHEN avg(label) > 0.5 THEN 1 ELSE 0 END AS majority, count(*) AS n, {rounded('avg(label)')} AS prior FROM mrows WHERE role = 'train' AND fold = 'F01'", "mrows"),
-    "periods_year_quarter": sql(f"SELECT CAST(year(next_day) AS INTEGER) AS year, CAST(quarter(next_day) AS INTEGER) AS quarter, count(*) AS n, count_if(y > 0) AS up, {rounded('avg(y)')} AS mean_y FROM hits GROUP BY GROUPING SETS ((year(next_day)), (year(next_day), quarter(next_day)))", "hits"),
+    "bin_auc": sql(f"SELECT fold, n, positives, {round_sql('CASE WHEN positives > 0 AND n > positives THEN (twice / 2e0 - positives * (positives + 1) / 2e0) / (positives * (n - positives)) END')} AS auc FROM (SELECT fold, CAST(sum(c) AS BIGINT) AS n, CAST(sum(pos) AS BIGINT) AS positives, sum(pos * (2 * s + c + 1)) AS twice FROM (SELECT *, sum(c) OVER (PARTITION BY fold ORDER BY p2) - c AS s FROM (SELECT fold, floor(q_up * 100) / 100e0 AS p2, count(*) AS c, sum(label) AS pos FROM mscore GROUP BY ALL)) GROUP BY fold)", "mscore"),
+    "bin_daily": sql(f"SELECT fold, count(accuracy) AS accuracy_days, count(balanced_accuracy) AS balanced_days, {round_sql('avg(accuracy)')} AS accuracy, {round_sql('avg(balanced_accuracy)')} AS balanced_accuracy FROM bdays GROUP BY fold", "bdays"),
+    "bin_groups": sql(f"SELECT fold, grouping, \"group\", n, tp, tn, {round_sql('accuracy')} AS accuracy FROM (SELECT *, {_BIN_MORE} FROM (SELECT fold, grouping, \"group\", {_BIN_SQL} FROM mgroup GROUP BY ALL))", "mgroup"),
+    "calibration_bins": sql(f"SELECT CAST(k AS INTEGER) AS bin, coalesce(n, 0) AS n, {round_sql('m')} AS mean_probability, {round_sql('o')} AS observed_up_rate FROM range(10) t(k) LEFT JOIN (SELECT CAST(least(floor(q_up * 10), 9) AS INTEGER) AS b, count(*) AS n, avg(q_up) AS m, avg(label) AS o FROM mscore GROUP BY 1) ON b = k", "mscore"),
+    "training_prior": sql(f"SELECT CASE WHEN avg(label) > 0.5 THEN 1 ELSE 0 END AS majority, count(*) AS n, {round_sql('avg(label)')} AS prior FROM mrows WHERE role = 'train' AND fold = 'F01'", "mrows"),
+    "periods_year_quarter": sql(f"SELECT CAST(year(next_day) AS INTEGER) AS year, CAST(quarter(next_day) AS INTEGER) AS quarter, count(*) AS n, count_if(y > 0) AS up, {round_sql('avg(y)')} AS mean_y FROM hits GROUP BY GROUPING SETS ((year(next_day)), (year(next_day), quarter(next_day)))", "hits"),
     "daily_series": sql("SELECT cal_idx AS target_idx, coalesce(n, 0) AS n, coalesce(up, 0) AS up FROM cal LEFT JOIN (SELECT target_idx, count(*) AS n, count_if(y > 0) AS up FROM hits GROUP BY 1) h ON h.target_idx = cal_idx", "cal", "hits"),
-    "sensitivity_largest_day": sql(f"SELECT largest_day, largest_n, CAST(all_n - largest_n AS BIGINT) AS rest_n, {rounded('CASE WHEN all_n > largest_n THEN (all_up - largest_up) / CAST(all_n - largest_n AS DOUBLE) END')} AS rest_rate FROM (SELECT target_idx AS largest_day, n AS largest_n, up AS largest_up, sum(n) OVER () AS all_n, sum(up) OVER () AS all_up FROM (SELECT target_idx, count(*) AS n, count_if(y > 0) AS up FROM hits GROUP BY 1) QUALIFY row_number() OVER (ORDER BY n DESC, target_idx) = 1)", "hits"),
+    "sensitivity_largest_day": sql(f"SELECT largest_day, largest_n, CAST(all_n - largest_n AS BIGINT) AS rest_n, {round_sql('CASE WHEN all_n > largest_n THEN (all_up - largest_up) / CAST(all_n - largest_n AS DOUBLE) END')} AS rest_rate FROM (SELECT target_idx AS largest_day, n AS largest_n, up AS largest_up, sum(n) OVER () AS all_n, sum(up) OVER () AS all_up FROM (SELECT target_idx, count(*) AS n, count_if(y > 0) AS up FROM hits GROUP BY 1) QUALIFY row_number() OVER (ORDER BY n DESC, target_idx) = 1)", "hits"),
     "audit_row_rules": sql("SELECT stock_id, cal_idx, issue FROM rev", "rev"),
     "audit_issue_summary": sql("SELECT 'error' AS severity, issue AS code, count(*) AS n FROM rev WHERE issue IS NOT NULL GROUP BY issue", "rev"),
     "audit_cases": sql("SELECT \"case\", count(*) AS n FROM tagged GROUP BY 1", "tagged"),

@@ -1,46 +1,93 @@
-"""Queries that fit boosted trees on the first fold. SQL has no counterpart, so they are checked by contract in tests."""
+"""Queries that fit boosted trees on all folds and all features. SQL has no counterpart, so they are checked by contract in tests."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import shared_folder, stored
+from ..operators import experiments as ex
 from ..operators import features as ft
-from ..operators import metrics as mt
+from ..operators import holdout as ho
 from ..operators import models as md
 from ..operators import splits as sp
-from ..operators import targets as tg
-from ..sources import trade_panel as src
-from .panel_queries import ready
-from .split_queries import plan
+from ..sources import prepared as prep
+from .reference_sql import with_ctes
+from .split_queries import FOLDS, SPLIT_CTES, plan
+
+NAMES = list(ft.FEATURES)
+#: A smaller patience than the operators' 200 of 10,000 rounds, as a tree here is several jobs; both still act.
+SETTINGS = md.Settings(rounds=200, patience=4)
+FIXED_ROUNDS = 6
+
+
+def sources(spark: SparkSession, sf_dir: str) -> list[ex.FoldSource]:
+    samples = prep.samples(spark, sf_dir)
+    assigned = stored(sp.roles(samples, plan(spark, sf_dir)).select("fold", "role", "row_id", "stock_idx", "cal_idx"))
+    return [ex.FoldSource(assigned, samples, f, NAMES) for f in (*[f"F{i:02}" for i in range(1, FOLDS + 1)], "holdout")]
 
-NAMES = ["return_lag_0", "return_mean_20", "return_std_20", "volume_shares_relative_20", "close_position", "quote_index_ma_deviation_20"]
-SETTINGS = md.Settings(rounds=5, patience=2)
 
+def folds_of(spark: SparkSession, sf_dir: str, kind: str, rounds: int | None = None) -> list[ex.FoldResult]:
+    return [ex.run_fold(s, kind, SETTINGS, rounds)[0] for s in sources(spark, sf_dir)[:FOLDS]]
 
-def fold_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = ft.catalogue()
-    wide = ready(spark, sf_dir).withColumns({n: F.expr(f"CAST({table[n][1]} AS FLOAT)") for n in NAMES})
-    return sp.roles(tg.samples(wide, src.entities(spark, sf_dir)), plan(spark, sf_dir)).where("fold = 'F01'").select("role", "row_id", F.col("target_idx").alias("day"), "y", *NAMES).persist()
 
+def table(spark: SparkSession, results: list[ex.FoldResult]) -> DataFrame:
+    """A row a fold."""
+    names = list(results[0].scores)
+    kinds = ", ".join(f"{n} {'long' if n == 'n' else 'double'}" for n in names)
+    return spark.createDataFrame([(r.fold, r.rounds, *(r.scores[n] for n in names)) for r in results], f"fold string, rounds int, {kinds}")
 
-def scored_fold(kind: str, validate: bool = True):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = fold_rows(spark, sf_dir).withColumn("label", F.when(F.col("y") > 0, 1.0).otherwise(0.0) if kind == "binary" else F.col("y"))
-        train, score = rows.where("role = 'train'"), rows.where("role = 'score'")
-        model, rounds = md.fit(train, score if validate else None, NAMES, kind, SETTINGS)
-        out = md.predict(model, score, NAMES, kind)
-        result = mt.binary_scores(out.withColumn("label", F.col("label").cast("int"))).select("n", "accuracy", "logloss", "brier") if kind == "binary" else mt.regression_scores(out).select("n", "rmse", "mae", "zero_rmse")
-        return result.withColumn("rounds", F.lit(rounds))
 
-    return run
+def fold_query(kind: str, rounds: int | None = None):
+    return lambda spark, sf_dir: table(spark, folds_of(spark, sf_dir, kind, rounds))
 
 
 def feature_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train = fold_rows(spark, sf_dir).where("role = 'train'").withColumn("label", F.col("y"))
-    model, _ = md.fit(train, None, NAMES, "regression", SETTINGS)
-    return spark.createDataFrame(md.feature_usage(model, NAMES), "feature string, gain_share double")
+    """Of the first fold's model: gain and splits by feature."""
+    source = sources(spark, sf_dir)[0]
+    _, model = ex.run_fold(source, "regression", SETTINGS, FIXED_ROUNDS)
+    return spark.createDataFrame(md.feature_usage(model, NAMES), "feature string, gain_share double, splits int")
+
+
+def holdout_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Freeze the classifier's plan from the folds, predict the holdout, seal, then score: one row."""
+    frozen = ex.freeze(folds_of(spark, sf_dir, "binary"), "binary", NAMES, SETTINGS)
+    folder = f"{shared_folder(spark)}/holdout-{uuid.uuid4().hex}"
+    result = ex.run_holdout(sources(spark, sf_dir)[-1], frozen, ho.Registry(spark, f"{folder}/registry"), folder)
+    return spark.createDataFrame([(result["n"], result["rounds"], result["accuracy"], result["logloss"], result["brier"])], "n long, rounds int, accuracy double, logloss double, brier double")
+
+
+def training_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What `check_matrix` counts, for every fold's training rows."""
+    rows = sp.roles(prep.samples(spark, sf_dir), plan(spark, sf_dir)).where("role = 'train'")
+    infinite = sum((F.coalesce(F.abs(F.col(n).cast("double")) == float("inf"), F.lit(False)).cast("long") for n in NAMES), F.lit(0).cast("long"))
+    lacking = sum((F.col(n).isNull().cast("long") for n in NAMES), F.lit(0).cast("long"))
+    return rows.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), F.sum(infinite).alias("infinite_features"), F.sum(lacking).alias("missing_features"), F.count_if(F.col("y").isNull()).alias("bad_labels"))
+
+
+def gathered_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each role by row number, with names for indices."""
+    rows = sp.roles(prep.samples(spark, sf_dir), plan(spark, sf_dir)).select("fold", "role", "row_id")
+    named = prep.samples(spark, sf_dir).select("row_id", "stock_idx", "cal_idx", "return_lag_0").join(F.broadcast(prep.stock_names(spark, sf_dir)), "stock_idx").join(F.broadcast(prep.calendar(spark, sf_dir)), "cal_idx")
+    return rows.join(named, "row_id").groupBy("fold", "role", "stock_id").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first_day"), F.max("d").alias("last_day"), F.count("return_lag_0").alias("with_return"))
+
+
+QUERIES = {
+    "gbt_regression_folds": fold_query("regression"), "gbt_classification_folds": fold_query("binary"), "gbt_fixed_rounds": fold_query("regression", FIXED_ROUNDS), "feature_usage": feature_usage, "holdout_evaluation": holdout_evaluation,
+    "training_matrix": training_matrix, "gathered_samples": gathered_samples,
+}
+
+
+def _lacking() -> str:
+    from .reference_sql import FEATURE_SQL
+
+    return " + ".join(f"CASE WHEN f.{n} IS NULL THEN 1 ELSE 0 END" for n in FEATURE_SQL)
 
 
-QUERIES = {"gbt_regression_fold": scored_fold("regression"), "gbt_classification_fold": scored_fold("binary"), "gbt_fixed_rounds": scored_fold("regression", validate=False), "feature_usage": feature_usage}
-ORACLES: dict[str, str] = {}
+_MODEL_CTES = SPLIT_CTES | {"trained": (("roles", "feats"), f"SELECT r.fold, r.y, {_lacking()} AS lacking FROM roles r JOIN feats f ON f.stock_id = r.stock_id AND f.cal_idx = r.cal_idx WHERE role = 'train'")}
+ORACLES = {
+    "training_matrix": with_ctes("SELECT fold, count(*) AS rows, CAST(0 AS BIGINT) AS infinite_features, CAST(sum(lacking) AS BIGINT) AS missing_features, count_if(y IS NULL) AS bad_labels FROM trained GROUP BY fold", "trained", extra=_MODEL_CTES),
+    "gathered_samples": with_ctes("SELECT fold, role, stock_id, count(*) AS n, min(d) AS first_day, max(d) AS last_day, count(r) AS with_return FROM roles GROUP BY ALL", "roles", extra=_MODEL_CTES),
+}

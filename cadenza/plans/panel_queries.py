@@ -10,8 +10,9 @@ from ..operators import features as ft
 from ..operators import indicators as ind
 from ..operators import panel as pn
 from ..operators import targets as tg
+from ..sources import prepared as prep
 from ..sources import trade_panel as src
-from .reference_sql import BARS, columns, with_ctes
+from .reference_sql import BARS, FEATURE_SQL, columns, with_ctes
 
 BAR_COLUMNS = ("open", "high", "low", "close", "volume_shares", "amount_yuan", "turnover")
 FAMILIES = {
@@ -20,10 +21,6 @@ FAMILIES = {
 }
 
 
-def ready(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ft.prepared(src.panel(spark, sf_dir), src.market_closes(spark, sf_dir))
-
-
 def names_of(key: str) -> tuple[str, ...]:
     return tuple(n for n, (family, _) in ft.catalogue().items() if not FAMILIES[key] or family in FAMILIES[key])
 
@@ -35,14 +32,14 @@ def round_all(df: DataFrame, names: tuple[str, ...], keys: tuple[str, ...] = ("s
 def feature_query(key: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         names = names_of(key)
-        return round_all(ft.features(ready(spark, sf_dir), names).where("state >= 0"), names)
+        return round_all(ft.features(prep.ready(spark, sf_dir), names).where("state >= 0"), names)
 
     return run
 
 
 def indicator_query(names: tuple[str, ...]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return round_all(ind.indicators(ft.quote_index(src.panel(spark, sf_dir))), names)
+        return round_all(ind.indicators(ft.quote_index(prep.panel(spark, sf_dir))), names)
 
     return run
 
@@ -57,34 +54,34 @@ def bars_supplier_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_all(src.panel(spark, sf_dir), ("close", "r"), ("stock_id", "cal_idx", "d", "state"))
+    return round_all(prep.panel(spark, sf_dir), ("close", "r"), ("stock_id", "cal_idx", "d", "state"))
 
 
 def date_set_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates that a listed entity should trade on against those that it does."""
-    rows = src.panel(spark, sf_dir).where("state >= 0")
+    rows = prep.panel(spark, sf_dir).where("state >= 0")
     return pn.date_set_difference(rows.select("stock_id", "d"), rows.where("state = 1").select("stock_id", "d"))
 
 
 def feat_quote_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_all(ft.quote_index(src.panel(spark, sf_dir)), ("q",))
+    return round_all(ft.quote_index(prep.panel(spark, sf_dir)), ("q",))
 
 
 def feat_causality_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features from the first 200 weeks alone: equal to those from all weeks."""
-    short = pn.history_prefix(src.panel(spark, sf_dir), 200)
-    markets = src.market_closes(spark, sf_dir).where("cal_idx < 200")
+    short = pn.history_prefix(prep.panel(spark, sf_dir), 200)
+    markets = prep.market_closes(spark, sf_dir).where("cal_idx < 200")
     names = ("return_mean_20", "volume_shares_relative_20", "quote_index_ma_change_20_5", "sh000001_return_std_20")
     return round_all(ft.features(ft.prepared(short, markets), names).where("state >= 0"), names)
 
 
 def feature_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ft.feature_quality(ft.features(ready(spark, sf_dir)).where("state >= 0"))
+    out = ft.feature_quality(ft.features(prep.ready(spark, sf_dir)).where("state >= 0"))
     return out.select("name", "finite_rows", "nan_rows", "eligible_finite_rows", *[F.expr(f"{rounded(c)} AS {c}") for c in ("minimum", "maximum")])
 
 
 def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tg.samples(src.panel(spark, sf_dir), src.entities(spark, sf_dir))
+    return prep.samples(spark, sf_dir)
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,14 +95,14 @@ def target_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average next return by the sign of the mean of the last 20 returns."""
-    rows = tg.with_targets(ready(spark, sf_dir)).withColumn("m", F.expr(ft.catalogue()["return_mean_20"][1])).where("state = 1 AND y IS NOT NULL AND m IS NOT NULL")
+    rows = tg.with_targets(prep.ready(spark, sf_dir)).withColumn("m", F.expr(ft.catalogue()["return_mean_20"][1])).where("state = 1 AND y IS NOT NULL AND m IS NOT NULL")
     return rows.groupBy(F.signum("m").cast("int").alias("sign")).agg(F.count(F.lit(1)).alias("n"), F.expr(f"{rounded('avg(y)')} AS mean_next_return"))
 
 
 QUERIES = {
     "bars_brand_week": bars_brand_week, "bars_supplier_month": bars_supplier_month, "calendar": src.calendar, "grid_state": grid_state, "date_set_diff": date_set_diff,
-    "prev_next_day": lambda spark, sf_dir: pn.neighbours(src.calendar(spark, sf_dir)), **{k: feature_query(k) for k in FAMILIES}, "feat_quote_index": feat_quote_index, "feat_causality_prefix": feat_causality_prefix,
-    "feature_quality": feature_quality, "sample_coverage": lambda spark, sf_dir: tg.sample_coverage(sampled(spark, sf_dir)), "targets": targets, "target_status_counts": target_status_counts, "momentum_next_return": flagship,
+    "prev_next_day": lambda spark, sf_dir: pn.neighbours(prep.calendar(spark, sf_dir)), **{k: feature_query(k) for k in FAMILIES}, "feat_quote_index": feat_quote_index, "feat_causality_prefix": feat_causality_prefix,
+    "feature_quality": feature_quality, "sample_coverage": lambda spark, sf_dir: tg.sample_coverage(prep.samples(spark, sf_dir), ft.FEATURES), "targets": targets, "target_status_counts": target_status_counts, "momentum_next_return": flagship,
 }
 INDICATORS = {
     "ind_platform": tuple(ind.platform_expressions()), "ind_bottom": tuple(ind.bottom_expressions()), "ind_channel": tuple(f"channel_{n}_{k}" for k in ind.CHANNELS for n in ("gain", "r2", "width", "sigma", "offset")),
@@ -124,10 +121,10 @@ ORACLES = {
     **{k: with_ctes(f"SELECT stock_id, cal_idx, {columns(names_of(k))} FROM feats WHERE state >= 0", "feats") for k in FAMILIES},
     "feat_quote_index": with_ctes(f"SELECT stock_id, cal_idx, {columns(['q'])} FROM quoted", "quoted"),
     "feat_causality_prefix": with_ctes(f"SELECT stock_id, cal_idx, {columns(_PREFIX)} FROM feats WHERE state >= 0 AND cal_idx < 200", "feats"),
-    "feature_quality": with_ctes(" UNION ALL ".join(f"SELECT '{n}' AS name, count({n}) AS finite_rows, count(*) - count({n}) AS nan_rows, count(CASE WHEN state = 1 THEN {n} END) AS eligible_finite_rows, {rounded(f'CAST(min({n}) AS DOUBLE)')} AS minimum, {rounded(f'CAST(max({n}) AS DOUBLE)')} AS maximum FROM feats WHERE state >= 0" for n in ft.FEATURES), "feats"),
-    "sample_coverage": with_ctes("SELECT stock_id, count(*) AS grid_rows, count_if(prediction_eligible) AS prediction_eligible, count_if(NOT prediction_eligible) AS information_day_paused, count_if(target_status = 1) AS target_observed, count_if(target_status = 2) AS target_suspended, count_if(target_status = 3) AS target_calendar_unknown, count_if(prediction_eligible AND target_status = 1) AS supervised_candidates, count_if(prediction_eligible AND target_status = 2) AS eligible_target_suspended, count_if(prediction_eligible AND target_status = 3) AS eligible_target_calendar_unknown, count_if(target_status = 1 AND y = 0) AS observed_zero_labels FROM samples GROUP BY stock_id", "samples"),
+    "feature_quality": with_ctes(" UNION ALL ".join(f"SELECT '{n}' AS name, count({n}) AS finite_rows, count(*) - count({n}) AS nan_rows, count(CASE WHEN state = 1 THEN {n} END) AS eligible_finite_rows, {rounded(f'CAST(min({n}) AS DOUBLE)')} AS minimum, {rounded(f'CAST(max({n}) AS DOUBLE)')} AS maximum FROM feats WHERE state >= 0" for n in FEATURE_SQL), "feats"),
+    "sample_coverage": with_ctes("SELECT stock_id, count(*) AS grid_rows, count_if(prediction_eligible) AS prediction_eligible, count_if(NOT prediction_eligible) AS information_day_paused, count_if(target_status = 1) AS target_observed, count_if(target_status = 2) AS target_suspended, count_if(target_status = 3) AS target_calendar_unknown, count_if(prediction_eligible AND target_status = 1) AS supervised_candidates, count_if(prediction_eligible AND target_status = 2) AS eligible_target_suspended, count_if(prediction_eligible AND target_status = 3) AS eligible_target_calendar_unknown, count_if(target_status = 1 AND y = 0) AS observed_zero_labels, CAST(sum(nan_rows) AS BIGINT) AS rows_with_nan_features FROM (SELECT s.*, CASE WHEN " + " OR ".join(f"f.{n} IS NULL" for n in FEATURE_SQL) + " THEN 1 ELSE 0 END AS nan_rows FROM samples s JOIN feats f ON f.stock_id = s.stock_id AND f.cal_idx = s.cal_idx) GROUP BY stock_id", "samples", "feats"),
     "targets": with_ctes(f"SELECT row_id, stock_idx, cal_idx AS as_of_idx, coalesce(target_idx, -1) AS target_idx, coalesce(label_available_idx, -1) AS label_available_idx, target_status, prediction_eligible, {columns(['y'])} FROM samples", "samples"),
     "target_status_counts": with_ctes("SELECT target_status, count(*) AS n FROM samples GROUP BY 1", "samples"),
-    "momentum_next_return": with_ctes(f"SELECT CAST(sign(m) AS INTEGER) AS sign, count(*) AS n, {rounded('avg(y)')} AS mean_next_return FROM (SELECT t.y, t.state, {ft.catalogue()['return_mean_20'][1].replace('OVER (PARTITION', 'OVER (PARTITION')} AS m FROM targets t) WHERE state = 1 AND y IS NOT NULL AND m IS NOT NULL GROUP BY 1", "targets"),
+    "momentum_next_return": with_ctes(f"SELECT CAST(sign(return_mean_20) AS INTEGER) AS sign, count(*) AS n, {rounded('avg(y)')} AS mean_next_return FROM targets t JOIN feats f ON f.stock_id = t.stock_id AND f.cal_idx = t.cal_idx WHERE t.state = 1 AND y IS NOT NULL AND return_mean_20 IS NOT NULL GROUP BY 1", "targets", "feats"),
     **{k: with_ctes(f"SELECT stock_id, cal_idx, {columns(n)} FROM inds", "inds") for k, n in INDICATORS.items()},
 }

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ranks import quantiles
 from ..functions.windows import rounded
 from ..operators import features as ft
 from ..operators import indicators as ind
 from ..operators import patterns as pt
 from ..operators import rules as ru
 from ..operators import targets as tg
-from ..sources import trade_panel as src
-from .reference_sql import with_ctes
+from ..sources import prepared as prep
+from .reference_sql import EVENT_COLUMNS, EVENTS, with_ctes
+from .reference_sql import rounded as round_sql
+from .split_queries import FIRST, FOLDS, LENGTH
 
 #: 81 platforms, 48 bottoms, 36 channels.
 CONFIG = {
@@ -28,71 +31,113 @@ VOLUME = f"{ft.catalogue()['volume_shares_relative_20'][1]} + 1"
 
 def indicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel with indicators, the volume ratio, and outcomes by phase."""
-    wide = ind.indicators(ft.quote_index(src.panel(spark, sf_dir))).withColumn("volume_ratio_20", F.expr(VOLUME))
+    wide = ind.indicators(ft.quote_index(prep.panel(spark, sf_dir))).withColumn("volume_ratio_20", F.expr(VOLUME))
     return tg.with_targets(wide).where("state >= 0").withColumn("phase", F.when(F.col("target_idx") < DISCOVERY_UNTIL, "discovery").otherwise("confirmation"))
 
 
-def triggers(spark: SparkSession, sf_dir: str, family: str | None = None) -> DataFrame:
+def triggers(spark: SparkSession, sf_dir: str, family: str | None = None, only: str = "known") -> DataFrame:
+    """Rows of rules that are known (or hit)."""
     rules = [r for r in RULES if family in (None, r["family"])]
-    return pt.with_first_trigger(pt.evaluated(indicated(spark, sf_dir), rules, "state", "y", "phase", "target_idx"))
+    return pt.unpacked(pt.packed(indicated(spark, sf_dir), rules, "state", "y", "phase", "target_idx", "volume_ratio_20"), rules, only)
 
 
 def pattern_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pt.rule_frame(spark, RULES).select("rule_id", "family", "window", F.coalesce("volume", F.lit(0.0)).alias("volume"))
+    return pt.rule_frame(spark, RULES).select("rule_id", "family", "canonical", "window", F.coalesce("volume", F.lit(0.0)).alias("volume"))
 
 
 def family_query(family: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rules = [r for r in RULES if r["family"] == family]
-        return pt.evaluated(indicated(spark, sf_dir), rules).groupBy("rule_id").agg(F.count_if("known").alias("known"), F.count_if("hit").alias("hit"))
+        counted = triggers(spark, sf_dir, family).groupBy("rule_id").agg(F.count_if("known").alias("known"), F.count_if("hit").alias("hit"))
+        return pt.rule_frame(spark, rules).select("rule_id").join(counted, "rule_id", "left").na.fill(0)
 
     return run
 
 
 def first_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triggers(spark, sf_dir).where("first_hit").select("rule_id", "stock_id", "cal_idx")
+    return triggers(spark, sf_dir, only="first_hit").select("rule_id", "stock_id", "cal_idx")
+
+
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored signals of both views."""
+    rows = ru.with_events(triggers(spark, sf_dir, only="hit").where("y IS NOT NULL").withColumnsRenamed({"stock_id": "entity", "target_idx": "day"}))
+    views = F.array(F.lit(pt.VIEWS[0]), F.when(F.col("first_hit"), F.lit(pt.VIEWS[1])))
+    return rows.withColumn("view", F.explode(F.array_compact(views)))
 
 
 def pattern_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ru.with_events(triggers(spark, sf_dir).where("y IS NOT NULL").withColumnsRenamed({"stock_id": "entity", "target_idx": "day"}))
-    rows = rows.withColumns({"views": F.array(F.when(F.col("hit"), F.lit(pt.VIEWS[0])), F.when(F.col("first_hit"), F.lit(pt.VIEWS[1])))})
-    rows = rows.withColumn("view", F.explode(F.array_compact("views"))).withColumn("rule_id", F.concat_ws("/", "rule_id", "view"))
+    rows = signals(spark, sf_dir).withColumn("rule_id", F.concat_ws("/", "rule_id", "view"))
     out = pt.signal_statistics(rows, F.lit(True), SHOWN)
     part = F.split("rule_id", "/")
     return out.select(part[0].alias("rule_id"), part[1].alias("view"), "phase", "n", "dates", "stocks", *SHOWN, *[F.expr(f"{rounded(c)} AS {c}") for c in ("mean_y", "median_y", "max_day_share", *(f"daily_{e}" for e in SHOWN))])
 
 
+def pattern_fold_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confirmation signals by fold of `LENGTH` weeks: every rule, view and fold."""
+    rows = signals(spark, sf_dir).where(f"day >= {FIRST} AND day < {FIRST + FOLDS * LENGTH}").withColumn("fold", F.format_string("F%02d", F.floor((F.col("day") - FIRST) / LENGTH) + 1))
+    views = spark.range(1).select(F.explode(F.array(*map(F.lit, pt.VIEWS))).alias("view"))
+    folds = spark.range(1).select(F.explode(F.array(*[F.lit(f"F{i:02}") for i in range(1, FOLDS + 1)])).alias("fold"))
+    return pt.fold_statistics(rows, RULES, views, folds, SHOWN)
+
+
 def discovery_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per family and event the first rule with the most discovery signals of those above 65 %."""
-    rows = ru.with_events(triggers(spark, sf_dir).where("y IS NOT NULL AND hit AND phase = 'discovery'"))
+    rows = ru.with_events(triggers(spark, sf_dir, only="hit").where("y IS NOT NULL AND phase = 'discovery'"))
     n = rows.groupBy("family", "rule_id").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(e)).alias(e) for e in ru.EVENTS])
     long = n.select("family", "rule_id", "n", F.explode(F.array(*[F.struct(F.lit(e).alias("event"), F.col(e).alias("hits")) for e in ru.EVENTS])).alias("e")).select("family", "rule_id", "n", "e.event", "e.hits")
     return long.where(ru.over_65(F.col("hits"), F.col("n"))).withColumn("nth", F.expr("row_number() OVER (PARTITION BY family, event ORDER BY n DESC, rule_id)")).where("nth = 1").drop("nth")
 
 
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pt.coverage(pt.packed(indicated(spark, sf_dir), RULES, "state", "y"), RULES)
+
+
 def family_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triggers(spark, sf_dir).groupBy("family").agg(F.count_distinct("rule_id").alias("rules"), F.count_if("known").alias("known"), F.count_if("hit").alias("signals"), F.count_if("first_hit").alias("first_signals"), F.count_distinct(F.when(F.col("hit"), F.col("rule_id"))).alias("rules_with_signals"))
+    return coverage(spark, sf_dir).groupBy("family").agg(F.count("rule_id").alias("rules"), F.sum("known").alias("known"), F.sum("signals").alias("signals"), F.sum("first_signals").alias("first_signals"), F.count_if(F.col("signals") > 0).alias("rules_with_signals"))
 
 
 def liquidity_diag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per platform rule: the volume ratio on its signals."""
-    wide = indicated(spark, sf_dir)
-    rows = pt.evaluated(wide, [r for r in RULES if r["family"] == "platform"], "volume_ratio_20", "phase").where("hit")
-    return rows.groupBy("rule_id", "phase").agg(F.count(F.lit(1)).alias("n"), F.count("volume_ratio_20").alias("finite_n"), F.expr(f"{rounded('avg(volume_ratio_20)')} AS mean_ratio"), F.expr(f"{rounded('median(volume_ratio_20)')} AS median_ratio"))
+    rows = triggers(spark, sf_dir, "platform", "hit")
+    middle = quantiles(rows, ["rule_id", "phase"], "volume_ratio_20", [0.5]).select("rule_id", "phase", F.col("q")[0].alias("m"))
+    out = rows.groupBy("rule_id", "phase").agg(F.count(F.lit(1)).alias("n"), F.count("volume_ratio_20").alias("finite_n"), F.expr(f"{rounded('avg(volume_ratio_20)')} AS mean_ratio"))
+    return out.join(middle, ["rule_id", "phase"], "left").withColumn("median_ratio", F.expr(rounded("m"))).drop("m")
 
 
 QUERIES = {
     "pattern_grid": pattern_grid, "pattern_platform": family_query("platform"), "pattern_bottom": family_query("bottom_volume"), "pattern_channel": family_query("ascending_channel"), "first_trigger": first_trigger,
-    "pattern_stats": pattern_stats, "pattern_coverage": lambda spark, sf_dir: pt.coverage(triggers(spark, sf_dir)), "discovery_choice": discovery_choice, "family_summary": family_summary, "liquidity_diag": liquidity_diag,
+    "pattern_stats": pattern_stats, "pattern_fold_stats": pattern_fold_stats, "pattern_coverage": coverage, "discovery_choice": discovery_choice, "family_summary": family_summary, "liquidity_diag": liquidity_diag,
 }
 
-_TRIG = pt.first_trigger_expressions()
-_EV = ru.event_expressions()
+# -- the SQL, by hand: rules are rows, and so are the indicators of a window
+_HITS = ", ".join(f"count_if({e}) AS {e}" for e in SHOWN)
+_P = "SELECT *, printf('P%03d', row_number() OVER (ORDER BY a, b, c, e)) AS rule_id FROM (SELECT * FROM (VALUES (1, 20), (2, 40), (3, 60)) w(a, k), (VALUES (1, 0.3e0), (2, 1.5e0), (3, 4e0)) x(b, width), (VALUES (1, 0e0), (2, 0.05e0), (3, 0.2e0)) y(c, breakout), (VALUES (1, NULL), (2, 0.8e0), (3, 1.5e0)) z(e, volume))"
+_B = "SELECT *, printf('B%03d', row_number() OVER (ORDER BY a, b, c, e, f)) AS rule_id FROM (SELECT * FROM (VALUES (1, 60), (2, 120)) w(a, k), (VALUES (1, 0.05e0), (2, 0.3e0)) x(b, drawdown), (VALUES (1, 0.1e0), (2, 0.6e0), (3, 2e0)) y(c, low), (VALUES (1, 0.5e0), (2, 1e0)) z(e, volume), (VALUES (1, TRUE), (2, FALSE)) v(f, rising))"
+_C = "SELECT *, printf('C%03d', row_number() OVER (ORDER BY a, b, c, e)) AS rule_id FROM (SELECT * FROM (VALUES (1, 20), (2, 40), (3, 60)) w(a, k), (VALUES (1, -0.5e0), (2, 0e0)) x(b, gain), (VALUES (1, 2e0), (2, 20e0)) y(c, width), (VALUES (1, 'all'), (2, 'lower'), (3, 'upper')) z(e, position))"
+_ROW = "stock_id, cal_idx, state, y, phase, target_idx, volume_ratio_20, r, volume_history_complete"
+_OUT = "stock_id, cal_idx, state, y, phase, target_idx, volume_ratio_20"
+
+
+def _by_window(names: dict[str, str], windows: tuple[int, ...]) -> str:
+    return " UNION ALL ".join(f"SELECT {_ROW}, {k} AS k, {', '.join(f'{c}_{k} AS {n}' for n, c in names.items())} FROM indicated" for k in windows)
+
+
 PATTERN_CTES = {
-    "indicated": (("inds",), f"SELECT *, CASE WHEN target_idx < {DISCOVERY_UNTIL} THEN 'discovery' ELSE 'confirmation' END AS phase FROM (SELECT *, {VOLUME} AS volume_ratio_20, {', '.join(f'{e} AS {n}' for n, e in tg.EXPRESSIONS.items())} FROM inds) WHERE state >= 0"),
-    "evaluated": (("indicated",), " UNION ALL ".join(f"SELECT stock_id, cal_idx, state, y, phase, target_idx, volume_ratio_20, '{r['rule_id']}' AS rule_id, '{r['family']}' AS family, {k} AS known, {h} AS hit FROM indicated" for r in RULES for k, h in [pt.known_and_hit(r)])),
-    "trig": (("evaluated",), f"SELECT *, {', '.join(f'{e} AS {n}' for n, e in _TRIG.items())} FROM evaluated"),
-    "viewed": (("trig",), f"SELECT *, {', '.join(f'{e} AS {n}' for n, e in _EV.items())} FROM (SELECT *, '{pt.VIEWS[0]}' AS view FROM trig WHERE hit AND y IS NOT NULL UNION ALL SELECT *, '{pt.VIEWS[1]}' FROM trig WHERE first_hit AND y IS NOT NULL)"),
+    "indicated": (("inds", "targets"), f"SELECT i.*, t.target_idx, t.y, CASE WHEN t.target_idx < {DISCOVERY_UNTIL} THEN 'discovery' ELSE 'confirmation' END AS phase FROM inds i JOIN targets t ON t.stock_id = i.stock_id AND t.cal_idx = i.cal_idx WHERE i.state >= 0"),
+    "prules": ((), _P), "brules": ((), _B), "crules": ((), _C),
+    "every_rule": (("prules", "brules", "crules"), "SELECT rule_id, 'platform' AS family, k, volume FROM prules UNION ALL SELECT rule_id, 'bottom_volume', k, volume FROM brules UNION ALL SELECT rule_id, 'ascending_channel', k, NULL FROM crules"),
+    "prows": (("indicated",), _by_window({"width_": "prior_width", "drift": "prior_drift", "out_": "breakout"}, (20, 40, 60))),
+    "brows": (("indicated",), _by_window({"down": "prior_drawdown", "above": "bottom_low_distance"}, (60, 120))),
+    "crows": (("indicated",), _by_window({"gain_": "channel_gain", "r2": "channel_r2", "sigma": "channel_sigma", "shift": "channel_offset"}, (20, 40, 60))),
+    "pknown": (("prows", "prules"), f"SELECT {_OUT}, rule_id, 'platform' AS family, state = 1 AND width_ IS NOT NULL AND drift IS NOT NULL AND out_ IS NOT NULL AND (volume IS NULL OR (volume_ratio_20 IS NOT NULL AND volume_history_complete = 1)) AS known, width_ <= width AND abs(drift) <= width / 2 AND out_ > breakout AND (volume IS NULL OR volume_ratio_20 >= volume) AS holds FROM prows JOIN prules USING (k)"),
+    "bknown": (("brows", "brules"), f"SELECT {_OUT}, rule_id, 'bottom_volume' AS family, state = 1 AND down IS NOT NULL AND above IS NOT NULL AND volume_ratio_20 IS NOT NULL AND volume_history_complete = 1 AND (NOT rising OR r IS NOT NULL) AS known, -down >= drawdown AND above <= low AND volume_ratio_20 >= volume AND (NOT rising OR r > 0) AS holds FROM brows JOIN brules USING (k)"),
+    "cknown": (("crows", "crules"), f"SELECT {_OUT}, rule_id, 'ascending_channel' AS family, state = 1 AND gain_ IS NOT NULL AND r2 IS NOT NULL AND shift IS NOT NULL AND sigma > 1e-12 AS known, gain_ >= gain AND r2 >= 0.01e0 AND 4 * sigma <= ln(1 + width) AND abs(shift) <= 2 * sigma AND (position = 'all' OR (position = 'lower') = (shift < 0)) AS holds FROM crows JOIN crules USING (k)"),
+    "evaluated": (("pknown", "bknown", "cknown"), f"SELECT {_OUT}, rule_id, family, coalesce(known, false) AS known, coalesce(known AND holds, false) AS hit FROM (SELECT * FROM pknown UNION ALL SELECT * FROM bknown UNION ALL SELECT * FROM cknown)"),
+    # five known days before, without a hit on any
+    "clear": (("evaluated",), "SELECT a.rule_id, a.stock_id, a.cal_idx FROM evaluated a JOIN evaluated b ON b.rule_id = a.rule_id AND b.stock_id = a.stock_id AND b.cal_idx BETWEEN a.cal_idx - 5 AND a.cal_idx - 1 WHERE a.hit AND b.known AND NOT b.hit GROUP BY ALL HAVING count(*) = 5"),
+    "trig": (("evaluated", "clear"), "SELECT e.*, c.rule_id IS NOT NULL AS first_hit FROM evaluated e LEFT JOIN clear c ON c.rule_id = e.rule_id AND c.stock_id = e.stock_id AND c.cal_idx = e.cal_idx"),
+    "viewed": (("trig",), f"SELECT *, {EVENT_COLUMNS} FROM (SELECT *, 'all_qualifying_days' AS view FROM trig WHERE hit AND y IS NOT NULL UNION ALL SELECT *, 'first_after_5_clear_days' FROM trig WHERE first_hit AND y IS NOT NULL)"),
+    "pcov": (("trig", "every_rule"), "SELECT rule_id, r.family, count_if(state = 1) AS eligible, count_if(known) AS known, count_if(hit) AS signals, count_if(first_hit) AS first_signals, count_if(hit AND y IS NULL) AS unscorable_signals FROM every_rule r LEFT JOIN trig t USING (rule_id) GROUP BY ALL"),
 }
 
 
@@ -100,13 +145,15 @@ def sql(body: str, *names: str) -> str:
     return with_ctes(body, *names, extra=PATTERN_CTES)
 
 
+_MEANS = ("mean_y", "median_y", "max_day_share", *(f"daily_{e}" for e in SHOWN))
 ORACLES = {
-    "pattern_grid": "SELECT * FROM (VALUES " + ", ".join(f"('{r['rule_id']}', '{r['family']}', {r['window']}, CAST({r.get('volume') or 0} AS DOUBLE))" for r in RULES) + ") t(rule_id, family, \"window\", volume)",
+    "pattern_grid": sql("SELECT rule_id, family, false AS canonical, CAST(k AS INTEGER) AS \"window\", coalesce(volume, 0e0) AS volume FROM every_rule", "every_rule"),
     **{k: sql(f"SELECT rule_id, count_if(known) AS known, count_if(hit) AS hit FROM evaluated WHERE family = '{f}' GROUP BY rule_id", "evaluated") for k, f in (("pattern_platform", "platform"), ("pattern_bottom", "bottom_volume"), ("pattern_channel", "ascending_channel"))},
     "first_trigger": sql("SELECT rule_id, stock_id, cal_idx FROM trig WHERE first_hit", "trig"),
-    "pattern_stats": sql(f"SELECT rule_id, view, phase, n, dates, stocks, {', '.join(SHOWN)}, {', '.join(f'{rounded(c)} AS {c}' for c in ('mean_y', 'median_y', 'max_day_share', *(f'daily_{e}' for e in SHOWN)))} FROM (SELECT rule_id, view, phase, count(*) AS n, count(DISTINCT stock_id) AS stocks, avg(y) AS mean_y, median(y) AS median_y, {', '.join(f'count_if({e}) AS {e}' for e in SHOWN)} FROM viewed GROUP BY ALL) JOIN (SELECT rule_id, view, phase, count(*) AS dates, max(n) / CAST(sum(n) AS DOUBLE) AS max_day_share, {', '.join(f'avg({e} / CAST(n AS DOUBLE)) AS daily_{e}' for e in SHOWN)} FROM (SELECT rule_id, view, phase, target_idx, count(*) AS n, {', '.join(f'count_if({e}) AS {e}' for e in SHOWN)} FROM viewed GROUP BY ALL) GROUP BY ALL) USING (rule_id, view, phase)", "viewed"),
-    "pattern_coverage": sql("SELECT rule_id, family, count_if(state = 1) AS eligible, count_if(known) AS known, count_if(hit) AS signals, count_if(first_hit) AS first_signals, count_if(hit AND y IS NULL) AS unscorable_signals FROM trig GROUP BY ALL", "trig"),
-    "discovery_choice": sql("SELECT family, rule_id, n, event, hits FROM (" + " UNION ALL ".join(f"SELECT family, rule_id, count(*) AS n, '{e}' AS event, count_if({e}) AS hits FROM viewed WHERE view = '{pt.VIEWS[0]}' AND phase = 'discovery' GROUP BY ALL" for e in ru.EVENTS) + ") WHERE 20 * hits > 13 * n QUALIFY row_number() OVER (PARTITION BY family, event ORDER BY n DESC, rule_id) = 1", "viewed"),
-    "family_summary": sql("SELECT family, count(DISTINCT rule_id) AS rules, count_if(known) AS known, count_if(hit) AS signals, count_if(first_hit) AS first_signals, count(DISTINCT CASE WHEN hit THEN rule_id END) AS rules_with_signals FROM trig GROUP BY family", "trig"),
-    "liquidity_diag": sql(f"SELECT rule_id, phase, count(*) AS n, count(volume_ratio_20) AS finite_n, {rounded('avg(volume_ratio_20)')} AS mean_ratio, {rounded('median(volume_ratio_20)')} AS median_ratio FROM evaluated WHERE hit AND family = 'platform' GROUP BY ALL", "evaluated"),
+    "pattern_stats": sql(f"SELECT rule_id, view, phase, n, dates, stocks, {', '.join(SHOWN)}, {', '.join(f'{round_sql(c)} AS {c}' for c in _MEANS)} FROM (SELECT rule_id, view, phase, count(*) AS n, count(DISTINCT stock_id) AS stocks, avg(y) AS mean_y, median(y) AS median_y, {_HITS} FROM viewed GROUP BY ALL) JOIN (SELECT rule_id, view, phase, count(*) AS dates, max(n) / CAST(sum(n) AS DOUBLE) AS max_day_share, {', '.join(f'avg({e} / CAST(n AS DOUBLE)) AS daily_{e}' for e in SHOWN)} FROM (SELECT rule_id, view, phase, target_idx, count(*) AS n, {_HITS} FROM viewed GROUP BY ALL) GROUP BY ALL) USING (rule_id, view, phase)", "viewed"),
+    "pattern_fold_stats": sql(f"SELECT rule_id, view, fold, coalesce(n, 0) AS n, coalesce(dates, 0) AS dates, {', '.join(f'coalesce({e}, 0) AS {e}' for e in SHOWN)} FROM (SELECT rule_id, view, printf('F%02d', f) AS fold FROM every_rule, (VALUES ('all_qualifying_days'), ('first_after_5_clear_days')) v(view), range(1, 8) t(f)) LEFT JOIN (SELECT rule_id, view, printf('F%02d', (target_idx - {FIRST}) // {LENGTH} + 1) AS fold, count(*) AS n, count(DISTINCT target_idx) AS dates, {_HITS} FROM viewed WHERE target_idx BETWEEN {FIRST} AND {FIRST + FOLDS * LENGTH - 1} GROUP BY ALL) c USING (rule_id, view, fold)", "viewed", "every_rule"),
+    "pattern_coverage": sql("SELECT * FROM pcov", "pcov"),
+    "discovery_choice": sql("SELECT family, rule_id, n, event, hits FROM (" + " UNION ALL ".join(f"SELECT family, rule_id, count(*) AS n, '{e}' AS event, count_if({e}) AS hits FROM viewed WHERE view = 'all_qualifying_days' AND phase = 'discovery' GROUP BY ALL" for e in EVENTS) + ") WHERE 20 * hits > 13 * n QUALIFY row_number() OVER (PARTITION BY family, event ORDER BY n DESC, rule_id) = 1", "viewed"),
+    "family_summary": sql("SELECT family, count(*) AS rules, CAST(sum(known) AS BIGINT) AS known, CAST(sum(signals) AS BIGINT) AS signals, CAST(sum(first_signals) AS BIGINT) AS first_signals, count_if(signals > 0) AS rules_with_signals FROM pcov GROUP BY family", "pcov"),
+    "liquidity_diag": sql(f"SELECT rule_id, phase, count(*) AS n, count(volume_ratio_20) AS finite_n, {round_sql('avg(volume_ratio_20)')} AS mean_ratio, {round_sql('median(volume_ratio_20)')} AS median_ratio FROM evaluated WHERE hit AND family = 'platform' GROUP BY ALL", "evaluated"),
 }

@@ -1,56 +1,51 @@
-"""Queries of conditional hit rates, over discovery rows (the first fold's training) and confirmation rows (all folds' scores)."""
+"""Queries of conditional hit rates, over discovery rows (the first fold's training) and confirmation rows (all folds' scores).
+
+Every feature is mined, for every event. The DuckDB text is written by hand in the second half.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored
 from ..functions.windows import rounded
 from ..operators import features as ft
 from ..operators import rules as ru
 from ..operators import splits as sp
-from ..operators import targets as tg
-from ..sources import trade_panel as src
-from .panel_queries import ready
-from .reference_sql import with_ctes
+from ..sources import prepared as prep
+from .reference_sql import EVENT_COLUMNS, EVENTS, FEATURE_SQL, with_ctes
+from .reference_sql import rounded as round_sql
 from .split_queries import SPLIT_CTES, plan
 
-#: What the queries without `all_` mine: one feature of each kind of cuts. QUANTILES and DISCRETE_MAX shape the cuts.
-MINED = {"return_mean_20": "return_mean", "volume_shares_relative_20": "liquidity", "close_position": "candle", "sh000001_return_0": "market", "suspended_days_20": "history_state"}
 QUANTILES, DISCRETE_MAX = [0.1, 0.25, 0.5, 0.75, 0.9], 64
-SHOWN = ("up", "down_ge_5")
-#: What the queries named all_... mine and show: every feature, and the rates of every event.
-EVERY = {n: family for n, (family, _) in ft.catalogue().items()}
+FAMILIES = {n: family for n, (family, _) in ft.catalogue().items()}
 BOOT_WIDTH, BOOT_REPS = 5, 200
 
 
-def scored(spark: SparkSession, sf_dir: str, families: dict[str, str] = MINED) -> DataFrame:
-    """Rows of both phases: phase, fold, row_id, entity, day, y, the mined features and the events."""
-    table = ft.catalogue()
-    wide = ready(spark, sf_dir).withColumns({n: F.expr(f"CAST({table[n][1]} AS FLOAT)") for n in families})
-    samples = tg.samples(wide, src.entities(spark, sf_dir))
-    roles = sp.roles(samples, plan(spark, sf_dir)).where("(fold = 'F01' AND role = 'train') OR (fold <> 'holdout' AND role = 'score')")
-    rows = roles.select(F.when(F.col("role") == "train", "discovery").otherwise("confirmation").alias("phase"), "fold", "row_id", F.col("stock_id").alias("entity"), F.col("target_idx").alias("day"), "y", *families)
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of both phases: phase, fold, row_id, entity, day, y, the features and the events."""
+    roles = sp.roles(prep.samples(spark, sf_dir), plan(spark, sf_dir)).where("(fold = 'F01' AND role = 'train') OR (fold <> 'holdout' AND role = 'score')")
+    rows = roles.select(F.when(F.col("role") == "train", "discovery").otherwise("confirmation").alias("phase"), "fold", "row_id", F.col("stock_id").alias("entity"), F.col("target_idx").alias("day"), "y", *FAMILIES)
     return ru.with_events(rows)
 
 
-def long_rows(spark: SparkSession, sf_dir: str, families: dict[str, str] = MINED) -> DataFrame:
-    # cuts read the rows several times
-    return ru.long_features(scored(spark, sf_dir, families).persist(), list(families), "phase", "fold", "row_id", "entity", "day", "y", *ru.EVENTS)
+def long_rows(rows: DataFrame) -> DataFrame:
+    return ru.long_features(rows, list(FAMILIES), "phase", "fold", "row_id", "entity", "day", "y", *ru.EVENTS)
 
 
-def cuts_of(long: DataFrame, families: dict[str, str] = MINED) -> DataFrame:
+def cuts_of(rows: DataFrame) -> DataFrame:
     """From discovery features alone, before any outcome is read."""
-    return ru.make_cuts(long.where("phase = 'discovery'").select("feature", "x", "day", "row_id"), families, QUANTILES, DISCRETE_MAX)
+    return ru.make_cuts(long_rows(rows).where("phase = 'discovery'").select("feature", "x", "day", "row_id"), FAMILIES, QUANTILES, DISCRETE_MAX)
 
 
 class Mined:
-    """The frames that several queries share."""
+    """The frames that several statistics read: scored rows and cuts, stored, and the binned rows."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, families: dict[str, str] = MINED):
-        self.rows = scored(spark, sf_dir, families).persist()  # read by every statistic below
-        self.long = ru.long_features(self.rows, list(families), "phase", "fold", "row_id", "entity", "day", "y", *ru.EVENTS)
-        self.cuts = cuts_of(self.long, families).persist()  # a row a feature
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.rows = stored(scored(spark, sf_dir))
+        self.long = long_rows(self.rows)
+        self.cuts = stored(cuts_of(self.rows))  # a row a feature
         self.binned = ru.assign_bins(self.long, self.cuts)
 
     def stats(self, phase: str) -> DataFrame:
@@ -60,45 +55,62 @@ class Mined:
         names = spark.range(1).select(F.explode(F.array(*[F.lit(f"F{i:02}") for i in range(1, 8)])).alias("fold"))
         return ru.interval_folds(self.binned.where("phase = 'confirmation'"), self.cuts, names)
 
+    def classes(self, spark: SparkSession) -> DataFrame:
+        return ru.classify(self.stats("discovery"), self.stats("confirmation"), self.folds(spark))
+
+
+def cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cuts_of(scored(spark, sf_dir)).select("feature", F.posexplode("cuts").alias("nth", "cut")).select("feature", "nth", F.expr(f"{rounded('cut')} AS cut"))
+
+
+def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ru.intervals(cuts_of(scored(spark, sf_dir)))
+
+
+def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Mined(spark, sf_dir).binned.groupBy("phase", "feature", "bin").agg(F.count(F.lit(1)).alias("n"), F.count_if("up").alias("up"))
+
 
-def cuts(spark: SparkSession, sf_dir: str, families: dict[str, str] = MINED) -> DataFrame:
-    return cuts_of(long_rows(spark, sf_dir, families), families).select("feature", F.posexplode("cuts").alias("nth", "cut")).select("feature", "nth", F.expr(f"{rounded('cut')} AS cut"))
+SHOWN = ("mean_y", "max_day_share", "max_stock_share", *(f"{p}_{e}" for p in ("daily", "matched") for e in EVENTS))
 
 
-def bins(spark: SparkSession, sf_dir: str, families: dict[str, str] = MINED) -> DataFrame:
-    m = Mined(spark, sf_dir, families)
-    return m.binned.groupBy("phase", "feature", "bin").agg(F.count(F.lit(1)).alias("n"), F.count_if("up").alias("up"))
+def interval_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = Mined(spark, sf_dir).stats("discovery")
+    return out.select("feature", "lo", "hi", "n", "dates", "stocks", *ru.EVENTS, *[F.expr(f"{rounded(n)} AS {n}") for n in SHOWN])
 
 
-def interval_stats(spark: SparkSession, sf_dir: str, families: dict[str, str] = MINED, shown: tuple[str, ...] = SHOWN) -> DataFrame:
-    out = Mined(spark, sf_dir, families).stats("discovery")
-    names = ["mean_y", "max_day_share", "max_stock_share", *(f"{p}_{e}" for p in ("daily", "matched") for e in shown)]
-    return out.select("feature", "lo", "hi", "n", "dates", "stocks", *ru.EVENTS, *[F.expr(f"{rounded(n)} AS {n}") for n in names])
+def fold_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Mined(spark, sf_dir).folds(spark).select("feature", "lo", "hi", "fold", "n", "dates", *ru.EVENTS)
 
 
-def fold_stats(spark: SparkSession, sf_dir: str, families: dict[str, str] = MINED, shown: tuple[str, ...] = SHOWN) -> DataFrame:
-    return Mined(spark, sf_dir, families).folds(spark).select("feature", "lo", "hi", "fold", "n", "dates", *shown)
+def classify_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Mined(spark, sf_dir).classes(spark).select("feature", "lo", "hi", "event", "discovery_n", "discovery_hits", "confirmation_n", "confirmation_hits", "supported_folds", "passing_folds", "state")
 
 
-def classify_rules(spark: SparkSession, sf_dir: str, families: dict[str, str] = MINED) -> DataFrame:
-    m = Mined(spark, sf_dir, families)
-    return ru.classify(m.stats("discovery"), m.stats("confirmation"), m.folds(spark)).select("feature", "lo", "hi", "event", "discovery_n", "discovery_hits", "confirmation_n", "confirmation_hits", "supported_folds", "passing_folds", "state")
+def pooled_over65(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules above 65 % over both phases together."""
+    both = Mined(spark, sf_dir).classes(spark).withColumns({"n": F.col("discovery_n") + F.col("confirmation_n"), "hits": F.col("discovery_hits") + F.col("confirmation_hits")})
+    return both.where(ru.over_65(F.col("hits"), F.col("n"))).select("feature", "lo", "hi", "event", "n", "hits")
 
 
-def representatives(spark: SparkSession, sf_dir: str, families: dict[str, str] = MINED) -> DataFrame:
-    return ru.representatives(Mined(spark, sf_dir, families).stats("discovery")).select("feature", "event", "lo", "hi", "n", "hits")
+def pooled_over65_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pooled_over65(spark, sf_dir).groupBy("feature").agg(F.count(F.lit(1)).alias("rules"), F.count_distinct("event").alias("events"))
 
 
-def feature_overview(spark: SparkSession, sf_dir: str, families: dict[str, str] = MINED) -> DataFrame:
+def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ru.representatives(Mined(spark, sf_dir).stats("discovery")).select("feature", "event", "lo", "hi", "n", "hits")
+
+
+def feature_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per feature: intervals above 65 % in both phases, in each, and the correlation in discovery."""
-    m = Mined(spark, sf_dir, families)
-    both = ru.classify(m.stats("discovery"), m.stats("confirmation"), m.folds(spark)).groupBy("feature").agg(
+    m = Mined(spark, sf_dir)
+    both = m.classes(spark).groupBy("feature").agg(
         F.count(F.lit(1)).alias("rules"), F.count_if(ru.over_65(F.col("discovery_hits"), F.col("discovery_n"))).alias("discovery_over"), F.count_if(ru.over_65(F.col("confirmation_hits"), F.col("confirmation_n"))).alias("confirmation_over"))
     return both.join(ru.correlation(m.long.where("phase = 'discovery'")), "feature", "left").select("feature", "rules", "discovery_over", "confirmation_over", F.expr(f"{rounded('correlation')} AS correlation"))
 
 
-def correlation(spark: SparkSession, sf_dir: str, families: dict[str, str] = MINED) -> DataFrame:
-    return ru.correlation(long_rows(spark, sf_dir, families).where("phase = 'discovery'")).select("feature", "n", F.expr(f"{rounded('correlation')} AS correlation"))
+def correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ru.correlation(long_rows(scored(spark, sf_dir)).where("phase = 'discovery'")).select("feature", "n", F.expr(f"{rounded('correlation')} AS correlation"))
 
 
 def events_ten(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +119,9 @@ def events_ten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def phase_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir)
-    return rows.groupBy("phase").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("day").alias("dates"), F.count_distinct("entity").alias("stocks"), F.expr(f"{rounded('avg(y)')} AS mean_y"), F.expr(f"{rounded('avg(CASE WHEN up THEN 1e0 ELSE 0e0 END)')} AS up_rate"), F.expr(f"{rounded('median(y)')} AS median_y"))
+    middle = ru.exact_quantiles(rows, ["phase"], "y", [0.5]).select("phase", F.col("q")[0].alias("m"))
+    out = rows.groupBy("phase").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("day").alias("dates"), F.count_distinct("entity").alias("stocks"), F.expr(f"{rounded('avg(y)')} AS mean_y"), F.expr(f"{rounded('avg(CASE WHEN up THEN 1e0 ELSE 0e0 END)')} AS up_rate"))
+    return out.join(middle, "phase").withColumn("median_y", F.expr(rounded("m"))).drop("m")
 
 
 def over65(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,46 +140,62 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ru.bootstrap_interval(numbered, starts, BOOT_WIDTH).select("resamples", F.expr(f"{rounded('low')} AS low"), F.expr(f"{rounded('high')} AS high"))
 
 
-QUERIES = {f.__name__: f for f in (cuts, bins, interval_stats, fold_stats, classify_rules, representatives, feature_overview, correlation, events_ten, phase_baselines, over65, bootstrap_ci)}
-QUERIES["intervals"] = lambda spark, sf_dir: ru.intervals(cuts_of(long_rows(spark, sf_dir)))
-QUERIES |= {f"all_{f.__name__}": lambda spark, sf_dir, f=f: f(spark, sf_dir, EVERY) for f in (cuts, bins, classify_rules, representatives, feature_overview, correlation)}
-QUERIES |= {f"all_{f.__name__}": lambda spark, sf_dir, f=f: f(spark, sf_dir, EVERY, ru.EVENTS) for f in (interval_stats, fold_stats)}
-QUERIES["all_intervals"] = lambda spark, sf_dir: ru.intervals(cuts_of(long_rows(spark, sf_dir, EVERY), EVERY))
+QUERIES = {f.__name__: f for f in (cuts, intervals, bins, interval_stats, fold_stats, classify_rules, pooled_over65, pooled_over65_counts, representatives, feature_overview, correlation, events_ten, phase_baselines, over65, bootstrap_ci)}
 
-_EV = ru.event_expressions()
-_SUMS = ", ".join(f"CAST(sum({e}) AS BIGINT) AS {e}" for e in ru.EVENTS)
-_NAT = " ".join(f"WHEN '{n}' THEN [{', '.join(repr(c) + '::DOUBLE' for c in ru.natural_cuts(n, f))}]" for n, f in MINED.items())
-_LEAST = ru.SUPPORT
-_D = "discovery_n > 0 AND 20 * discovery_hits > 13 * discovery_n"
-_C = "confirmation_n > 0 AND 20 * confirmation_hits > 13 * confirmation_n"
+# -- the SQL, by hand
+_HITS = ", ".join(f"count_if({e}) AS {e}" for e in EVENTS)
+_SUMS = ", ".join(f"CAST(sum({e}) AS BIGINT) AS {e}" for e in EVENTS)
+_MARKET = "starts_with(feature, 'sh000001_') OR starts_with(feature, 'sz399001_')"
+_SUPPORT = {"discovery": (1000, 60, 20), "confirmation": (300, 30, 10)}
+_ABLE = {p: f"{p}_n >= {n} AND {p}_dates >= {d} AND {p}_stocks >= {s}" for p, (n, d, s) in _SUPPORT.items()}
+_OVER = {p: f"{p}_n > 0 AND 20 * {p}_hits > 13 * {p}_n" for p in _SUPPORT}
+
+# The natural cuts, as single-precision numbers, by what the feature's name says.
+_NATURAL = """SELECT feature, list_concat(list_transform(c, lambda x: CAST(CAST(x AS FLOAT) AS DOUBLE)), CASE WHEN fraction THEN [CAST(nextafter(CAST(0 AS FLOAT), CAST(1 AS FLOAT)) AS DOUBLE), CAST(nextafter(CAST(1 AS FLOAT), CAST(2 AS FLOAT)) AS DOUBLE)] ELSE [CAST(nextafter(CAST(0 AS FLOAT), CAST(1 AS FLOAT)) AS DOUBLE)] END) AS fixed_cuts
+ FROM (SELECT feature, feature = 'close_position' OR feature LIKE '%valid_fraction%' AS fraction, CASE
+ WHEN feature LIKE '%std%' THEN [0, 0.005, 0.01, 0.02, 0.03, 0.05, 0.10]
+ WHEN feature LIKE '%relative%' THEN [-0.9, -0.75, -0.5, 0, 0.5, 1, 2, 4, 9]
+ WHEN feature = 'listing_age_days' THEN [5, 10, 20, 30, 60, 90, 180, 365, 730, 1095, 1825, 3650, 7300]
+ WHEN feature = 'close_position' OR feature LIKE '%valid_fraction%' THEN [0, 0.25, 0.5, 0.75, 0.9, 0.95, 1]
+ WHEN feature = 'turnover' THEN [0, 0.005, 0.01, 0.02, 0.03, 0.05, 0.10, 0.20, 0.30, 0.50]
+ WHEN feature = 'turnover_change_1' THEN [-0.10, -0.05, -0.02, -0.01, 0, 0.01, 0.02, 0.05, 0.10]
+ WHEN feature IN ('candle_body', 'high_low_range', 'upper_shadow', 'lower_shadow') THEN [-0.10, -0.05, -0.03, -0.02, -0.01, 0, 0.01, 0.02, 0.03, 0.05, 0.10, 0.20]
+ WHEN feature IN ('suspended_days_20', 'days_since_previous_trade') THEN [0, 1, 2, 5, 10, 20, 60]
+ ELSE [-0.20, -0.10, -0.099, -0.098, -0.095, -0.05, -0.03, -0.02, -0.01, 0, 0.01, 0.02, 0.03, 0.05, 0.095, 0.098, 0.099, 0.10, 0.20] END AS c FROM (SELECT DISTINCT feature FROM long))"""
 
 
 def _stats(phase: str) -> dict[str, tuple[tuple[str, ...], str]]:
     p = phase[0]
     return {
-        f"{p}day": (("binned", "ints"), f"SELECT i.feature, lo, hi, day, sum(n) AS n, sum(sum_y) AS sum_y, {', '.join(f'sum({e}) AS {e}' for e in ru.EVENTS)} FROM (SELECT feature, bin, day, count(*) AS n, sum(y) AS sum_y, {', '.join(f'count_if({e}) AS {e}' for e in ru.EVENTS)} FROM binned WHERE phase = '{phase}' GROUP BY ALL) b JOIN ints i ON b.feature = i.feature AND bin >= lo AND bin < hi GROUP BY ALL"),
-        f"{p}base": (("scored",), f"SELECT day, {', '.join(f'avg(CAST({e} AS DOUBLE)) AS base_{e}' for e in ru.EVENTS)} FROM scored WHERE phase = '{phase}' GROUP BY day"),
-        f"{p}ent": (("binned", "ints"), f"SELECT feature, lo, hi, count(*) AS stocks, max(n) / CAST(sum(n) AS DOUBLE) AS max_stock_share FROM (SELECT i.feature, lo, hi, entity, count(*) AS n FROM binned b JOIN ints i ON b.feature = i.feature AND bin >= lo AND bin < hi WHERE phase = '{phase}' GROUP BY ALL) GROUP BY ALL"),
-        f"{p}stats": ((f"{p}day", f"{p}base", f"{p}ent"), f"SELECT t.*, stocks, max_stock_share FROM (SELECT feature, lo, hi, CAST(sum(n) AS BIGINT) AS n, count(*) AS dates, sum(sum_y) / sum(n) AS mean_y, max(n) / CAST(sum(n) AS DOUBLE) AS max_day_share, {_SUMS}, {', '.join(f'avg({e} / CAST(n AS DOUBLE)) AS daily_{e}' for e in ru.EVENTS)}, {', '.join(f'sum(n * base_{e}) / sum(n) AS matched_{e}' for e in ru.EVENTS)} FROM {p}day JOIN {p}base USING (day) GROUP BY feature, lo, hi) t JOIN {p}ent USING (feature, lo, hi)"),
+        f"{p}cell": (("binned",), f"SELECT feature, bin, day, count(*) AS n, sum(y) AS sum_y, {_HITS} FROM binned WHERE phase = '{phase}' GROUP BY ALL"),
+        f"{p}day": ((f"{p}cell", "ints"), f"SELECT i.feature, lo, hi, day, sum(n) AS n, sum(sum_y) AS sum_y, {', '.join(f'sum({e}) AS {e}' for e in EVENTS)} FROM {p}cell b JOIN ints i ON b.feature = i.feature AND bin >= lo AND bin < hi GROUP BY ALL"),
+        f"{p}base": (("scored",), f"SELECT day, {', '.join(f'avg(CAST({e} AS DOUBLE)) AS base_{e}' for e in EVENTS)} FROM scored WHERE phase = '{phase}' GROUP BY day"),
+        f"{p}ecell": (("binned",), f"SELECT feature, bin, entity, count(*) AS n FROM binned WHERE phase = '{phase}' GROUP BY ALL"),
+        f"{p}ent": ((f"{p}ecell", "ints"), f"SELECT feature, lo, hi, count(*) AS stocks, max(n) / CAST(sum(n) AS DOUBLE) AS max_stock_share FROM (SELECT i.feature, lo, hi, entity, sum(n) AS n FROM {p}ecell b JOIN ints i ON b.feature = i.feature AND bin >= lo AND bin < hi GROUP BY ALL) GROUP BY ALL"),
+        f"{p}stats": ((f"{p}day", f"{p}base", f"{p}ent"), f"SELECT t.*, stocks, max_stock_share FROM (SELECT feature, lo, hi, CAST(sum(n) AS BIGINT) AS n, count(*) AS dates, sum(sum_y) / sum(n) AS mean_y, max(n) / CAST(sum(n) AS DOUBLE) AS max_day_share, {_SUMS}, {', '.join(f'avg({e} / CAST(n AS DOUBLE)) AS daily_{e}' for e in EVENTS)}, {', '.join(f'sum(n * base_{e}) / sum(n) AS matched_{e}' for e in EVENTS)} FROM {p}day JOIN {p}base USING (day) GROUP BY feature, lo, hi) t JOIN {p}ent USING (feature, lo, hi)"),
+        f"{p}long": ((f"{p}stats",), " UNION ALL ".join(f"SELECT feature, lo, hi, n AS {phase}_n, dates AS {phase}_dates, stocks AS {phase}_stocks, '{e}' AS event, {e} AS {phase}_hits FROM {p}stats" for e in EVENTS)),
     }
 
 
+_COUNTED = ("discovery_n", "discovery_dates", "discovery_stocks", "discovery_hits", "confirmation_n", "confirmation_dates", "confirmation_stocks", "confirmation_hits", "supported_folds", "passing_folds")
 RULE_CTES = SPLIT_CTES | {
-    "scored": (("roles", "feats"), f"SELECT *, {', '.join(f'{x} AS {n}' for n, x in _EV.items())} FROM (SELECT CASE role WHEN 'train' THEN 'discovery' ELSE 'confirmation' END AS phase, fold, row_id, r.stock_id AS entity, target_idx AS day, y, {', '.join(f'f.{n}' for n in MINED)} FROM roles r JOIN feats f ON f.stock_id = r.stock_id AND f.cal_idx = r.cal_idx WHERE (fold = 'F01' AND role = 'train') OR (fold <> 'holdout' AND role = 'score'))"),
-    "long": (("scored",), " UNION ALL ".join(f"SELECT phase, fold, row_id, entity, day, y, {', '.join(ru.EVENTS)}, '{n}' AS feature, CAST({n} AS DOUBLE) AS x FROM scored" for n in MINED)),
-    "vals": (("long",), "SELECT feature, x FROM long WHERE phase = 'discovery' AND x IS NOT NULL AND feature <> 'sh000001_return_0' UNION ALL SELECT feature, x FROM (SELECT feature, arg_min(x, row_id) AS x FROM long WHERE phase = 'discovery' AND feature = 'sh000001_return_0' AND x IS NOT NULL GROUP BY feature, day)"),
-    "cuts": (("vals",), f"SELECT feature, CASE WHEN low = high THEN [] WHEN len(states) <= {DISCRETE_MAX} THEN list_transform(range(1, len(states)), lambda i: (states[i] + states[i + 1]) / 2) ELSE list_sort(list_distinct(list_filter(list_concat(q, CASE feature {_NAT} END), lambda c: c > low AND c <= high))) END AS cuts FROM (SELECT feature, min(x) AS low, max(x) AS high, quantile_cont(x, {QUANTILES}) AS q, list_sort(list(DISTINCT x)) AS states FROM vals GROUP BY feature)"),
+    "scored": (("roles", "feats"), f"SELECT *, {EVENT_COLUMNS} FROM (SELECT CASE role WHEN 'train' THEN 'discovery' ELSE 'confirmation' END AS phase, fold, row_id, r.stock_id AS entity, target_idx AS day, y, {', '.join(f'f.{n}' for n in FEATURE_SQL)} FROM roles r JOIN feats f ON f.stock_id = r.stock_id AND f.cal_idx = r.cal_idx WHERE (fold = 'F01' AND role = 'train') OR (fold <> 'holdout' AND role = 'score'))"),
+    "long": (("scored",), " UNION ALL ".join(f"SELECT phase, fold, row_id, entity, day, y, {', '.join(EVENTS)}, '{n}' AS feature, CAST({n} AS DOUBLE) AS x FROM scored" for n in FEATURE_SQL)),
+    "vals": (("long",), f"SELECT feature, x FROM long WHERE phase = 'discovery' AND x IS NOT NULL AND NOT ({_MARKET}) UNION ALL SELECT feature, x FROM (SELECT feature, arg_min(x, row_id) AS x FROM long WHERE phase = 'discovery' AND ({_MARKET}) AND x IS NOT NULL GROUP BY feature, day)"),
+    "nat": (("long",), _NATURAL),
+    "cuts": (("vals", "nat"), f"SELECT feature, CASE WHEN low = high THEN [] WHEN len(states) <= {DISCRETE_MAX} THEN list_transform(range(1, len(states)), lambda i: (states[i] + states[i + 1]) / 2) ELSE list_sort(list_distinct(list_filter(list_concat(q, fixed_cuts), lambda c: c > low AND c <= high))) END AS cuts FROM (SELECT feature, min(x) AS low, max(x) AS high, quantile_cont(x, {QUANTILES}) AS q, list_sort(list(DISTINCT x)) AS states FROM vals GROUP BY feature) JOIN nat USING (feature)"),
     "binned": (("long", "cuts"), "SELECT l.*, CASE WHEN x IS NULL THEN len(cuts) + 1 ELSE len(list_filter(cuts, lambda c: c <= x)) END AS bin FROM long l JOIN cuts USING (feature)"),
     "ints": (("cuts",), "SELECT feature, lo, hi FROM (SELECT feature, len(cuts) + 1 AS k FROM cuts), range(0, 200) a(lo), range(1, 201) b(hi) WHERE lo < hi AND hi <= k UNION ALL SELECT feature, len(cuts) + 1, len(cuts) + 2 FROM cuts"),
     **_stats("discovery"), **_stats("confirmation"),
-    "fstats": (("binned", "ints"), f"SELECT i.feature, lo, hi, fold, coalesce(n, 0) AS n, coalesce(dates, 0) AS dates, {', '.join(f'coalesce({e}, 0) AS {e}' for e in ru.EVENTS)} FROM ints i CROSS JOIN (SELECT printf('F%02d', k) AS fold FROM range(1, 8) t(k)) f LEFT JOIN (SELECT j.feature, lo, hi, fold, count(*) AS n, count(DISTINCT day) AS dates, {', '.join(f'count_if({e}) AS {e}' for e in ru.EVENTS)} FROM binned b JOIN ints j ON b.feature = j.feature AND bin >= lo AND bin < hi WHERE phase = 'confirmation' GROUP BY ALL) c USING (feature, lo, hi, fold)"),
-    "dlong": (("dstats",), " UNION ALL ".join(f"SELECT feature, lo, hi, n AS discovery_n, dates AS discovery_dates, stocks AS discovery_stocks, '{e}' AS event, {e} AS discovery_hits FROM dstats" for e in ru.EVENTS)),
-    "clong": (("cstats",), " UNION ALL ".join(f"SELECT feature, lo, hi, n AS confirmation_n, dates AS confirmation_dates, stocks AS confirmation_stocks, '{e}' AS event, {e} AS confirmation_hits FROM cstats" for e in ru.EVENTS)),
-    "stable": (("fstats",), "SELECT feature, lo, hi, event, count(*) AS supported_folds, count_if(20 * hits > 13 * n) AS passing_folds FROM (" + " UNION ALL ".join(f"SELECT feature, lo, hi, n, '{e}' AS event, {e} AS hits FROM fstats WHERE n >= {_LEAST['fold'][0]} AND dates >= {_LEAST['fold'][1]}" for e in ru.EVENTS) + ") GROUP BY ALL"),
-    "classes": (("dlong", "clong", "stable"), f"""SELECT *, CASE WHEN {_D} AND {_C} AND discovery_n >= {_LEAST['discovery'][0]} AND discovery_dates >= {_LEAST['discovery'][1]} AND discovery_stocks >= {_LEAST['discovery'][2]} AND confirmation_n >= {_LEAST['confirmation'][0]} AND confirmation_dates >= {_LEAST['confirmation'][1]} AND confirmation_stocks >= {_LEAST['confirmation'][2]} AND supported_folds >= {_LEAST['folds']} AND 2 * passing_folds > supported_folds THEN 'supported_cross_period'
- WHEN {_D} AND {_C} THEN 'both_over_weak_support' WHEN {_D} AND confirmation_n > 0 THEN 'discovery_only_not_reproduced' WHEN {_D} THEN 'discovery_only_no_later_sample' WHEN {_C} THEN 'later_only' ELSE 'not_over' END AS state
- FROM (SELECT feature, lo, hi, event, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('discovery_n', 'discovery_dates', 'discovery_stocks', 'discovery_hits', 'confirmation_n', 'confirmation_dates', 'confirmation_stocks', 'confirmation_hits', 'supported_folds', 'passing_folds'))} FROM dlong FULL JOIN clong USING (feature, lo, hi, event) LEFT JOIN stable USING (feature, lo, hi, event))"""),
+    "fcell": (("binned",), f"SELECT feature, bin, fold, day, count(*) AS n, {_HITS} FROM binned WHERE phase = 'confirmation' GROUP BY ALL"),
+    "fstats": (("fcell", "ints"), f"SELECT i.feature, lo, hi, fold, coalesce(n, 0) AS n, coalesce(dates, 0) AS dates, {', '.join(f'coalesce({e}, 0) AS {e}' for e in EVENTS)} FROM ints i CROSS JOIN (SELECT printf('F%02d', k) AS fold FROM range(1, 8) t(k)) f LEFT JOIN (SELECT j.feature, lo, hi, fold, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT day) AS dates, {_SUMS} FROM fcell b JOIN ints j ON b.feature = j.feature AND bin >= lo AND bin < hi GROUP BY ALL) c USING (feature, lo, hi, fold)"),
+    "stable": (("fstats",), "SELECT feature, lo, hi, event, count(*) AS supported_folds, count_if(20 * hits > 13 * n) AS passing_folds FROM (" + " UNION ALL ".join(f"SELECT feature, lo, hi, n, '{e}' AS event, {e} AS hits FROM fstats WHERE n >= 20 AND dates >= 10" for e in EVENTS) + ") GROUP BY ALL"),
+    "classes": (("dlong", "clong", "stable"), f"""SELECT *, CASE WHEN {_OVER['discovery']} AND {_OVER['confirmation']} AND {_ABLE['discovery']} AND {_ABLE['confirmation']} AND supported_folds >= 3 AND 2 * passing_folds > supported_folds THEN 'supported_cross_period'
+ WHEN {_OVER['discovery']} AND {_OVER['confirmation']} THEN 'both_over_weak_support' WHEN {_OVER['discovery']} AND confirmation_n > 0 THEN 'discovery_only_not_reproduced' WHEN {_OVER['discovery']} THEN 'discovery_only_no_later_sample' WHEN {_OVER['confirmation']} THEN 'later_only' ELSE 'not_over' END AS state
+ FROM (SELECT feature, lo, hi, event, {', '.join(f'coalesce({c}, 0) AS {c}' for c in _COUNTED)} FROM dlong FULL JOIN clong USING (feature, lo, hi, event) LEFT JOIN stable USING (feature, lo, hi, event))"""),
+    "pooled": (("classes",), "SELECT feature, lo, hi, event, n, hits FROM (SELECT *, discovery_n + confirmation_n AS n, discovery_hits + confirmation_hits AS hits FROM classes) WHERE n > 0 AND 20 * hits > 13 * n"),
     "corr_": (("long",), "SELECT feature, count(*) AS n, CASE WHEN count(*) >= 2 AND stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN corr(x, y) END AS c FROM long WHERE phase = 'discovery' AND x IS NOT NULL AND y IS NOT NULL GROUP BY feature"),
+    "num": (("scored",), "SELECT row_number() OVER (ORDER BY day) - 1 AS nth, count_if(return_mean_20 > 0) AS n, count_if(return_mean_20 > 0 AND up) AS hits FROM scored WHERE phase = 'confirmation' GROUP BY day"),
 }
 
 
@@ -173,40 +203,21 @@ def sql(body: str, *names: str) -> str:
     return with_ctes(body, *names, extra=RULE_CTES)
 
 
-_SHOW = ["mean_y", "max_day_share", "max_stock_share", *(f"{p}_{e}" for p in ("daily", "matched") for e in SHOWN)]
+_EDGES = "CAST(lo AS INTEGER) AS lo, CAST(hi AS INTEGER) AS hi"
 ORACLES = {
-    "cuts": sql(f"SELECT feature, CAST(i - 1 AS INTEGER) AS nth, {rounded('c')} AS cut FROM (SELECT feature, unnest(cuts) AS c, generate_subscripts(cuts, 1) AS i FROM cuts)", "cuts"),
+    "cuts": sql(f"SELECT feature, CAST(i - 1 AS INTEGER) AS nth, {round_sql('c')} AS cut FROM (SELECT feature, unnest(cuts) AS c, generate_subscripts(cuts, 1) AS i FROM cuts)", "cuts"),
     "bins": sql("SELECT phase, feature, CAST(bin AS INTEGER) AS bin, count(*) AS n, count_if(up) AS up FROM binned GROUP BY ALL", "binned"),
-    "intervals": sql("SELECT feature, CAST(lo AS INTEGER) AS lo, CAST(hi AS INTEGER) AS hi FROM ints", "ints"),
-    "interval_stats": sql(f"SELECT feature, CAST(lo AS INTEGER) AS lo, CAST(hi AS INTEGER) AS hi, n, dates, stocks, {', '.join(ru.EVENTS)}, {', '.join(f'{rounded(n)} AS {n}' for n in _SHOW)} FROM dstats", "dstats"),
-    "fold_stats": sql(f"SELECT feature, CAST(lo AS INTEGER) AS lo, CAST(hi AS INTEGER) AS hi, fold, n, dates, {', '.join(SHOWN)} FROM fstats", "fstats"),
-    "classify_rules": sql("SELECT feature, CAST(lo AS INTEGER) AS lo, CAST(hi AS INTEGER) AS hi, event, discovery_n, discovery_hits, confirmation_n, confirmation_hits, supported_folds, passing_folds, state FROM classes", "classes"),
-    "representatives": sql(f"SELECT feature, event, CAST(lo AS INTEGER) AS lo, CAST(hi AS INTEGER) AS hi, discovery_n AS n, discovery_hits AS hits FROM dlong WHERE {_D} AND discovery_n >= {_LEAST['discovery'][0]} AND discovery_dates >= {_LEAST['discovery'][1]} AND discovery_stocks >= {_LEAST['discovery'][2]} QUALIFY row_number() OVER (PARTITION BY feature, event ORDER BY discovery_n DESC, lo, hi) = 1", "dlong"),
-    "feature_overview": sql(f"SELECT feature, rules, discovery_over, confirmation_over, {rounded('c')} AS correlation FROM (SELECT feature, count(*) AS rules, count_if({_D}) AS discovery_over, count_if({_C}) AS confirmation_over FROM classes GROUP BY feature) LEFT JOIN corr_ USING (feature)", "classes", "corr_"),
-    "correlation": sql(f"SELECT feature, n, {rounded('c')} AS correlation FROM corr_", "corr_"),
-    "events_ten": sql(f"SELECT phase, count(*) AS n, {', '.join(f'count_if({e}) AS {e}' for e in ru.EVENTS)} FROM scored GROUP BY phase", "scored"),
-    "phase_baselines": sql(f"SELECT phase, count(*) AS n, count(DISTINCT day) AS dates, count(DISTINCT entity) AS stocks, {rounded('avg(y)')} AS mean_y, {rounded('avg(CASE WHEN up THEN 1e0 ELSE 0e0 END)')} AS up_rate, {rounded('median(y)')} AS median_y FROM scored GROUP BY phase", "scored"),
+    "intervals": sql(f"SELECT feature, {_EDGES} FROM ints", "ints"),
+    "interval_stats": sql(f"SELECT feature, {_EDGES}, n, dates, stocks, {', '.join(EVENTS)}, {', '.join(f'{round_sql(n)} AS {n}' for n in SHOWN)} FROM dstats", "dstats"),
+    "fold_stats": sql(f"SELECT feature, {_EDGES}, fold, n, dates, {', '.join(EVENTS)} FROM fstats", "fstats"),
+    "classify_rules": sql(f"SELECT feature, {_EDGES}, event, discovery_n, discovery_hits, confirmation_n, confirmation_hits, supported_folds, passing_folds, state FROM classes", "classes"),
+    "pooled_over65": sql(f"SELECT feature, {_EDGES}, event, n, hits FROM pooled", "pooled"),
+    "pooled_over65_counts": sql("SELECT feature, count(*) AS rules, count(DISTINCT event) AS events FROM pooled GROUP BY feature", "pooled"),
+    "representatives": sql(f"SELECT feature, event, {_EDGES}, discovery_n AS n, discovery_hits AS hits FROM dlong WHERE {_OVER['discovery']} AND {_ABLE['discovery']} QUALIFY row_number() OVER (PARTITION BY feature, event ORDER BY discovery_n DESC, lo, hi) = 1", "dlong"),
+    "feature_overview": sql(f"SELECT feature, rules, discovery_over, confirmation_over, {round_sql('c')} AS correlation FROM (SELECT feature, count(*) AS rules, count_if({_OVER['discovery']}) AS discovery_over, count_if({_OVER['confirmation']}) AS confirmation_over FROM classes GROUP BY feature) LEFT JOIN corr_ USING (feature)", "classes", "corr_"),
+    "correlation": sql(f"SELECT feature, n, {round_sql('c')} AS correlation FROM corr_", "corr_"),
+    "events_ten": sql(f"SELECT phase, count(*) AS n, {_HITS} FROM scored GROUP BY phase", "scored"),
+    "phase_baselines": sql(f"SELECT phase, count(*) AS n, count(DISTINCT day) AS dates, count(DISTINCT entity) AS stocks, {round_sql('avg(y)')} AS mean_y, {round_sql('avg(CASE WHEN up THEN 1e0 ELSE 0e0 END)')} AS up_rate, {round_sql('median(y)')} AS median_y FROM scored GROUP BY phase", "scored"),
     "over65": sql("SELECT * FROM (SELECT phase, day, count(*) AS n, count_if(up) AS hits FROM scored GROUP BY phase, day) WHERE 20 * hits > 13 * n", "scored"),
+    "bootstrap_ci": sql(f"SELECT count(*) AS resamples, {round_sql('quantile_cont(h / CAST(n AS DOUBLE), 0.025)')} AS low, {round_sql('quantile_cont(h / CAST(n AS DOUBLE), 0.975)')} AS high FROM (SELECT rep, sum(n) AS n, sum(hits) AS h FROM (SELECT rep, (((rep * 7919 + block * 104729 + 17) % days) + j) % days AS nth FROM range({BOOT_REPS}) a(rep), (SELECT count(*) AS days FROM num), range(0, 400) b(block), range(0, {BOOT_WIDTH}) c(j) WHERE block < ceil(days / {BOOT_WIDTH}e0) AND block * {BOOT_WIDTH} + j < days) JOIN num USING (nth) GROUP BY rep HAVING sum(n) > 0)", "num"),
 }
-RULE_CTES["num"] = (("scored",), "SELECT row_number() OVER (ORDER BY day) - 1 AS nth, count_if(return_mean_20 > 0) AS n, count_if(return_mean_20 > 0 AND up) AS hits FROM scored WHERE phase = 'confirmation' GROUP BY day")
-ORACLES["bootstrap_ci"] = sql(f"SELECT count(*) AS resamples, {rounded('quantile_cont(h / CAST(n AS DOUBLE), 0.025)')} AS low, {rounded('quantile_cont(h / CAST(n AS DOUBLE), 0.975)')} AS high FROM (SELECT rep, sum(n) AS n, sum(hits) AS h FROM (SELECT rep, (((rep * 7919 + block * 104729 + 17) % days) + j) % days AS nth FROM range({BOOT_REPS}) a(rep), (SELECT count(*) AS days FROM num), range(0, 400) b(block), range(0, {BOOT_WIDTH}) c(j) WHERE block < ceil(days / {BOOT_WIDTH}e0) AND block * {BOOT_WIDTH} + j < days) JOIN num USING (nth) GROUP BY rep HAVING sum(n) > 0)", "num")
-
-# The text of the queries named all_...: the frames that list the mined features, over every feature; the others as above.
-_ALL_NAT = " ".join(f"WHEN '{n}' THEN [{', '.join(repr(c) + '::DOUBLE' for c in ru.natural_cuts(n, f))}]" for n, f in EVERY.items())
-_MARKET = ", ".join(f"'{n}'" for n, f in EVERY.items() if f == "market")
-ALL_CTES = RULE_CTES | {
-    "scored": (("roles", "feats"), f"SELECT *, {', '.join(f'{x} AS {n}' for n, x in _EV.items())} FROM (SELECT CASE role WHEN 'train' THEN 'discovery' ELSE 'confirmation' END AS phase, fold, row_id, r.stock_id AS entity, target_idx AS day, y, {', '.join(f'f.{n}' for n in EVERY)} FROM roles r JOIN feats f ON f.stock_id = r.stock_id AND f.cal_idx = r.cal_idx WHERE (fold = 'F01' AND role = 'train') OR (fold <> 'holdout' AND role = 'score'))"),
-    "long": (("scored",), " UNION ALL ".join(f"SELECT phase, fold, row_id, entity, day, y, {', '.join(ru.EVENTS)}, '{n}' AS feature, CAST({n} AS DOUBLE) AS x FROM scored" for n in EVERY)),
-    "vals": (("long",), f"SELECT feature, x FROM long WHERE phase = 'discovery' AND x IS NOT NULL AND feature NOT IN ({_MARKET}) UNION ALL SELECT feature, x FROM (SELECT feature, arg_min(x, row_id) AS x FROM long WHERE phase = 'discovery' AND feature IN ({_MARKET}) AND x IS NOT NULL GROUP BY feature, day)"),
-    "cuts": (("vals",), f"SELECT feature, CASE WHEN low = high THEN [] WHEN len(states) <= {DISCRETE_MAX} THEN list_transform(range(1, len(states)), lambda i: (states[i] + states[i + 1]) / 2) ELSE list_sort(list_distinct(list_filter(list_concat(q, CASE feature {_ALL_NAT} END), lambda c: c > low AND c <= high))) END AS cuts FROM (SELECT feature, min(x) AS low, max(x) AS high, quantile_cont(x, {QUANTILES}) AS q, list_sort(list(DISTINCT x)) AS states FROM vals GROUP BY feature)"),
-}
-
-
-def all_sql(body: str, *names: str) -> str:
-    return with_ctes(body, *names, extra=ALL_CTES)
-
-
-_ALL_SHOW = ["mean_y", "max_day_share", "max_stock_share", *(f"{p}_{e}" for p in ("daily", "matched") for e in ru.EVENTS)]
-ORACLES |= {f"all_{n}": all_sql(ORACLES[n][ORACLES[n].rindex(")\nSELECT") + 2 :], *of) for n, of in {"cuts": ("cuts",), "bins": ("binned",), "intervals": ("ints",), "classify_rules": ("classes",), "representatives": ("dlong",), "feature_overview": ("classes", "corr_"), "correlation": ("corr_",)}.items()}
-ORACLES["all_interval_stats"] = all_sql(f"SELECT feature, CAST(lo AS INTEGER) AS lo, CAST(hi AS INTEGER) AS hi, n, dates, stocks, {', '.join(ru.EVENTS)}, {', '.join(f'{rounded(n)} AS {n}' for n in _ALL_SHOW)} FROM dstats", "dstats")
-ORACLES["all_fold_stats"] = all_sql(f"SELECT feature, CAST(lo AS INTEGER) AS lo, CAST(hi AS INTEGER) AS hi, fold, n, dates, {', '.join(ru.EVENTS)} FROM fstats", "fstats")

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import splits as sp
-from ..operators import targets as tg
-from ..sources import trade_panel as src
+from ..sources import prepared as prep
 from .reference_sql import with_ctes
 
 #: Of the weekly calendar: folds of 20 weeks from week 160, then the holdout from week 300.
@@ -18,7 +17,7 @@ FOLDS, FIRST, LENGTH = 7, 160, 20
 
 def plan_of(spark: SparkSession, sf_dir: str) -> list[sp.Window]:
     """The plan, from the calendar's dates: a row a week comes to the driver."""
-    days = [r.d.isoformat() for r in src.calendar(spark, sf_dir).orderBy("cal_idx").collect()]
+    days = [r.d.isoformat() for r in prep.calendar(spark, sf_dir).orderBy("cal_idx").collect()]
     folds = [{"id": f"F{i + 1:02}", "train_through": days[FIRST + LENGTH * i - 1], "validation_start": days[FIRST + LENGTH * i], "validation_end": days[FIRST + LENGTH * (i + 1) - 1]} for i in range(FOLDS)]
     last = FIRST + LENGTH * FOLDS
     closed = (date.fromisoformat(days[last]) - timedelta(days=2)).isoformat()  # projects to the market day after it
@@ -30,7 +29,7 @@ def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tg.samples(src.panel(spark, sf_dir), src.entities(spark, sf_dir))
+    return prep.samples(spark, sf_dir)
 
 
 def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,12 +53,12 @@ def split_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp.index_invariants(samples(spark, sf_dir), src.calendar(spark, sf_dir).count())
+    return sp.index_invariants(samples(spark, sf_dir), prep.calendar(spark, sf_dir).count())
 
 
 QUERIES = {
     "split_plan": split_plan, "split_roles": lambda spark, sf_dir: assigned(spark, sf_dir).select("fold", "role", "row_id"), "split_role_counts": lambda spark, sf_dir: sp.role_counts(samples(spark, sf_dir), plan(spark, sf_dir)),
-    "split_daily_coverage": lambda spark, sf_dir: sp.daily_coverage(samples(spark, sf_dir), plan(spark, sf_dir), src.calendar(spark, sf_dir)), "split_invariants": split_invariants, "index_invariants": index_invariants,
+    "split_daily_coverage": lambda spark, sf_dir: sp.daily_coverage(samples(spark, sf_dir), plan(spark, sf_dir), prep.calendar(spark, sf_dir)), "split_invariants": split_invariants, "index_invariants": index_invariants,
     "score_subset_predict": lambda spark, sf_dir: sp.score_mask(assigned(spark, sf_dir)), "sample_key_digest": lambda spark, sf_dir: sp.sample_key_digest(assigned(spark, sf_dir)), "population_coverage": lambda spark, sf_dir: sp.population_coverage(samples(spark, sf_dir)), "exact_cover": exact_cover,
 }
 SPLIT_CTES = {

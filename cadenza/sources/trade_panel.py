@@ -34,30 +34,29 @@ def bars_of(lines: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def market_closes(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
-    """(symbol, cal_idx, close): the size-weighted mean price by line status."""
+def market_closes(spark: SparkSession, sf_dir: str, weeks: DataFrame, unit: str = "week") -> DataFrame:
+    """(symbol, cal_idx, close): the size-weighted mean price by line status, on the calendar `weeks`."""
     lines = read(spark, sf_dir, "lineitem").where("l_shipdate IS NOT NULL").withColumn("d", F.date_trunc(unit, "l_shipdate").cast("date"))
     price, size = F.col("l_extendedprice").cast("decimal(18,2)"), F.col("l_quantity").cast("decimal(18,2)")
     closes = lines.where(F.col("l_linestatus").isin(*MARKET_OF)).groupBy("l_linestatus", "d").agg((F.sum(price * size).cast("double") / F.sum(size).cast("double")).alias("close"))
     symbol = F.when(F.col("l_linestatus") == "F", MARKET_OF["F"]).otherwise(MARKET_OF["O"])
-    return calendar(spark, sf_dir).crossJoin(spark.range(1).select(F.explode(F.array(*map(F.lit, MARKET_OF.values()))).alias("symbol"))).join(closes.select(symbol.alias("symbol"), "d", "close"), ["symbol", "d"], "left").select("symbol", "cal_idx", "close")
+    return weeks.crossJoin(spark.range(1).select(F.explode(F.array(*map(F.lit, MARKET_OF.values()))).alias("symbol"))).join(closes.select(symbol.alias("symbol"), "d", "close"), ["symbol", "d"], "left").select("symbol", "cal_idx", "close")
 
 
 def calendar(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
     return calendar_of(read(spark, sf_dir, "lineitem").select(F.date_trunc(unit, "l_shipdate").cast("date").alias("d")))
 
 
-def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(stock_id, number, list_date): listing comes (number mod 5) * 4 weeks after the first week."""
-    first = calendar(spark, sf_dir).where("cal_idx = 0").select(F.col("d").alias("start"))
+def entities(spark: SparkSession, sf_dir: str, weeks: DataFrame) -> DataFrame:
+    """(stock_id, number, list_date): listing comes (number mod 5) * 4 weeks after the first week of the calendar."""
+    first = weeks.where("cal_idx = 0").select(F.col("d").alias("start"))
     brands = read(spark, sf_dir, "part").select(F.col("p_brand").alias("stock_id")).distinct()
     number = F.regexp_replace("stock_id", "[^0-9]", "").cast("int")
     return brands.withColumn("number", number).crossJoin(F.broadcast(first)).select("stock_id", "number", F.date_add("start", (F.col("number") % 5) * 28).alias("list_date"))
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def panel(spark: SparkSession, sf_dir: str, weeks: DataFrame, names: DataFrame) -> DataFrame:
     """The brand by week panel, with bars dropped where (7 number + 3 cal_idx) mod 97 = 0, which makes suspensions."""
-    names, weeks = entities(spark, sf_dir), calendar(spark, sf_dir)
     bars = bars_of(trades(spark, sf_dir), "stock_id")
     kept = bars.join(F.broadcast(weeks), "d").join(names.select("stock_id", "number"), "stock_id").where("(number * 7 + cal_idx * 3) % 97 <> 0").drop("cal_idx", "number")
     return grid(names, weeks, kept)
