@@ -35,6 +35,8 @@ ROW_RULES: tuple[tuple[str, str], ...] = (
     ("reference_arithmetic", "abs(close * 100 - ref * (100 + pct)) <= tolerance * ref"),
     ("reference_not_unique", "NOT (ref > 0.01 AND abs(close * 100 - (ref - 0.01) * (100 + pct)) <= tolerance * (ref - 0.01)) AND NOT abs(close * 100 - (ref + 0.01) * (100 + pct)) <= tolerance * (ref + 0.01)"),
     ("previous_close", "previous IS NULL OR label_previous = previous"),
+    ("independent_reference", "NOT coalesce(reference_traded, false) OR (reference_close = close AND reference_preclose = ref)"),
+    ("clue", "clue_existing IS NULL OR (clue_existing = change_pct AND clue_web = pct)"),
 )
 
 
@@ -52,9 +54,12 @@ def reviewed(rows: DataFrame) -> DataFrame:
     return with_previous(rows).withColumn("issue", F.expr(first_issue()))
 
 
+CASES = ("listing_day", "resumed_after_pause", "known_ex_dividend_clue", "reference_differs_from_last_close", "ordinary")
+
+
 def case_tags() -> str:
     """What a sound row is an example of."""
-    return "filter(array(CASE WHEN d = list_date THEN 'listing_day' END, CASE WHEN resumed THEN 'resumed_after_pause' END, CASE WHEN previous IS NOT NULL AND ref <> previous THEN 'reference_differs_from_last_close' END), x -> x IS NOT NULL)"
+    return "filter(array(CASE WHEN d = list_date THEN 'listing_day' END, CASE WHEN resumed THEN 'resumed_after_pause' END, CASE WHEN clue_known THEN 'known_ex_dividend_clue' END, CASE WHEN previous IS NOT NULL AND ref <> previous THEN 'reference_differs_from_last_close' END), x -> x IS NOT NULL)"
 
 
 def cases(rows: DataFrame) -> DataFrame:
@@ -78,6 +83,20 @@ def stock_coverage(rows: DataFrame) -> DataFrame:
     return rows.rollup("stock_id").agg(F.count(F.lit(1)).alias("daily_rows"), F.count_if(F.col("issue").isNull()).alias("valid_trading_rows"), F.count_if(F.col("issue").isNotNull()).alias("invalid_rows"))
 
 
+def audit_counters(states: DataFrame, rows: DataFrame, tagged: DataFrame, month_start: Column) -> DataFrame:
+    """By stock, and over all where stock_id is NULL: states(stock_id, d, state), reviewed rows, and sound rows by case."""
+    n, sound = F.count_if, F.col("issue").isNull()
+    listed = states.rollup("stock_id").agg(F.count(F.lit(1)).alias("state_rows"), n(F.col("state") == 0).alias("suspended_rows"))
+    checked = rows.rollup("stock_id").agg(
+        F.count(F.lit(1)).alias("daily_rows"), n(F.col("d") >= month_start).alias("monthly_daily_rows"), n(sound).alias("valid_trading_rows"),
+        n(sound & F.coalesce("reference_traded", F.lit(False))).alias("independent_reference_rows"), n(sound & F.col("clue_existing").isNotNull()).alias("legacy_difference_records_checked"),
+    )
+    cases_ = tagged.rollup("stock_id").agg(*[n(F.col("case") == c).alias(f"case_{c}") for c in CASES])
+    same = lambda df, name: df.withColumnRenamed("stock_id", name)
+    out = listed.join(same(checked, "s1"), F.col("stock_id").eqNullSafe(F.col("s1")), "left").join(same(cases_, "s2"), F.col("stock_id").eqNullSafe(F.col("s2")), "left")
+    return out.drop("s1", "s2").na.fill(0)
+
+
 def next_day_counts(grid: DataFrame) -> DataFrame:
     """grid(stock_id, cal_idx, state, valid): what follows each valid row on the calendar."""
     order = Window.partitionBy("stock_id").orderBy("cal_idx")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import metric_queries, model_queries, panel_queries, pattern_queries, rule_queries, split_queries
+from . import admission_queries, metric_queries, model_queries, panel_queries, pattern_queries, rule_queries, split_queries
 
-MODULES = (panel_queries, split_queries, rule_queries, pattern_queries, metric_queries, model_queries)
+MODULES = (panel_queries, split_queries, rule_queries, pattern_queries, metric_queries, admission_queries, model_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

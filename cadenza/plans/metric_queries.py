@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions.storage import shared_folder
 from ..functions.windows import rounded
+from ..operators import admission as ad
 from ..operators import audit as au
 from ..operators import metrics as mt
 from ..operators import splits as sp
+from ..operators import targets as tg
 from ..sources import prepared as prep
+from ..sources.store import save_predictions
 from .reference_sql import rounded as round_sql
 from .reference_sql import with_ctes
 from .split_queries import SPLIT_CTES, plan
@@ -105,11 +112,18 @@ def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = grid.where("state = 1").withColumns({"cents": F.expr(_C["close"])})
     rows = rows.withColumns({n: F.expr(e) for n, e in {**AUDIT_COLUMNS, "base_close": "close"}.items()})
     rows = rows.withColumn("prev_cents", F.expr("lag(cents) OVER (PARTITION BY stock_id ORDER BY cal_idx)"))
-    return rows.selectExpr("stock_id", "cal_idx", "d", "list_date", "resumed", "fault", *AUDIT_COLUMNS, *(f"{e} AS {n}" for n, e in LABEL_COLUMNS.items()))
+    out = rows.selectExpr("stock_id", "cal_idx", "d", "list_date", "resumed", "fault", *AUDIT_COLUMNS, *(f"{e} AS {n}" for n, e in LABEL_COLUMNS.items()))
+    return ad.with_clues(out, clues(out))
+
+
+def clues(rows: DataFrame) -> DataFrame:
+    """What was known of differences: every twentieth week, wrong by rule."""
+    return rows.where("cal_idx % 20 = 0").selectExpr("stock_id", "d", "CASE WHEN fault = 10 THEN 3 ELSE 2 END AS clue_existing", "pct AS clue_web", "cal_idx % 40 = 0 AS clue_known")
 
 
 LABEL_COLUMNS = {
     "pct": "CASE WHEN fault = 5 THEN -101 ELSE 0 END", "web_close": "close", "web_pct": "CASE WHEN fault = 6 THEN 7 WHEN fault = 5 THEN -101 ELSE 0 END", "ref": "CASE WHEN fault = 7 THEN close + CAST(0.01 AS DECIMAL(3,2)) ELSE close END", "tolerance": "CAST(0.000001 AS DECIMAL(9,6))",
+    "change_pct": "2", "reference_traded": "(fault + cal_idx) % 5 = 0", "reference_close": "CASE WHEN fault = 9 THEN close + CAST(0.01 AS DECIMAL(3,2)) ELSE close END", "reference_preclose": "CASE WHEN fault = 7 THEN close + CAST(0.01 AS DECIMAL(3,2)) ELSE close END",
     "label_previous": "CASE WHEN fault = 8 THEN CAST(1 AS DECIMAL(18,2)) ELSE lag(close) OVER (PARTITION BY stock_id ORDER BY cal_idx) END",
 }
 
@@ -124,6 +138,52 @@ def audit_next_day_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return au.next_day_counts(grid)
 
 
+def audit_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reviewed(spark, sf_dir)
+    return au.audit_counters(prep.panel(spark, sf_dir).where("state >= 0").select("stock_id", "d", "state"), rows, au.cases(rows), F.to_date(F.lit("2000-01-01")))
+
+
+def bin_non_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of rows whose outcome isn't zero: accuracy by fold, and its mean over days with the days that have it."""
+    rows = binary(spark, sf_dir).where("y <> 0")
+    whole = mt.binary_scores(rows, "fold").select("fold", "n", "accuracy")
+    days = mt.binary_scores(rows, "fold", "day").groupBy("fold").agg(F.avg("accuracy").alias("day_accuracy"), F.count("accuracy").alias("days"))
+    return shown(whole.join(days, "fold"), ("fold", "n", "days"), ("accuracy", "day_accuracy"))
+
+
+def sample_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the samples against those of the panel that they are made from."""
+    grid = prep.panel(spark, sf_dir).where("state >= 0")
+    following = F.lead("state").over(Window.partitionBy("stock_id").orderBy("cal_idx"))
+    declared = grid.withColumn("after", following).agg(F.count(F.lit(1)).alias("grid_rows"), F.count_if(F.col("state") == 1).alias("prediction_eligible"), F.count_if((F.col("state") == 1) & (F.col("after") == 1)).alias("supervised_candidates"))
+    counted = tg.sample_coverage(prep.samples(spark, sf_dir)).agg(*[F.sum(c).alias(c) for c in ("grid_rows", "prediction_eligible", "supervised_candidates")])
+    long = lambda df, value: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias(value)) for c in df.columns])).alias("e")).select("e.*")
+    return long(declared, "declared").join(long(counted, "counted"), "name", "full").withColumn("equal", F.col("declared").eqNullSafe(F.col("counted")))
+
+
+def audit_month_slice_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A copy of the last weeks whose rows keep another order every seventh week: rows that differ in their place."""
+    rows = audit_rows(spark, sf_dir).where("cal_idx >= 300").select("stock_id", "cal_idx", "close")
+    place = F.row_number().over(Window.partitionBy("stock_id").orderBy(F.when(F.col("cal_idx") % 7 == 0, F.col("cal_idx") + 1.5).otherwise(F.col("cal_idx"))))
+    return ad.slice_positions(rows, rows.withColumn("nth", place), "stock_id", "cal_idx", "close").groupBy("stock_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("same")).alias("moved"))
+
+
+def return_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw returns against the stored feature, in single precision, and the grid of dates against the samples'."""
+    raw = prep.panel(spark, sf_dir).where("state >= 0").select("stock_id", "cal_idx", F.col("r").cast("float").alias("raw"))
+    both = raw.join(prep.samples(spark, sf_dir).select("stock_id", "cal_idx", "return_lag_0", F.lit(True).alias("stored")), ["stock_id", "cal_idx"], "full")
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("stored").isNull()).alias("not_stored"), F.count_if(~F.col("raw").eqNullSafe(F.col("return_lag_0"))).alias("different"))
+
+
+def prediction_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions written as gzipped CSV and read again: unscorable rows have a blank truth and their reason."""
+    rows = role_rows(spark, sf_dir).where("fold <> 'holdout' AND role = 'predict'")
+    reason = F.when(F.col("target_status") == 2, "target_suspended").when(F.col("target_status") == 3, "outside_calendar")
+    path = f"{shared_folder(spark)}/predictions-{uuid.uuid4().hex}"
+    save_predictions(rows.select("fold", "row_id", F.expr(f"{rounded('p')} AS p"), F.expr(f"{rounded('y')} AS truth"), reason.alias("reason")), path)
+    return spark.read.csv(path, header=True, schema="fold string, row_id long, p double, truth double, reason string")
+
+
 def audit_month_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last year of the bars against a copy in which every tenth close is a cent more."""
     rows = audit_rows(spark, sf_dir).where("cal_idx >= 300").select("stock_id", "cal_idx", F.col("close").cast("decimal(18,2)").alias("close"))
@@ -159,7 +219,7 @@ METRIC_CTES = SPLIT_CTES | {
     # the audit's rows in whole cents; a sign, a cent or a factor is wrong where the fault says so
     "arows0": (("panel", "ent"), "SELECT p.*, (number * 31 + p.cal_idx * 17) % 101 AS fault, coalesce(b.state = 0, false) AS resumed, CAST(floor(p.open * 100 + 0.5e0) AS BIGINT) AS o, CAST(floor(p.high * 100 + 0.5e0) AS BIGINT) AS h, CAST(floor(p.low * 100 + 0.5e0) AS BIGINT) AS l, CAST(floor(p.close * 100 + 0.5e0) AS BIGINT) AS c FROM panel p JOIN ent e ON e.stock_id = p.stock_id LEFT JOIN panel b ON b.stock_id = p.stock_id AND b.cal_idx = p.cal_idx - 1"),
     "arows1": (("arows0",), "SELECT stock_id, cal_idx, d, list_date, resumed, fault, o AS open_c, CASE WHEN fault = 1 THEN greatest(o, h, l, c) / 100e0 ELSE greatest(o, h, l, c) END AS high_c, least(o, h, l, c) AS low_c, CASE WHEN fault = 2 THEN -c ELSE c END AS close_c, CAST(volume_shares AS BIGINT) AS lots, CAST(volume_shares AS BIGINT) * CASE WHEN fault = 3 THEN 99 ELSE 100 END AS shares, CAST(floor(amount_yuan) AS BIGINT) AS amount, CASE WHEN fault = 4 THEN -1 ELSE 1 END AS turnover FROM arows0 WHERE state = 1"),
-    "arows": (("arows1",), "SELECT *, close_c / 100e0 AS close, lag(close_c) OVER t AS previous_c, CASE WHEN fault = 5 THEN -101 ELSE 0 END AS pct, CASE WHEN fault = 6 THEN 7 WHEN fault = 5 THEN -101 ELSE 0 END AS web_pct, CASE WHEN fault = 7 THEN close_c + 1 ELSE close_c END AS ref_c, CASE WHEN fault = 8 THEN 100 ELSE lag(close_c) OVER t END AS said_c FROM arows1 WINDOW t AS (PARTITION BY stock_id ORDER BY cal_idx)"),
+    "arows": (("arows1",), "SELECT *, close_c / 100e0 AS close, lag(close_c) OVER t AS previous_c, CASE WHEN fault = 5 THEN -101 ELSE 0 END AS pct, CASE WHEN fault = 6 THEN 7 WHEN fault = 5 THEN -101 ELSE 0 END AS web_pct, CASE WHEN fault = 7 THEN close_c + 1 ELSE close_c END AS ref_c, CASE WHEN fault = 8 THEN 100 ELSE lag(close_c) OVER t END AS said_c, (fault + cal_idx) % 5 = 0 AS checked, CASE WHEN cal_idx % 20 = 0 THEN CASE WHEN fault = 10 THEN 3 ELSE 2 END END AS clue, cal_idx % 40 = 0 AS known_clue FROM arows1 WINDOW t AS (PARTITION BY stock_id ORDER BY cal_idx)"),
     "rev": (("arows",), """SELECT *, CASE WHEN open_c <= 0 OR high_c <= 0 OR low_c <= 0 OR close_c <= 0 THEN 'nonpositive_price'
  WHEN low_c > open_c OR low_c > close_c OR high_c < open_c OR high_c < close_c THEN 'bar_order'
  WHEN lots <= 0 OR shares <= 0 OR amount <= 0 OR turnover < 0 THEN 'nonpositive_volume'
@@ -169,8 +229,10 @@ METRIC_CTES = SPLIT_CTES | {
  WHEN ref_c <= 0 THEN 'reference_price'
  WHEN abs(close_c * 100 - ref_c * (100 + pct)) * 1000000 > ref_c THEN 'reference_arithmetic'
  WHEN (ref_c > 1 AND abs(close_c * 100 - (ref_c - 1) * (100 + pct)) * 1000000 <= ref_c - 1) OR abs(close_c * 100 - (ref_c + 1) * (100 + pct)) * 1000000 <= ref_c + 1 THEN 'reference_not_unique'
- WHEN previous_c IS NOT NULL AND (said_c IS NULL OR said_c <> previous_c) THEN 'previous_close' END AS issue FROM arows"""),
-    "tagged": (("rev",), "SELECT *, unnest(CASE WHEN len(t) > 0 THEN t ELSE ['ordinary'] END) AS \"case\" FROM (SELECT *, list_filter([CASE WHEN d = list_date THEN 'listing_day' END, CASE WHEN resumed THEN 'resumed_after_pause' END, CASE WHEN previous_c IS NOT NULL AND ref_c <> previous_c THEN 'reference_differs_from_last_close' END], lambda x: x IS NOT NULL) AS t FROM rev WHERE issue IS NULL)"),
+ WHEN previous_c IS NOT NULL AND (said_c IS NULL OR said_c <> previous_c) THEN 'previous_close'
+ WHEN checked AND fault = 9 THEN 'independent_reference'
+ WHEN clue <> 2 THEN 'clue' END AS issue FROM arows"""),
+    "tagged": (("rev",), "SELECT *, unnest(CASE WHEN len(t) > 0 THEN t ELSE ['ordinary'] END) AS \"case\" FROM (SELECT *, list_filter([CASE WHEN d = list_date THEN 'listing_day' END, CASE WHEN resumed THEN 'resumed_after_pause' END, CASE WHEN known_clue THEN 'known_ex_dividend_clue' END, CASE WHEN previous_c IS NOT NULL AND ref_c <> previous_c THEN 'reference_differs_from_last_close' END], lambda x: x IS NOT NULL) AS t FROM rev WHERE issue IS NULL)"),
 }
 
 
@@ -201,6 +263,7 @@ QUERIES = {
     "audit_case_examples": lambda spark, sf_dir: au.case_examples(au.cases(reviewed(spark, sf_dir))),
     "audit_stock_coverage": lambda spark, sf_dir: au.stock_coverage(reviewed(spark, sf_dir)),
     "audit_next_day_counts": audit_next_day_counts, "audit_month_slice": audit_month_slice, "audit_manifest_merge": audit_manifest_merge, "audit_count_reconcile": audit_count_reconcile,
+    "audit_counters": audit_counters, "bin_non_flat": bin_non_flat, "sample_reconcile": sample_reconcile, "audit_month_slice_order": audit_month_slice_order, "return_rescan": return_rescan, "prediction_file": prediction_file,
 }
 ORACLES = {
     "reg_metrics": sql(f"SELECT fold, n, {_round(REG)} FROM (SELECT *, {_REG_MORE} FROM (SELECT fold, {_REG_SQL} FROM mscore GROUP BY fold))", "mscore"),
@@ -227,4 +290,14 @@ ORACLES = {
     "audit_month_slice": sql("SELECT side, count(*) AS n FROM (SELECT unnest(['only_left', 'only_right']) AS side FROM arows WHERE cal_idx >= 300 AND cal_idx % 10 = 0) GROUP BY side", "arows"),
     "audit_manifest_merge": sql("SELECT count_if(stock_id NOT LIKE '%1' AND stock_id NOT LIKE '%2') AS equal, count_if(stock_id LIKE '%2') AS conflict, count_if(stock_id LIKE '%1') AS only_left, CAST(0 AS BIGINT) AS only_right FROM (SELECT DISTINCT stock_id FROM panel WHERE state = 1)", "panel"),
     "audit_count_reconcile": sql("SELECT * FROM (SELECT stock_id AS name, count(*) AS declared, count_if(state = 1) AS counted FROM panel WHERE state >= 0 GROUP BY 1) WHERE declared <> counted", "panel"),
+    "audit_counters": sql("""SELECT s.stock_id, state_rows, suspended_rows, coalesce(daily_rows, 0) AS daily_rows, coalesce(monthly_daily_rows, 0) AS monthly_daily_rows, coalesce(valid_trading_rows, 0) AS valid_trading_rows, coalesce(independent_reference_rows, 0) AS independent_reference_rows, coalesce(legacy, 0) AS legacy_difference_records_checked,
+ coalesce(c1, 0) AS case_listing_day, coalesce(c2, 0) AS case_resumed_after_pause, coalesce(c3, 0) AS case_known_ex_dividend_clue, coalesce(c4, 0) AS case_reference_differs_from_last_close, coalesce(c5, 0) AS case_ordinary
+ FROM (SELECT stock_id, count(*) AS state_rows, count_if(state = 0) AS suspended_rows FROM panel WHERE state >= 0 GROUP BY GROUPING SETS ((stock_id), ())) s
+ LEFT JOIN (SELECT stock_id, count(*) AS daily_rows, count_if(d >= DATE '2000-01-01') AS monthly_daily_rows, count_if(issue IS NULL) AS valid_trading_rows, count_if(issue IS NULL AND checked) AS independent_reference_rows, count_if(issue IS NULL AND clue IS NOT NULL) AS legacy FROM rev GROUP BY GROUPING SETS ((stock_id), ())) r ON r.stock_id IS NOT DISTINCT FROM s.stock_id
+ LEFT JOIN (SELECT stock_id, count_if("case" = 'listing_day') AS c1, count_if("case" = 'resumed_after_pause') AS c2, count_if("case" = 'known_ex_dividend_clue') AS c3, count_if("case" = 'reference_differs_from_last_close') AS c4, count_if("case" = 'ordinary') AS c5 FROM tagged GROUP BY GROUPING SETS ((stock_id), ())) t ON t.stock_id IS NOT DISTINCT FROM s.stock_id""", "panel", "rev", "tagged"),
+    "bin_non_flat": sql(f"SELECT fold, n, days, {round_sql('accuracy')} AS accuracy, {round_sql('day_accuracy')} AS day_accuracy FROM (SELECT fold, count(*) AS n, avg(CASE WHEN (q_up > 0.5) = (label = 1) THEN 1e0 ELSE 0e0 END) AS accuracy FROM mscore WHERE y <> 0 GROUP BY fold) JOIN (SELECT fold, count(*) AS days, avg(a) AS day_accuracy FROM (SELECT fold, day, avg(CASE WHEN (q_up > 0.5) = (label = 1) THEN 1e0 ELSE 0e0 END) AS a FROM mscore WHERE y <> 0 GROUP BY fold, day) GROUP BY fold) USING (fold)", "mscore"),
+    "sample_reconcile": sql("SELECT name, n AS declared, n AS counted, true AS equal FROM (SELECT unnest(['grid_rows', 'prediction_eligible', 'supervised_candidates']) AS name, unnest([count(*), count_if(prediction_eligible), count_if(prediction_eligible AND target_status = 1)]) AS n FROM samples)", "samples"),
+    "audit_month_slice_order": sql("SELECT stock_id, count(*) AS rows, count_if(cal_idx <> other) AS moved FROM (SELECT a.stock_id, a.cal_idx, b.cal_idx AS other FROM (SELECT stock_id, cal_idx, row_number() OVER (PARTITION BY stock_id ORDER BY cal_idx) AS nth FROM arows WHERE cal_idx >= 300) a JOIN (SELECT stock_id, cal_idx, row_number() OVER (PARTITION BY stock_id ORDER BY CASE WHEN cal_idx % 7 = 0 THEN cal_idx + 1.5 ELSE cal_idx END) AS nth FROM arows WHERE cal_idx >= 300) b USING (stock_id, nth)) GROUP BY stock_id", "arows"),
+    "return_rescan": sql("SELECT count(*) AS rows, CAST(0 AS BIGINT) AS not_stored, CAST(0 AS BIGINT) AS different FROM panel WHERE state >= 0", "panel"),
+    "prediction_file": sql(f"SELECT fold, row_id, {round_sql('p')} AS p, {round_sql('y')} AS truth, CASE target_status WHEN 2 THEN 'target_suspended' WHEN 3 THEN 'outside_calendar' END AS reason FROM mrows WHERE role = 'predict' AND fold <> 'holdout'", "mrows"),
 }

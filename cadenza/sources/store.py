@@ -7,6 +7,7 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class StoreError(ValueError):
@@ -61,6 +62,26 @@ def save_csv(frame: DataFrame, path: str) -> None:
     frame.na.fill(0).coalesce(1).write.csv(path, header=True, lineSep="\n")
 
 
+def save_json(value: dict | list, spark: SparkSession, path: str) -> None:
+    """One document: UTF-8, LF, sorted keys; NaN and infinities are errors."""
+    text = json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True, allow_nan=False) + "\n"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+ISSUE_COLUMNS = ("severity", "code", "stock_id", "date", "source", "detail")
+
+
+def save_issues(issues: DataFrame, path: str) -> None:
+    """Issues are appended as they are found: one write an audit, LF and a header in each part."""
+    shown = [F.col(c).cast("string") if c in issues.columns else F.lit("").alias(c) for c in ISSUE_COLUMNS]
+    issues.select(*shown).write.mode("append").csv(path, header=True, lineSep="\n", emptyValue="")
+
+
 def save_predictions(frame: DataFrame, path: str) -> None:
     """Gzipped parts; unscorable rows keep a blank truth and their reason."""
     frame.write.option("compression", "gzip").csv(path, header=True)

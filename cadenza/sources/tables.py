@@ -40,6 +40,15 @@ def changed(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.where(~F.col("was").eqNullSafe(F.col("is")))
 
 
+def reread(spark: SparkSession, path: str, before: DataFrame) -> DataFrame:
+    """The receipts of a path, which must be those of the read before."""
+    now = receipts(spark, path)
+    first = changed(before, now).head(1)
+    if first:
+        raise TableError(f"changed since it was read: {first[0].path}")
+    return now
+
+
 def require_approved(found: DataFrame, approved: DataFrame) -> None:
     """Fails if a file isn't in the approved manifest (path, sha256)."""
     first = found.join(approved, ["path", "sha256"], "left_anti").head(1)

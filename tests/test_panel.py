@@ -1,13 +1,16 @@
 """Hand-made panels, an independent calculation of features, causality, and DuckDB on the registered queries."""
 
 import math
+import random
 from datetime import date, timedelta
 
 import duckdb
+import numpy as np
 import pytest
 
-from cadenza.operators import audit, features, indicators, metrics, panel, rules, splits, targets
-from cadenza.plans import catalog, rule_queries
+from cadenza.functions import ranks
+from cadenza.operators import audit, features, indicators, metrics, panel, patterns, rules, splits, targets
+from cadenza.plans import catalog, reference_sql, rule_queries
 
 BAR = "stock_id string, d date, open double, high double, low double, close double, volume_shares double, amount_yuan double, turnover double"
 
@@ -69,9 +72,18 @@ def test_plan_rules():
     fold = {"id": "F01", "train_through": "2026-03-04", "validation_start": "2026-03-05", "validation_end": "2026-03-08"}
     plan = splits.build_plan([fold], {"start": "2026-03-09", "end": "2026-03-13"}, days)
     assert [(w.name, w.fit, w.first, w.last) for w in plan] == [("F01", 2, 3, 6), ("holdout", 6, 7, 11)]
-    for bad in ({"id": "F02"}, {"train_through": "2026-03-03"}, {"validation_end": "2026-03-07"}, {"validation_start": "2026-3-5"}):
+    for bad in ({"id": "F02"}, {"train_through": "2026-03-03"}, {"validation_end": "2026-03-07"}, {"validation_start": "2026-3-5"}, {"validation_start": "2026-02-30"}, {"extra": 1}, {"train_through": "2026-02-27"}, {"validation_end": "2026-03-04"}):
         with pytest.raises(splits.SplitError):
             splits.build_plan([fold | bad], {"start": "2026-03-09", "end": "2026-03-13"}, days)
+    for holdout, calendar in (({"start": "2026-03-10", "end": "2026-03-13"}, days), ({"start": "2026-03-09", "end": "2026-03-12"}, days), ({"start": "2026-03-14", "end": "2026-03-15"}, days), ({"start": "2026-03-09", "end": "2026-03-13"}, days[::-1]), ({"start": "2026-03-09", "end": "2026-03-13"}, [])):
+        with pytest.raises(splits.SplitError):
+            splits.build_plan([fold], holdout, calendar)
+    with pytest.raises(splits.SplitError):
+        splits.build_plan([], {"start": "2026-03-09", "end": "2026-03-13"}, days)
+    # closed days project to the market days inside
+    gaps = [d for d in days if d not in ("2026-03-05", "2026-03-08")]
+    closed = splits.build_plan([fold], {"start": "2026-03-09", "end": "2026-03-15"}, gaps)
+    assert [(w.fit, w.first, w.last) for w in closed] == [(2, 3, 4), (4, 5, 9)]
 
 
 def test_regression_and_binary_metrics(spark):
@@ -81,6 +93,8 @@ def test_regression_and_binary_metrics(spark):
     b = spark.createDataFrame([("a", 1, 0.8), ("a", 0, 0.7), ("a", 1, 0.5), ("a", 0, 0.1), ("b", 1, 0.2)], "g string, label int, p double")
     auc = {r.g: r.auc for r in metrics.roc_auc(b, "g").collect()}
     assert auc == {"a": 0.75, "b": None}
+    with pytest.raises(Exception, match="not a probability"):
+        metrics.binary_scores(b.withColumn("p", b.p * 2)).collect()
     s = {r.g: r for r in metrics.binary_scores(b, "g").collect()}
     assert (s["a"].tp, s["a"].tn, s["a"].fp, s["a"].fn) == (1, 1, 1, 1) and s["b"].not_up_recall is None and s["b"].up_precision is None
 
@@ -105,16 +119,84 @@ def test_against_duckdb(spark, data, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     want = con.execute(catalog.oracle_sql()[name]).fetchdf()
     got = catalog.queries()[name](spark, data).toPandas()
-    tidy = lambda df: sorted(repr([None if v != v else float(v) if not isinstance(v, (str, bool)) else v for v in row]) for row in df[sorted(df.columns)].itertuples(index=False))
+    tidy = lambda df: sorted(repr([None if v is None or v != v else float(v) if not isinstance(v, (str, bool)) else v for v in row]) for row in df[sorted(df.columns)].itertuples(index=False))
     assert tidy(got) == tidy(want)
 
 
 def test_every_feature_is_mined():
-    whole = {n.removeprefix("all_") for n in catalog.queries() if n.startswith("all_")}
-    assert whole == {"cuts", "bins", "intervals", "interval_stats", "fold_stats", "classify_rules", "representatives", "feature_overview", "correlation"}
-    assert set(rule_queries.EVERY) == set(features.FEATURES) and all(f"'{n}' AS feature" in catalog.oracle_sql()[f"all_{q}"] for q in whole for n in features.FEATURES)
+    for q in ("cuts", "bins", "intervals", "interval_stats", "fold_stats", "classify_rules", "pooled_over65", "representatives", "feature_overview", "correlation"):
+        assert all(f"'{n}' AS feature" in catalog.oracle_sql()[q] for n in features.FEATURES), q
+    assert set(rule_queries.FAMILIES) == set(features.FEATURES) == set(reference_sql.FEATURE_SQL)
+
+
+def test_reference_sql_reads_no_operator():
+    """The text that checks the operators is written on its own: its module imports none of them."""
+    with open(reference_sql.__file__, encoding="utf-8") as f:
+        assert "import" not in f.read().split('"""', 2)[2].replace("from __future__ import annotations", "")
 
 
-@pytest.mark.parametrize("name", ["all_cuts"])
-def test_whole_mining_against_duckdb(spark, data, name):
+@pytest.mark.parametrize("name", ["cuts", "interval_stats", "classify_rules", "first_trigger", "pattern_stats", "header_audit", "audit_counters"])
+def test_mining_and_patterns_against_duckdb(spark, data, name):
     test_against_duckdb(spark, data, name)
+
+
+def test_interval_sums_by_brute_force(spark):
+    rng = random.Random(4)
+    cells = [("f" if i % 3 else "g", rng.randrange(5), rng.choice("xyz"), rng.randrange(1, 9)) for i in range(60)]
+    cuts = spark.createDataFrame([("f", [0.0, 1.0, 2.0]), ("g", [5.0, 6.0, 7.0]), ("h", [1.0])], "feature string, cuts array<double>")
+    got = {(r.feature, r.lo, r.hi, r.day): r.n for r in rules.over_intervals(spark.createDataFrame(cells, "feature string, bin int, day string, n long"), cuts, ["day"], ["n"]).collect()}
+    want = {}
+    for f in "fg":
+        for lo, hi in [(a, b) for a in range(4) for b in range(a + 1, 5)] + [(4, 5)]:
+            for day in "xyz":
+                n = sum(c for g, b, d, c in cells if g == f and d == day and lo <= b < hi)
+                if n:
+                    want[f, lo, hi, day] = n
+    assert got == want
+
+
+def test_exact_quantiles_and_running_sums(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "RANGES", 7)
+    rng = np.random.default_rng(6)
+    rows = [("a", float(x)) for x in rng.normal(size=501).round(2)] + [("b", 1.0)] * 300 + [("b", float(x)) for x in range(10)] + [("c", 3.5), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    at = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {r.g: r.q for r in ranks.quantiles(df, ["g"], "x", at).collect()}
+    for g in "abc":
+        assert got[g] == pytest.approx(np.quantile([x for k, x in rows if k == g], at).tolist(), abs=1e-12)
+    assert "d" not in got
+    assert ranks.quantiles(df, [], "x", [0.5]).head().q == pytest.approx([np.quantile([x for _, x in rows if x is not None], 0.5)])
+    counts = df.where("x IS NOT NULL").groupBy("g", "x").count().withColumnRenamed("count", "c")
+    for r in ranks.running(counts, ["g"], "x", ["c"]).collect():
+        assert r.before_c == sum(k == r.g and x is not None and x < r.x for k, x in rows)
+
+
+def test_rules_as_bits_by_brute_force(spark):
+    """Two rules over a small panel, with gaps in the calendar and unknown days."""
+    rng = random.Random(11)
+    rows = [(s, d, rng.choice([0, 1, 1, 1]), rng.choice([None, 0.1, 0.2, 0.9]), rng.choice([-0.1, 0.0, 0.1]), rng.choice([None, -0.2, 0.01, 0.3]), rng.choice([None, 0.5, 2.0]), rng.choice([0, 1, 1]), None if rng.random() < 0.1 else 0.01) for s in "AB" for d in range(60) if not (s == "B" and d % 17 == 0)]
+    panel_ = spark.createDataFrame(rows, "stock_id string, cal_idx int, state int, prior_width_20 double, prior_drift_20 double, breakout_20 double, volume_ratio_20 double, volume_history_complete int, y double")
+    grid = [{"rule_id": f"P{i:03}", "family": "platform", "canonical": False, "window": 20, "width": w, "breakout": b, "volume": v} for i, (w, b, v) in enumerate([(w, b, v) for w in (0.1, 0.2, 0.5, 1.0) for b in (-1.0, 0.0, 0.1, 0.2) for v in (None, 0.4, 1.0, 3.0, 0.5)])]
+    bits = patterns.packed(panel_, grid, "state", "y")
+    want = {}
+    for rule in grid:
+        per = {}
+        for s, d, state, width, drift, out, volume, complete, _ in rows:
+            known = state == 1 and width is not None and out is not None and (rule["volume"] is None or (volume is not None and complete == 1))
+            per[s, d] = known, known and width <= rule["width"] and abs(drift) <= rule["width"] / 2 and out > rule["breakout"] and (rule["volume"] is None or volume >= rule["volume"])
+        for (s, d), (known, hit) in per.items():
+            before = [per.get((s, d - k)) for k in range(1, 6)]
+            clear = all(b is not None and b[0] for b in before)
+            if known:
+                want[rule["rule_id"], s, d] = hit, clear, hit and clear and not any(b[1] for b in before)
+    got = {(r.rule_id, r.stock_id, r.cal_idx): (r.hit, r.first_known, r.first_hit) for r in patterns.unpacked(bits, grid).collect()}
+    assert got == want
+    cover = {r.rule_id: r for r in patterns.coverage(bits, grid).collect()}
+    assert set(cover) == {r["rule_id"] for r in grid} and all(cover[i].signals == sum(h for (k, _, _), (h, _, _) in want.items() if k == i) for i in cover)
+
+
+def test_texts_of_rules_and_conditions():
+    assert [rules.condition_text("f", [0.1, 2.0], lo, hi) for lo, hi in ((0, 1), (1, 2), (2, 3), (0, 3), (3, 4))] == ["f < 0.10000000000000001", "f >= 0.10000000000000001 and f < 2", "f >= 2", "f present", "f missing"]
+    grid = patterns.rule_grid({"platform": {"windows": (20,), "maximum_widths": (0.1, 0.2), "breakout_minimums": (0.0,), "volume_minimums": (None, 1.5)}, "bottom_volume": {"windows": (120,), "minimum_drawdowns": (0.2,), "maximum_low_distances": (0.08,), "volume_minimums": (2.0,), "rising_today": (True, False)}, "ascending_channel": {"windows": (60,), "minimum_gains": (0.1,), "maximum_widths": (0.2,), "positions": ("all", "lower"), "minimum_r_squared": 0.5, "sigma_zero_tolerance": 1e-12}})
+    assert [r["rule_id"] for r in grid if r["canonical"]] == ["P002", "B001", "C001"] and len(grid) == 8
+    assert all(str(r["window"]) in patterns.rule_text(r) for r in grid) and "10 %" in patterns.rule_text(grid[0]) and "5 %" in patterns.rule_text(grid[0]) and len({patterns.rule_text(r) for r in grid}) == 8

@@ -1,12 +1,14 @@
 """Tables, store, holdout registry, boosted trees and bars from ticks."""
 
+import math
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.operators import holdout, models
-from cadenza.sources import store, tables
+from cadenza.operators import experiments, holdout, models, splits
+from cadenza.sources import prepared, store, tables
 from cadenza.streaming import bars
 
 
@@ -48,7 +50,7 @@ def test_store_publishes_once(spark, tmp_path):
 
 
 def test_holdout_is_exposed_once(spark, tmp_path):
-    r = holdout.Registry(str(tmp_path / "r"))
+    r = holdout.Registry(spark, f"file://{tmp_path}/r")
     with pytest.raises(holdout.HoldoutError):
         r.expose("p", "d")
     r.reserve("p")
@@ -70,10 +72,138 @@ def test_boosted_trees(spark):
     got = models.predict(model, rows, ["a", "b"])
     assert 1 <= rounds <= 4 and got.where("p IS NULL OR isnan(p)").count() == 0
     assert got.agg(F.avg((F.col("p") - F.col("label")) ** 2)).head()[0] < rows.agg(F.var_pop("label")).head()[0] / 4
-    assert sum(g for _, g in models.feature_usage(model, ["a", "b"])) == pytest.approx(1)
+    usage = models.feature_usage(model, ["a", "b"])
+    assert sum(g for _, g, _ in usage) == pytest.approx(1) and sum(n for *_, n in usage) == sum(t.numNodes // 2 for t in model.trees)
     assert models.replay_patience([3, 2, 2.5, 2.6, 1], 2) == 2 and models.replay_patience([3, 2, 1], 2) == 3
     with pytest.raises(ValueError):
         models.Settings(rounds=0)
+    whole = {f: getattr(s, f) for f in s.__dataclass_fields__}
+    assert models.Settings.from_mapping(whole) == s
+    for bad in ({**whole, "extra": 1}, {k: v for k, v in whole.items() if k != "bins"}, {**whole, "depth": 2.5}, {**whole, "depth": True}, {**whole, "subsample": 0.0}):
+        with pytest.raises(ValueError):
+            models.Settings.from_mapping(bad)
+
+
+def test_matrix_is_checked(spark):
+    rows = spark.createDataFrame([(1.0, None, 0.5), (2.0, 3.0, 0.1)], "a double, b double, label double")
+    models.check_matrix(rows, ["a", "b"])
+    for bad, names in ((rows, ["a", "c"]), (rows.withColumn("a", F.lit(float("inf"))), ["a"]), (rows.withColumn("a", F.lit(float("nan"))), ["a"]), (rows.withColumn("label", F.lit(None).cast("double")), ["a"]), (rows.where("a > 9"), ["a"])):
+        with pytest.raises(models.ModelError):
+            models.check_matrix(bad, names)
+
+
+def test_doubling_rounds_stop_as_one_long_fit(spark):
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(rng.random(), rng.random(), rng.random() + i % 2) for i in range(300)], "a double, b double, label double")
+    train, valid = rows.where("a < 0.6"), rows.where("a >= 0.6")
+    model, best = models.fit(train, valid, ["a", "b"], "regression", models.Settings(rounds=40, patience=2, least_rows=5))
+    long = models._estimator("regression", models.Settings(least_rows=5), 16).fit(models.assembled(train, ["a", "b"]).select("features", "label"))
+    curve = models.curve_of(long, models.assembled(valid, ["a", "b"]).select("features", "label"), "regression")
+    assert best == models.replay_patience(curve, 2) and len(model.trees) == best
+
+
+def test_saved_models_and_native_losses(spark, tmp_path):
+    rows = spark.range(200).select(F.col("id").alias("row_id"), ((F.col("id") * 7 % 20) / 20).cast("float").alias("a"), (F.col("id") % 2).cast("double").alias("label"))
+    for kind in ("regression", "binary"):
+        model, _ = models.fit(rows, None, ["a"], kind, models.Settings(rounds=3, patience=1, least_rows=5))
+        models.check_reload(model, f"file://{tmp_path}/{kind}", rows, ["a"], kind)
+        assert models.check_native_metric(model, rows, ["a"], kind) > 0
+
+
+def folds_source(spark, fold="F01"):
+    rows = spark.range(300).select(F.col("id").alias("row_id"), (F.col("id") % 3).alias("stock_idx"), F.floor(F.col("id") / 3).alias("cal_idx"), F.floor(F.col("id") / 3 + 1).alias("target_idx"), (F.rand(4) - 0.4).alias("y"), F.rand(5).cast("float").alias("a"))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    roles = rows.select(F.lit(fold).alias("fold"), F.when(F.col("row_id") < 200, "train").otherwise("predict").alias("role"), "row_id", "stock_idx", "cal_idx")
+    score = roles.where("role = 'predict' AND row_id % 5 <> 0").withColumn("role", F.lit("score"))
+    return experiments.FoldSource(roles.unionByName(score), rows, fold, ["a"]), rows
+
+
+def test_fold_source_keeps_features_from_targets(spark):
+    source, rows = folds_source(spark)
+    with pytest.raises(holdout.HoldoutError):
+        source.targets()
+    declared = source.describe()
+    assert {k: v["rows"] for k, v in declared.items()} == {"train": 200, "predict": 100, "score": 80}
+    source.verify(declared)
+    with pytest.raises(splits.SplitError):
+        source.verify({**declared, "train": {**declared["train"], "rows": 199}})
+    batches = list(source.prediction_batches(32))
+    assert sorted(r.row_id for b in batches for r in b.collect()) == list(range(200, 300)) and all(b.columns == ["row_id", "a"] for b in batches)
+    assert "y" not in source.features().columns and source.training().count() == 200
+    source.enable_scoring()
+    assert source.targets().count() == 80
+
+
+def test_holdout_is_scored_after_its_predictions_are_sealed(spark, tmp_path):
+    source, rows = folds_source(spark, "holdout")
+    settings = models.Settings(rounds=4, patience=2, least_rows=5)
+    results = [experiments.FoldResult(f"F{i:02}", n, {}) for i, n in enumerate((3, 9, 2, 2, 5, 1, 4), 1)]
+    plan = experiments.freeze(results, "binary", ["a"], settings)
+    assert plan.rounds == 3 and experiments.load_plan(experiments.plan_text(plan), plan.identity) == plan
+    for bad in (results[:6], [*results[:6], results[0]]):
+        with pytest.raises(holdout.HoldoutError):
+            experiments.freeze(bad, "binary", ["a"], settings)
+    with pytest.raises(holdout.HoldoutError):
+        experiments.load_plan(experiments.plan_text(plan).replace('"rounds": 3', '"rounds": 4', 1), plan.identity)
+    seen = []
+    real = source.enable_scoring
+    source.enable_scoring = lambda: (seen.append(sorted(p.name.split(".")[-1] for p in (tmp_path / "reg").iterdir() if not p.name.startswith(".") and p.name.split(".")[-1] != "crc")), real())
+    registry = holdout.Registry(spark, f"file://{tmp_path}/reg")
+    result = experiments.run_holdout(source, plan, registry, f"file://{tmp_path}")
+    # when targets open, the exposure with the predictions' digest is on record
+    assert seen == [["exposed", "reserved"]] and result["n"] == 80 and result["rounds"] == 3
+    again, _ = folds_source(spark, "holdout")
+    with pytest.raises(holdout.HoldoutError):
+        experiments.run_holdout(again, plan, registry, f"file://{tmp_path}")
+    with pytest.raises(holdout.HoldoutError):
+        again.targets()
+    assert experiments.description_for("binary", {"target": "next_return", "rows": 5}) == {"target": "next_return>0", "rows": 5}
+
+
+def test_fold_runs(spark):
+    source, rows = folds_source(spark)
+    settings = models.Settings(rounds=6, patience=2, least_rows=5)
+    result, model = experiments.run_fold(source, "regression", settings)
+    got = models.predict(model, rows, ["a"]).join(rows.where("row_id >= 200 AND row_id % 5 <> 0").select("row_id"), "row_id").collect()
+    assert result.scores["n"] == 80 and result.scores["rmse"] == pytest.approx(math.sqrt(sum((r.p - r.y) ** 2 for r in got) / 80))
+    fixed, _ = experiments.run_fold(folds_source(spark)[0], "binary", settings, 3)
+    assert fixed.rounds == 3 and 0 < fixed.scores["logloss"] < 1
+
+
+def test_prepared_samples_by_row_number(spark, data, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/store")
+    samples = prepared.samples(spark, data)
+    s.publish("one", samples)
+    reader = prepared.PreparedReader(s, "one")
+    some = spark.createDataFrame([(3,), (5,), (10**9,)], "row_id long")
+    assert reader.index().count() == samples.count() and reader.features_at(some).count() == 2 and reader.targets_at(some).columns == ["row_id", "y"]
+    # targets aren't read with features
+    assert "y:" not in reader.features_at(some)._jdf.queryExecution().executedPlan().toString().split("ReadSchema: ")[1].split(">")[0]
+    s.publish("gap", samples.where("row_id <> 4"))
+    s.publish("few", samples.drop("turnover"))
+    with pytest.raises(store.StoreError):
+        prepared.PreparedReader(s, "gap").index()
+    for name in ("few", "none"):
+        with pytest.raises(store.StoreError):
+            prepared.PreparedReader(s, name)
+    # the same inputs give the same identity, and the frame is found, not built
+    assert prepared.preparation_identity(spark, data, "samples") == prepared.preparation_identity(spark, data, "samples") != prepared.preparation_identity(spark, data, "panel")
+    assert prepared.kept(spark, data, "samples", lambda: 1 / 0).count() == samples.count()
+
+
+def test_splits_are_published_reused_or_refused(spark, tmp_path):
+    s = prepared.SplitStore(store.Store(spark, f"file://{tmp_path}/splits"))
+    roles = spark.createDataFrame([("F01", "train", 1, 0, 0), ("F01", "score", 2, 0, 1)], "fold string, role string, row_id long, stock_idx int, cal_idx int")
+    plan = [splits.Window("F01", "validation", "2026-01-01", "2026-01-02", "2026-01-03", 0, 1, 2)]
+
+    def refuse():
+        raise splits.SplitError("F01.score is empty")
+
+    assert prepared.prepare_splits(s, "samples", plan, lambda: roles, refuse)[1]["state"] == "failed"
+    found, record = prepared.prepare_splits(s, "samples", plan, lambda: roles, lambda: None)
+    assert record["state"] == "published" and found.count() == 2
+    again, record = prepared.prepare_splits(s, "samples", plan, lambda: 1 / 0, refuse)
+    assert record["state"] == "reused" and again.count() == 2 and s.identity("other", plan) != record["identity"]
 
 
 def test_bars_from_a_stream(spark, tmp_path):
