@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import stored
 from ..functions.windows import rounded
 from ..operators import features as ft
 from ..operators import rules as ru
@@ -16,7 +15,7 @@ from ..operators import splits as sp
 from ..sources import prepared as prep
 from .reference_sql import EVENT_COLUMNS, EVENTS, FEATURE_SQL, with_ctes
 from .reference_sql import rounded as round_sql
-from .split_queries import SPLIT_CTES, plan
+from .split_queries import FIRST, FOLDS, LENGTH, SPLIT_CTES, plan
 
 QUANTILES, DISCRETE_MAX = [0.1, 0.25, 0.5, 0.75, 0.9], 64
 FAMILIES = {n: family for n, (family, _) in ft.catalogue().items()}
@@ -24,7 +23,17 @@ BOOT_WIDTH, BOOT_REPS = 5, 200
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of both phases: phase, fold, row_id, entity, day, y, the features and the events."""
+    """Rows of both phases: phase, fold, row_id, entity, day, y, the features and the events. Kept, as every statistic reads them."""
+    return prep.kept(spark, sf_dir, "scored", lambda: scored_rows(spark, sf_dir), {"plan": [FIRST, LENGTH, FOLDS], "events": ru.event_expressions()})
+
+
+def cuts_for(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(feature, cuts): a row a feature. Kept."""
+    settings = {"plan": [FIRST, LENGTH, FOLDS], "quantiles": QUANTILES, "discrete_max": DISCRETE_MAX, "natural": {n: ru.natural_cuts(n, f) for n, f in FAMILIES.items()}}
+    return prep.kept(spark, sf_dir, "cuts", lambda: cuts_of(scored(spark, sf_dir)), settings)
+
+
+def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     roles = sp.roles(prep.samples(spark, sf_dir), plan(spark, sf_dir)).where("(fold = 'F01' AND role = 'train') OR (fold <> 'holdout' AND role = 'score')")
     rows = roles.select(F.when(F.col("role") == "train", "discovery").otherwise("confirmation").alias("phase"), "fold", "row_id", F.col("stock_id").alias("entity"), F.col("target_idx").alias("day"), "y", *FAMILIES)
     return ru.with_events(rows)
@@ -40,12 +49,12 @@ def cuts_of(rows: DataFrame) -> DataFrame:
 
 
 class Mined:
-    """The frames that several statistics read: scored rows and cuts, stored, and the binned rows."""
+    """The frames that several statistics read: scored rows, cuts, and the binned rows."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.rows = stored(scored(spark, sf_dir))
+        self.rows = scored(spark, sf_dir)
         self.long = long_rows(self.rows)
-        self.cuts = stored(cuts_of(self.rows))  # a row a feature
+        self.cuts = cuts_for(spark, sf_dir)
         self.binned = ru.assign_bins(self.long, self.cuts)
 
     def stats(self, phase: str) -> DataFrame:
@@ -60,11 +69,11 @@ class Mined:
 
 
 def cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cuts_of(scored(spark, sf_dir)).select("feature", F.posexplode("cuts").alias("nth", "cut")).select("feature", "nth", F.expr(f"{rounded('cut')} AS cut"))
+    return cuts_for(spark, sf_dir).select("feature", F.posexplode("cuts").alias("nth", "cut")).select("feature", "nth", F.expr(f"{rounded('cut')} AS cut"))
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ru.intervals(cuts_of(scored(spark, sf_dir)))
+    return ru.intervals(cuts_for(spark, sf_dir))
 
 
 def bins(spark: SparkSession, sf_dir: str) -> DataFrame:

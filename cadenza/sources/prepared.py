@@ -32,13 +32,14 @@ def input_files(spark: SparkSession, sf_dir: str) -> list[list]:
     return sorted(out)
 
 
-def preparation_identity(spark: SparkSession, sf_dir: str, name: str) -> str:
-    return identity_of({"name": name, "inputs": input_files(spark, sf_dir), "features": ft.catalogue(), "targets": tg.EXPRESSIONS, "state": "complete"})
+def preparation_identity(spark: SparkSession, sf_dir: str, name: str, settings: dict | None = None) -> str:
+    return identity_of({"name": name, "inputs": input_files(spark, sf_dir), "features": ft.catalogue(), "targets": tg.EXPRESSIONS, "state": "complete", "settings": settings or {}})
 
 
-def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], settings: dict | None = None) -> DataFrame:
+    """settings: what else the frame depends on."""
     store = Store(spark, f"{shared_folder(spark)}/prepared")
-    identity = preparation_identity(spark, sf_dir, name)
+    identity = preparation_identity(spark, sf_dir, name, settings)
     found = store.find(identity)
     return found if found is not None else store.publish(identity, build())
 
