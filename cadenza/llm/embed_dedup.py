@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, ship, stored
+from .shared import components, scratch, ship, stored
 
 ship(__name__)
 
@@ -286,29 +286,30 @@ def linked_members(rows: DataFrame, total: int, least: float) -> DataFrame:
 def near_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id (least vec_id reachable by links), kept."""
     spark = vectors.sparkSession
-    given = stored(valid_vectors(vectors))
-    able = given.where("v IS NOT NULL AND vec_id IS NOT NULL")
-    # n: the vec_ids of these components; a class is a node, whose number is fixed as it is written
-    grouped = able.distinct().groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    classes = stored(grouped.select(F.monotonically_increasing_id().alias("node"), "rep", "n", "v"))
-    total = 1 << max(0, (classes.count() - 1)).bit_length()
-    dealt = stored(bucket_rows(classes, total, least).distinct())
-    # members of the bucket, as counts alone
-    full = dealt.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g", F.ceil(F.col("m") / BLOCK).cast("int").alias("k"))
-    placed = dealt.join(full, "g").select("g", "node", "k", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("s"))
-    each = placed.select("g", "node", "s", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
-    each = each.select("g", F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b"), F.when(F.col("s") <= F.col("o"), 0).otherwise(1).alias("side"), "node")
-    rows = each.join(classes.select("node", "n", "v"), "node")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "g", "a", "b").sortWithinPartitions("g", "a", "b").select("g", "a", "b", "side", "node", "n", "v")
-    links = stored(linked_members(rows, total, least))
-    found = components(links.where("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst")))
-    counts = links.groupBy("node").agg(F.sum("linked").alias("linked"))
-    # the least vec_id of the component's classes
-    joined = found.select(F.col("id").alias("node"), "component").join(classes.select("node", "rep"), "node")
-    heads = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-    whole = classes.join(counts, "node", "left").join(joined.join(heads, "component").select("node", "component_id"), "node", "left")
-    whole = whole.select("v", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
-    out = given.join(whole, "v", "left")
-    own = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
-    return out.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), (F.coalesce(own, F.lit(0)) == F.coalesce("vec_id", F.lit(0))).alias("kept"))
+    with scratch(spark):
+        given = stored(valid_vectors(vectors))
+        able = given.where("v IS NOT NULL AND vec_id IS NOT NULL")
+        # n: the vec_ids of these components; a class is a node, whose number is fixed as it is written
+        grouped = able.distinct().groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+        classes = stored(grouped.select(F.monotonically_increasing_id().alias("node"), "rep", "n", "v"))
+        total = 1 << max(0, (classes.count() - 1)).bit_length()
+        dealt = stored(bucket_rows(classes, total, least).distinct())
+        # members of the bucket, as counts alone
+        full = dealt.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g", F.ceil(F.col("m") / BLOCK).cast("int").alias("k"))
+        placed = dealt.join(full, "g").select("g", "node", "k", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("s"))
+        each = placed.select("g", "node", "s", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
+        each = each.select("g", F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b"), F.when(F.col("s") <= F.col("o"), 0).otherwise(1).alias("side"), "node")
+        rows = each.join(classes.select("node", "n", "v"), "node")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(parts, "g", "a", "b").sortWithinPartitions("g", "a", "b").select("g", "a", "b", "side", "node", "n", "v")
+        links = stored(linked_members(rows, total, least))
+        found = components(links.where("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst")))
+        counts = links.groupBy("node").agg(F.sum("linked").alias("linked"))
+        # the least vec_id of the component's classes
+        joined = found.select(F.col("id").alias("node"), "component").join(classes.select("node", "rep"), "node")
+        heads = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
+        whole = classes.join(counts, "node", "left").join(joined.join(heads, "component").select("node", "component_id"), "node", "left")
+        whole = whole.select("v", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+        out = given.join(whole, "v", "left")
+        own = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
+        return stored(out.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), (F.coalesce(own, F.lit(0)) == F.coalesce("vec_id", F.lit(0))).alias("kept")), keep=True)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .line_dedup import line_hash, too_often
-from .shared import WORD_BREAK, bound, free_name, quoted, stored
+from .shared import WORD_BREAK, bound, free_name, quoted, scratch, stored
 
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
 #: A line is frequent on more of a host's distinct documents than MAX_RATIO (or SMALL_HOST / root) of them; a document is depleted that keeps under LEAST_KEPT of the characters of its lines.
@@ -111,11 +111,12 @@ def depletion(scan: DataFrame) -> DataFrame:
 
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, the figures, base_failed, kept and lost_share of each document, and its host and page."""
-    scan = scanned(docs)
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    out = scan.drop("lines").join(depletion(scan), ["host", "page"], "left").withColumn("lost_share", F.coalesce("lost", F.lit(0.0))).withColumn("base_failed", failed)
-    kept = ~F.col("base_failed") & (1 - F.col("lost_share") >= LEAST_KEPT)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "lost_share", "host", "page")
+    with scratch(docs.sparkSession):
+        scan = scanned(docs)
+        failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+        out = scan.drop("lines").join(depletion(scan), ["host", "page"], "left").withColumn("lost_share", F.coalesce("lost", F.lit(0.0))).withColumn("base_failed", failed)
+        kept = ~F.col("base_failed") & (1 - F.col("lost_share") >= LEAST_KEPT)
+        return stored(out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "lost_share", "host", "page"), keep=True)
 
 
 def accepted(docs: DataFrame) -> DataFrame:
@@ -130,5 +131,6 @@ def cleaned(docs: DataFrame) -> DataFrame:
     """The documents that are kept, without the lines above the limits; the columns of the input, n_chars renewed."""
     from .line_dedup import without_frequent_lines
 
-    bad = frequent_of(scanned(docs))[1].select("host", "line")
+    with scratch(docs.sparkSession):
+        bad = stored(frequent_of(scanned(docs))[1].select("host", "line"), keep=True)
     return without_frequent_lines(accepted(docs), bad=bad).select(*[quoted(c) for c in docs.columns])

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import shared_folder
+
 #: Words are runs of anything but blank and the ASCII controls 9 to 13.
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 #: The columns of `documents`, which stages return.
@@ -24,32 +28,46 @@ def ship(module: str) -> None:
 ship(__name__)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where that is unset and Spark runs in one process, a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="cadenza-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+#: Paths of the scratch that is open, if any.
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
 
+def stored(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Cut the lineage: write the frame to the shared folder and read it again. A lost executor loses none of it.
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write the frame to the shared folder and read it again. A lost executor loses none of it."""
+    Inside a `scratch` the files go at its end, but for frames to `keep`, which a result reads.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cadenza-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if not keep and (held := _SCRATCH.get()) is not None:
+        held.append(path)
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is stored inside is deleted at the end, whether or not it ended well."""
+    held: list[str] = []
+    token = _SCRATCH.set(held)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for path in held:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a frame from `stored` that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        delete(df.sparkSession, path)
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, free_name, quoted, ship, stored
+from .shared import components, free_name, quoted, scratch, ship, stored
 
 ship(__name__)
 
@@ -261,37 +261,38 @@ def texts_of(docs: DataFrame, met: DataFrame) -> DataFrame:
 
 def near_rows(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, page, n_shingles, component_id, and the number of its group (null without a set or a doc_id). Stored."""
-    signed = stored(signatures(docs, words))
-    grouped = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("doc_id", "page")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
-    # a class is a node; its number is fixed as it is written
-    classes = stored(grouped.select(F.monotonically_increasing_id().alias("node"), "set_key", F.col("first.doc_id").alias("rep"), F.col("first.page").alias("page"), "n_shingles", "bands"))
-    dealt = classes.select("node", "set_key", F.explode("bands").alias("h"))
-    buckets = dealt.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    met = stored(dealt.join(buckets, "h"))
-    texts = texts_of(docs, classes.select("node", "rep", "page").join(met.select("node").distinct(), "node"))
-    # shingles that no other candidate has are in no intersection: what is left bounds the similarity from above
-    known = stored(classes.select("node", F.col("n_shingles").alias("size")).join(lone_shingles(texts, words), "node", "left").select("node", "size", (F.col("size") - F.coalesce("lone", F.lit(0))).alias("common")))
-    sized = met.join(known, "node")
-    least = sized.groupBy("h").agg(F.min("size").alias("least"))
-    able = sized.join(least, "h").where((100 + percent) * F.col("common") >= percent * (F.col("size") + F.col("least")))
-    # the pivot of a bucket is the member with the least of its own: the text that the others were made from
-    pivots = able.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((1 - F.col("common") / F.col("size")).alias("own"), "set_key", "node")).alias("p")).where("n > 1").select("h", F.col("p.node").alias("a"))
-    shared = stored(able.select("h", "node").join(pivots, "h"))
-    tried = stored(shared.where("node <> a").select("a", F.col("node").alias("b")).distinct())
-    tested = stored(compared(tried, texts, words, percent))
-    links = tested.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    found = stored(components(links))
-    apart = still_apart(tested, found, known, percent).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = stored(compared(stored(apart), texts, words, percent).where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    if more.head(1):
-        found = stored(components(links.unionByName(more)))
-    # the least doc_id of the component's classes
-    linked = found.select(F.col("id").alias("node"), "component").join(classes.select("node", "rep"), "node")
-    heads = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
-    linked = linked.join(heads, "component").select("node", "component", "component_id")
-    whole = classes.select("node", "set_key", "rep").join(linked, "node", "left").select("set_key", F.coalesce("component", "node").alias("group"), F.coalesce("component_id", "rep").alias("component_id"))
-    out = signed.select("doc_id", "page", "n_shingles", "set_key").join(whole, "set_key", "left")
-    return stored(out.select("doc_id", "page", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("group")).alias("group")))
+    with scratch(docs.sparkSession):
+        signed = stored(signatures(docs, words))
+        grouped = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("doc_id", "page")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+        # a class is a node; its number is fixed as it is written
+        classes = stored(grouped.select(F.monotonically_increasing_id().alias("node"), "set_key", F.col("first.doc_id").alias("rep"), F.col("first.page").alias("page"), "n_shingles", "bands"))
+        dealt = classes.select("node", "set_key", F.explode("bands").alias("h"))
+        buckets = dealt.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+        met = stored(dealt.join(buckets, "h"))
+        texts = texts_of(docs, classes.select("node", "rep", "page").join(met.select("node").distinct(), "node"))
+        # shingles that no other candidate has are in no intersection: what is left bounds the similarity from above
+        known = stored(classes.select("node", F.col("n_shingles").alias("size")).join(lone_shingles(texts, words), "node", "left").select("node", "size", (F.col("size") - F.coalesce("lone", F.lit(0))).alias("common")))
+        sized = met.join(known, "node")
+        least = sized.groupBy("h").agg(F.min("size").alias("least"))
+        able = sized.join(least, "h").where((100 + percent) * F.col("common") >= percent * (F.col("size") + F.col("least")))
+        # the pivot of a bucket is the member with the least of its own: the text that the others were made from
+        pivots = able.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((1 - F.col("common") / F.col("size")).alias("own"), "set_key", "node")).alias("p")).where("n > 1").select("h", F.col("p.node").alias("a"))
+        shared = stored(able.select("h", "node").join(pivots, "h"))
+        tried = stored(shared.where("node <> a").select("a", F.col("node").alias("b")).distinct())
+        tested = stored(compared(tried, texts, words, percent))
+        links = tested.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        found = stored(components(links))
+        apart = still_apart(tested, found, known, percent).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        more = stored(compared(stored(apart), texts, words, percent).where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        if more.head(1):
+            found = stored(components(links.unionByName(more)))
+        # the least doc_id of the component's classes
+        linked = found.select(F.col("id").alias("node"), "component").join(classes.select("node", "rep"), "node")
+        heads = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+        linked = linked.join(heads, "component").select("node", "component", "component_id")
+        whole = classes.select("node", "set_key", "rep").join(linked, "node", "left").select("set_key", F.coalesce("component", "node").alias("group"), F.coalesce("component_id", "rep").alias("component_id"))
+        out = signed.select("doc_id", "page", "n_shingles", "set_key").join(whole, "set_key", "left")
+        return stored(out.select("doc_id", "page", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("group")).alias("group")), keep=True)
 
 
 def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from cadenza.llm import chunk_dedup, embed_dedup, html_extract, license_scan, line_dedup, mixing, packing, pii_crf, quality_lines, sketch_dedup
+from cadenza.llm import chunk_dedup, embed_dedup, html_extract, license_scan, line_dedup, mixing, packing, pii_crf, quality_lines, shared, sketch_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, rep string, line string, host string, page string, length int"
@@ -730,3 +730,17 @@ def test_mixture(spark):
     again = mixing.mixed_documents(frame(spark, docs))
     assert again.columns == frame(spark, docs).columns and {r.doc_id for r in again.collect()} == set(uses)
     assert mixing.mixture(frame(spark, [])).count() == 0
+
+
+def test_scratch_leaves_only_what_results_read(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "shared_folder", lambda spark: f"file://{tmp_path}")
+    tables = lambda: {p for p in tmp_path.iterdir() if not p.name.startswith(".")}
+    for run in (lambda: sketch_dedup.near_copies(frame(spark, rows)), lambda: quality_lines.judged(frame(spark, rows)), lambda: embed_dedup.near_vectors(spark.createDataFrame([(i, [1.0, i % 3 + 0.0]) for i in range(9)], "vec_id long, embedding array<double>"))):
+        known = tables()
+        out = run()
+        assert len(tables() - known) == 1 and out.count() > 0
+    known = tables()
+    with pytest.raises(ValueError), shared.scratch(spark):
+        shared.stored(spark.range(3))
+        raise ValueError
+    assert tables() == known
