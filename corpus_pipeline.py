@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cadenza.llm import line_dedup, mixing, packing, quality_lines, sketch_dedup
-from cadenza.llm.shared import DOCUMENT_COLUMNS, stored, table
+from cadenza.llm.shared import DOCUMENT_COLUMNS, discard, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +40,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another; what a stage read is deleted once its result is stored."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs)
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, stored(stage(spark, docs, sf_dir))
+        if i:
+            discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
