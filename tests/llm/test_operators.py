@@ -312,7 +312,9 @@ def test_viterbi_is_the_best_path():
 
 
 #: Sentences written by hand, not drawn from the templates; [kind text] is personal, all other figures are not.
-SENTENCES = """Please ring me at [phone 020 7946 0958] after six.
+#: About a dozen strings of DEVELOPED are those that the features were developed on, so its figures flatter. FRESH was
+#: written afterwards without them, scored once, and nothing was changed for it; its author knew the templates.
+DEVELOPED = """Please ring me at [phone 020 7946 0958] after six.
 My mobile is [phone 07700 900123], and the office has [phone (0161) 496 0123].
 Call [phone 555 123 4567] or [phone 212.555.0188] for the tickets!
 Fax: [phone 030/9018200], desk [phone 030-901820].
@@ -348,13 +350,50 @@ Server [ip 192.0.2.44] sent 1500 bytes to [ip 198.51.100.7].
 Her card [card 3782 822463 10005] expires 11/27.
 Tracking 1Z 999 AA1 01 2345 6784 left on 3/14.
 Ring [phone 0171-2345678] or [phone 0043 1 5880 1234]."""
-
-
-def test_field_on_sentences_written_by_hand():
+FRESH = """The clinic can be reached on [phone 0131 225 4567] until noon.
+Ask for Mara, [phone (020) 3868 7712], extension 9.
+Mobile [phone 07911 654321]; landline [phone 01632 960983].
+Toll free [phone 1-866-303-4410] or locally [phone 503-226-7780].
+Reach the desk at [phone 617.868.1200], not at window 17.
+Büro: [phone 040/3344556], Lager: [phone 0221 9876543].
+Appelez le [phone 04 78 42 11 90] avant le 3 mai 2019.
+From abroad dial [phone +33 4 78 42 11 90] or [phone 0033 478 421190].
+Sydney office [phone (02) 9264 7781], Perth [phone 08 6552 1100].
+WhatsApp [phone +55 11 91234 5678] works best.
+Send drafts to [email k.ono-7@univ.example.ac.jp] by the 12th.
+Also [email sales@north-pier.shop], never sales at north-pier.
+The card [card 5105 1051 0510 5100] and the spare [card 6011-1111-1111-1117] were cut up.
+Typed as [card 3530.1113.3330.0000] it was refused.
+Amex [card 3714 496353 98431] is kept in the safe.
+Voucher 7781 2210 4456 9035 gives 15 % off.
+The gateway [ip 172.16.31.9] replied; 172.16.310.9 is a typo.
+Over six it is [ip 2a02:26f0:1:3::45] or [ip fd12:3456:789a:1::1].
+The build is 21.4.0.3877 and the patch is 7.12.
+In 1848 and 1871 there were 2 and 5 such laws.
+The years 1988 1992 1996 2000 were leap years.
+IBAN FR14 2004 1010 0505 0001 3M02 606 was closed.
+ISBN 0-306-40615-2 costs 24.95, the set 89.90.
+Order no. 2024-118834, lot 66-0192, shelf B7.
+Train 4711 leaves at 07:42 from track 12.
+It covers 12 742 km and weighs 5 972 units.
+Chapter 3.1.4, figure 12, pages 204-219.
+Scores were 21-19, 18-21 and 21-17.
+Population rose from 48 210 to 51 874 by 2011.
+The plate was HH-AB 1234 and the fine 35 euros.
+ZIP 30301-4402, box 118.
+Cells 4 9 13 22 31 40 were empty.
+MAC a4:5e:60:c1:7b:02, serial 55-20193-7.
+Coordinates 48.8566 2.3522 at 35 m.
+Her tax number is 21/815/08150.
+Meeting id 845 2291 0037, passcode 118204."""
+
+
+@pytest.mark.parametrize(("sentences", "least"), [(DEVELOPED, (24, 26, 28, 14, 16, 18)), (FRESH, (24, 26, 24, 16, 18, 16))])
+def test_field_on_sentences_written_by_hand(sentences, least):
     field = pii_crf.trained()
     kinds = pii_crf.KINDS
     hit = found = true = added_hit = added = beyond = 0
-    for line in SENTENCES.split("\n"):
+    for line in sentences.split("\n"):
         want, text = set(), ""
         for part in re.split(r"(\[(?:email|ip|card|phone) [^\]]*\])", line):
             if part.startswith("["):
@@ -369,8 +408,9 @@ def test_field_on_sentences_written_by_hand():
         new = set(spans) - set(base)
         added_hit, added, beyond = added_hit + len(want & new), added + len(new), beyond + len(want - set(base))
     print(f"all spans: precision {hit}/{found}, recall {hit}/{true}; the field's: precision {added_hit}/{added}, recall {added_hit}/{beyond}")
-    # measured, without tuning on these sentences: 24 of 26 and 24 of 28; of the field's own 14 of 16 and 14 of 18
-    assert hit / found >= 0.9 and hit / true >= 0.85 and added_hit / added >= 0.85 and added_hit / beyond >= 0.75
+    # measured: right spans, all found, all true; the same of the field's own
+    right, most, every, own, own_most, own_every = least
+    assert (true, beyond) == (every, own_every) and hit >= right and found <= most and added_hit >= own and added <= own_most
 
 
 def test_long_words_and_many_spans_are_whole():
