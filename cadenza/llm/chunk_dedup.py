@@ -126,7 +126,10 @@ class Chunker:
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """doc_id (the least long for null), and of each chunk and seed its start and end in bytes, its digest, whether the document had it before, and whether it is a seed."""
+    """doc_id (the least long for null), and of each chunk and seed its digest and `at`: start and length in bytes, whether the document had it before, whether it is a seed.
+
+    `at` packs them in 31, 31, 1 and 1 bits, as these are the most rows there are, and sorts by start.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunker = Chunker()
@@ -137,56 +140,76 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 for doc, text in zip(ids, batch.column("text").slice(a, 512).cast(pa.large_binary()).to_pylist(), strict=True):
                     if text:
                         ends, digests = chunker.chunks(text)
-                        for seed, start, end, own in ((False, np.concatenate(([0], ends[:-1])), ends, digests), (True, *chunker.seeds(text))):
-                            again = np.ones(len(end), bool)
-                            again[np.unique(own, return_index=True)[1]] = False
-                            parts.append((np.full(len(end), NO_ID if doc is None else doc), start, end, own, again, np.full(len(end), seed)))
+                        for seed, start, end, own in ((0, np.concatenate(([0], ends[:-1])), ends, digests), (1, *chunker.seeds(text))):
+                            again = np.ones(len(end), np.int64)
+                            again[np.unique(own, return_index=True)[1]] = 0
+                            parts.append((np.full(len(end), NO_ID if doc is None else doc), start.astype(np.int64) << 33 | (end - start).astype(np.int64) << 2 | again << 1 | seed, own))
                 if parts:
-                    doc, start, end, digest, again, seed = (np.concatenate(c) for c in zip(*parts, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(digest), pa.array(again), pa.array(seed)], ["doc_id", "start", "end", "digest", "again", "seed"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, start int, end int, digest long, again boolean, seed boolean")
+                    doc, at, digest = (np.concatenate(c) for c in zip(*parts, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at), pa.array(digest)], ["doc_id", "at", "digest"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, at long, digest long")
+
+
+SPANS = "doc_id long, start long, end long, copied long, copies_of array<bigint>, known array<bigint>, again array<bigint>"
+
+
+def merged(docs: np.ndarray, sizes: np.ndarray, at: np.ndarray, first: np.ndarray, digest: np.ndarray, least_bytes: int) -> list[list]:
+    """The columns of SPANS from the repeated chunks and seeds of documents, side by side, each document's in the order of their starts."""
+    out: list[list] = [[] for _ in range(7)]
+    if not len(at):
+        return out
+    doc = np.repeat(np.arange(len(docs)), sizes)
+    start, length, again, seed = at >> 33, (at >> 2) & (2**31 - 1), (at >> 1) & 1, (at & 1).astype(bool)
+    own = docs[doc]
+    copy = (again == 1) | (first < own)
+    base = doc.astype(np.int64) << 32  # places of one document lie beyond those of the one before
+    low, high = base + start, base + start + length
+    reach = np.maximum.accumulate(high)
+    cuts = np.flatnonzero(np.concatenate(([True], (low[1:] > reach[:-1]) | (doc[1:] != doc[:-1]))))
+    # bytes that several copies hold count once
+    held = np.maximum.accumulate(np.where(copy, high, base))
+    fresh = np.where(copy, np.maximum(0, high - np.maximum(low, np.concatenate(([0], held[:-1])))), 0)
+    ends = np.concatenate((cuts[1:], [len(at)]))
+    left, right = low[cuts], np.maximum.reduceat(high, cuts)
+    copied, seeded = np.add.reduceat(fresh, cuts), np.logical_or.reduceat(seed, cuts)
+    for k in np.flatnonzero((right - left >= least_bytes) | seeded):
+        a, b = cuts[k], ends[k]
+        me = int(own[a])
+        mine = copy[a:b]
+        of = np.unique(first[a:b][mine])
+        chunk = mine & ~seed[a:b]
+        other = first[a:b] != me
+        row = (None if me == NO_ID else me, int(left[k] - base[a]), int(right[k] - base[a]), int(copied[k]), of[of != NO_ID].tolist(), *(np.unique(digest[a:b][chunk & side]).tolist() for side in (other, ~other)))
+        for o, v in zip(out, row, strict=True):
+            o.append(v)
+    return out
 
 
 def copied_spans(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """doc_id, start, end (bytes of the text), copied, copies_of, digests: every run of repeated chunks and seeds.
+    """doc_id, start, end (bytes of the text), copied, copies_of, known, again: every run of repeated chunks and seeds.
 
     copied: the bytes that are copies; 0 for a passage that is nowhere earlier. copies_of: the documents that hold
-    the copied chunks and seeds first. digests: the copied chunks that an earlier document holds, and those that this
+    the copied chunks and seeds first. known: the copied chunks that an earlier document holds; again: those that this
     one holds first and repeats.
     """
     rows = chunk_rows(docs)
     firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc <> last_doc").select("digest", "first_doc")
-    hit = rows.join(firsts, "digest", "left").where("first_doc IS NOT NULL OR again")
-    hit = hit.select("doc_id", "start", "end", F.coalesce("first_doc", "doc_id").alias("first_doc"), (F.col("again") | (F.col("first_doc") < F.col("doc_id"))).alias("copy"), "seed", "digest")
+    hit = rows.join(firsts, "digest", "left").where("first_doc IS NOT NULL OR at & 2 <> 0")
     # all of a document's repeated chunks and seeds: at most its own
-    per = hit.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end", "first_doc", "copy", "seed", "digest"))).alias("c"))
+    per = hit.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", F.coalesce("first_doc", "doc_id").alias("first_doc"), "digest"))).alias("c"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], [], []]
-            for doc, chunks in zip(batch.column("doc_id").to_pylist(), batch.column("c").to_pylist(), strict=True):
-                i = 0
-                while i < len(chunks):
-                    start, end, j, upto, copied = chunks[i]["start"], chunks[i]["end"], i, 0, 0
-                    while j < len(chunks) and chunks[j]["start"] <= end:
-                        c = chunks[j]
-                        end, j = max(end, c["end"]), j + 1
-                        if c["copy"]:  # bytes that several copies hold count once
-                            copied += max(0, c["end"] - max(c["start"], upto))
-                            upto = max(upto, c["end"])
-                    run_ = chunks[i:j]
-                    if end - start >= least_bytes or any(c["seed"] for c in run_):
-                        of = sorted({c["first_doc"] for c in run_ if c["copy"] and c["first_doc"] != NO_ID})
-                        own = [c for c in run_ if c["copy"] and not c["seed"]]
-                        known, again = (sorted({c["digest"] for c in own if (c["first_doc"] != doc) == other}) for other in (True, False))
-                        for o, v in zip(out, (None if doc == NO_ID else doc, start, end, copied, of, known, again), strict=True):
-                            o.append(v)
-                    i = j
+            lists = batch.column("c")
+            flat = lists.flatten()
+            sizes = np.diff(lists.offsets.to_numpy())
+            columns = [flat.field(k).to_numpy() for k in range(3)]
+            out = merged(batch.column("doc_id").to_numpy(), sizes, *columns, least_bytes)
             kinds = (*[pa.int64()] * 4, *[pa.list_(pa.int64())] * 3)
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], ["doc_id", "start", "end", "copied", "copies_of", "known", "again"])
 
-    return per.mapInArrow(run, "doc_id long, start long, end long, copied long, copies_of array<bigint>, known array<bigint>, again array<bigint>")
+    return per.mapInArrow(run, SPANS)
 
 
 def without_copies(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
