@@ -36,7 +36,7 @@ from .shared import bound, quoted
 FEATURES, LEAST_PROBABILITY, LEAST_SHARE, WINDOW, STRIDE = 1 << 13, 0.5, 0.67, 50, 25
 UNKNOWN = "unknown"
 #: Words by which notices tell themselves from prose.
-TELLING = tuple("license licence licensed gnu gpl lgpl agpl gplv2 gplv3 lgplv2 lgplv3 agplv3 mit bsd isc cc cc0 commons apache mozilla mpl eclipse epl boost zlib spdx domain unlicense unencumbered rights copyright permission redistribution permitted endorse warranty liable software hereby granted waived".split())
+TELLING = tuple("license licence licensed gnu gpl lgpl agpl gplv2 gplv3 lgplv2 lgplv3 agplv3 bsd isc cc cc0 commons apache mozilla mpl eclipse epl boost zlib spdx domain unlicense unencumbered rights copyright permission redistribution permitted endorse warranty liable software hereby granted waived".split())
 CUE = "(?<![\\p{L}\\p{N}])(?:" + "|".join(TELLING) + ")(?![\\p{L}\\p{N}])"
 GNU_NAMES = (("gpl", "General Public License", "GPL"), ("lgpl", "Lesser General Public License", "LGPL"), ("agpl", "Affero General Public License", "AGPL"))
 GNU_VERSIONS = {"gpl": ("2.0", "3.0"), "lgpl": ("2.1", "3.0"), "agpl": ("3.0",)}
