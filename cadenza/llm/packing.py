@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import ship, stored
+from .shared import ship, stored, trimmed
 
 ship(__name__)
 
 SEQUENCE, END_ID, PART_ROWS = 4096, 2, 8192
 TOKENIZER = "word_bpe_49k.json"
-#: Entries in a worker's memory of encoded pieces and words; beyond it they are encoded anew.
-MEMORY = 200_000
+#: Entries in a worker's memory of encoded pieces and runs, and the characters of the longest; others are encoded anew each time.
+MEMORY, LONGEST = 200_000, 32
 #: What may be split at changes between letters, digits and the rest without changing its ids: ASCII without the apostrophe, and precomposed letters of Latin-1, none of which combines with another.
 PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
 RUNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-zÀ-ÖØ-öø-ÿ0-9]+")
@@ -50,34 +50,29 @@ def tokenizer_path(name: str) -> str:
 
 
 class Encoder(dict):
-    """From a piece between blanks to the bytes of its ids."""
+    """From a piece between blanks, or a run within one, to the bytes of its ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.words: dict[str, bytes] = {}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shifted = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
         self.bytes_as = {c: "".join(chr(shifted.get(b, b)) for b in chr(c).encode()) for c in [*range(33, 127), *range(192, 256)]}
 
     def __missing__(self, piece: str) -> bytes:
         if "<|" not in piece and PLAIN.fullmatch(piece):
-            out = b"".join([self.word(w) for w in RUNS.findall(piece.lower())])
+            runs = RUNS.findall(piece.lower())
+            out = self.run(piece) if runs == [piece] else b"".join(map(self.__getitem__, runs))
         else:
             out = b"".join([i.to_bytes(4, "little") for i in self.whole.encode(piece, add_special_tokens=False).ids])
-        if len(self) < MEMORY:
+        if len(self) < MEMORY and len(piece) <= LONGEST:
             self[piece] = out
         return out
 
-    def word(self, w: str) -> bytes:
-        out = self.words.get(w)
-        if out is None:
-            out = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(w.translate(self.bytes_as))])
-            if len(self.words) < MEMORY:
-                self.words[w] = out
-        return out
+    def run(self, w: str) -> bytes:
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(w.translate(self.bytes_as))])
 
     def ids(self, text: str) -> bytes:
         """Blanks and line feeds never lie in a token nor combine with letters, so texts may be cut there."""
@@ -111,7 +106,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = SEQUENCE) ->
                         o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(run), PIECES)
 
 
 def placements(histogram: dict[int, int], size: int = SEQUENCE) -> list[tuple[int, int, int, int, int]]:
@@ -139,6 +134,9 @@ def placements(histogram: dict[int, int], size: int = SEQUENCE) -> list[tuple[in
     return lines
 
 
+LINES = pa.list_(pa.struct([(name, pa.int64()) for name in ("rank", "count", "first", "at")]))
+
+
 def packed(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = SEQUENCE) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
@@ -147,8 +145,9 @@ def packed(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = SEQUENCE) ->
     lines: dict[int, list] = {}
     for length, rank, count, first, offset in placements(histogram, size):
         lines.setdefault(length, []).append((rank, count, first, offset))
-    plan = spark.createDataFrame([(k, v) for k, v in lines.items()], "length long, lines array<struct<rank: long, count: long, first: long, at: long>>")
-    parts = spark.createDataFrame([(k, -(-n // PART_ROWS)) for k, n in histogram.items()], "length long, parts long")
+    # Arrow tables are local relations; lists of rows would start Python workers beside those that encode
+    plan = spark.createDataFrame(pa.table({"length": pa.array(lines, pa.int64()), "lines": pa.array(lines.values(), LINES)}))
+    parts = spark.createDataFrame(pa.table({"length": pa.array(histogram, pa.int64()), "parts": pa.array([-(-n // PART_ROWS) for n in histogram.values()], pa.int64())}))
     cut = cut.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.col("parts"))).drop("parts")
     counts = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, free_name, quoted, scratch, ship, stored
+from .shared import components, free_name, quoted, scratch, ship, stored, trimmed
 
 ship(__name__)
 
@@ -172,7 +172,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                         keys.append(None), parts.append(None)
                 yield pa.RecordBatch.from_arrays([ids, pages, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(parts, pa.list_(pa.int64()))], ["doc_id", "page", "n_shingles", "set_key", "bands"])
 
-    return paged(docs).mapInArrow(run, SIGNATURE)
+    return paged(docs).mapInArrow(trimmed(run), SIGNATURE)
 
 
 def lone_shingles(texts: DataFrame, words: int) -> DataFrame:
@@ -187,7 +187,7 @@ def lone_shingles(texts: DataFrame, words: int) -> DataFrame:
                 ids = np.repeat(part.column("node").to_numpy(), [len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], ["node", "shingle"])
 
-    rows = texts.select("node", "text").mapInArrow(run, "node long, shingle long")
+    rows = texts.select("node", "text").mapInArrow(trimmed(run), "node long, shingle long")
     return rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
 
 
@@ -215,7 +215,7 @@ def compared(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(cols[0], pa.bool_()), *[pa.array(c, pa.int64()) for c in cols[1:4]], pa.array(cols[4], pa.list_(pa.int64()))], ["a", "b", "linked", "size_a", "size_b", "common", "delta"])
 
     full = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(run, COMPARED)
+    return full.select("a", "b", "text_a", "text_b").mapInArrow(trimmed(run), COMPARED)
 
 
 def still_apart(tested: DataFrame, found: DataFrame, known: DataFrame, percent: int) -> DataFrame:

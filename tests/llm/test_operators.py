@@ -736,6 +736,36 @@ def test_packing_in_parts(spark, rows, monkeypatch):
     assert {(r.doc_id, r.start, r.length) for r in got} == {(r.doc_id, r.start, r.length) for r in packing.pieces(frame(spark, docs), size=64).collect()}
 
 
+def test_packing_memory(spark, rows, monkeypatch):
+    monkeypatch.setattr(packing, "MEMORY", 40)
+    enc = packing.Encoder(packing.tokenizer_path(packing.TOKENIZER))
+    texts = ["x" * 5000 + " \u6f22" * 3 + "\u6f22" * 900, *(t or "" for _, t, _ in rows), "Upper, UPPER. upper! it's"]
+    for t in texts:
+        assert enc.ids(t) == np.array(enc.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    # pieces and runs share one bounded memory, and long ones aren't in it
+    held = [enc, *(v for k, v in vars(enc).items() if isinstance(v, dict) and k != "bytes_as")]
+    assert sum(map(len, held)) <= 40 and max(len(k) for d in held for k in d) <= 32
+    # no rows come from the driver's Python, whose workers would stay beside those that encode
+    assert "ExistingRDD" not in packing.packed(frame(spark, rows))._jdf.queryExecution().toString()
+
+
+def test_trimmed(monkeypatch):
+    calls, freed = [], []
+
+    class Batch:
+        def __del__(self):
+            freed.append(len(calls))
+
+    def run(batches):
+        for batch in batches:
+            yield id(batch)
+
+    monkeypatch.setattr(shared.ctypes, "CDLL", lambda name: type("C", (), {"malloc_trim": staticmethod(calls.append)}))
+    assert len(list(shared.trimmed(run)(Batch() for _ in range(3)))) == 3 and calls == [0] and freed == [0, 0, 0]
+    monkeypatch.setattr(shared.ctypes, "CDLL", lambda name: object())
+    assert list(shared.trimmed(iter)([1, 2])) == [1, 2]
+
+
 def test_placements_fill_well():
     rng = random.Random(1)
     lengths = Counter(min(4096, int(rng.expovariate(1 / 900)) + 1) for _ in range(20_000))
