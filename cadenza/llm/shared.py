@@ -9,8 +9,10 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import shared_folder
@@ -19,6 +21,8 @@ from ..functions.storage import shared_folder
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 #: The columns of `documents`, which stages return.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Links that a task joins at a time.
+PART = 1 << 18
 
 
 def ship(module: str) -> None:
@@ -103,32 +107,68 @@ def bound(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Least reachable id of every id in edges(src long, dst long); returns (id, component).
+def joined(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links (src, dst) every id that isn't the least it reaches by them, once, and that least id."""
+    ids, at = np.unique(np.concatenate((src, dst)), return_inverse=True)
+    a, b = at[: len(src)], at[len(src) :]
+    low, own = np.arange(len(ids)), np.arange(len(ids))
+    while (apart := low[a] != low[b]).any():
+        x, y = low[a[apart]], low[b[apart]]
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while (low[low] != low).any():
+            low = low[low]
+    return ids[low != own], ids[low[low != own]]
+
+
+def _joined_parts(edges: DataFrame) -> DataFrame:
+    """The same components with fewer links: of PART at a time, as a task reads them, each id keeps one at most, without an exchange."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def part() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in joined(*(np.concatenate(c) for c in zip(*held, strict=True)))], ["src", "dst"])
+
+        for batch in batches:
+            held.append(tuple(batch.column(c).to_numpy() for c in ("src", "dst")))
+            size += len(batch)
+            if size >= PART:
+                yield part()
+                held, size = [], 0
+        if size:
+            yield part()
 
-    Alternating large-star and small-star rounds over distributed edges; each round is stored, so lineage stays
-    short, and only a count and a checksum reach the driver. Self links and nulls are ignored; without links the
-    result is empty.
+    return edges.mapInArrow(trimmed(run), "src long, dst long")
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """Every id of edges(src long, dst long) that isn't the least it reaches, as src, once, and that least id as dst. Stored.
+
+    Links are joined where a task has them; then alternating small-star and large-star rounds over distributed edges,
+    until no id has two smaller neighbours, or a smaller and a larger one. Each round is stored, so lineage stays short,
+    and only a count reaches the driver. Self links and nulls are ignored; without links the result is empty. The
+    joining leaves an id no more smaller neighbours than there are parts, so the first small-star, a window by id, has
+    no large group; large-star, where the ids of a star meet at its centre, is a join, whose skew can be split.
     """
-    pairs = edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
-    now = stored(pairs)
-    mark = _mark(now)
-    while mark[0]:
-        both = now.unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("low"))
-        large = both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct()
-        least = large.groupBy("src").agg(F.min("dst").alias("low"))
-        small = large.join(least, "src").select(F.explode(F.array(F.struct(F.col("dst").alias("src"), F.col("low").alias("dst")), F.struct("src", F.col("low").alias("dst")))).alias("e")).select("e.*").where("src <> dst").distinct()
-        after = stored(small)
-        new = _mark(after)
+    now = stored(_joined_parts(edges.where("src <> dst").select("src", "dst")))
+    while _unsettled(now):
+        met = now.where("src > dst").withColumn("low", F.min("dst").over(Window.partitionBy("src")))
+        small = met.select(F.when(F.col("dst") > F.col("low"), F.col("dst")).otherwise(F.col("src")).alias("src"), F.col("low").alias("dst"))
+        least = small.groupBy(F.col("src").alias("dst")).agg(F.min("dst").alias("low"))
+        large = small.join(least, "dst", "left").select("src", F.coalesce("low", "dst").alias("dst")).distinct()
+        after = stored(large)
         discard(now)
         now = after
-        if new == mark:
-            break
-        mark = new
-    return now.groupBy("src").agg(F.min("dst").alias("component")).select(F.col("src").alias("id"), "component").unionByName(now.select(F.col("dst").alias("id"), F.col("dst").alias("component")).distinct())
+    return now
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Least reachable id of every id in edges(src long, dst long); returns (id, component). See `stars`."""
+    found = stars(edges)
+    return found.select(F.col("src").alias("id"), F.col("dst").alias("component")).unionByName(found.select(F.col("dst").alias("id"), F.col("dst").alias("component")).distinct())
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).head()
-    return tuple(row)
+def _unsettled(edges: DataFrame) -> int:
+    """How many ids have two smaller neighbours, or a smaller and a larger one."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("up")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+    return ends.groupBy("id").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where("ups > 1 OR (ups = 1 AND least = 0)").count()

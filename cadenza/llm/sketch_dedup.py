@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, free_name, quoted, scratch, ship, stored, trimmed
+from .shared import free_name, quoted, scratch, ship, stars, stored, trimmed
 
 ship(__name__)
 
@@ -65,7 +65,7 @@ class Shingler:
     """Sets of hashed word shingles, for many texts at a time."""
 
     def __init__(self, words: int):
-        self.words, self.up, self.down = words, powers(POWER, 2 * CHUNK), powers(INVERSE, 2 * CHUNK)
+        self.words, self.up, self.down = words, powers(POWER, 1 << 14), powers(INVERSE, 1 << 14)
 
     def hashes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """A hash of each word of all texts; where the words of each text begin among them (one entry more)."""
@@ -226,8 +226,7 @@ def still_apart(tested: DataFrame, found: DataFrame, known: DataFrame, percent:
     it finds, or its sizes must fit. Both kinds must also obey the triangle inequality of the Jaccard distance, and the
     bound from shingles that no other candidate has.
     """
-    label = found.select("id", "component")
-    of = lambda df, c, name: df.join(label.select(F.col("id").alias(c), F.col("component").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
+    of = lambda df, c, name: df.join(found.select(F.col("src").alias(c), F.col("dst").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
     rows = of(of(tested, "b", "label"), "a", "label_a").join(known.select(F.col("node").alias("b"), F.col("common").alias("not_lone")), "b")
     distance = 1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
     room = lambda c: (100 + percent) * F.col(c) - percent * F.col("size_b")
@@ -277,20 +276,17 @@ def near_rows(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         able = sized.join(least, "h").where((100 + percent) * F.col("common") >= percent * (F.col("size") + F.col("least")))
         # the pivot of a bucket is the member with the least of its own: the text that the others were made from
         pivots = able.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((1 - F.col("common") / F.col("size")).alias("own"), "set_key", "node")).alias("p")).where("n > 1").select("h", F.col("p.node").alias("a"))
-        shared = stored(able.select("h", "node").join(pivots, "h"))
-        tried = stored(shared.where("node <> a").select("a", F.col("node").alias("b")).distinct())
+        tried = stored(able.select("h", "node").join(pivots, "h").where("node <> a").select("a", F.col("node").alias("b")).distinct())
         tested = stored(compared(tried, texts, words, percent))
         links = tested.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        found = stored(components(links))
+        found = stars(links)
         apart = still_apart(tested, found, known, percent).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
         more = stored(compared(stored(apart), texts, words, percent).where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst")))
         if more.head(1):
-            found = stored(components(links.unionByName(more)))
+            found = stars(found.unionByName(more))
         # the least doc_id of the component's classes
-        linked = found.select(F.col("id").alias("node"), "component").join(classes.select("node", "rep"), "node")
-        heads = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
-        linked = linked.join(heads, "component").select("node", "component", "component_id")
-        whole = classes.select("node", "set_key", "rep").join(linked, "node", "left").select("set_key", F.coalesce("component", "node").alias("group"), F.coalesce("component_id", "rep").alias("component_id"))
+        labelled = classes.select("node", "set_key", "rep").join(found.select(F.col("src").alias("node"), "dst"), "node", "left").select("set_key", "rep", F.coalesce("dst", "node").alias("group"))
+        whole = labelled.join(labelled.groupBy("group").agg(F.min("rep").alias("component_id")), "group").select("set_key", "group", "component_id")
         out = signed.select("doc_id", "page", "n_shingles", "set_key").join(whole, "set_key", "left")
         return stored(out.select("doc_id", "page", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("group")).alias("group")), keep=True)
 

@@ -109,6 +109,47 @@ def test_near_copies_edges(spark):
     assert sorted((r.doc_id is None, r.component_id, r.kept) for r in got) == [(False, 1, True), (True, None, True)]
 
 
+def links_of(spark, links, parts):
+    """Rows (src, dst) in so many partitions."""
+    return spark.createDataFrame(spark.sparkContext.parallelize(links, parts), "src long, dst long")
+
+
+@pytest.mark.parametrize("part", [3, 1 << 18])
+def test_components_against_brute_force(spark, monkeypatch, part):
+    monkeypatch.setattr(shared, "PART", part)
+    rng = random.Random(8)
+    chain = rng.sample(range(100, 140), 40)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + list(zip(chain[:-1], chain[1:], strict=True))
+    # hubs that are the greatest and the least of theirs, linked both ways, and links of no one
+    links += [(299, i) for i in range(200, 230)] + [(i, 300) for i in range(301, 330)] + [(329, 299), (299, 329), (-5, 70), (-(2**62), -5)] + [(400, 400)]
+    rng.shuffle(links)
+    want = reachable({x for a, b in links if a != b for x in (a, b)}, [x for x in links if x[0] != x[1]])
+    got = shared.components(links_of(spark, [*links, (None, 1), (2, None)], 5)).collect()
+    assert len(got) == len(want) and {r.id: r.component for r in got} == want
+    own = shared.stars(links_of(spark, links, 3)).collect()
+    assert len(own) == len({r.src for r in own}) and {r.src: r.dst for r in own} == {i: c for i, c in want.items() if i != c}
+    assert not shared.components(links_of(spark, [(7, 7)], 1)).collect()
+
+
+def test_components_that_a_task_holds_take_no_round(spark, monkeypatch):
+    written, real = [], shared.stored
+    monkeypatch.setattr(shared, "stored", lambda df, keep=False: written.append(1) or real(df, keep))
+    links = [(50 * g + 40, 50 * g + i) for g in range(4) for i in range(20)]
+    assert {r.id: r.component for r in shared.components(links_of(spark, links, 1)).collect()} == reachable({x for e in links for x in e}, links)
+    assert len(written) == 1
+    # what several tasks have of a star meets in one round
+    written.clear()
+    assert {r.id: r.component for r in shared.components(links_of(spark, links[::3] + links[1::3] + links[2::3], 4)).collect()} == reachable({x for e in links for x in e}, links)
+    assert len(written) == 2
+
+
+def test_near_copies_write_each_frame_that_is_read_twice_only(spark, rows, monkeypatch):
+    written, real = [], shared.stored
+    for module in (shared, sketch_dedup):
+        monkeypatch.setattr(module, "stored", lambda df, keep=False: written.append(1) or real(df, keep))
+    assert sketch_dedup.near_copies(frame(spark, rows), 3, 85).count() == len(rows) and len(written) <= 14
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(1)
     for n in (1, 3, 200, 5000):
