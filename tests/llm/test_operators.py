@@ -143,7 +143,7 @@ def test_components_that_a_task_holds_take_no_round(spark, monkeypatch):
     assert len(written) == 2
 
 
-def test_near_copies_write_each_frame_that_is_read_twice_only(spark, rows, monkeypatch):
+def test_near_copies_write_few_frames(spark, rows, monkeypatch):
     written, real = [], shared.stored
     for module in (shared, sketch_dedup):
         monkeypatch.setattr(module, "stored", lambda df, keep=False: written.append(1) or real(df, keep))
