@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, embed_dedup, html_extract, license_scan, line_dedup, mixing, packing, pii_crf, quality_lines, sketch_dedup
+from . import chunk_dedup, embed_dedup, html_extract, license_scan, line_dedup, lloyd_codes, mixing, packing, pii_crf, prefix_trie, quality_lines, sketch_dedup, warc_archive
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,18 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+def op11_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_archive.archived(table(spark, sf_dir, "pages"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.hundred_heads(table(spark, sf_dir, "conversations")).drop("digest")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -59,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_main_text, op2_personal_data, op3_quality_lines, op4_licences, op5_near_vectors, op6_near_copies, op7_packing, op8_frequent_lines, op9_repeated_passages, op10_mixture, pipeline)
+    own = (op1_main_text, op2_personal_data, op3_quality_lines, op4_licences, op5_near_vectors, op6_near_copies, op7_packing, op8_frequent_lines, op9_repeated_passages, op10_mixture, op11_web_archive, op12_vector_codes, op13_prefix_trie, pipeline)
     return {f.__name__: f for f in own}
 
 

@@ -51,4 +51,4 @@ def test_against_sql(spark, data, name):
 
 def test_names():
     assert [n for n in queries.queries() if re.match(r"op\d+_", n)] == sorted((n for n in queries.queries() if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0]))
-    assert len(queries.queries()) == 11 and line_dedup.MAX_RATIO < 1
+    assert len(queries.queries()) == 14 and line_dedup.MAX_RATIO < 1
