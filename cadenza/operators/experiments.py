@@ -25,8 +25,8 @@ TREND = "quote_index_trend"
 class FoldSource:
     """The rows of one fold: roles checked against their declared counts and key digests, features apart from targets."""
 
-    def __init__(self, assigned: DataFrame, samples: DataFrame, fold: str, names: list[str]):
-        self.fold, self.names = fold, names
+    def __init__(self, assigned: DataFrame, samples: DataFrame, fold: str, names: list[str], key: tuple[str, str] = ("stock_id", "d")):
+        self.fold, self.names, self.key = fold, names, key
         self.roles = assigned.where(F.col("fold") == fold).select("fold", "role", "row_id", "stock_idx", "cal_idx")
         self.samples = samples
         self._gate = Gate(self._targets())
@@ -61,6 +61,10 @@ class FoldSource:
             for a in range(ends[0] // size, ends[1] // size + 1):
                 yield self.features().where((F.col("row_id") >= a * size) & (F.col("row_id") < (a + 1) * size))
 
+    def predicted_rows(self) -> DataFrame:
+        """(entity, day) of the rows to predict, by names that don't depend on the preparation."""
+        return self._at("predict", *self.key).select(F.col(self.key[0]).alias("entity"), F.col(self.key[1]).alias("day"))
+
     def enable_scoring(self) -> None:
         self._gate.open()
 
@@ -148,19 +152,27 @@ def predictions_digest(predictions: DataFrame) -> str:
 
 
 def run_holdout(source: FoldSource, plan: FinalPlan, registry: Registry, folder: str) -> dict:
-    """Reserve, fit the frozen rounds, write and digest the predictions, expose, and only then read the targets and score."""
-    registry.reserve(plan.identity)
+    """Reserve the rows, fit the frozen rounds, write and digest the predictions, expose, and only then read the targets and score."""
+    attempt = registry.reserve(source.predicted_rows(), {"plan": plan.identity, "text": plan_text(plan)})
     settings = md.Settings(**{**plan.settings, "rounds": plan.rounds})
     model, _ = md.fit(labelled(source.training(), plan.kind), None, list(plan.features), plan.kind, settings)
-    path = f"{folder}/predictions-{plan.identity}"
+    path = f"{folder}/predictions-{attempt}"
     md.predict(model, source.features(), list(plan.features), plan.kind).select("row_id", "p").write.parquet(path)
     sealed = source.samples.sparkSession.read.parquet(path)
     digest = predictions_digest(sealed)
-    md.check_reload(model, f"{folder}/model-{plan.identity}", source.features(), list(plan.features), plan.kind)
-    registry.expose(plan.identity, digest)
+    md.check_reload(model, f"{folder}/model-{attempt}", source.features(), list(plan.features), plan.kind)
+    registry.expose(attempt, {"plan": plan.identity, "predictions": digest})
     source.enable_scoring()
     result = {**scored(sealed, source.targets(), plan.kind).head().asDict(), "rounds": plan.rounds, "predictions": digest}
     if predictions_digest(sealed) != digest:
         raise HoldoutError("the predictions changed after they were sealed")
-    registry.finish(plan.identity, result)
+    registry.finish(attempt, result)
     return result
+
+
+def holdout_once(source: FoldSource, plan: FinalPlan, registry: Registry, folder: str) -> dict:
+    """The result on record of this very plan on these rows, or else a run, which the registry refuses if any other attempt has seen them."""
+    for known in registry.attempts():
+        if known["state"] == "finished" and known.get("exposed", {}).get("plan") == plan.identity:
+            return known["finished"]
+    return run_holdout(source, plan, registry, folder)

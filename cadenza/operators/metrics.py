@@ -84,7 +84,7 @@ def calibration(rows: DataFrame) -> DataFrame:
     return every.join(F.broadcast(counted), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), "mean_probability", "observed_up_rate")
 
 
-def training_prior(train: DataFrame) -> DataFrame:
+def training_prior(train: DataFrame, *by: str) -> DataFrame:
     """The share of up labels and the class of the majority; a missing label is an error."""
     label = F.when(F.col("y").isNull(), F.raise_error(F.lit("missing label"))).when(F.col("y") > 0, 1).otherwise(0)
-    return train.agg(F.avg(label).alias("prior"), F.when(F.avg(label) > 0.5, 1).otherwise(0).alias("majority"), F.count(F.lit(1)).alias("n"))
+    return train.groupBy(*by).agg(F.avg(label).alias("prior"), F.when(F.avg(label) > 0.5, 1).otherwise(0).alias("majority"), F.count(F.lit(1)).alias("n"))

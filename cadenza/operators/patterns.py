@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ranks import quantiles
+from . import rules as ru
 
 FAMILIES = {"platform": "P", "bottom_volume": "B", "ascending_channel": "C"}
 VIEWS = ("all_qualifying_days", "first_after_5_clear_days")
@@ -138,18 +142,176 @@ def coverage(bits: DataFrame, rules: list[dict]) -> DataFrame:
     return every.join(counted, "rule_id", "left").na.fill(0)
 
 
-def fold_statistics(rows: DataFrame, rules: list[dict], views: DataFrame, folds: DataFrame, events: tuple[str, ...]) -> DataFrame:
-    """rows(rule_id, view, fold, day, events) -> a row for every rule, view and fold, those without signals as zeros."""
-    counted = rows.groupBy("rule_id", "view", "fold").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("day").alias("dates"), *[F.count_if(F.col(e)).alias(e) for e in events])
-    every = rule_frame(rows.sparkSession, rules).select("rule_id").join(F.broadcast(views)).join(F.broadcast(folds))  # rules, two views and the folds
-    return every.join(counted, ["rule_id", "view", "fold"], "left").na.fill(0)
+#: Of a rule and a view.
+RULE = ("rule_id", "view")
 
 
-def signal_statistics(rows: DataFrame, view: Column, events: tuple[str, ...]) -> DataFrame:
-    """Per rule and phase over scored rows selected by `view`: counts, dates, entities, mean and median outcome, concentration, hits."""
-    chosen = rows.where(view)
-    by_day = chosen.groupBy("rule_id", "phase", "day").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(e)).alias(e) for e in events])
-    days = by_day.groupBy("rule_id", "phase").agg(F.count(F.lit(1)).alias("dates"), (F.max("n") / F.sum("n")).alias("max_day_share"), *[F.avg(F.col(e) / F.col("n")).alias(f"daily_{e}") for e in events])
-    whole = chosen.groupBy("rule_id", "phase").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entity").alias("stocks"), F.avg("y").alias("mean_y"), *[F.count_if(F.col(e)).alias(e) for e in events])
-    middle = quantiles(chosen, ["rule_id", "phase"], "y", [0.5]).select("rule_id", "phase", F.col("q")[0].alias("median_y"))
-    return whole.join(days, ["rule_id", "phase"]).join(middle, ["rule_id", "phase"])
+def with_masks(bits: DataFrame, *names: str) -> DataFrame:
+    """Adds `masks`: the words of these columns, a view each."""
+    return bits.withColumn("masks", F.concat(*names))
+
+
+def bit_sums(rows: DataFrame, by: list[str], words: int, flags: tuple[str, ...], values: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, bit, n, flags, values): for each bit of `masks` the rows that have it, those with each flag, and sums of values, by group.
+
+    Within a task bits are a matrix and a group's sums its product with the flags, so that rows are never multiplied by the
+    rules; what leaves a task is a row a group and bit that it met. Flags, values and masks hold no nulls.
+    """
+    sums = [*flags, *values]
+    schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by), "bit int", "n long", *(f"{c} double" for c in sums)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = np.arange(WORD, dtype=np.int64)
+        for batch in batches:
+            if not len(batch):
+                continue
+            masks = batch.column("masks").flatten().to_numpy().reshape(len(batch), 2 * words)
+            bits = ((masks[:, :, None] >> at) & 1).reshape(len(batch), -1).astype(np.float64)
+            each = np.stack([np.ones(len(batch)), *(batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in sums)])
+            keys = pa.table([batch.column(c) for c in by], names=by).append_column("_row", pa.array(np.arange(len(batch))))
+            groups = keys.group_by(by).aggregate([("_row", "list")])
+            first, bit, found = [], [], []
+            for members in groups.column("_row_list").to_pylist():
+                total = each[:, members] @ bits[members]
+                some = np.flatnonzero(total[0])
+                first.append(np.full(len(some), members[0]))
+                bit.append(some)
+                found.append(total[:, some])
+            first, found = np.concatenate(first), np.concatenate(found, axis=1)
+            out = [*(batch.column(c).take(pa.array(first)) for c in by), pa.array(np.concatenate(bit), pa.int32()), pa.array(found[0].astype(np.int64)), *map(pa.array, found[1:])]
+            yield pa.RecordBatch.from_arrays(out, [*by, "bit", "n", *sums])
+
+    part = rows.select(*by, "masks", *(F.col(c).cast("double").alias(c) for c in sums)).mapInArrow(run, schema)
+    whole = part.groupBy(*by, "bit").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in sums])
+    return whole.select(*by, "bit", "n", *[F.round(c).cast("long").alias(c) for c in flags], *values)
+
+
+def bit_names(spark: SparkSession, rules: list[dict]) -> DataFrame:
+    """(bit, rule_id, family, view) of the bits of `masks`. A row a rule and view."""
+    words = -(-len(rules) // WORD)
+    rows = [((v * words + i // WORD) * WORD + i % WORD, r["rule_id"], r["family"], view) for v, view in enumerate(VIEWS) for i, r in enumerate(rules)]
+    return spark.createDataFrame(rows, "bit int, rule_id string, family string, view string")
+
+
+class Judged:
+    """The chart rules over both phases: statistics, folds, states and choices, for every rule, view and event.
+
+    bits are those of `packed` with state, y and target_idx; scored(phase, fold, entity, day, y, events, ...) has all scored
+    rows, and a signal counts where its row is scored. Days and entities are summed bit by bit, whatever the number of rules.
+    """
+
+    def __init__(self, bits: DataFrame, scored: DataFrame, rules: list[dict], support: dict):
+        spark = bits.sparkSession
+        self.spark, self.rules, self.scored, self.support, self.words = spark, rules, scored, support, -(-len(rules) // WORD)
+        self.names = F.broadcast(bit_names(spark, rules))
+        last = scored.agg(F.max("day").alias("last_day"))  # one row
+        # the last row of information before any scored outcome
+        self.bits = bits.join(F.broadcast(last)).where("cal_idx < last_day").drop("last_day")
+        self.views = spark.createDataFrame([(v,) for v in VIEWS], "view string")
+        self.every = rule_frame(spark, rules).select("rule_id", "family", "canonical").join(F.broadcast(self.views))
+
+    def rows(self, *names: str) -> DataFrame:
+        """Scored rows with the bits of these columns."""
+        keyed = with_masks(self.bits, *names).select(F.col("stock_id").alias("entity"), F.col("target_idx").alias("day"), "masks")
+        return self.scored.join(keyed, ["entity", "day"])
+
+    def named(self, sums: DataFrame) -> DataFrame:
+        return sums.join(self.names, "bit").drop("bit", "family")
+
+    def daily(self) -> DataFrame:
+        """(phase, fold, day, rule_id, view, n, events, sum_y)."""
+        return self.named(bit_sums(self.rows("hit", "first_hit").withColumn("sum_y", F.col("y")), ["phase", "fold", "day"], self.words, ru.EVENTS, ("sum_y",)))
+
+    def signals(self, *keep: str) -> DataFrame:
+        """A row a scored signal, for what sums don't tell: (rule_id, view, phase, *keep)."""
+        at = F.filter(F.sequence(F.lit(0), F.lit(2 * self.words * WORD - 1)), lambda i: F.getbit(F.get("masks", F.floor(i / WORD).cast("int")), i % WORD) == 1)
+        return self.named(self.rows("hit", "first_hit").select("phase", "masks", *keep).withColumn("bit", F.explode(at))).drop("masks")
+
+    def statistics(self, daily: DataFrame) -> DataFrame:
+        """(rule_id, view, phase, n, dates, stocks, events, mean_y, median_y, largest shares, daily_ and matched_ rates), for those with signals."""
+        by = [*RULE, "phase"]
+        base = self.scored.groupBy("phase", "day").agg(*[F.avg(F.col(e).cast("double")).alias(f"base_{e}") for e in ru.EVENTS])
+        days = daily.join(F.broadcast(base), ["phase", "day"])  # a row a phase and day
+        total = days.groupBy(*by).agg(
+            F.sum("n").alias("n"), F.count(F.lit(1)).alias("dates"), (F.sum("sum_y") / F.sum("n")).alias("mean_y"), (F.max("n") / F.sum("n")).alias("max_day_share"), *[F.sum(e).alias(e) for e in ru.EVENTS],
+            *[F.avg(F.col(e) / F.col("n")).alias(f"daily_{e}") for e in ru.EVENTS], *[(F.sum(F.col("n") * F.col(f"base_{e}")) / F.sum("n")).alias(f"matched_{e}") for e in ru.EVENTS],
+        )
+        entities = self.named(bit_sums(self.rows("hit", "first_hit"), ["phase", "entity"], self.words, ())).groupBy(*by).agg(F.count(F.lit(1)).alias("stocks"), (F.max("n") / F.sum("n")).alias("max_stock_share"))
+        middle = quantiles(self.signals("y"), by, "y", [0.5]).select(*by, F.col("q")[0].alias("median_y"))
+        return total.join(entities, by).join(middle, by)
+
+    def folds(self, daily: DataFrame, names: tuple[str, ...]) -> DataFrame:
+        """(rule_id, view, fold, n, dates, events) of confirmation: a row for every fold, those without signals as zeros."""
+        every = self.every.select(*RULE).join(F.broadcast(self.spark.createDataFrame([(f,) for f in names], "fold string")))
+        counted = daily.where("phase = 'confirmation'").groupBy(*RULE, "fold").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("dates"), *[F.sum(e).alias(e) for e in ru.EVENTS])
+        return every.join(counted, [*RULE, "fold"], "left").na.fill(0)
+
+    def _stage(self, stats: DataFrame, phase: str) -> DataFrame:
+        """Of every rule, view and event what a phase has, under the phase's name."""
+        p = f"{phase}_"
+        rates = self.scored.where(F.col("phase") == phase).agg(*[F.avg(F.col(e).cast("double")).alias(f"rate_{e}") for e in ru.EVENTS])
+        some = self.every.select(*RULE).join(stats.where(F.col("phase") == phase), [*RULE], "left").join(F.broadcast(rates))  # one row
+        each = F.array(*[F.struct(F.lit(e).alias("event"), F.coalesce(F.col(e), F.lit(0)).alias("hits"), F.col(f"daily_{e}").alias("daily"), F.col(f"matched_{e}").alias("matched"), F.col(f"rate_{e}").alias("rate")) for e in ru.EVENTS])
+        long = some.withColumn("e", F.explode(each))
+        hit_rate = F.col("e.hits") / F.nullif("n", F.lit(0))
+        shown = {
+            "n": F.coalesce("n", F.lit(0)), "hits": F.col("e.hits"), "hit_rate": hit_rate, "dates": F.coalesce("dates", F.lit(0)), "stocks": F.coalesce("stocks", F.lit(0)), "mean_return": F.col("mean_y"), "median_return": F.col("median_y"), "daily_equal_rate": F.col("e.daily"),
+            "unconditional_rate": F.col("e.rate"), "matched_date_base": F.col("e.matched"), "max_day_share": F.col("max_day_share"), "max_stock_share": F.col("max_stock_share"), "lift": hit_rate - F.col("e.rate"),
+        }
+        return long.select(*RULE, "e.event", *[x.alias(p + c) for c, x in shown.items()])
+
+    def judged(self, daily: DataFrame, stats: DataFrame, folds: tuple[str, ...]) -> DataFrame:
+        """A row a rule, view and event: both phases, their pooled rate, and the state."""
+        key = [*RULE, "event"]
+        classes = ru.classify(stats.where("phase = 'discovery'"), stats.where("phase = 'confirmation'"), self.folds(daily, folds), support=self.support, by=RULE).select(*key, "state")
+        both = self.every.join(self._stage(stats, "discovery"), [*RULE]).join(self._stage(stats, "confirmation"), key).join(classes, key, "left")
+        pooled = {c: F.col(f"discovery_{c}") + F.col(f"confirmation_{c}") for c in ("n", "hits")}
+        out = both.withColumns({f"pooled_{c}": x for c, x in pooled.items()} | {"state": F.coalesce("state", F.lit("no_scored_rows"))})
+        return out.withColumn("pooled_rate", F.col("pooled_hits") / F.nullif("pooled_n", F.lit(0)))
+
+    def choices(self, judged: DataFrame) -> DataFrame:
+        """Of each family, view and event the supported rule above 65 % in discovery with the most signals, the first of equal ones."""
+        able = judged.where(ru.has_support("discovery", self.support["discovery"]) & ru.over_65(F.col("discovery_hits"), F.col("discovery_n")))
+        order = Window.partitionBy("family", "view", "event").orderBy(F.desc("discovery_n"), "rule_id")  # a row a rule
+        return able.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
+
+    def representatives(self, judged: DataFrame, daily: DataFrame, reps: int, width: int) -> DataFrame:
+        """The canonical rules and the choices, with the bootstrap of their rate in confirmation."""
+        key = [*RULE, "event"]
+        chosen = self.choices(judged).select(*key, F.lit(True).alias("discovery_selected"))
+        some = judged.join(chosen, key, "left").withColumn("discovery_selected", F.coalesce("discovery_selected", F.lit(False))).where("canonical OR discovery_selected")
+        each = F.explode(F.array(*[F.struct(F.lit(e).alias("event"), F.col(e).alias("hits")) for e in ru.EVENTS]))
+        counts = daily.where("phase = 'confirmation'").select(*RULE, "phase", "day", "n", each.alias("e")).select(*key[:2], "e.event", "phase", "day", "n", "e.hits").join(some.select(*key), key, "left_semi")
+        ends = ru.bootstrap_intervals(counts, self.scored.where("phase = 'confirmation'").select("phase", "day"), key, reps, width).drop("phase", "resamples")
+        return some.join(ends.withColumnsRenamed({"low": "confirmation_ci_low", "high": "confirmation_ci_high"}), key, "left")
+
+    def family_states(self, judged: DataFrame) -> DataFrame:
+        over = lambda p: ru.over_65(F.col(f"{p}_hits"), F.col(f"{p}_n"))
+        return judged.groupBy("family").agg(F.count_distinct("rule_id").alias("rules"), F.count(F.lit(1)).alias("rule_events"), F.count_if(over("pooled")).alias("pooled_over_65"), F.count_if(over("discovery") & over("confirmation")).alias("both_over_65"), F.count_if(F.col("state") == "supported_cross_period").alias("supported"))
+
+    def coverage(self) -> DataFrame:
+        """Per rule and view: known rows and signals of the full grid and of the scored rows of each phase, and signals without an outcome."""
+        whole = self.bits.withColumn("unscorable", F.col("y").isNull())
+
+        def counted(rows: DataFrame, by: list[str], names: tuple[str, str], **as_: str) -> DataFrame:
+            flags = ("unscorable",) if "unscorable" in as_ else ()
+            sums = self.named(bit_sums(with_masks(rows, *names) if "masks" not in rows.columns else rows, by, self.words, flags))
+            return sums.select(*RULE, *by, *[F.col(c).alias(n) for c, n in as_.items()])
+
+        one = whole.withColumn("all", F.lit(0))
+        full = counted(one, ["all"], ("known", "first_known"), n="known").join(counted(one, ["all"], ("hit", "first_hit"), n="signals", unscorable="unscorable_signals"), [*RULE, "all"], "left").drop("all")
+        out = self.every.select(*RULE, "family").join(F.broadcast(self.bits.agg(F.count_if(F.col("state") == 1).alias("eligible")))).join(full, [*RULE], "left")
+        for names, what in ((("known", "first_known"), "known"), (("hit", "first_hit"), "signals")):
+            by_phase = counted(self.rows(*names).select("phase", "masks"), ["phase"], names, n="n")
+            for phase in ("discovery", "confirmation"):
+                out = out.join(by_phase.where(F.col("phase") == phase).select(*RULE, F.col("n").alias(f"{phase}_{what}")), [*RULE], "left")
+        return out.na.fill(0)
+
+    def liquidity(self, metrics: dict[str, str]) -> DataFrame:
+        """Per rule, view, phase and metric (an expression over scored rows): signals, those that have it, mean and median; with rows for those without signals."""
+        rows = self.signals(*[F.expr(f"CAST({x} AS DOUBLE)").alias(n) for n, x in metrics.items()]).unpivot([*RULE, "phase"], list(metrics), "metric", "x")
+        by = [*RULE, "phase", "metric"]
+        middle = quantiles(rows, by, "x", [0.5]).select(*by, F.col("q")[0].alias("median"))
+        out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count("x").alias("finite_n"), F.avg("x").alias("mean"))
+        kinds = self.spark.createDataFrame([(p, m) for p in ("discovery", "confirmation") for m in metrics], "phase string, metric string")
+        return self.every.select(*RULE, "family").join(F.broadcast(kinds)).join(out, by, "left").join(middle, by, "left").na.fill(0, ["n", "finite_n"])

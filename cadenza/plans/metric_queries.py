@@ -67,8 +67,9 @@ def bin_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vol_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = role_rows(spark, sf_dir).where("role = 'train' AND fold = 'F01'")
-    return mt.volatility_boundaries(rows, VOLATILITY).select(F.posexplode("boundaries").alias("nth", "b")).select("nth", F.expr(f"{rounded('b')} AS boundary"))
+    """Of every fold's training rows."""
+    rows = role_rows(spark, sf_dir).where("role = 'train'")
+    return mt.volatility_boundaries(rows, VOLATILITY, "fold").select("fold", F.posexplode("boundaries").alias("nth", "b")).select("fold", "nth", F.expr(f"{rounded('b')} AS boundary"))
 
 
 def periods_year_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,7 +256,7 @@ QUERIES = {
     "bin_auc": bin_auc, "bin_daily": bin_daily,
     "bin_groups": lambda spark, sf_dir: shown(grouped(spark, sf_dir, lambda x: mt.binary_scores(x.withColumn("p", F.col("q_up")), "fold", "grouping", "group")), ("fold", "grouping", "group", "n", "tp", "tn"), ("accuracy",)),
     "calibration_bins": lambda spark, sf_dir: shown(mt.calibration(binary(spark, sf_dir)), ("bin", "n"), ("mean_probability", "observed_up_rate")),
-    "training_prior": lambda spark, sf_dir: shown(mt.training_prior(role_rows(spark, sf_dir).where("role = 'train' AND fold = 'F01'")), ("majority", "n"), ("prior",)),
+    "training_prior": lambda spark, sf_dir: shown(mt.training_prior(role_rows(spark, sf_dir).where("role = 'train'"), "fold"), ("fold", "majority", "n"), ("prior",)),
     "periods_year_quarter": periods_year_quarter, "daily_series": daily_series, "sensitivity_largest_day": sensitivity_largest_day,
     "audit_row_rules": lambda spark, sf_dir: reviewed(spark, sf_dir).select("stock_id", "cal_idx", "issue"),
     "audit_issue_summary": lambda spark, sf_dir: au.issue_summary(reviewed(spark, sf_dir)),
@@ -270,14 +271,14 @@ ORACLES = {
     "reg_daily": sql(f"SELECT fold, day, n, {_round(('rmse', 'mae', 'direction_accuracy'))} FROM (SELECT fold, day, {_REG_SQL} FROM mscore GROUP BY fold, day)", "mscore"),
     "reg_groups": sql(f"SELECT fold, grouping, \"group\", n, {_round(('rmse', 'mae'))} FROM (SELECT fold, grouping, \"group\", {_REG_SQL} FROM mgroup GROUP BY ALL)", "mgroup"),
     "reg_day_equal": sql(f"SELECT fold, score_days, {_round(('rmse', 'mae'))} FROM (SELECT fold, count(*) AS score_days, sqrt(avg(mse)) AS rmse, avg(mae) AS mae FROM (SELECT fold, day, avg((p - y) * (p - y)) AS mse, avg(abs(p - y)) AS mae FROM mscore GROUP BY fold, day) GROUP BY fold)", "mscore"),
-    "vol_boundaries": sql(f"SELECT CAST(i - 1 AS INTEGER) AS nth, {round_sql('b')} AS boundary FROM (SELECT unnest(q) AS b, generate_subscripts(q, 1) AS i FROM (SELECT list_sort(list_distinct(quantile_cont(CAST({VOLATILITY} AS DOUBLE), [0.25, 0.5, 0.75]))) AS q FROM mrows WHERE role = 'train' AND fold = 'F01'))", "mrows"),
+    "vol_boundaries": sql(f"SELECT fold, CAST(i - 1 AS INTEGER) AS nth, {round_sql('b')} AS boundary FROM (SELECT fold, unnest(q) AS b, generate_subscripts(q, 1) AS i FROM (SELECT fold, list_sort(list_distinct(quantile_cont(CAST({VOLATILITY} AS DOUBLE), [0.25, 0.5, 0.75]))) AS q FROM mrows WHERE role = 'train' GROUP BY fold))", "mrows"),
     "bin_confusion": sql(f"SELECT fold, n, tp, tn, fp, fn FROM (SELECT fold, {_BIN_SQL} FROM mscore GROUP BY fold)", "mscore"),
     "bin_losses": sql(f"SELECT fold, {_round(RATES)} FROM (SELECT *, {_BIN_MORE} FROM (SELECT fold, {_BIN_SQL} FROM mscore GROUP BY fold))", "mscore"),
     "bin_auc": sql(f"SELECT fold, n, positives, {round_sql('CASE WHEN positives > 0 AND n > positives THEN (twice / 2e0 - positives * (positives + 1) / 2e0) / (positives * (n - positives)) END')} AS auc FROM (SELECT fold, CAST(sum(c) AS BIGINT) AS n, CAST(sum(pos) AS BIGINT) AS positives, sum(pos * (2 * s + c + 1)) AS twice FROM (SELECT *, sum(c) OVER (PARTITION BY fold ORDER BY p2) - c AS s FROM (SELECT fold, floor(q_up * 100) / 100e0 AS p2, count(*) AS c, sum(label) AS pos FROM mscore GROUP BY ALL)) GROUP BY fold)", "mscore"),
     "bin_daily": sql(f"SELECT fold, count(accuracy) AS accuracy_days, count(balanced_accuracy) AS balanced_days, {round_sql('avg(accuracy)')} AS accuracy, {round_sql('avg(balanced_accuracy)')} AS balanced_accuracy FROM bdays GROUP BY fold", "bdays"),
     "bin_groups": sql(f"SELECT fold, grouping, \"group\", n, tp, tn, {round_sql('accuracy')} AS accuracy FROM (SELECT *, {_BIN_MORE} FROM (SELECT fold, grouping, \"group\", {_BIN_SQL} FROM mgroup GROUP BY ALL))", "mgroup"),
     "calibration_bins": sql(f"SELECT CAST(k AS INTEGER) AS bin, coalesce(n, 0) AS n, {round_sql('m')} AS mean_probability, {round_sql('o')} AS observed_up_rate FROM range(10) t(k) LEFT JOIN (SELECT CAST(least(floor(q_up * 10), 9) AS INTEGER) AS b, count(*) AS n, avg(q_up) AS m, avg(label) AS o FROM mscore GROUP BY 1) ON b = k", "mscore"),
-    "training_prior": sql(f"SELECT CASE WHEN avg(label) > 0.5 THEN 1 ELSE 0 END AS majority, count(*) AS n, {round_sql('avg(label)')} AS prior FROM mrows WHERE role = 'train' AND fold = 'F01'", "mrows"),
+    "training_prior": sql(f"SELECT fold, CASE WHEN avg(label) > 0.5 THEN 1 ELSE 0 END AS majority, count(*) AS n, {round_sql('avg(label)')} AS prior FROM mrows WHERE role = 'train' GROUP BY fold", "mrows"),
     "periods_year_quarter": sql(f"SELECT CAST(year(next_day) AS INTEGER) AS year, CAST(quarter(next_day) AS INTEGER) AS quarter, count(*) AS n, count_if(y > 0) AS up, {round_sql('avg(y)')} AS mean_y FROM hits GROUP BY GROUPING SETS ((year(next_day)), (year(next_day), quarter(next_day)))", "hits"),
     "daily_series": sql("SELECT cal_idx AS target_idx, coalesce(n, 0) AS n, coalesce(up, 0) AS up FROM cal LEFT JOIN (SELECT target_idx, count(*) AS n, count_if(y > 0) AS up FROM hits GROUP BY 1) h ON h.target_idx = cal_idx", "cal", "hits"),
     "sensitivity_largest_day": sql(f"SELECT largest_day, largest_n, CAST(all_n - largest_n AS BIGINT) AS rest_n, {round_sql('CASE WHEN all_n > largest_n THEN (all_up - largest_up) / CAST(all_n - largest_n AS DOUBLE) END')} AS rest_rate FROM (SELECT target_idx AS largest_day, n AS largest_n, up AS largest_up, sum(n) OVER () AS all_n, sum(up) OVER () AS all_up FROM (SELECT target_idx, count(*) AS n, count_if(y > 0) AS up FROM hits GROUP BY 1) QUALIFY row_number() OVER (ORDER BY n DESC, target_idx) = 1)", "hits"),

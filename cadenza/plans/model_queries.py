@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,17 +47,21 @@ def fold_query(kind: str, rounds: int | None = None):
 
 
 def feature_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the first fold's model: gain and splits by feature."""
-    source = sources(spark, sf_dir)[0]
-    _, model = ex.run_fold(source, "regression", SETTINGS, FIXED_ROUNDS)
-    return spark.createDataFrame(md.feature_usage(model, NAMES), "feature string, gain_share double, splits int")
+    """Of every fold's model at its best rounds: gain and splits by feature. A row a fold and feature."""
+    with ThreadPoolExecutor(FOLDS) as pool:
+        used = list(pool.map(lambda s: [(s.fold, *row) for row in md.feature_usage(ex.run_fold(s, "regression", SETTINGS)[1], NAMES)], sources(spark, sf_dir)[:FOLDS]))
+    return spark.createDataFrame([row for rows in used for row in rows], "fold string, feature string, gain_share double, splits int")
 
 
 def holdout_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Freeze the classifier's plan from the folds, predict the holdout, seal, then score: one row."""
+    """Freeze the classifier's plan from the folds, predict the holdout, seal, then score: one row.
+
+    The registry is that of the input, and lasts as long as the shared folder: a holdout is evaluated once, and what was
+    recorded then is what later calls return; another plan on the same rows is refused.
+    """
     frozen = ex.freeze(folds_of(spark, sf_dir, "binary"), "binary", NAMES, SETTINGS)
-    folder = f"{shared_folder(spark)}/holdout-{uuid.uuid4().hex}"
-    result = ex.run_holdout(sources(spark, sf_dir)[-1], frozen, ho.Registry(spark, f"{folder}/registry"), folder)
+    folder = f"{shared_folder(spark)}/holdout-{prep.preparation_identity(spark, sf_dir, 'samples')}"
+    result = ex.holdout_once(sources(spark, sf_dir)[-1], frozen, ho.Registry(spark, f"{folder}/registry"), folder)
     return spark.createDataFrame([(result["n"], result["rounds"], result["accuracy"], result["logloss"], result["brier"])], "n long, rounds int, accuracy double, logloss double, brier double")
 
 

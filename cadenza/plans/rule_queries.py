@@ -139,17 +139,52 @@ def over65(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.where(ru.over_65(F.col("hits"), F.col("n")))
 
 
+def chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The representatives. Kept, as several tables look at them."""
+    settings = {"plan": [FIRST, LENGTH, FOLDS], "quantiles": QUANTILES, "discrete_max": DISCRETE_MAX, "support": {k: str(v) for k, v in ru.SUPPORT.items()}}
+    return prep.kept(spark, sf_dir, "representatives", lambda: ru.representatives(Mined(spark, sf_dir).stats("discovery")), settings)
+
+
+def profile(spark: SparkSession, sf_dir: str) -> ru.Profile:
+    m, some = Mined(spark, sf_dir), chosen(spark, sf_dir)
+    dates = prep.calendar(spark, sf_dir).select(F.col("cal_idx").alias("day"), F.col("d").alias("date"))
+    return ru.Profile(ru.rule_rows(m.binned, some, m.cuts), m.rows, some, dates)
+
+
+def representative_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every representative by phase, year and quarter."""
+    return shown(profile(spark, sf_dir).periods(), ("hit_rate", "mean_return", "median_return", "unconditional_rate"))
+
+
+def representative_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every representative by phase and day, with the rate of all rows of the day."""
+    return shown(profile(spark, sf_dir).days(), ("hit_rate", "mean_return", "same_date_base"))
+
+
+def representative_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every representative by phase without its largest day."""
+    return shown(profile(spark, sf_dir).without_largest_day(), ("rest_rate", "observed_min", "observed_max"))
+
+
+def shown(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    return df.select(*[F.expr(f"{rounded(c)} AS {c}") if c in names else c for c in df.columns])
+
+
+def selected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of a phase and fold every representative selects."""
+    m, some = Mined(spark, sf_dir), chosen(spark, sf_dir)
+    rows = m.binned.drop("cuts").join(F.broadcast(ru.rule_index(some, m.cuts)), ["feature", "bin"]).withColumn("r", F.explode("rules"))
+    return rows.groupBy("feature", "r.event", "r.lo", "r.hi", "phase", "fold").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row"))
+
+
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confirmation days by number; starts by an integer formula, which any engine can repeat."""
-    rows = scored(spark, sf_dir).where("phase = 'confirmation'")
-    daily = rows.groupBy("day").agg(F.count_if(F.col("return_mean_20") > 0).alias("n"), F.count_if((F.col("return_mean_20") > 0) & F.col("up")).alias("hits"))
-    numbered = daily.select((F.expr("row_number() OVER (ORDER BY day)") - 1).alias("nth"), "n", "hits")  # a row a day
-    days = numbered.agg(F.count(F.lit(1)).alias("days"))
-    starts = spark.range(BOOT_REPS).select(F.col("id").alias("rep")).crossJoin(F.broadcast(days)).select("rep", "days", F.explode(F.sequence(F.lit(0), F.ceil(F.col("days") / BOOT_WIDTH).cast("int") - 1)).alias("block")).select("rep", "block", ((F.col("rep") * 7919 + F.col("block") * 104729 + 17) % F.col("days")).alias("start"))
-    return ru.bootstrap_interval(numbered, starts, BOOT_WIDTH).select("resamples", F.expr(f"{rounded('low')} AS low"), F.expr(f"{rounded('high')} AS high"))
+    """Of every representative and phase: resamples of all scored days in blocks."""
+    p = profile(spark, sf_dir)
+    out = ru.bootstrap_intervals(p.daily, p.scored.select("phase", "day"), list(ru.RULE), BOOT_REPS, BOOT_WIDTH)
+    return shown(out, ("low", "high"))
 
 
-QUERIES = {f.__name__: f for f in (cuts, intervals, bins, interval_stats, fold_stats, classify_rules, pooled_over65, pooled_over65_counts, representatives, feature_overview, correlation, events_ten, phase_baselines, over65, bootstrap_ci)}
+QUERIES = {f.__name__: f for f in (cuts, intervals, bins, interval_stats, fold_stats, classify_rules, pooled_over65, pooled_over65_counts, representatives, feature_overview, correlation, events_ten, phase_baselines, over65, bootstrap_ci, representative_periods, representative_days, representative_sensitivity, selected_rows)}
 
 # -- the SQL, by hand
 _HITS = ", ".join(f"count_if({e}) AS {e}" for e in EVENTS)
@@ -204,12 +239,20 @@ RULE_CTES = SPLIT_CTES | {
  FROM (SELECT feature, lo, hi, event, {', '.join(f'coalesce({c}, 0) AS {c}' for c in _COUNTED)} FROM dlong FULL JOIN clong USING (feature, lo, hi, event) LEFT JOIN stable USING (feature, lo, hi, event))"""),
     "pooled": (("classes",), "SELECT feature, lo, hi, event, n, hits FROM (SELECT *, discovery_n + confirmation_n AS n, discovery_hits + confirmation_hits AS hits FROM classes) WHERE n > 0 AND 20 * hits > 13 * n"),
     "corr_": (("long",), "SELECT feature, count(*) AS n, CASE WHEN count(*) >= 2 AND stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN corr(x, y) END AS c FROM long WHERE phase = 'discovery' AND x IS NOT NULL AND y IS NOT NULL GROUP BY feature"),
-    "num": (("scored",), "SELECT row_number() OVER (ORDER BY day) - 1 AS nth, count_if(return_mean_20 > 0) AS n, count_if(return_mean_20 > 0 AND up) AS hits FROM scored WHERE phase = 'confirmation' GROUP BY day"),
+    "reps": (("dlong",), f"SELECT feature, event, lo, hi FROM dlong WHERE {_OVER['discovery']} AND {_ABLE['discovery']} QUALIFY row_number() OVER (PARTITION BY feature, event ORDER BY discovery_n DESC, lo, hi) = 1"),
+    "rep_rows": (("reps", "binned", "cal"), f"SELECT r.*, phase, fold, row_id, entity, day, x, y, c.d AS date, CASE event {' '.join(f'WHEN {chr(39)}{e}{chr(39)} THEN {e}' for e in EVENTS)} END AS hit FROM reps r JOIN binned b ON b.feature = r.feature AND b.bin >= r.lo AND b.bin < r.hi JOIN cal c ON c.cal_idx = b.day"),
+    "flags": (("scored", "cal"), " UNION ALL ".join(f"SELECT phase, day, d AS date, '{e}' AS event, {e} AS flag FROM scored JOIN cal ON cal_idx = day" for e in EVENTS)),
+    "rep_daily": (("rep_rows",), "SELECT feature, event, lo, hi, phase, day, count(*) AS n, count_if(hit) AS hits, avg(y) AS mean_y FROM rep_rows GROUP BY ALL"),
+    "num": (("scored",), "SELECT phase, day, row_number() OVER (PARTITION BY phase ORDER BY day) - 1 AS nth, count(*) OVER (PARTITION BY phase) AS days FROM (SELECT DISTINCT phase, day FROM scored)"),
+    # every drawn day of every resample, one by one
+    "drawn": (("num",), f"SELECT phase, rep, day FROM (SELECT p.phase, rep, (((rep * 7919 + block * 104729 + 17) % days) + j) % days AS nth FROM (SELECT DISTINCT phase, days FROM num) p, range({BOOT_REPS}) a(rep), range(0, 400) b(block), range(0, {BOOT_WIDTH}) c(j) WHERE block < ceil(days / {BOOT_WIDTH}e0) AND block * {BOOT_WIDTH} + j < days) JOIN num USING (phase, nth)"),
 }
 
 
 def sql(body: str, *names: str) -> str:
-    return with_ctes(body, *names, extra=RULE_CTES)
+    """A body with CTEs of its own goes on with the list."""
+    text = with_ctes("\0" + body, *names, extra=RULE_CTES)
+    return text.replace("\n\0WITH ", ",\n").replace("\0", "")
 
 
 _EDGES = "CAST(lo AS INTEGER) AS lo, CAST(hi AS INTEGER) AS hi"
@@ -228,5 +271,16 @@ ORACLES = {
     "events_ten": sql(f"SELECT phase, count(*) AS n, {_HITS} FROM scored GROUP BY phase", "scored"),
     "phase_baselines": sql(f"SELECT phase, count(*) AS n, count(DISTINCT day) AS dates, count(DISTINCT entity) AS stocks, {round_sql('avg(y)')} AS mean_y, {round_sql('avg(CASE WHEN up THEN 1e0 ELSE 0e0 END)')} AS up_rate, {round_sql('median(y)')} AS median_y FROM scored GROUP BY phase", "scored"),
     "over65": sql("SELECT * FROM (SELECT phase, day, count(*) AS n, count_if(up) AS hits FROM scored GROUP BY phase, day) WHERE 20 * hits > 13 * n", "scored"),
-    "bootstrap_ci": sql(f"SELECT count(*) AS resamples, {round_sql('quantile_cont(h / CAST(n AS DOUBLE), 0.025)')} AS low, {round_sql('quantile_cont(h / CAST(n AS DOUBLE), 0.975)')} AS high FROM (SELECT rep, sum(n) AS n, sum(hits) AS h FROM (SELECT rep, (((rep * 7919 + block * 104729 + 17) % days) + j) % days AS nth FROM range({BOOT_REPS}) a(rep), (SELECT count(*) AS days FROM num), range(0, 400) b(block), range(0, {BOOT_WIDTH}) c(j) WHERE block < ceil(days / {BOOT_WIDTH}e0) AND block * {BOOT_WIDTH} + j < days) JOIN num USING (nth) GROUP BY rep HAVING sum(n) > 0)", "num"),
+    "bootstrap_ci": sql(f"SELECT feature, event, {_EDGES}, phase, count(*) AS resamples, {round_sql('quantile_cont(h / CAST(n AS DOUBLE), 0.025)')} AS low, {round_sql('quantile_cont(h / CAST(n AS DOUBLE), 0.975)')} AS high FROM (SELECT feature, event, lo, hi, phase, rep, sum(n) AS n, sum(hits) AS h FROM drawn JOIN rep_daily USING (phase, day) GROUP BY ALL) GROUP BY ALL", "drawn", "rep_daily"),
+    "selected_rows": sql(f"SELECT feature, event, {_EDGES}, phase, fold, count(*) AS n, min(row_id) AS first_row, max(row_id) AS last_row FROM rep_rows GROUP BY ALL", "rep_rows"),
+    "representative_periods": sql(f"""WITH kinds AS (SELECT unnest(['year', 'quarter']) AS period_kind), named AS (SELECT *, CASE period_kind WHEN 'year' THEN strftime(date, '%Y') ELSE strftime(date, '%Y') || 'Q' || quarter(date) END AS period FROM rep_rows CROSS JOIN kinds),
+base AS (SELECT phase, event, period_kind, CASE period_kind WHEN 'year' THEN strftime(date, '%Y') ELSE strftime(date, '%Y') || 'Q' || quarter(date) END AS period, avg(CASE WHEN flag THEN 1e0 ELSE 0e0 END) AS base FROM flags CROSS JOIN kinds GROUP BY ALL),
+got AS (SELECT feature, event, lo, hi, phase, period_kind, period, count(*) AS n, count_if(hit) AS hits, count(DISTINCT day) AS dates, count(DISTINCT entity) AS stocks, avg(y) AS m, median(y) AS mid FROM named GROUP BY ALL)
+SELECT feature, event, {_EDGES}, phase, period_kind, period, coalesce(n, 0) AS n, coalesce(hits, 0) AS hits, {round_sql('hits / CAST(n AS DOUBLE)')} AS hit_rate, coalesce(dates, 0) AS dates, coalesce(stocks, 0) AS stocks, {round_sql('m')} AS mean_return, {round_sql('mid')} AS median_return, {round_sql('base')} AS unconditional_rate
+FROM reps JOIN base USING (event) LEFT JOIN got USING (feature, event, lo, hi, phase, period_kind, period)""", "reps", "rep_rows", "flags"),
+    "representative_days": sql(f"SELECT feature, event, {_EDGES}, phase, CAST(day AS INTEGER) AS day, coalesce(n, 0) AS n, coalesce(hits, 0) AS hits, {round_sql('hits / CAST(n AS DOUBLE)')} AS hit_rate, {round_sql('mean_y')} AS mean_return, {round_sql('base')} AS same_date_base FROM reps JOIN (SELECT phase, day, event, avg(CASE WHEN flag THEN 1e0 ELSE 0e0 END) AS base FROM flags GROUP BY ALL) USING (event) LEFT JOIN rep_daily USING (feature, event, lo, hi, phase, day)", "reps", "rep_daily", "flags"),
+    "representative_sensitivity": sql(f"""WITH top AS (SELECT feature, event, lo, hi, phase, day, n, hits, sum(n) OVER w AS all_n, sum(hits) OVER w AS all_hits FROM rep_daily WINDOW w AS (PARTITION BY feature, event, lo, hi, phase) QUALIFY row_number() OVER (PARTITION BY feature, event, lo, hi, phase ORDER BY n DESC, day) = 1),
+spread AS (SELECT feature, event, lo, hi, phase, min(x) AS low, max(x) AS high, count(DISTINCT x) AS k FROM rep_rows GROUP BY ALL)
+SELECT feature, event, {_EDGES}, phase, CAST(coalesce(all_n, 0) AS BIGINT) AS n, CAST(coalesce(day, 0) AS INTEGER) AS largest_day, coalesce(n, 0) AS largest_day_n, coalesce(hits, 0) AS largest_day_hits, CAST(coalesce(all_n - n, 0) AS BIGINT) AS rest_n, CAST(coalesce(all_hits - hits, 0) AS BIGINT) AS rest_hits, coalesce(k, 0) AS observed_values, {round_sql('CASE WHEN all_n > n THEN (all_hits - hits) / CAST(all_n - n AS DOUBLE) END')} AS rest_rate, {round_sql('low')} AS observed_min, {round_sql('high')} AS observed_max
+FROM reps CROSS JOIN (SELECT DISTINCT phase FROM scored) LEFT JOIN top USING (feature, event, lo, hi, phase) LEFT JOIN spread USING (feature, event, lo, hi, phase)""", "reps", "rep_daily", "rep_rows", "scored"),
 }

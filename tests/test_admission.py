@@ -163,10 +163,6 @@ def test_sinks_and_reports(spark, tmp_path):
     assert spark.read.csv(f"file://{tmp_path}/issues", header=True).count() == 3
     text = reports.report("Inspection", "passed", {"rows": 3}, [{"severity": "error", "code": "a", "n": 2}], ["no sectors"])
     assert text.startswith("# Inspection\n\n**passed**\n\n| Checked | Result |\n| --- | --- |\n| rows | 3 |") and "- `error/a`: 2" in text and text.endswith("- no sectors\n")
-    marks = [{"phase": p, "elapsed_seconds": float(i), "peak_bytes": i or None} for i, p in enumerate(("started", "input_verified", "matrices_selected", "datasets_constructed", "fit_completed"))]
-    out = reports.phase_summary(marks)
-    assert out["phase_seconds"] == {"input_loading": 1.0, "matrix_selection": 1.0, "dataset_construction": 1.0, "fit": 1.0} and out["elapsed_seconds"] == 4.0 and out["peak_bytes"] == 4
-    assert reports.phase_summary([])["elapsed_seconds"] is None
     rep = spark.createDataFrame([("f", "up", 0, 2, 10, 7)], "feature string, event string, lo int, hi int, n long, hits long")
     store.save_csv(rep, f"file://{tmp_path}/rep")
     back = spark.read.csv(f"file://{tmp_path}/rep", header=True, schema=rep.schema)

@@ -2,6 +2,7 @@
 
 import math
 import random
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
 import pytest
@@ -50,14 +51,57 @@ def test_store_publishes_once(spark, tmp_path):
 
 
 def test_holdout_is_exposed_once(spark, tmp_path):
+    rows = lambda *days: spark.createDataFrame([(e, d) for e in "AB" for d in days], "entity string, day string")
     r = holdout.Registry(spark, f"file://{tmp_path}/r")
     with pytest.raises(holdout.HoldoutError):
-        r.expose("p", "d")
-    r.reserve("p")
-    r.expose("p", "d")
+        r.expose("000000-none", {})
+    one = r.reserve(rows("2026-08-25", "2026-08-26"), {"plan": "p"})
+    # reserved rows are in the way, also of a run that crashed; other rows are not
+    with pytest.raises(holdout.HoldoutError, match="reserves"):
+        r.reserve(rows("2026-08-26", "2026-08-27"), {"plan": "q"})
     with pytest.raises(holdout.HoldoutError):
-        r.expose("p", "d")
-    r.finish("p", {"rmse": 1.0})
+        r.finish(one, {})
+    other = r.reserve(rows("2026-09-01"), {"plan": "p"})
+    r.abandon(other, "the machine was lost")
+    again = r.reserve(rows("2026-09-01"), {"plan": "p"})
+    assert r.state(other) == "finished" and r.state(again) == "reserved"
+    r.expose(one, {"predictions": "d"})
+    for step in (lambda: r.expose(one, {}), lambda: r.abandon(one, "no"), lambda: r.finish(again, {})):
+        with pytest.raises(holdout.HoldoutError):
+            step()
+    # a crash between exposure and end: a new process sees the rows as exposed, under any plan, window or part of the entities
+    later = holdout.Registry(spark, f"file://{tmp_path}/r")
+    for wanted in (rows("2026-08-25", "2026-08-26"), rows("2026-08-26", "2026-08-27"), rows("2026-08-25").where("entity = 'B'")):
+        with pytest.raises(holdout.HoldoutError, match="has exposed"):
+            later.reserve(wanted, {"plan": "another", "label": "another"})
+    later.finish(one, {"n": 4})
+    with pytest.raises(holdout.HoldoutError, match="has exposed"):
+        later.reserve(rows("2026-08-25"), {"plan": "third"})
+    assert [(a["attempt"], a["state"]) for a in later.attempts()] == [(one, "finished"), (other, "finished"), (again, "reserved")]
+    assert later.attempts()[0]["exposed"] == {"predictions": "d"} and later._names("claims") == []
+
+
+def test_of_two_writers_one_reserves_at_most(spark, tmp_path):
+    rows = spark.createDataFrame([("A", "2026-08-25")], "entity string, day string")
+    registries = [holdout.Registry(spark, f"file://{tmp_path}/r") for _ in range(4)]
+
+    def attempt(r):
+        try:
+            return r.reserve(rows, {"plan": "p"})
+        except holdout.HoldoutError:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        got = [x for x in pool.map(attempt, registries) if x]
+    assert len(got) <= 1 and registries[0]._names("claims") == []
+    # a writer that died with its claim is in the way until the claim is released by name
+    held = registries[0].claim()
+    assert attempt(registries[1]) is None
+    registries[2].release(held)
+    assert len(got) + bool(attempt(registries[1])) == 1
+
+
+def test_gate_and_frozen_rounds(spark):
     gate = holdout.Gate(spark.range(1))
     with pytest.raises(holdout.HoldoutError):
         _ = gate.targets
@@ -147,14 +191,22 @@ def test_holdout_is_scored_after_its_predictions_are_sealed(spark, tmp_path):
         experiments.load_plan(experiments.plan_text(plan).replace('"rounds": 3', '"rounds": 4', 1), plan.identity)
     seen = []
     real = source.enable_scoring
-    source.enable_scoring = lambda: (seen.append(sorted(p.name.split(".")[-1] for p in (tmp_path / "reg").iterdir() if not p.name.startswith(".") and p.name.split(".")[-1] != "crc")), real())
+    source.key = ("stock_idx", "cal_idx")
+    source.enable_scoring = lambda: (seen.append([a['state'] for a in registry.attempts()]), real())
     registry = holdout.Registry(spark, f"file://{tmp_path}/reg")
     result = experiments.run_holdout(source, plan, registry, f"file://{tmp_path}")
     # when targets open, the exposure with the predictions' digest is on record
-    assert seen == [["exposed", "reserved"]] and result["n"] == 80 and result["rounds"] == 3
+    assert seen == [["exposed"]] and result["n"] == 80 and result["rounds"] == 3
     again, _ = folds_source(spark, "holdout")
+    again.key = ("stock_idx", "cal_idx")
+    other = experiments.freeze([experiments.FoldResult(f"F{i:02}", 2, {}) for i in range(1, 8)], "regression", ["a"], settings)
+    for p in (plan, other):
+        with pytest.raises(holdout.HoldoutError):
+            experiments.run_holdout(again, p, registry, f"file://{tmp_path}")
+    recorded = experiments.holdout_once(again, plan, registry, f"file://{tmp_path}")
+    assert {k: recorded[k] for k in result} == result
     with pytest.raises(holdout.HoldoutError):
-        experiments.run_holdout(again, plan, registry, f"file://{tmp_path}")
+        experiments.holdout_once(again, other, registry, f"file://{tmp_path}")
     with pytest.raises(holdout.HoldoutError):
         again.targets()
     assert experiments.description_for("binary", {"target": "next_return", "rows": 5}) == {"target": "next_return>0", "rows": 5}
