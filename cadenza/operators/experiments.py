@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
@@ -25,8 +25,9 @@ TREND = "quote_index_trend"
 class FoldSource:
     """The rows of one fold: roles checked against their declared counts and key digests, features apart from targets."""
 
-    def __init__(self, assigned: DataFrame, samples: DataFrame, fold: str, names: list[str], key: tuple[str, str] = ("stock_id", "d")):
-        self.fold, self.names, self.key = fold, names, key
+    def __init__(self, assigned: DataFrame, samples: DataFrame, fold: str, names: list[str], key: tuple[str, str] = ("stock_id", "d"), gather: Callable[..., DataFrame] | None = None):
+        """gather(rows, *columns): samples by row number, where they are kept so that it reads less than a scan."""
+        self.fold, self.names, self.key, self.gather = fold, names, key, gather
         self.roles = assigned.where(F.col("fold") == fold).select("fold", "role", "row_id", "stock_idx", "cal_idx")
         self.samples = samples
         self._gate = Gate(self._targets())
@@ -43,7 +44,8 @@ class FoldSource:
 
     def _at(self, role: str, *columns: str) -> DataFrame:
         """Samples by row number; only the columns asked for are read."""
-        return self.samples.select("row_id", *columns).join(self.roles.where(F.col("role") == role).select("row_id"), "row_id", "left_semi")
+        rows = self.roles.where(F.col("role") == role).select("row_id")
+        return self.gather(rows, *columns) if self.gather else self.samples.select("row_id", *columns).join(rows, "row_id", "left_semi")
 
     def _targets(self) -> DataFrame:
         return self._at("score", "y", "target_idx")
@@ -54,12 +56,15 @@ class FoldSource:
     def features(self, role: str = "predict") -> DataFrame:
         return self._at(role, *self.names)
 
-    def prediction_batches(self, size: int) -> Iterator[DataFrame]:
-        """The rows to predict, `size` row numbers at a time: each batch is a frame, none comes to the driver."""
-        ends = self.roles.where("role = 'predict'").agg(F.min("row_id"), F.max("row_id")).head()
-        if ends[0] is not None:
-            for a in range(ends[0] // size, ends[1] // size + 1):
-                yield self.features().where((F.col("row_id") >= a * size) & (F.col("row_id") < (a + 1) * size))
+    def prediction_batches(self, size: int, folder: str) -> Iterator[DataFrame]:
+        """The rows to predict, `size` row numbers at a time. One job writes all batches, each to a folder of its own; each frame reads its own alone."""
+        rows = self.features().withColumn("batch", F.floor(F.col("row_id") / size))
+        rows.repartition("batch").sortWithinPartitions("batch", "row_id").write.partitionBy("batch").parquet(folder)
+        spark, schema = rows.sparkSession, rows.drop("batch").schema
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        listed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+        for number in sorted(int(n.removeprefix("batch=")) for f in listed if (n := f.getPath().getName()).startswith("batch=")):
+            yield spark.read.schema(schema).parquet(f"{folder}/batch={number}")
 
     def predicted_rows(self) -> DataFrame:
         """(entity, day) of the rows to predict, by names that don't depend on the preparation."""

@@ -26,7 +26,8 @@ FIXED_ROUNDS = 6
 def sources(spark: SparkSession, sf_dir: str) -> list[ex.FoldSource]:
     samples = prep.samples(spark, sf_dir)
     assigned = stored(sp.roles(samples, plan(spark, sf_dir)).select("fold", "role", "row_id", "stock_idx", "cal_idx"))
-    return [ex.FoldSource(assigned, samples, f, NAMES) for f in (*[f"F{i:02}" for i in range(1, FOLDS + 1)], "holdout")]
+    gather = lambda rows, *columns: prep.gathered(spark, sf_dir, rows, *columns)
+    return [ex.FoldSource(assigned, samples, f, NAMES, gather=gather) for f in (*[f"F{i:02}" for i in range(1, FOLDS + 1)], "holdout")]
 
 
 def folds_of(spark: SparkSession, sf_dir: str, kind: str, rounds: int | None = None) -> list[ex.FoldResult]:
@@ -76,7 +77,7 @@ def training_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gathered_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each role by row number, with names for indices."""
     rows = sp.roles(prep.samples(spark, sf_dir), plan(spark, sf_dir)).select("fold", "role", "row_id")
-    named = prep.samples(spark, sf_dir).select("row_id", "stock_idx", "cal_idx", "return_lag_0").join(F.broadcast(prep.stock_names(spark, sf_dir)), "stock_idx").join(F.broadcast(prep.calendar(spark, sf_dir)), "cal_idx")
+    named = prep.gathered(spark, sf_dir, rows, "stock_idx", "cal_idx", "return_lag_0").join(F.broadcast(prep.stock_names(spark, sf_dir)), "stock_idx").join(F.broadcast(prep.calendar(spark, sf_dir)), "cal_idx")
     return rows.join(named, "row_id").groupBy("fold", "role", "stock_id").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first_day"), F.max("d").alias("last_day"), F.count("return_lag_0").alias("with_return"))
 
 

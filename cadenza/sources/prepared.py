@@ -1,23 +1,32 @@
 """The panel's prepared frames: built once for an input, kept by content, read by every query.
 
-The identity of a frame is that of the input files (name, length, time), the frame's name and the features' text, so that
-other inputs or other definitions never meet an old frame. Frames are published by a rename, so readers see all or nothing.
+The identity of a frame is that of the inputs' rows, of the frame's name and settings, and of the text of the modules that
+calculate, so that other inputs or another calculation never meet an old frame. A session reads the inputs' rows once for
+that, and again when a file's name, length or time changes or `recheck` asks for it. Frames are published by a rename, so
+readers see all or nothing.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import pkgutil
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import functions as own_functions
+from .. import operators
 from ..functions.storage import shared_folder
 from ..operators import features as ft
 from ..operators import targets as tg
 from . import trade_panel as src
-from .store import Store, StoreError, identity_of
+from .store import Store, StoreError, identity_of, rows_digest
 
 INPUTS = ("lineitem", "part")
+#: Digests of inputs that this process has read, by what their files looked like.
+_READ: dict[str, str] = {}
 
 
 def input_files(spark: SparkSession, sf_dir: str) -> list[list]:
@@ -32,16 +41,40 @@ def input_files(spark: SparkSession, sf_dir: str) -> list[list]:
     return sorted(out)
 
 
+def input_digest(spark: SparkSession, sf_dir: str) -> str:
+    """Of the rows of all inputs."""
+    key = identity_of({"application": spark.sparkContext.applicationId, "files": input_files(spark, sf_dir)})
+    if key not in _READ:
+        _READ[key] = identity_of({n: rows_digest(spark.read.parquet(f"{sf_dir}/{n}.parquet")) for n in INPUTS})
+    return _READ[key]
+
+
+def recheck() -> None:
+    """The next look at a frame reads its inputs' rows again."""
+    _READ.clear()
+
+
+@functools.cache
+def code_digest() -> str:
+    """Of the text of every module of the operators and functions, and of the panel's own."""
+    texts = {}
+    for package in (operators, own_functions):
+        for m in pkgutil.iter_modules(package.__path__):
+            texts[f"{package.__name__}.{m.name}"] = m.module_finder.find_spec(m.name).loader.get_source(m.name)
+    texts[src.__name__] = src.__spec__.loader.get_source(src.__name__)
+    return hashlib.sha256("\0".join(f"{k}\0{v}" for k, v in sorted(texts.items())).encode()).hexdigest()
+
+
 def preparation_identity(spark: SparkSession, sf_dir: str, name: str, settings: dict | None = None) -> str:
-    return identity_of({"name": name, "inputs": input_files(spark, sf_dir), "features": ft.catalogue(), "targets": tg.EXPRESSIONS, "state": "complete", "settings": settings or {}})
+    return identity_of({"name": name, "inputs": input_digest(spark, sf_dir), "code": code_digest(), "state": "complete", "settings": settings or {}})
 
 
-def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], settings: dict | None = None) -> DataFrame:
-    """settings: what else the frame depends on."""
+def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], settings: dict | None = None, order: str | None = None) -> DataFrame:
+    """settings: what else the frame depends on. order: a column by whose ranges its rows are kept."""
     store = Store(spark, f"{shared_folder(spark)}/prepared")
     identity = preparation_identity(spark, sf_dir, name, settings)
     found = store.find(identity)
-    return found if found is not None else store.publish(identity, build())
+    return found if found is not None else store.publish(identity, build(), order=order)
 
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +107,13 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         plain = named.select(*[c for c in wide.columns if c not in ft.FEATURES], *[F.col(f"_{n}").alias(n) for n in ft.FEATURES])
         return tg.samples(plain, entities(spark, sf_dir))
 
-    return kept(spark, sf_dir, "samples", build)
+    return kept(spark, sf_dir, "samples", build, order="row_id")
+
+
+def gathered(spark: SparkSession, sf_dir: str, rows: DataFrame, *columns: str) -> DataFrame:
+    """Samples by row number: row_id and the columns of those in rows(row_id)."""
+    samples(spark, sf_dir)
+    return Store(spark, f"{shared_folder(spark)}/prepared").gather(preparation_identity(spark, sf_dir, "samples"), rows, *columns)
 
 
 def stock_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +132,7 @@ class PreparedReader:
             raise StoreError(f"{identity} is not published")
         if missing := [n for n in (*self.INDEX, "y", *ft.FEATURES) if n not in found.columns]:
             raise StoreError(f"the samples lack {missing}")
-        self._frame = found
+        self.store, self.identity, self._frame = store, identity, found
 
     def index(self) -> DataFrame:
         """Keys and states, checked: rows are numbered from 0 without gaps."""
@@ -103,11 +142,14 @@ class PreparedReader:
             raise StoreError(f"row numbers are not 0 to {seen.n - 1}")
         return rows
 
+    def at(self, rows: DataFrame, *columns: str) -> DataFrame:
+        return self.store.gather(self.identity, rows, *columns)
+
     def features_at(self, rows: DataFrame) -> DataFrame:
-        return self._frame.select("row_id", *ft.FEATURES).join(rows.select("row_id"), "row_id", "left_semi")
+        return self.at(rows, *ft.FEATURES)
 
     def targets_at(self, rows: DataFrame) -> DataFrame:
-        return self._frame.select("row_id", "y").join(rows.select("row_id"), "row_id", "left_semi")
+        return self.at(rows, "y")
 
 
 class SplitStore:

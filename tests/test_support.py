@@ -1,10 +1,14 @@
 """Tables, store, holdout registry, boosted trees and bars from ticks."""
 
 import math
+import os
 import random
+import struct
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,7 +166,7 @@ def folds_source(spark, fold="F01"):
     return experiments.FoldSource(roles.unionByName(score), rows, fold, ["a"]), rows
 
 
-def test_fold_source_keeps_features_from_targets(spark):
+def test_fold_source_keeps_features_from_targets(spark, tmp_path):
     source, rows = folds_source(spark)
     with pytest.raises(holdout.HoldoutError):
         source.targets()
@@ -171,7 +175,14 @@ def test_fold_source_keeps_features_from_targets(spark):
     source.verify(declared)
     with pytest.raises(splits.SplitError):
         source.verify({**declared, "train": {**declared["train"], "rows": 199}})
-    batches = list(source.prediction_batches(32))
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("feed"))
+    spark.sparkContext.setJobGroup("feed", "")
+    before = jobs()
+    batches = list(source.prediction_batches(32, f"file://{tmp_path}/32"))
+    few = jobs() - before
+    assert len(list(source.prediction_batches(7, f"file://{tmp_path}/7"))) == 15 and jobs() - before == 2 * few
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert all(len(b.inputFiles()) == 1 for b in batches)
     assert sorted(r.row_id for b in batches for r in b.collect()) == list(range(200, 300)) and all(b.columns == ["row_id", "a"] for b in batches)
     assert "y" not in source.features().columns and source.training().count() == 200
     source.enable_scoring()
@@ -225,10 +236,21 @@ def test_fold_runs(spark):
 def test_prepared_samples_by_row_number(spark, data, tmp_path):
     s = store.Store(spark, f"file://{tmp_path}/store")
     samples = prepared.samples(spark, data)
-    s.publish("one", samples)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    s.publish("one", samples, order="row_id")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     reader = prepared.PreparedReader(s, "one")
     some = spark.createDataFrame([(3,), (5,), (10**9,)], "row_id long")
     assert reader.index().count() == samples.count() and reader.features_at(some).count() == 2 and reader.targets_at(some).columns == ["row_id", "y"]
+    # only the file that holds the rows is read, and in it only row groups that can
+    assert len(s.find("one").inputFiles()) == 6 and len(reader.features_at(some).inputFiles()) == 1
+    assert "GreaterThanOrEqual(row_id,3)" in reader.features_at(some)._jdf.queryExecution().executedPlan().toString()
+    last = samples.count() - 1
+    ends = spark.createDataFrame([(0,), (last,), (0,)], "row_id long")
+    assert sorted(r.row_id for r in reader.targets_at(ends).collect()) == [0, last] and len(reader.targets_at(ends).inputFiles()) == 2
+    assert reader.targets_at(some.where("row_id > 5")).count() == 0
     # targets aren't read with features
     assert "y:" not in reader.features_at(some)._jdf.queryExecution().executedPlan().toString().split("ReadSchema: ")[1].split(">")[0]
     s.publish("gap", samples.where("row_id <> 4"))
@@ -243,6 +265,49 @@ def test_prepared_samples_by_row_number(spark, data, tmp_path):
     assert prepared.kept(spark, data, "samples", lambda: 1 / 0).count() == samples.count()
 
 
+def test_changed_bytes_or_code_build_anew(spark, tmp_path, monkeypatch):
+    """The same name, length and time, and one other value; then another operator; then frames that were touched."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name in prepared.INPUTS:
+        pq.write_table(pa.table({"k": pa.array([1, 2, 3]), "x": pa.array([0.5, 1234.5678, 2.5])}), folder / f"{name}.parquet", compression="none", use_dictionary=False, write_statistics=False)
+    sf_dir, built = f"file://{folder}", []
+    build = lambda: built.append(1) or spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("k", "2 * x AS x")
+    look = lambda: sorted(r.x for r in prepared.kept(spark, sf_dir, "twice", build).collect())
+    assert look() == look() == [1.0, 5.0, 2469.1356] and len(built) == 1
+    path = folder / "part.parquet"
+    before, times = path.read_bytes(), path.stat()
+    path.write_bytes(before.replace(struct.pack("<d", 1234.5678), struct.pack("<d", 8765.4321)))
+    os.utime(path, ns=(times.st_atime_ns, times.st_mtime_ns))
+    (folder / ".part.parquet.crc").unlink(missing_ok=True)
+    assert path.stat().st_size == times.st_size and path.stat().st_mtime_ns == times.st_mtime_ns
+    prepared.recheck()
+    assert look() == [1.0, 5.0, 17530.8642] and len(built) == 2
+    monkeypatch.setattr(prepared, "code_digest", lambda: "another operator")
+    assert look() == [1.0, 5.0, 17530.8642] and len(built) == 3
+    # nulls don't slide from one column to the next unseen
+    two = [spark.createDataFrame([r], "a int, b int") for r in ((None, 1), (1, None))]
+    assert store.rows_digest(two[0]) != store.rows_digest(two[1]) and store.rows_digest(two[0].union(two[1])) == store.rows_digest(two[1].union(two[0]))
+
+
+def test_a_stored_frame_with_other_files_is_refused(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/s")
+    s.publish("one", spark.range(10).repartition(3))
+    assert s.verify("one").count() == 10
+    part = next((tmp_path / "s" / "one" / "data").glob("*.parquet"))
+    other = tmp_path / "other.parquet"
+    pq.write_table(pa.table({"id": pa.array([77], pa.int64())}), other)
+    with pytest.raises(store.StoreError, match="without an order"):
+        s.gather("one", spark.range(1).withColumnRenamed("id", "row_id"))
+    part.with_name("part-extra.parquet").write_bytes(other.read_bytes())
+    with pytest.raises(store.StoreError, match="files on record"):
+        s.find("one")
+    part.with_name("part-extra.parquet").unlink()
+    part.unlink()
+    with pytest.raises(store.StoreError, match="files on record"):
+        s.find("one")
+
+
 def test_splits_are_published_reused_or_refused(spark, tmp_path):
     s = prepared.SplitStore(store.Store(spark, f"file://{tmp_path}/splits"))
     roles = spark.createDataFrame([("F01", "train", 1, 0, 0), ("F01", "score", 2, 0, 1)], "fold string, role string, row_id long, stock_idx int, cal_idx int")
