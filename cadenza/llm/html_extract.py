@@ -4,12 +4,16 @@ A page is a row of tokens: words, and tags. A word's score is the sum of the log
 what surrounds it: its nearest telling container, the element that holds it, and whether it is in a link, or how long its block is. A tag's score is
 one negative weight, under which the regions found in the labelled pages agree best with their labels. One
 linear scan finds the best contiguous region; blocks in it whose own words sum to zero or less are left out. What
-isn't content inside an open article (an advert, reader comments) scores zero, so that it is left out but ends no region. Text is joined block by block; blanks between inline elements stay blanks.
+isn't content inside an open article (an advert, reader comments) scores zero, so that it is left out but ends no region.
+Items and cells in the region, and those that follow it in the same container without a heading between, are too short to
+tell; they go with it, but for links. Text is joined block by block; blanks between inline elements stay blanks.
 
-Class names of `html` and `body`, and names of a state (`has-sidebar`, `nav-open`), tell nothing. A form that holds an
-article, `main` or `h1`, and any other container that holds `main`, is a wrapper of the page and tells nothing either.
+Class names of `html` and `body`, and names of a state (`has-sidebar`, `nav-open`), tell nothing, and an `article` or `main`
+is one whatever its names, unless they say comments or an advert. A container that holds `main`, a form that holds an article
+or `h1`, and one that is called what isn't content and yet holds nearly all running text of the page (or most of it, where its
+names say content too) wraps the page's main part and tells nothing. The header of an article keeps its headings.
 
-Defined results: a null, empty or text-free page gives an empty text; unclosed tags end with the page, their parent, or, as in
+Defined results: a null, empty or text-free page gives an empty text; a page without any tag is one block; unclosed tags end with the page, their parent, or, as in
 HTML, at the next item, term, row or cell; a closing tag finds its element at any depth;
 unclosed scripts, styles and comments hide the rest of the page; equal scores give the first region; rows that repeat
 give repeated results; extra columns are ignored; an empty table gives an empty result.
@@ -109,21 +113,35 @@ def tag_end(page: str, at: int, closed: dict[str, bool]) -> int:
     return n
 
 
-def kind_of(name: str, attributes: str) -> str | None:
-    """What a container tells of its tokens, if anything. Of compound names the part that isn't content counts."""
+#: Of elements: those that are what their name says, whatever their class.
+PLAIN = frozenset(("nav", "footer", "aside", "header", "menu", "button", "label", "dialog"))
+#: Elements by which blocks are told to stand together.
+SECTIONS = frozenset("article body center details div fieldset figure form main section td th".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Words of running text that a wrapper holds at least, and how many times those outside of it: by its names alone, or where they say content too.
+LEAST_WRAPPED, MOST_OUTSIDE, MOST_OUTSIDE_NAMED = 20, 0.1, 1.0
+
+
+def kind_of(name: str, attributes: str) -> tuple[str | None, bool]:
+    """What a container tells of its tokens, if anything, and whether its names say content. Of compound names the part that isn't content counts."""
+    content, other = False, None
     if attributes and name not in ("html", "body"):
-        content = False
         for m in ATTRIBUTE.finditer(attributes):
             for word in (m[1] or m[2] or m[3] or "").split():
                 if STATE.search(word):
                     continue
                 for found in NAMED.finditer(word):
-                    if (kind := NAMES[found.lastindex - 1]) != "content":
-                        return kind
-                    content = True
-        if content and name not in OUTER:
-            return "content"
-    return name if name in CONTAINERS else None
+                    if (kind := NAMES[found.lastindex - 1]) == "content":
+                        content = True
+                    elif name not in ("article", "main") or kind in ("comments", "ad"):
+                        other = other or kind
+        if other == "header" and content:
+            return "header*", True
+        if other:
+            return other, content
+        if content and name not in OUTER and name not in ("article", "main"):
+            return "content", True
+    return (name if name in CONTAINERS else None), content
 
 
 class Tokens:
@@ -135,9 +153,13 @@ class Tokens:
         self.wrappers: set[int] = set()  # places of containers that hold the page's main part
         self.words: list[tuple[int, int, str]] = []  # token, block, text of a run
         self.kept: list[bool] = []
+        self.held: list[int] = []  # of words the section that holds them
+        self.above: list[int] = []  # of sections the one around, or -1
+        self.around: list[tuple] = []  # of open containers that aren't content: depth, place in the page, kind, whether its names or element may be wrong, first word
+        self.spans: list[tuple] = []  # of closed ones: place, kind, names say content, first word, end
         keep, block, pos, n = False, 0, 0, len(page)
         stack: list[tuple[str, str, int, str]] = []  # name, context, place of the nearest that isn't in THROUGH, holder
-        around: list[tuple[int, int, str]] = []  # depth, place in the page and kind of open containers that aren't content
+        sections: list[tuple[int, int]] = []  # depth and number of open sections
         places: dict[str, list[int]] = defaultdict(list)  # in the stack, by name
         context, holder, links = "body", "block", 0
         closed: dict[str, bool] = {}
@@ -150,6 +172,7 @@ class Tokens:
                 text_to = n if lt < 0 else lt
                 m = TAG.match(page, lt) if lt >= 0 else None
             if text_to > pos:
+                self.held.append(sections[-1][1] if sections else -1)
                 self.text(page[pos:text_to], (context, holder), links > 0, block, keep)
             if lt < 0:
                 break
@@ -177,27 +200,30 @@ class Tokens:
                 links = max(0, links + (-1 if closing else 1))
             if closing:
                 if places[name]:
-                    self.close(stack, places, places[name][-1])
+                    self.close(stack, places, places[name][-1], sections)
             elif name not in VOID:
                 if name in CLOSES_P and stack and stack[-1][0] == "p":
-                    self.close(stack, places, len(stack) - 1)
+                    self.close(stack, places, len(stack) - 1, sections)
                 if name in ENDS and stack and (at := stack[-1][2]) >= 0 and stack[at][0] in ENDS[name]:
-                    self.close(stack, places, at)
+                    self.close(stack, places, at, sections)
                 elif name in CELLS:
                     table = places["table"][-1] if places["table"] else -1
                     if open_ := [places[x][-1] for x in CELLS[name] if places[x] and places[x][-1] > table]:
-                        self.close(stack, places, min(open_))
+                        self.close(stack, places, min(open_), sections)
                 if name in BLOCKS or name in CONTAINERS or name in HIDDEN:
-                    kind = "hidden" if name in HIDDEN else None if lt in wrappers else kind_of(name, page[m.end() : end - 1])
-                    while around and around[-1][0] >= len(stack):
-                        around.pop()
-                    if around and name in ("main", "article", "h1"):
-                        self.wrappers.update(at for _, at, k in around if k != "hidden" and (name == "main" or k == "form"))
-                    if kind in OUTER:
-                        around.append((len(stack), lt, kind))
+                    kind, named = ("hidden", False) if name in HIDDEN else (None, False) if lt in wrappers else kind_of(name, page[m.end() : end - 1])
+                    if self.around and name in ("main", "article", "h1"):
+                        self.wrappers.update(at for _, at, k, *_ in self.around if k != "hidden" and (name == "main" or k == "form"))
+                    if kind in OUTER or kind == "header*":
+                        self.around.append((len(stack), lt, kind if name not in PLAIN else "plain", named, len(self.words)))
+                    if name in SECTIONS:
+                        self.above.append(sections[-1][1] if sections else -1)
+                        sections.append((len(stack), len(self.above) - 1))
                     places[name].append(len(stack))
                     up = stack[-1] if stack else ("", "body", -1, "block")
-                    stack.append((name, self.nearer(up[1], kind), up[2] if name in THROUGH else len(stack), HOLDERS.get(name) or (up[3] if name in HELD else "block")))
+                    # a heading in an article's header is the article's
+                    inner = "content" if name in HEADINGS and up[1] == "header*" and kind in (None, "content") else self.nearer(up[1], kind)
+                    stack.append((name, inner, up[2] if name in THROUGH else len(stack), HOLDERS.get(name) or (up[3] if name in HELD else "block")))
             context, holder = (stack[-1][1], stack[-1][3]) if stack else ("body", "block")
             self.kinds.append(("tag", context, holder))
             self.counts.append(0)
@@ -209,11 +235,27 @@ class Tokens:
         for at, block, _ in self.words:
             if self.kinds[at][0] == "word":
                 self.kinds[at] = ("title" if self.kinds[at][2] == "h" else "few" if sizes[block] < 4 else "some" if sizes[block] < 10 else "many", *self.kinds[at][1:])
-
-    @staticmethod
-    def close(stack: list[tuple[str, str, int, str]], places: dict[str, list[int]], at: int) -> None:
+        self.find_wrappers()
+
+    def find_wrappers(self) -> None:
+        """Containers that are called what isn't content and hold the page's running text."""
+        spans = [*self.spans, *((*x[1:], len(self.words)) for x in self.around)]
+        before = [0]
+        for at, _, _ in self.words:
+            kind, context, _ = self.kinds[at]
+            before.append(before[-1] + self.counts[at] * (kind == "many" and context.rstrip("*") != "hidden"))
+        for place, kind, named, first, end in spans:
+            inside = before[end] - before[first]
+            if kind not in ("hidden", "comments", "plain") and inside >= LEAST_WRAPPED and before[-1] - inside <= inside * (MOST_OUTSIDE_NAMED if named else MOST_OUTSIDE):
+                self.wrappers.add(place)
+
+    def close(self, stack: list[tuple[str, str, int, str]], places: dict[str, list[int]], at: int, sections: list[tuple[int, int]]) -> None:
         while len(stack) > at:
             places[stack.pop()[0]].pop()
+        while self.around and self.around[-1][0] >= at:
+            self.spans.append((*self.around.pop()[1:], len(self.words)))
+        while sections and sections[-1][0] >= at:
+            sections.pop()
 
     @staticmethod
     def nearer(outer: str, kind: str | None) -> str:
@@ -290,16 +332,55 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return region
 
 
+def common(t: Tokens, words: list[int]) -> set[int]:
+    """The sections inside the innermost one that holds all of these words; none if that is the page itself."""
+    paths = []
+    for section in {t.held[i] for i in words}:
+        path = []
+        while section >= 0:
+            path.append(section)
+            section = t.above[section]
+        paths.append(path[::-1])
+    n = 0
+    while paths and all(len(p) > n for p in paths) and len({p[n] for p in paths}) == 1:
+        n += 1
+    if n < 2:  # the page, or its body
+        return set()
+    inside = {paths[0][n - 1]}
+    for k in range(paths[0][n - 1] + 1, len(t.above)):
+        if t.above[k] in inside:
+            inside.add(k)
+    return inside
+
+
 def chosen(t: Tokens, weights: Weights) -> list[tuple[int, int, str]]:
     """The runs of the best region's blocks, each block as a whole."""
+    if t.words and all(k[0] != "tag" for k in t.kinds):
+        return t.words
     memo = {k: 0.0 if k[1].endswith("*") else weights["tag", ""] if k[0] == "tag" else word_score(weights, *k) for k in set(t.kinds)}
     scores = [memo[k] if k[0] == "tag" else n * memo[k] for k, n in zip(t.kinds, t.counts, strict=True)]
     a, b = best_region(scores)
     blocks = {block for at, block, _ in t.words if a <= at < b}
     sums: dict[int, float] = defaultdict(float)
-    for at, block, _ in t.words:
+    linked: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+    parts: dict[int, list[int]] = defaultdict(list)
+    for i, (at, block, _) in enumerate(t.words):
         sums[block] += scores[at]
-    return [w for w in t.words if w[1] in blocks and sums[w[1]] > 0 and t.kinds[w[0]][1].rstrip("*") != "hidden"]
+        linked[block][t.kinds[at][0] == "link"] += t.counts[at]
+        if t.counts[at]:
+            parts[block].append(i)
+    visible = lambda i: t.kinds[t.words[i][0]][1].rstrip("*") != "hidden"
+    taken = {block for block in blocks if sums[block] > 0}
+    inside = common(t, [i for block in taken for i in parts[block] if visible(i)]) if taken else set()
+    last = max(taken, default=0)
+    for block in sorted(parts) if inside else ():
+        if block not in taken and block >= min(taken):
+            holders, contexts = {t.kinds[t.words[i][0]][2] for i in parts[block]}, {t.kinds[t.words[i][0]][1].rstrip("*") for i in parts[block]}
+            if block > last and ("h" in holders or contexts & OUTER and "header" not in contexts or not all(t.held[i] in inside for i in parts[block])):
+                break
+            if holders <= {"li", "cell"} and not contexts & OUTER and linked[block][0] > linked[block][1] and all(t.held[i] in inside for i in parts[block]):
+                taken.add(block)
+    return [w for i, w in enumerate(t.words) if w[1] in taken and visible(i)]
 
 
 def main_text(page: str | None, weights: Weights) -> str:
