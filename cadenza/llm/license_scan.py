@@ -1,14 +1,18 @@
 """Licence notices in texts: a trained paragraph classifier whose predictions templates confirm.
 
-A paragraph ends at a blank line. What is classified are its lines of up to `WINDOW` words and, of paragraphs of several
-lines or of more words, windows of `WINDOW` words every `STRIDE`, so that neither hard-wrapped notices nor long paragraphs
-hide one. The words and word pairs of such a unit are hashed into a sparse vector; a multinomial logistic regression,
-trained from a small labelled table of notices and of prose (`training_rows`), gives a score for each licence family and for
-the unknown class. Scores are calibrated by a temperature fitted on notices and prose that training doesn't see
-(`held_rows`), and a family below `LEAST_PROBABILITY` is unknown. Templates are compared by their three-word shingles that
-hold a word of `TELLING`, a number or "version". A prediction counts when, of all families' templates, one of the predicted
-family, or of a version of it, has the greatest share of its shingles in the unit (of equal shares the longest), and that
-share is `LEAST_SHARE` at least. The template tells the version, so another version's template does not confirm. A family
+Marks of comments at the begin of lines go first, and a paragraph ends at a blank line. What is classified are its lines of up
+to `WINDOW` words and, of paragraphs of several lines or of more words, windows of `WINDOW` words every `STRIDE`, which is no
+more than what a window has beyond the longest template: each notice lies whole in one. An SPDX expression is
+as many lines as it names licences. The words and word pairs of such a unit are hashed into a sparse vector; a multinomial
+logistic regression, trained from a small labelled table of notices and of prose (`training_rows`), gives a score for each
+licence family and for the unknown class. Scores are calibrated by a temperature fitted on notices and prose that training
+doesn't see (`held_rows`), and a unit that is unknown with more than 1 - `LEAST_PROBABILITY` holds none.
+
+Templates are compared by their three-word shingles that hold a word of `TELLING`, a number or "version". Of those that have
+`LEAST_SHARE` of their shingles in the unit, in order of their share and then their length, one is taken if most of what it has
+there isn't in those taken before: so a version's template goes before those of other versions, which share its words, and two
+licences side by side are both taken. Where equal templates of different families have the same words, none is. What is taken
+confirms the prediction if the classes of these families, with their versions, have `LEAST_PROBABILITY` together. A family
 without a version isn't listed beside a version of it.
 
 A unit without a word of `TELLING` can't hold `LEAST_SHARE` of any template's shingles; such units are unknown before they are
@@ -24,6 +28,7 @@ is kept; repeated rows get equal results; extra columns are ignored; an empty ta
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
@@ -33,7 +38,9 @@ from pyspark.sql import functions as F
 
 from .shared import bound, quoted
 
-FEATURES, LEAST_PROBABILITY, LEAST_SHARE, WINDOW, STRIDE = 1 << 13, 0.5, 0.67, 50, 25
+FEATURES, LEAST_PROBABILITY, LEAST_SHARE, WINDOW, STRIDE = 1 << 13, 0.5, 0.67, 64, 20
+#: Words that a template has at most.
+LONGEST = WINDOW - STRIDE
 UNKNOWN = "unknown"
 #: Words by which notices tell themselves from prose.
 TELLING = tuple("license licence licensed gnu gpl lgpl agpl gplv2 gplv3 lgplv2 lgplv3 agplv3 bsd isc cc cc0 commons apache mozilla mpl eclipse epl boost zlib spdx domain unlicense unencumbered rights copyright permission redistribution permitted endorse warranty liable software hereby granted waived".split())
@@ -93,6 +100,11 @@ NOTICES: dict[str, tuple[str, ...]] = {
     "public-domain": ("This work is in the public domain", "This is free and unencumbered software released into the public domain", "released into the public domain by its author"),
     "reserved": ("All rights reserved", "Copyright 2020 The Authors. All rights reserved"),
 }
+#: Marks of comments before a line's text.
+COMMENT = "(?m)^[\\x20\\t]*(?:(?:/\\*+|\\*+/?|//+!?|#+|;+|--+|<!--+|%+|[\"]{3}|[']{3}|dnl(?=\\s)|REM(?=\\s)|[.]{2}(?=\\s))[\\x20\\t]*)+"
+SPDX = "(?i)spdx-license-identifier:?\\s*"
+#: What goes around a short name.
+FIELDS = ("License: {}", "Licence: {}", "{} licensed")
 #: What goes before a name in training, and in calibration.
 PHRASES = ("Licensed under {}", "Released under {}", "This work is licensed under {}", "Distributed under {}", "under the terms of {}")
 HELD_PHRASES = ("Available under {}", "This file is covered by {}", "You may use it under {}", "The code is published under {} today")
@@ -105,6 +117,7 @@ PROSE = (
     "This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose", "See the license for details", "You should have received a copy of the license along with this program",
     "the city licensed under new rules ten more bars", "The film was released under another title in France", "The park is in the public eye", "The mozilla browser and the eclipse editor were open on both screens", "The boost in sales came in version 4",
     "He wrote a long paper on the MIT License and its history", "Lawyers argue about the GPL to this day", "What is the difference between the Apache License and the BSD License", "They asked whether all rights were theirs",
+    "A talk on why the Mozilla Public License was written and who reads it", "The book compares the GNU General Public License and the MIT License at length", "He prefers the Apache License to the MIT License and says so", "Is the ISC License older than the BSD License", "She compared both licences in class and found the Boost Software License shorter",
 )
 HELD_PROSE = (
     "The ferry was late and the people on the pier told stories of other ferries", "Her licence to drive a truck was renewed in March", "The book was released under the old name", "All seats are reserved for members of the club", "Version 3 of the plan has more details", "The public library keeps a copy of every work",
@@ -122,17 +135,33 @@ def phrased(phrases: tuple[str, ...], spdx: bool) -> list[tuple[str, str]]:
     return [(f, p.format(n)) for f, (_, *names) in NAMES.items() for n in names for p in phrases] + [(f, f"SPDX-License-Identifier: {i}") for f, (i, *_) in NAMES.items() if i and spdx]
 
 
+def short_names() -> list[tuple[str, str]]:
+    """(family, name): identifiers, and names without their article."""
+    out = []
+    for family, (spdx, *names) in NAMES.items():
+        base, dash, version = family.partition("-")
+        gnu = [f"{base}v{version.removesuffix('.0')}", f"{base}-{version}"] if dash and base in GNU_VERSIONS else []
+        bare = [re.sub("^(?:the terms of|the|an?) ", "", n) for n in names]
+        cc = [n.removesuffix(" License").removesuffix(" International") for n in bare if "Commons" in n]
+        out += [(family, n) for n in dict.fromkeys([spdx, *gnu, *bare[:1], *cc]) if n]
+    return out
+
+
+def fielded() -> list[tuple[str, str]]:
+    return [(f, p.format(n)) for f, n in short_names() for p in FIELDS]
+
+
 def notices() -> list[tuple[str, str]]:
     return [(f, n) for f, some in NOTICES.items() for n in some]
 
 
 def templates() -> list[tuple[str, str]]:
-    """(family, text): the names alone, and the longer notices."""
-    return phrased(("{}",), True) + notices()
+    """(family, text): the names alone, short names in fields, and the longer notices."""
+    return phrased(("{}",), True) + fielded() + notices()
 
 
 def training_rows() -> list[tuple[str, str]]:
-    return [(f, f"{a} {p} {b}") for f, p in [*phrased(PHRASES, True), *notices(), *((UNKNOWN, p) for p in PROSE)] for a, b in AROUND]
+    return [(f, f"{a} {p} {b}") for f, p in [*phrased(PHRASES, True), *fielded(), *notices(), *((UNKNOWN, p) for p in PROSE)] for a, b in AROUND]
 
 
 def held_rows() -> list[tuple[str, str]]:
@@ -168,9 +197,12 @@ def units(docs: DataFrame) -> DataFrame:
     """docs(text, ...) -> a row for each unit that can hold a notice: the other columns, `nth` (its paragraph) and `paragraph`."""
     may = lambda x: x.rlike(CUE)
     keep = [c for c in docs.columns if c != "text"]
-    blocks = docs.where(may(F.lower("text"))).select(*keep, F.posexplode(F.split("text", "\\n[\\x20\\t\\x0B-\\x0D]*(?=\\n)")).alias("nth", "block")).where(may(F.lower("block")))
+    plain = docs.where(may(F.lower("text"))).withColumn("text", F.regexp_replace("text", COMMENT, ""))
+    blocks = plain.select(*keep, F.posexplode(F.split("text", "\\n[\\x20\\t\\x0B-\\x0D]*(?=\\n)")).alias("nth", "block")).where(may(F.lower("block")))
     lines = F.filter(F.split("block", "\\n"), lambda x: may(F.lower(x)))
-    few = F.filter(lines, lambda x: F.size(F.split(F.trim(x), "\\s+")) <= WINDOW)
+    # of an SPDX expression each licence by itself
+    named = lambda x: F.when(x.rlike(SPDX), F.transform(F.filter(F.split(F.regexp_replace(x, f"^.*?{SPDX}", ""), "(?i)\\s+(?:or|and|with)\\s+|[()]"), lambda y: F.trim(y) != ""), lambda y: F.concat(F.lit("SPDX-License-Identifier: "), y))).otherwise(F.array(x))
+    few = F.flatten(F.transform(F.filter(lines, lambda x: F.size(F.split(F.trim(x), "\\s+")) <= WINDOW), named))
 
     def windows(words: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (WINDOW - STRIDE), F.lit(1)), F.lit(STRIDE))
@@ -212,34 +244,39 @@ class Classifier:
         return self.model.transform(self.vectors(paragraphs)).withColumn("raw", vector_to_array("raw")).drop("vector")
 
     def predicted(self, paragraphs: DataFrame) -> DataFrame:
-        """The paragraphs of a family, with `family` and `probability`; unknown ones are left out."""
-        best = F.array_max("raw")
-        scored = self.raw(paragraphs).withColumn("family", F.element_at(F.lit(self.names), F.array_position("raw", best).cast("int"))).where(F.col("family") != UNKNOWN)
-        odds = F.aggregate("raw", F.lit(0.0), lambda s, x: s + F.exp((x - F.array_max("raw")) / F.lit(self.temperature)))
-        return scored.withColumn("probability", 1 / odds).where(F.col("probability") >= LEAST_PROBABILITY).drop("raw")
+        """The paragraphs that aren't unknown, with the calibrated probabilities `odds` of the classes."""
+        scored = self.raw(paragraphs)
+        each = F.transform("raw", lambda x: F.exp((x - F.array_max("raw")) / F.lit(self.temperature)))
+        scored = scored.withColumn("odds", bound(each, lambda e: bound(F.aggregate(e, F.lit(0.0), lambda t, x: t + x), lambda total: F.transform(e, lambda x: x / total))))
+        return scored.where(F.get("odds", F.lit(self.names.index(UNKNOWN))) <= 1 - LEAST_PROBABILITY).drop("raw")
 
     def confirmed(self, paragraphs: DataFrame) -> DataFrame:
-        """Of predicted paragraphs those that a template confirms, with its family and `share`."""
+        """Of predicted paragraphs those that templates confirm: a row a family, with the families' `probability` and its template's `share`."""
         known = sorted({h for s in self.template_shingles for h in s})
-        shingles = F.lit(known)
         members = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(len(s)).alias("n"), F.lit(s).alias("s")) for f, s in zip(self.template_families, self.template_shingles, strict=True)])
-
-        def best_of(own: Column) -> Column:
-            """Share, matched shingles and families of the best template, or of several that are equal."""
-            hit = lambda t: F.size(F.array_intersect(t["s"], own))
-            scores = F.transform(members, lambda t: bound(hit(t), lambda h: F.struct((h / t["n"]).alias("share"), h.alias("hit"), t["family"].alias("family"))))
-
-            def top(s: Column) -> Column:
-                best = F.array_max(s)
-                even = F.filter(s, lambda x: (x["share"] == best["share"]) & (x["hit"] == best["hit"]))
-                return F.struct(best["share"].alias("share"), F.array_distinct(F.transform(even, lambda x: x["family"])).alias("families"))
-
-            return F.when(F.size(own) > 0, bound(scores, top))
-
-        own = F.array_intersect(shingles, shingles_of(words_of(F.col("paragraph"))))
-        scored = self.predicted(paragraphs).withColumn("best", bound(own, best_of))
-        right = (F.size("best.families") == 1) & (base_of(F.col("best.families")[0]) == base_of(F.col("family"))) & (F.col("best.share") >= LEAST_SHARE)
-        return scored.where(right).withColumn("share", F.col("best.share")).withColumn("family", F.col("best.families")[0]).drop("best")
+        bases = F.array(*[F.lit(next((b for b in BASES if n.startswith(f"{b}-")), n)) for n in self.names])
+
+        def candidates(own: Column) -> Column:
+            """Templates by share and length, of those that have the least share."""
+            each = F.transform(members, lambda t: bound(F.array_intersect(t["s"], own), lambda h: F.struct((F.size(h) / t["n"]).alias("share"), F.size(h).alias("hit"), t["family"].alias("family"), F.array_sort(h).alias("s"))))
+            return F.sort_array(F.filter(each, lambda t: t["share"] >= LEAST_SHARE), asc=False)
+
+        def taken(some: Column) -> Column:
+            """Of the candidates those that are mostly their own, one after another."""
+            even = lambda t: F.exists(some, lambda u: (u["share"] == t["share"]) & (u["s"] == t["s"]) & (u["family"] != t["family"]))
+            start = F.struct(F.array().cast("array<struct<family:string,share:double>>").alias("out"), F.array().cast("array<bigint>").alias("seen"))
+            step = lambda acc, t: F.when(
+                ~even(t) & (2 * F.size(F.array_except(t["s"], acc["seen"])) > t["hit"]),
+                F.struct(F.concat(acc["out"], F.array(F.struct(t["family"].alias("family"), t["share"].alias("share")))).alias("out"), F.array_union(acc["seen"], t["s"]).alias("seen")),
+            ).otherwise(acc)
+            return F.aggregate(some, start, step)["out"]
+
+        own = F.array_intersect(F.lit(known), shingles_of(words_of(F.col("paragraph"))))
+        scored = self.predicted(paragraphs).withColumn("found", F.when(F.size(own) > 0, bound(own, lambda o: bound(candidates(o), taken)))).where(F.size("found") > 0)
+        theirs = F.transform("found", lambda f: base_of(f["family"]))
+        scored = scored.withColumn("probability", bound(theirs, lambda t: F.aggregate(F.zip_with("odds", bases, lambda p, b: F.when(F.array_contains(t, b), p).otherwise(0.0)), F.lit(0.0), lambda x, y: x + y)))
+        each = scored.where(F.col("probability") >= LEAST_PROBABILITY).withColumn("_f", F.explode("found"))
+        return each.withColumns({"family": F.col("_f.family"), "share": F.col("_f.share")}).drop("_f", "found", "odds")
 
 
 def base_of(family: Column) -> Column:
