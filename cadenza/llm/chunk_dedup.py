@@ -16,13 +16,18 @@ Blanks between a seed's words may differ. A span's ends are those of its chunks
 Skew: counts and first places of digests are partial aggregates; occurrences meet them in a join that adaptive
 execution can split; texts are never shuffled.
 
-Defined results: a null or empty text has no chunks; a null doc_id is kept and sorts first; rows that repeat a doc_id
-are one document, so their equal chunks are not copies of each other; extra columns are ignored;
-an empty table gives an empty result.
+Every text is judged by itself: its chunks are gathered by doc_id and a checksum of the text, and texts without a doc_id by a
+digest of their own, so that no group is larger than a text.
+
+Defined results: a null or empty text has no chunks; texts that repeat a doc_id have spans of their own, but equal chunks in
+them aren't copies of each other; texts without a doc_id are documents of their own and sort first, by their digest, and equal
+ones count once; a doc_id under -2^62 counts as none; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +43,8 @@ GEAR, MASK_BITS, LEAST_BYTES, SEED, LEAST_CUT = 16, 5, 256, 26, 64
 TABLE = np.random.default_rng(20260401).integers(0, 2**32, 256, dtype=np.uint32)
 LETTERS = np.random.default_rng(20260402).integers(1, 2**64, 256, dtype=np.uint64)
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-#: Stands for a null doc_id.
-NO_ID = -(1 << 63)
+#: Under this are the keys of texts without a doc_id.
+LEAST_ID = -(1 << 62)
 POWER = 0x9E3779B97F4A7C15
 INVERSE = pow(POWER, -1, 2**64)
 
@@ -125,8 +130,15 @@ class Chunker:
         return starts[at], ends[at + SEED - 1], (~runs[at]).view(np.int64)
 
 
+def text_key(doc: int | None, text: bytes) -> tuple[int, int]:
+    """What stands for a text: its doc_id, or without one a digest under LEAST_ID; and a checksum that tells texts of one doc_id apart."""
+    if doc is None or doc < LEAST_ID:
+        return -(1 << 63) + (int.from_bytes(hashlib.blake2b(text, digest_size=8).digest()) >> 2), 0
+    return doc, zlib.crc32(text) & 0xFFFFFF
+
+
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """doc_id (the least long for null), and of each chunk and seed its digest and `at`: start and length in bytes, whether the document had it before, whether it is a seed.
+    """doc_id and page (see `text_key`), and of each chunk and seed its digest and `at`: start and length in bytes, whether the document had it before, whether it is a seed.
 
     `at` packs them in 31, 31, 1 and 1 bits, as these are the most rows there are, and sorts by start.
     """
@@ -140,23 +152,24 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 for doc, text in zip(ids, batch.column("text").slice(a, 512).cast(pa.large_binary()).to_pylist(), strict=True):
                     if text:
                         ends, digests = chunker.chunks(text)
+                        doc, page = text_key(doc, text)
                         for seed, start, end, own in ((0, np.concatenate(([0], ends[:-1])), ends, digests), (1, *chunker.seeds(text))):
                             again = np.ones(len(end), np.int64)
                             again[np.unique(own, return_index=True)[1]] = 0
-                            parts.append((np.full(len(end), NO_ID if doc is None else doc), start.astype(np.int64) << 33 | (end - start).astype(np.int64) << 2 | again << 1 | seed, own))
+                            parts.append((np.full(len(end), doc), np.full(len(end), page, np.int32), start.astype(np.int64) << 33 | (end - start).astype(np.int64) << 2 | again << 1 | seed, own))
                 if parts:
-                    doc, at, digest = (np.concatenate(c) for c in zip(*parts, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at), pa.array(digest)], ["doc_id", "at", "digest"])
+                    doc, page, at, digest = (np.concatenate(c) for c in zip(*parts, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(page), pa.array(at), pa.array(digest)], ["doc_id", "page", "at", "digest"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, at long, digest long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, page int, at long, digest long")
 
 
-SPANS = "doc_id long, start long, end long, copied long, copies_of array<bigint>, known array<bigint>, again array<bigint>"
+SPANS = "doc_id long, page long, start long, end long, copied long, copies_of array<bigint>, known array<bigint>, again array<bigint>"
 
 
-def merged(docs: np.ndarray, sizes: np.ndarray, at: np.ndarray, first: np.ndarray, digest: np.ndarray, least_bytes: int) -> list[list]:
+def merged(docs: np.ndarray, pages: np.ndarray, sizes: np.ndarray, at: np.ndarray, first: np.ndarray, digest: np.ndarray, least_bytes: int) -> list[list]:
     """The columns of SPANS from the repeated chunks and seeds of documents, side by side, each document's in the order of their starts."""
-    out: list[list] = [[] for _ in range(7)]
+    out: list[list] = [[] for _ in range(8)]
     if not len(at):
         return out
     doc = np.repeat(np.arange(len(docs)), sizes)
@@ -180,14 +193,15 @@ def merged(docs: np.ndarray, sizes: np.ndarray, at: np.ndarray, first: np.ndarra
         of = np.unique(first[a:b][mine])
         chunk = mine & ~seed[a:b]
         other = first[a:b] != me
-        row = (None if me == NO_ID else me, int(left[k] - base[a]), int(right[k] - base[a]), int(copied[k]), of[of != NO_ID].tolist(), *(np.unique(digest[a:b][chunk & side]).tolist() for side in (other, ~other)))
+        known = me >= LEAST_ID
+        row = (me if known else None, int(pages[doc[a]]) if known else me, int(left[k] - base[a]), int(right[k] - base[a]), int(copied[k]), of[of >= LEAST_ID].tolist(), *(np.unique(digest[a:b][chunk & side]).tolist() for side in (other, ~other)))
         for o, v in zip(out, row, strict=True):
             o.append(v)
     return out
 
 
 def copied_spans(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """doc_id, start, end (bytes of the text), copied, copies_of, known, again: every run of repeated chunks and seeds.
+    """doc_id, page (tells the texts of one doc_id, or of none, apart), start, end (bytes of the text), copied, copies_of, known, again: every run of repeated chunks and seeds.
 
     copied: the bytes that are copies; 0 for a passage that is nowhere earlier. copies_of: the documents that hold
     the copied chunks and seeds first. known: the copied chunks that an earlier document holds; again: those that this
@@ -196,8 +210,8 @@ def copied_spans(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     rows = chunk_rows(docs)
     firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc <> last_doc").select("digest", "first_doc")
     hit = rows.join(firsts, "digest", "left").where("first_doc IS NOT NULL OR at & 2 <> 0")
-    # all of a document's repeated chunks and seeds: at most its own
-    per = hit.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", F.coalesce("first_doc", "doc_id").alias("first_doc"), "digest"))).alias("c"))
+    # all of a text's repeated chunks and seeds: at most its own
+    per = hit.groupBy("doc_id", "page").agg(F.array_sort(F.collect_set(F.struct("at", F.coalesce("first_doc", "doc_id").alias("first_doc"), "digest"))).alias("c"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,9 +219,9 @@ def copied_spans(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
             flat = lists.flatten()
             sizes = np.diff(lists.offsets.to_numpy())
             columns = [flat.field(k).to_numpy() for k in range(3)]
-            out = merged(batch.column("doc_id").to_numpy(), sizes, *columns, least_bytes)
-            kinds = (*[pa.int64()] * 4, *[pa.list_(pa.int64())] * 3)
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], ["doc_id", "start", "end", "copied", "copies_of", "known", "again"])
+            out = merged(batch.column("doc_id").to_numpy(), batch.column("page").to_numpy(), sizes, *columns, least_bytes)
+            kinds = (*[pa.int64()] * 5, *[pa.list_(pa.int64())] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], ["doc_id", "page", "start", "end", "copied", "copies_of", "known", "again"])
 
     return per.mapInArrow(run, SPANS)
 
@@ -268,12 +282,12 @@ def cut_text(chunker: Chunker, text: bytes, known: set[int], again: set[int]) ->
 
 
 def repeated_passages(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """A row per document that shares or repeats passages: doc_id, n_spans, n_bytes, n_copied_bytes, spans (start:end, comma-joined), copies_of (ids)."""
+    """A row per text that shares or repeats passages: doc_id, n_spans, n_bytes, n_copied_bytes, spans (start:end, comma-joined), copies_of (ids)."""
     text = F.format_string("%d:%d", "start", "end")
-    return copied_spans(docs, least_bytes).groupBy("doc_id").agg(
+    return copied_spans(docs, least_bytes).groupBy("doc_id", "page").agg(
         F.count(F.lit(1)).alias("n_spans"),
         F.sum(F.col("end") - F.col("start")).alias("n_bytes"),
         F.sum("copied").alias("n_copied_bytes"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", text.alias("t")))), lambda x: x["t"]), ",").alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("copies_of")))).alias("copies_of"),
-    )
+    ).drop("page")

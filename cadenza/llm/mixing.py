@@ -111,23 +111,23 @@ def source_plan(counts: DataFrame, entropy: float | None = None, limit: float =
     return F.broadcast(plan) if counts.count() <= BROADCAST_SOURCES else plan
 
 
-def order_key(doc: Column, epoch: Column) -> Column:
-    """The place of a document in a pass: 60 bits, evenly spread."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), doc, epoch), 4)
+def order_key(doc: Column, epoch: Column, *more: Column) -> Column:
+    """The place of a document in a pass: 60 bits, evenly spread. What tells documents of one id, or of none, apart may follow."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), doc, epoch, *more), 4)
 
 
 def placed(lengths: DataFrame, entropy: float | None = None, limit: float = REPETITION_LIMIT) -> DataFrame:
-    """lengths(mix_key, mix_source, mix_tokens), a row a document -> a row for each time it is used: those and epoch, weight, block, position (tokens of its source before it)."""
+    """lengths(mix_key, mix_text, mix_source, mix_tokens), a row a document -> a row for each time it is used: those and epoch, weight, block, position (tokens of its source before it)."""
     counts = lengths.groupBy("mix_source").agg(F.sum("mix_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
     plan = source_plan(counts, entropy, limit)
     ranges = F.greatest(F.lit(1), F.ceil(F.col("docs") / RANGE_ROWS)).cast("long")
     each = lengths.join(plan.withColumnRenamed("mix_source", "plan_source"), F.col("mix_source") == F.col("plan_source")).drop("plan_source").withColumn("ranges", ranges)
     each = each.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.when(F.col("mix_tokens") > 0, F.ceil("passes").cast("int") - 1).otherwise(0))))
-    each = each.withColumn("key", order_key(F.col("mix_key"), F.col("epoch")))
+    each = each.withColumn("key", order_key(F.col("mix_key"), F.col("epoch"), F.col("mix_text")))
     each = each.withColumn("range", F.floor(F.col("key") / (F.lit(float(1 << 60))) * F.col("ranges")).cast("long"))
     sums = each.groupBy("mix_source", "epoch", "range").agg(F.sum("mix_tokens").alias("t"))
     before = sums.select("mix_source", "epoch", "range", (F.sum("t").over(Window.partitionBy("mix_source", "epoch").orderBy("range")) - F.col("t")).alias("before"))
-    run = Window.partitionBy("mix_source", "epoch", "range").orderBy("key", "mix_key").rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy("mix_source", "epoch", "range").orderBy("key", "mix_key", "mix_text").rowsBetween(Window.unboundedPreceding, -1)
     each = each.withColumn("within", F.coalesce(F.sum("mix_tokens").over(run), F.lit(0)))
     each = each.join(before, ["mix_source", "epoch", "range"]).withColumn("position", F.col("epoch") * F.col("tokens") + F.col("before") + F.col("within"))
     used = each.where((F.col("epoch") == 0) | (F.col("position") < F.round(F.col("passes") * F.col("tokens")).cast("long")))
@@ -137,7 +137,7 @@ def placed(lengths: DataFrame, entropy: float | None = None, limit: float = REPE
 
 def lengths_of(docs: DataFrame, key: Column) -> DataFrame:
     source = F.coalesce(F.concat(F.lit("="), quoted("source").cast("string")), F.lit("null"))
-    return docs.select(key.alias("mix_key"), source.alias("mix_source"), token_count(quoted("text")).alias("mix_tokens"))
+    return docs.select(key.alias("mix_key"), F.xxhash64(quoted("text")).alias("mix_text"), source.alias("mix_source"), token_count(quoted("text")).alias("mix_tokens"))
 
 
 def mixture(docs: DataFrame, entropy: float | None = None, limit: float = REPETITION_LIMIT) -> DataFrame:

@@ -148,7 +148,7 @@ def packed(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = SEQUENCE) ->
     # Arrow tables are local relations; lists of rows would start Python workers beside those that encode
     plan = spark.createDataFrame(pa.table({"length": pa.array(lines, pa.int64()), "lines": pa.array(lines.values(), LINES)}))
     parts = spark.createDataFrame(pa.table({"length": pa.array(histogram, pa.int64()), "parts": pa.array([-(-n // PART_ROWS) for n in histogram.values()], pa.int64())}))
-    cut = cut.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.col("parts"))).drop("parts")
+    cut = cut.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.col("parts"))).drop("parts")
     counts = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     ranked = cut.withColumn("nth", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")))

@@ -694,7 +694,7 @@ def test_repeated_passages(spark):
     passage = prose(rng, 60)
     docs = [(i, prose(rng, 50) + " " + passage + " " + prose(rng, 50), "a") for i in range(3)] + [(10 + i, prose(rng, 100), "a") for i in range(20)] + [(40, passage, "a"), (50, None, "a"), (51, "", "a"), (None, passage, "a")]
     got = {r.doc_id: r for r in chunk_dedup.repeated_passages(frame(spark, docs)).collect()}
-    assert {i for i in got if i is not None} == {0, 1, 2, 40} and got[1].n_copied_bytes >= 128
+    assert set(got) == {0, 1, 2, 40, None} and got[None].n_copied_bytes == 0 and got[1].n_copied_bytes >= 128
     text = docs[1][1].encode()
     for span in got[1].spans.split(","):
         a, b = map(int, span.split(":"))
@@ -723,23 +723,28 @@ def test_copied_spans_by_brute_force(spark):
     passages = [prose(rng, 70), prose(rng, 55), prose(rng, 30) + " é ü ñ " * 30]
     docs = [(i, " ".join([prose(rng, rng.randrange(5, 80)), *(rng.choice(passages) for _ in range(rng.randrange(0, 3))), prose(rng, rng.randrange(5, 60))]), "a") for i in range(40)]
     docs += [(50, None, "a"), (51, "", "a"), (52, "tick tock " * 400, "a"), (53, docs[3][1], "a"), (54, docs[3][1] + " and more", "a"), (3, docs[3][1], "a"), (5, passages[0], "a"), (60, "x" * 50_000, "a")]
+    docs += [(None, passages[0] + " " + prose(rng, 30), "a"), (None, prose(rng, 90) + " " + passages[1], "a"), (None, docs[3][1], "a"), (None, prose(rng, 40), "a"), (None, passages[0] + " twice " + passages[0], "a"), (None, docs[3][1], "a"), (-(2**63) + 5, passages[2] + " of no id", "a")]
     c = chunk_dedup.Chunker()
-    pieces = []
-    for i, t, _ in docs:
-        if t:
+    pieces, texts = [], {}
+    for n, (doc, t, _) in enumerate(docs):
+        key = None if not t else ("", hashlib.blake2b(t.encode(), digest_size=8).digest()) if doc is None or doc < -(2**62) else (doc, t)
+        if t and key not in texts:
+            texts[key] = n
             raw = t.encode()
             ends, digests = c.chunks(raw)
             seen = set()
             for seed, rows in ((False, zip([0, *ends.tolist()], ends.tolist(), digests.tolist(), strict=False)), (True, zip(*[x.tolist() for x in c.seeds(raw)], strict=True))):
                 for a, b, d in rows:
-                    pieces.append((i, a, b, d, (d, seed) in seen, seed))
+                    pieces.append((n, a, b, d, (d, seed) in seen, seed))
                     seen.add((d, seed))
+    # documents in order: those without an id first, by digest; texts of one id are one
+    who = {n: (0, key[1]) if key[0] == "" else (1, key[0]) for key, n in texts.items()}
     holders = {}
-    for i, _, _, d, _, _ in pieces:
-        holders.setdefault(d, set()).add(i)
-    want = {}
-    for i in sorted({p[0] for p in pieces}):
-        mine = sorted({(a, b, min(holders[d]) if len(holders[d]) > 1 else i, again or min(holders[d]) < i, seed) for j, a, b, d, again, seed in pieces if j == i and (len(holders[d]) > 1 or again)})
+    for n, _, _, d, _, _ in pieces:
+        holders.setdefault(d, set()).add(who[n])
+    spans = {}
+    for n in sorted({p[0] for p in pieces}):
+        mine = sorted({(a, b, min(holders[d]) if len(holders[d]) > 1 else who[n], again or min(holders[d]) < who[n], seed) for j, a, b, d, again, seed in pieces if j == n and (len(holders[d]) > 1 or again)})
         groups = []
         for p in mine:
             if groups and p[0] <= max(q[1] for q in groups[-1]):
@@ -749,19 +754,25 @@ def test_copied_spans_by_brute_force(spark):
         for g in groups:
             a, b = g[0][0], max(q[1] for q in g)
             if b - a >= chunk_dedup.LEAST_BYTES or any(q[4] for q in g):
-                want.setdefault(i, []).append((a, b, len({k for q in g if q[3] for k in range(q[0], q[1])})))
-    got = {r.doc_id: r for r in chunk_dedup.repeated_passages(frame(spark, docs)).collect()}
-    assert {i: (r.spans, r.n_copied_bytes) for i, r in got.items()} == {i: (",".join(f"{a}:{b}" for a, b, _ in s), sum(n for *_, n in s)) for i, s in want.items()}
+                spans.setdefault(n, []).append((a, b, len({k for q in g if q[3] for k in range(q[0], q[1])})))
+    got = sorted(((r.doc_id is not None, r.doc_id or 0, r.spans, r.n_copied_bytes) for r in chunk_dedup.repeated_passages(frame(spark, docs)).collect()))
+    has = lambda n: docs[n][0] is not None and docs[n][0] >= -(2**62)
+    assert got == sorted((has(n), docs[n][0] if has(n) else 0, ",".join(f"{a}:{b}" for a, b, _ in s), sum(x for *_, x in s)) for n, s in spans.items())
+    assert sum(not x[0] for x in got) == 5 and sum(x[1] in (3, 5) for x in got) >= 3
+    # as the checks below know documents by their id
+    want = {docs[n][0]: s for n, s in spans.items() if has(n)}
+    pieces = [(docs[n][0], *rest) for n, *rest in pieces if has(n)]
+    holders = {d: {w[1] if w[0] else -(2**63) for w in ws} for d, ws in holders.items()}
     clean = chunk_dedup.without_copies(frame(spark, docs))
     assert clean.columns == frame(spark, docs).columns
     left = {}
     for r in clean.collect():
         left.setdefault(r.doc_id, []).append(r.text)
         assert r.n_chars == (len(r.text) if r.text is not None else None)
-    assert left[50] == [None] and left[51] == [""] and len(left[3]) == 2 and len("".join(x for i in range(40) for x in left[i])) < 0.8 * sum(len(t) for i, t, _ in docs if i < 40)
+    assert left[50] == [None] and left[51] == [""] and len(left[3]) == 2 and len("".join(x for i in range(40) for x in left[i])) < 0.8 * sum(len(t) for i, t, _ in docs if i is not None and 0 <= i < 40)
     # of the chunks of counted spans go, in runs of 64 bytes, those that an earlier document holds, and repeats of those that none does
     for i, t, _ in docs:
-        if i in want and i not in (3, 5):
+        if i in want and i not in (3, 5):  # those of one text
             mine = [(a, b, d) for j, a, b, d, _, seed in pieces if j == i and not seed]
             counted = {d for a, b, d in mine if any(x <= a and b <= y for x, y, _ in want[i])}
             flag = [d in counted and (min(holders[d]) < i or d in {e for *_, e in mine[:k]}) for k, (_, _, d) in enumerate(mine)]
