@@ -1,23 +1,32 @@
-"""Boosted trees per fold, by Spark ML: patience is replayed on the validation curve, then the best prefix is refitted.
+"""Boosted trees per fold, grown round by round: nothing is fitted twice, whatever the cap and the patience.
 
-Rounds grow by doubling from twice the patience until the curve has gone a whole patience without a better round, or the
-cap is reached; the first trees of a longer fit are those of a shorter one, so the result is that of one fit up to the cap.
-Missing features get a value below any observed one and an indicator column, as trees here take no NaN.
+Features are binned once and kept with the label and a margin. A round reads them once a level of its tree: tasks add the trees
+since the margin was written, take the gradient, route rows through the part of the tree that is grown, and add up gradients by
+node, feature and bin; what they found is summed by Spark, and a row a node, feature and bin reaches the driver, which picks the
+splits. The pass that begins a round also gives the losses of all trees before it, on rows to fit and on rows held
+back, so that patience costs no pass. Margins are written anew every `EVERY` rounds, so no task adds more trees than that.
+
+A missing value has no bin; each split sends it to the side where it does better. Trees split by variance of the negative
+gradient, and a leaf is its mean; the first tree has weight 1 and is fitted to the labels, the others have the learning rate.
 """
 
 from __future__ import annotations
 
+import json
 import math
-from dataclasses import dataclass, fields
+import uuid
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass, field, fields
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MISSING = -1e6
+from ..functions.storage import shared_folder
+
+#: The bin of a missing value, and rounds after which margins are written anew.
+NO_BIN, EVERY = 255, 20
 
 
 class ModelError(ValueError):
@@ -75,12 +84,6 @@ def check_matrix(rows: DataFrame, names: list[str], label: str | None = "label")
         raise ModelError(f"rows can't be used: {found}")
 
 
-def assembled(rows: DataFrame, names: list[str]) -> DataFrame:
-    filled = rows.withColumns({f"_{n}": F.coalesce(F.col(n).cast("double"), F.lit(MISSING)) for n in names} | {f"_{n}_missing": F.col(n).isNull().cast("double") for n in names})
-    inputs = [f"_{n}" for n in names] + [f"_{n}_missing" for n in names]
-    return VectorAssembler(inputCols=inputs, outputCol="features").transform(filled).drop(*inputs)
-
-
 def replay_patience(curve: list[float], patience: int) -> int:
     """Rounds at the best point before `patience` rounds pass without a better one."""
     best, at = float("inf"), 0
@@ -92,58 +95,308 @@ def replay_patience(curve: list[float], patience: int) -> int:
     return at
 
 
-def _estimator(kind: str, s: Settings, rounds: int):
-    make = GBTClassifier if kind == "binary" else GBTRegressor
-    return make(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=s.depth, maxBins=s.bins, stepSize=s.learning_rate, minInstancesPerNode=s.least_rows, subsamplingRate=s.subsample, seed=s.seed)
-
+@dataclass
+class Tree:
+    """Nodes as a heap: the feature a node splits by (-1 for a leaf), the last bin that goes left, whether missing values do, the mean and the gain."""
 
-def curve_of(model, held: DataFrame, kind: str) -> list[float]:
-    return model.evaluateEachIteration(held, *(() if kind == "binary" else ("squared",)))
+    feature: list[int]
+    cut: list[int]
+    missing_left: list[bool]
+    value: list[float]
+    gain: list[float]
 
+    @classmethod
+    def empty(cls, depth: int) -> Tree:
+        n = 2 ** (depth + 1) - 1
+        return cls([-1] * n, [0] * n, [False] * n, [0.0] * n, [0.0] * n)
+
+    def nodes(self, bins: np.ndarray) -> np.ndarray:
+        """The node that each row of bins ends in."""
+        at = np.zeros(len(bins), np.int64)
+        feature, cut, left = (np.array(x) for x in (self.feature, self.cut, self.missing_left))
+        rows = np.arange(len(bins))
+        for _ in range((len(feature) + 1).bit_length() - 2):
+            f = feature[at]
+            b = bins[rows, np.maximum(f, 0)]
+            goes_left = np.where(b == NO_BIN, left[at], b <= cut[at])
+            at = np.where(f < 0, at, 2 * at + np.where(goes_left, 1, 2))
+        return at
+
+    def margins(self, bins: np.ndarray) -> np.ndarray:
+        return np.array(self.value)[self.nodes(bins)]
+
+    @property
+    def splits(self) -> int:
+        return sum(f >= 0 for f in self.feature)
+
+
+@dataclass
+class Boosted:
+    """A model: its features' edges, its trees with their weights, and the losses after each round."""
+
+    kind: str
+    names: list[str]
+    edges: list[list[float]]
+    trees: list[Tree] = field(default_factory=list)
+    weights: list[float] = field(default_factory=list)
+    losses: list[float] = field(default_factory=list)
+    held_losses: list[float] = field(default_factory=list)
+
+    def cut_to(self, rounds: int) -> Boosted:
+        return Boosted(self.kind, self.names, self.edges, self.trees[:rounds], self.weights[:rounds], self.losses[:rounds], self.held_losses[:rounds])
+
+    def text(self) -> str:
+        return json.dumps(asdict(self), allow_nan=False)
 
-def fit(train: DataFrame, valid: DataFrame | None, names: list[str], kind: str = "regression", settings: Settings = Settings()):
-    """A model and its rounds; without validation rows, of the settings' rounds."""
+    @classmethod
+    def from_text(cls, text: str) -> Boosted:
+        given = json.loads(text)
+        return cls(**{**given, "trees": [Tree(**t) for t in given["trees"]]})
+
+
+def binned(batch: pa.RecordBatch, names: list[str], edges: list[list[float]]) -> np.ndarray:
+    """A row a row, a column a feature: how many edges lie below the value, or NO_BIN."""
+    out = np.empty((len(batch), len(names)), np.uint8)
+    for k, (n, e) in enumerate(zip(names, edges, strict=True)):
+        x = batch.column(n).cast(pa.float64()).to_numpy(zero_copy_only=False)
+        out[:, k] = np.where(np.isnan(x), NO_BIN, np.searchsorted(np.array(e), x, side="left"))
+    return out
+
+
+def feature_edges(train: DataFrame, names: list[str], bins: int) -> list[list[float]]:
+    """Of each feature the mid-points of its values if they are at most `bins`, else quantiles. A row of `bins` values a feature."""
+    if not 2 <= bins < NO_BIN:
+        raise ValueError(f"bins are 2 to {NO_BIN - 1}")
+    x = {n: F.col(n).cast("double") for n in names}
+    about = train.agg(*[F.approx_count_distinct(c, 0.02).alias(n) for n, c in x.items()]).head()
+    few = [n for n in names if about[n] <= 2 * bins]  # may be few enough; the estimate is within some percent
+    points = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    found = train.agg(*[(F.array_sort(F.collect_set(x[n])) if n in few else F.percentile_approx(x[n], points, 10_000)).alias(n) for n in names]).head()
+    out = []
+    for n in names:
+        values = sorted(set(found[n] or []))
+        if n in few and len(values) <= bins:
+            out.append([(a + b) / 2 for a, b in zip(values, values[1:], strict=False)])
+        elif n in few:
+            out.append(sorted({values[(i * len(values)) // bins] for i in range(1, bins)}))
+        else:
+            out.append(values)
+    return out
+
+
+def residual(label: np.ndarray, margin: np.ndarray, kind: str, first: bool) -> np.ndarray:
+    """The negative gradient of the squared loss, or of 2 log(1 + exp(-2 y m)) with y in {-1, 1}; of the first round the label."""
+    if first:
+        return label
+    return 4 * label / (1 + np.exp(2 * label * margin)) if kind == "binary" else 2 * (label - margin)
+
+
+def losses(label: np.ndarray, margin: np.ndarray, kind: str) -> np.ndarray:
+    return 2 * np.logaddexp(0, -2 * label * margin) if kind == "binary" else (label - margin) ** 2
+
+
+STATE = "bins binary, label double, held boolean, margin double, row long"
+
+
+def kept_state(train: DataFrame, held: DataFrame | None, names: list[str], edges: list[list[float]], kind: str) -> DataFrame:
+    """Rows to fit and rows held back, binned. Written to the shared folder."""
+    rows = train.select(*names, "label", F.lit(False).alias("held"))
+    if held is not None:
+        rows = rows.unionByName(held.select(*names, "label", F.lit(True).alias("held")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = binned(batch, names, edges)
+            label = batch.column("label").to_numpy()
+            label = np.where(label > 0.5, 1.0, -1.0) if kind == "binary" else label
+            yield pa.RecordBatch.from_arrays([pa.array([b.tobytes() for b in bins], pa.binary()), pa.array(label), batch.column("held"), pa.array(np.zeros(len(batch))), batch.column("row")], [c.split()[0] for c in STATE.split(", ")])
+
+    cast = rows.select(*[F.col(n).cast("double").alias(n) for n in names], F.col("label").cast("double"), "held", F.xxhash64(*[F.col(n).cast("double") for n in names], F.col("label").cast("double"), F.monotonically_increasing_id()).alias("row"))
+    return _written(cast.mapInArrow(run, STATE))
+
+
+def _written(df: DataFrame) -> DataFrame:
+    path = f"{shared_folder(df.sparkSession)}/boosting-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _gone(df: DataFrame) -> None:
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for folder in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+        path(folder).getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path(folder), True)
+
+
+def _arrays(batch: pa.RecordBatch, width: int, trees: list[Tree], weights: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bins, labels and margins of a batch, the trees added that the margins don't have yet."""
+    bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(len(batch), width)
+    margin = batch.column("margin").to_numpy().copy()
+    for t, w in zip(trees, weights, strict=True):
+        margin += w * t.margins(bins)
+    return bins, batch.column("label").to_numpy(), margin
+
+
+def histograms(state: DataFrame, kind: str, width: int, slots: int, trees: list[Tree], weights: list[float], first: bool, growing: Tree, level: int, sample: tuple[float, int]) -> dict[int, tuple[int, float]]:
+    """By cell (node of the level, feature and slot, the last one for missing values) the rows to fit and the sum of their residuals; -1 and -2: rows and summed losses of those to fit, and held back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, cells = 2**level - 1, 2**level * width * slots
+        counts, sums, told = np.zeros(cells, np.int64), np.zeros(cells), np.zeros((2, 2))
+        for batch in batches:
+            bins, label, margin = _arrays(batch, width, trees, weights)
+            held = batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
+            if level == 0:
+                each = losses(label, margin, kind)
+                told += [[(~held).sum(), each[~held].sum()], [held.sum(), each[held].sum()]]
+            fit = ~held
+            if sample[0] < 1:
+                x = (batch.column("row").to_numpy().view(np.uint64) + np.uint64(sample[1])) * np.uint64(0x9E3779B97F4A7C15)
+                fit &= ((x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(11)) / 2.0**53 < sample[0]
+            node = growing.nodes(bins) - start
+            at = np.flatnonzero(fit & (node >= 0) & (node < 2**level))
+            r = residual(label[at], margin[at], kind, first)
+            slot = np.minimum(bins[at], slots - 1).astype(np.int64)
+            cell = (node[at, None] * width + np.arange(width)) * slots + slot
+            counts += np.bincount(cell.ravel(), minlength=cells)
+            sums += np.bincount(cell.ravel(), weights=np.repeat(r, width), minlength=cells)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((some, [-1, -2]))), pa.array(np.concatenate((counts[some], told[:, 0].astype(np.int64)))), pa.array(np.concatenate((sums[some], told[:, 1])))], ["cell", "n", "s"])
+
+    out = state.mapInArrow(run, "cell long, n long, s double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    return {r.cell: (r.n, r.s) for r in out.collect()}  # a row a node, feature and bin
+
+
+def best_split(n: np.ndarray, s: np.ndarray, cuts: list[int], least: int) -> tuple | None:
+    """Of a node's rows and residuals by feature and slot: gain, feature, cut, whether missing values go left, and both sides' rows and sums."""
+    best = None
+    for f, k in enumerate(cuts):
+        left_n, left_s = np.cumsum(n[f, :-1])[:k], np.cumsum(s[f, :-1])[:k]
+        total_n, total_s = n[f].sum(), s[f].sum()
+        for missing_left in (False, True) if n[f, -1] else (False,):
+            ln, ls = (left_n + n[f, -1], left_s + s[f, -1]) if missing_left else (left_n, left_s)
+            rn, rs = total_n - ln, total_s - ls
+            able = (ln >= least) & (rn >= least)
+            if able.any():
+                gain = np.where(able, ls**2 / np.maximum(ln, 1) + rs**2 / np.maximum(rn, 1) - total_s**2 / total_n, -np.inf)
+                at = int(gain.argmax())
+                if gain[at] > 1e-12 * max(1.0, abs(total_s)) and (best is None or gain[at] > best[0] * (1 + 1e-12)):
+                    best = (float(gain[at]), f, at, missing_left, (int(ln[at]), float(ls[at])), (int(rn[at]), float(rs[at])))
+    return best
+
+
+def fit(train: DataFrame, valid: DataFrame | None, names: list[str], kind: str = "regression", settings: Settings | None = None) -> tuple[Boosted, int]:
+    """A model and its rounds: the best before `patience` rounds pass without a better one; without validation rows, all of the settings'."""
+    settings = settings or Settings()
     check_matrix(train, names)
-    ready = assembled(train, names).select("features", "label").persist()
-    held = assembled(valid, names).select("features", "label").persist() if valid is not None else None
+    edges = feature_edges(train, names, settings.bins)
+    cuts, width = [len(e) for e in edges], len(names)
+    slots = max(cuts, default=0) + 2
+    state = kept_state(train, valid, names, edges, kind)
+    model, written = Boosted(kind, list(names), edges), 0  # trees that the margins on disk have
+    best, at = math.inf, 0
     try:
-        if held is None:
-            return _estimator(kind, settings, settings.rounds).fit(ready), settings.rounds
-        upto = min(settings.rounds, 2 * settings.patience)
         while True:
-            model = _estimator(kind, settings, upto).fit(ready)
-            best = replay_patience(curve_of(model, held, kind), settings.patience)
-            if best + settings.patience <= upto or upto == settings.rounds:
-                break
-            upto = min(settings.rounds, 2 * upto)
-        return (model if best == upto else _estimator(kind, settings, best).fit(ready)), best
+            done = len(model.trees)
+            tree = Tree.empty(settings.depth)
+            for level in range(settings.depth):
+                found = histograms(state, kind, width, slots, model.trees[written:], model.weights[written:], done == 0, tree, level, (settings.subsample, settings.seed + 7919 * done))
+                if level == 0 and done:
+                    model.losses.append(found[-1][1] / found[-1][0])
+                    if valid is not None:
+                        model.held_losses.append(found[-2][1] / found[-2][0] if found[-2][0] else math.inf)
+                        if model.held_losses[-1] < best:
+                            best, at = model.held_losses[-1], done
+                        elif done - at >= settings.patience:
+                            return model.cut_to(at), at
+                if done == settings.rounds:
+                    break
+                n, s = np.zeros(2**level * width * slots, np.int64), np.zeros(2**level * width * slots)
+                some = [c for c in found if c >= 0]
+                n[some], s[some] = [found[c][0] for c in some], [found[c][1] for c in some]
+                n, s = n.reshape(2**level, width, slots), s.reshape(2**level, width, slots)
+                grown = False
+                for k in range(2**level):
+                    node = 2**level - 1 + k
+                    if not n[k, 0].sum():
+                        continue
+                    if level == 0:
+                        tree.value[0] = float(s[k, 0].sum() / n[k, 0].sum())
+                    if (split := best_split(n[k], s[k], cuts, settings.least_rows)) is not None:
+                        tree.gain[node], tree.feature[node], tree.cut[node], tree.missing_left[node] = split[:4]
+                        for child, (rows, total) in zip((2 * node + 1, 2 * node + 2), split[4:], strict=True):
+                            tree.value[child] = total / rows
+                        grown = True
+                if not grown:
+                    break
+            if done == settings.rounds:
+                return (model.cut_to(at), at) if valid is not None else (model, settings.rounds)
+            model.trees.append(tree)
+            model.weights.append(settings.learning_rate if done else 1.0)
+            if len(model.trees) - written >= EVERY:
+                state, written = with_margins(state, width, model.trees[written:], model.weights[written:]), len(model.trees)
     finally:
-        ready.unpersist()
-        if held is not None:
-            held.unpersist()
+        _gone(state)
+
+
+def with_margins(state: DataFrame, width: int, trees: list[Tree], weights: list[float]) -> DataFrame:
+    """The state with these trees in its margins, written anew; the old one goes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            margin = _arrays(batch, width, trees, weights)[2]
+            yield batch.set_column(batch.schema.get_field_index("margin"), "margin", pa.array(margin))
 
-def predict(model, rows: DataFrame, names: list[str], kind: str = "regression") -> DataFrame:
-    out = model.transform(assembled(rows, names))
-    p = vector_to_array("probability")[1] if kind == "binary" else F.col("prediction")
-    return out.withColumn("p", p).drop("features", "rawPrediction", "probability", "prediction")
+    out = _written(state.mapInArrow(run, STATE))
+    _gone(state)
+    return out
+
+
+def predict(model: Boosted, rows: DataFrame, names: list[str], kind: str = "regression") -> DataFrame:
+    """The rows with `p`: the prediction, or the probability of an up label."""
+    if list(names) != model.names or kind != model.kind:
+        raise ModelError(f"the model is of {model.kind} over {model.names}")
+    schema = rows.drop("p").withColumn("p", F.lit(0.0)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins, margin = binned(batch, model.names, model.edges), np.zeros(len(batch))
+            for t, w in zip(model.trees, model.weights, strict=True):
+                margin += w * t.margins(bins)
+            p = 1 / (1 + np.exp(-2 * margin)) if kind == "binary" else margin
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, "p"])
+
+    return rows.drop("p").mapInArrow(run, schema)
+
+
+def feature_usage(model: Boosted, names: list[str]) -> list[tuple[str, float, int]]:
+    """Share of the gain and number of splits by feature."""
+    gains, splits = [0.0] * len(names), [0] * len(names)
+    for t in model.trees:
+        for f, g in zip(t.feature, t.gain, strict=True):
+            if f >= 0:
+                gains[f], splits[f] = gains[f] + g, splits[f] + 1
+    total = sum(gains)
+    return [(n, gains[i] / total if total else 0.0, splits[i]) for i, n in enumerate(names)]
+
+
+def save(model: Boosted, spark, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(model.text().encode()))
+    finally:
+        out.close()
 
 
-def feature_usage(model, names: list[str]) -> list[tuple[str, float, int]]:
-    """Share of the gain and number of splits by feature, its missing indicator included."""
-    gains = model.featureImportances.toArray()
-    splits = [0] * (2 * len(names))
-    for tree in model.trees:
-        for line in tree.toDebugString.splitlines():
-            if line.lstrip().startswith("If (feature "):
-                splits[int(line.split("feature ", 1)[1].split()[0])] += 1
-    return [(n, float(gains[i] + gains[i + len(names)]), splits[i] + splits[i + len(names)]) for i, n in enumerate(names)]
+def load(spark, path: str) -> Boosted:
+    return Boosted.from_text(spark.read.text(path, wholetext=True).head()[0])
 
 
-def check_reload(model, path: str, rows: DataFrame, names: list[str], kind: str = "regression", tolerance: float = 1e-12):
+def check_reload(model: Boosted, path: str, rows: DataFrame, names: list[str], kind: str = "regression", tolerance: float = 1e-12) -> Boosted:
     """Save, read again, and compare the predictions of the rows; returns the model that was read."""
-    model.write().overwrite().save(path)
-    again = (GBTClassificationModel if kind == "binary" else GBTRegressionModel).load(path)
+    spark = rows.sparkSession
+    save(model, spark, path)
+    again = load(spark, path)
     one = predict(model, rows, names, kind).select("row_id", F.col("p").alias("a"))
     two = predict(again, rows, names, kind).select("row_id", F.col("p").alias("b"))
     worst = one.join(two, "row_id").agg(F.max(F.abs(F.col("a") - F.col("b"))).alias("d"), F.count(F.lit(1)).alias("n")).head()
@@ -152,15 +405,14 @@ def check_reload(model, path: str, rows: DataFrame, names: list[str], kind: str
     return again
 
 
-def check_native_metric(model, scored: DataFrame, names: list[str], kind: str = "regression", tolerance: float = 1e-9) -> float:
-    """The library's loss of the last round against one computed from the predictions."""
-    native = curve_of(model, assembled(scored, names).select("features", "label"), kind)[-1]
-    rows = predict(model, scored, names, kind)
+def check_native_metric(model: Boosted, fitted: DataFrame, names: list[str], kind: str = "regression", tolerance: float = 1e-9) -> float:
+    """The loss of the last round, as fitting found it on these rows, against one computed from the predictions."""
+    native, rows = model.losses[-1], predict(model, fitted, names, kind)
     if kind == "binary":
-        # the library's loss is 2 log(1 + exp(-2 y m)) with y in {-1, 1}, and p = 1 / (1 + exp(-2 m))
+        # 2 log(1 + exp(-2 y m)) with y in {-1, 1}, and p = 1 / (1 + exp(-2 m))
         own = 2 * rows.agg(F.avg(-F.when(F.col("label") == 1, F.ln("p")).otherwise(F.log1p(-F.col("p"))))).head()[0]
     else:
         own = rows.agg(F.avg((F.col("p") - F.col("label")) ** 2)).head()[0]
     if not math.isclose(native, own, rel_tol=tolerance, abs_tol=tolerance):
-        raise ModelError(f"the library says {native}, the predictions {own}")
+        raise ModelError(f"fitting says {native}, the predictions {own}")
     return own

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,11 +12,12 @@ from ..functions.storage import shared_folder, stored
 from ..operators import experiments as ex
 from ..operators import features as ft
 from ..operators import holdout as ho
+from ..operators import metrics as mt
 from ..operators import models as md
 from ..operators import splits as sp
 from ..sources import prepared as prep
 from .reference_sql import with_ctes
-from .split_queries import FOLDS, SPLIT_CTES, plan
+from .split_queries import FIRST, FOLDS, LENGTH, SPLIT_CTES, plan
 
 NAMES = list(ft.FEATURES)
 #: A smaller patience than the operators' 200 of 10,000 rounds, as a tree here is several jobs; both still act.
@@ -54,6 +56,43 @@ def feature_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([row for rows in used for row in rows], "fold string, feature string, gain_share double, splits int")
 
 
+def predictions(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """(fold, row_id, p) of every fold's scored rows by its model. Kept, as several scores read them."""
+
+    def build() -> DataFrame:
+        def one(source: ex.FoldSource) -> DataFrame:
+            _, model = ex.run_fold(source, kind, SETTINGS)
+            return md.predict(model, source.features("score"), NAMES, kind).select(F.lit(source.fold).alias("fold"), "row_id", "p")
+
+        with ThreadPoolExecutor(FOLDS) as pool:
+            frames = list(pool.map(one, sources(spark, sf_dir)[:FOLDS]))
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.unionByName(f)
+        return out
+
+    return prep.kept(spark, sf_dir, f"predictions_{kind}", build, {"settings": asdict(SETTINGS), "plan": [FIRST, LENGTH, FOLDS]})
+
+
+def predicted_rows(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    p = predictions(spark, sf_dir, kind)
+    named = prep.gathered(spark, sf_dir, p.select("row_id"), "target_idx", "y").withColumnRenamed("target_idx", "day")
+    return p.join(named, "row_id")
+
+
+def gbt_regression_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The models' own predictions by fold: all regression scores, and those that weigh days alike."""
+    rows = predicted_rows(spark, sf_dir, "regression")
+    days = mt.day_equal(rows, "fold").select("fold", "score_days", F.col("rmse").alias("day_rmse"), F.col("mae").alias("day_mae"))
+    return mt.regression_scores(rows, "fold").join(days, "fold")
+
+
+def gbt_classification_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classifiers' own predictions by fold: confusion, rates, losses and the area under the curve."""
+    rows = predicted_rows(spark, sf_dir, "binary").withColumn("label", F.expr("CASE WHEN y > 0 THEN 1 ELSE 0 END"))
+    return mt.binary_scores(rows, "fold").join(mt.roc_auc(rows, "fold").select("fold", "auc"), "fold")
+
+
 def holdout_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Freeze the classifier's plan from the folds, predict the holdout, seal, then score: one row.
 
@@ -82,7 +121,7 @@ def gathered_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "gbt_regression_folds": fold_query("regression"), "gbt_classification_folds": fold_query("binary"), "gbt_fixed_rounds": fold_query("regression", FIXED_ROUNDS), "feature_usage": feature_usage, "holdout_evaluation": holdout_evaluation,
+    "gbt_regression_folds": fold_query("regression"), "gbt_classification_folds": fold_query("binary"), "gbt_fixed_rounds": fold_query("regression", FIXED_ROUNDS), "feature_usage": feature_usage, "gbt_regression_scores": gbt_regression_scores, "gbt_classification_scores": gbt_classification_scores, "holdout_evaluation": holdout_evaluation,
     "training_matrix": training_matrix, "gathered_samples": gathered_samples,
 }
 

@@ -1,4 +1,4 @@
-"""Profiles, bootstraps and judged chart rules against plain Python."""
+"""Profiles, bootstraps, judged chart rules and the artefacts that analyses start from, against plain Python."""
 
 import random
 import statistics
@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.operators import patterns, rules
+from cadenza.sources import artefacts, store
 
 SPANS = {"up": lambda y: y > 0, "down": lambda y: y < 0, **{f"{s}_ge_{k}": (lambda y, k=k: y >= k / 100) if s == "up" else (lambda y, k=k: y <= -k / 100) for s in ("up", "down") for k in (1, 2, 3, 5)}}
 
@@ -148,3 +149,71 @@ def test_bit_sums_and_judgement(spark, scored_rows):
             assert r.eligible == r.known == len(inside) and r.signals == r.unscorable_signals == sum(i in signal[k][v] for k in inside) and r.discovery_signals == len(want[r.rule_id, r.view, "discovery"])
     families = {r.family: r for r in j.family_states(judged).collect()}
     assert families["platform"].rules == 70 and families["platform"].rule_events == 1400
+
+
+@pytest.fixture
+def chain(spark, tmp_path):
+    """Inputs, samples of 12 days and one fold, with their records."""
+    s = store.Store(spark, f"file://{tmp_path}/store")
+    spark.range(5).write.parquet(f"file://{tmp_path}/lines.parquet")
+    rows = [(i, i // 2, i // 2 + 1, i // 2 + 1, True, 1) for i in range(20)]
+    s.publish("samples", spark.createDataFrame(rows, "row_id long, cal_idx int, target_idx int, label_available_idx int, prediction_eligible boolean, target_status int"))
+    roles = [("F01", "train", i) for i in range(8)] + [("F01", "score", i) for i in range(8, 14)] + [("F02", "score", i) for i in range(14, 18)] + [("holdout", "train", i) for i in range(18)] + [("holdout", "score", i) for i in (18, 19)]
+    s.publish("roles", spark.createDataFrame(roles, "fold string, role string, row_id long"))
+    at = lambda n: f"file://{tmp_path}/{n}.json"
+    artefacts.record_inputs(spark, at("inputs"), {"lines": f"file://{tmp_path}/lines.parquet"})
+    artefacts.record_frame(spark, at("samples"), "prepared", "samples", at("inputs"))
+    artefacts.record_frame(spark, at("split"), "split-ready", "roles", at("samples"), holdout_first_day=10)
+    return s, at, lambda **k: artefacts.load_inputs(spark, s, at("split"), ("F01", "train"), k.get("confirmation", [("F01", "score"), ("F02", "score")]))
+
+
+def test_inputs_of_an_analysis(spark, tmp_path, chain):
+    s, at, load = chain
+    got = load()
+    assert got.samples.count() == 20 and {(r.phase, r.n) for r in got.phases.groupBy("phase").agg(F.count(F.lit(1)).alias("n")).collect()} == {("discovery", 8), ("confirmation", 10)}
+    with pytest.raises(artefacts.ArtefactError, match="^split-ready: the phases don't cover"):
+        load(confirmation=[("F01", "score")])
+    with pytest.raises(artefacts.ArtefactError, match="^split-ready: discovery ends on day 9"):
+        artefacts.load_inputs(spark, s, at("split"), ("F02", "score"), [("F01", "score"), ("F01", "train")])
+    # each link by its name
+    artefacts.record_frame(spark, at("split"), "split-ready", "roles", at("samples"), holdout_first_day=8)
+    with pytest.raises(artefacts.ArtefactError, match="^prepared: 4 rows can't be scored"):
+        load()
+    artefacts.record_frame(spark, at("split"), "draft", "roles", at("samples"), holdout_first_day=10)
+    with pytest.raises(artefacts.ArtefactError, match="^split-ready: the record says draft"):
+        load()
+    artefacts.record_frame(spark, at("split"), "split-ready", "none", at("samples"), holdout_first_day=10)
+    with pytest.raises(artefacts.ArtefactError, match="^split-ready: "):
+        load()
+    artefacts.record_frame(spark, at("split"), "split-ready", "roles", at("samples"), holdout_first_day=10)
+    assert load().split["identity"] == "roles"
+    # the samples' record is written again after the split was made
+    artefacts.record_frame(spark, at("samples"), "prepared", "samples", at("inputs"), note="later")
+    with pytest.raises(artefacts.ArtefactError, match="^prepared: the record is not the one"):
+        load()
+    artefacts.record_frame(spark, at("split"), "split-ready", "roles", at("samples"), holdout_first_day=10)
+    spark.range(1, 6).write.mode("overwrite").parquet(f"file://{tmp_path}/lines.parquet")
+    with pytest.raises(artefacts.ArtefactError, match="^inputs: lines has other rows"):
+        load()
+    with pytest.raises(artefacts.ArtefactError, match="no such record"):
+        artefacts.load_inputs(spark, s, at("nothing"), ("F01", "train"), [])
+
+
+def test_rules_read_back(spark, tmp_path, scored_rows):
+    cuts = {"a": [0.15, 0.25, 0.35]}
+    saved = spark.createDataFrame([(*r, 9) for r in RULES], "feature string, event string, lo int, hi int, n int")
+    store.save_csv(saved, f"file://{tmp_path}/rules")
+    got = artefacts.read_rules(spark, f"file://{tmp_path}/rules", cuts)
+    assert {(r.feature, r.event, r.lo, r.hi) for r in got} == set(RULES)
+    # what was read back profiles as what was mined
+    rows, bins, table = frames(spark, scored_rows)
+    chosen = artefacts.rule_frame(spark, got)
+    dates = spark.createDataFrame([(i, date(2023, 11, 6) + timedelta(weeks=i)) for i in range(80)], "day int, date date")
+    assert rules.Profile(rules.rule_rows(bins, chosen, table), rows, chosen, dates).days().count() == len(RULES) * 75
+    for bad in ("a,up,0\n", "b,up,0,1\n", "a,sideways,0,1\n", "a,up,2,2\n", "a,up,0,9\n", "a,up,x,1\n", "a,up,0,1\na,up,0,1\n"):
+        (tmp_path / "bad.csv").write_text("feature,event,lo,hi\n" + bad)
+        with pytest.raises(artefacts.ArtefactError):
+            artefacts.read_rules(spark, f"file://{tmp_path}/bad.csv", cuts)
+    (tmp_path / "bad.csv").write_text("feature,event\na,up\n")
+    with pytest.raises(artefacts.ArtefactError, match="missing"):
+        artefacts.read_rules(spark, f"file://{tmp_path}/bad.csv", cuts)

@@ -10,6 +10,9 @@ from datetime import datetime, timedelta
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from cadenza.operators import experiments, holdout, models, splits
@@ -121,7 +124,7 @@ def test_boosted_trees(spark):
     assert 1 <= rounds <= 4 and got.where("p IS NULL OR isnan(p)").count() == 0
     assert got.agg(F.avg((F.col("p") - F.col("label")) ** 2)).head()[0] < rows.agg(F.var_pop("label")).head()[0] / 4
     usage = models.feature_usage(model, ["a", "b"])
-    assert sum(g for _, g, _ in usage) == pytest.approx(1) and sum(n for *_, n in usage) == sum(t.numNodes // 2 for t in model.trees)
+    assert sum(g for _, g, _ in usage) == pytest.approx(1) and sum(n for *_, n in usage) == sum(t.splits for t in model.trees)
     assert models.replay_patience([3, 2, 2.5, 2.6, 1], 2) == 2 and models.replay_patience([3, 2, 1], 2) == 3
     with pytest.raises(ValueError):
         models.Settings(rounds=0)
@@ -140,14 +143,38 @@ def test_matrix_is_checked(spark):
             models.check_matrix(bad, names)
 
 
-def test_doubling_rounds_stop_as_one_long_fit(spark):
+def library_curve(train, valid, names, kind, s, rounds):
+    """Losses by round of Spark ML's boosted trees, on rows without missing values."""
+    make = GBTClassifier if kind == "binary" else GBTRegressor
+    ready = VectorAssembler(inputCols=names, outputCol="features")
+    model = make(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=s.depth, maxBins=s.bins, stepSize=s.learning_rate, minInstancesPerNode=s.least_rows, seed=s.seed).fit(ready.transform(train))
+    return model.evaluateEachIteration(ready.transform(valid), *(() if kind == "binary" else ("squared",)))
+
+
+@pytest.mark.parametrize("kind", ["regression", "binary"])
+def test_rounds_are_those_of_the_library(spark, monkeypatch, kind):
+    """The same curve as a fit of fixed rounds, and the round that patience picks from it; margins are written on the way."""
+    monkeypatch.setattr(models, "EVERY", 4)
     rng = random.Random(3)
-    rows = spark.createDataFrame([(rng.random(), rng.random(), rng.random() + i % 2) for i in range(300)], "a double, b double, label double")
-    train, valid = rows.where("a < 0.6"), rows.where("a >= 0.6")
-    model, best = models.fit(train, valid, ["a", "b"], "regression", models.Settings(rounds=40, patience=2, least_rows=5))
-    long = models._estimator("regression", models.Settings(least_rows=5), 16).fit(models.assembled(train, ["a", "b"]).select("features", "label"))
-    curve = models.curve_of(long, models.assembled(valid, ["a", "b"]).select("features", "label"), "regression")
-    assert best == models.replay_patience(curve, 2) and len(model.trees) == best
+    made = [(rng.randrange(20) / 20, rng.randrange(9) / 7, rng.random()) for _ in range(500)]
+    rows = [(a, b, (float(a + c > 0.9) if kind == "binary" else a * b + 0.3 * c)) for a, b, c in made]
+    train, valid = (spark.createDataFrame(x, "a double, b double, label double") for x in (rows[:300], rows[300:]))
+    s = models.Settings(rounds=16, patience=3, least_rows=5)
+    curve = library_curve(train, valid, ["a", "b"], kind, s, 16)
+    model, best = models.fit(train, valid, ["a", "b"], kind, s)
+    assert best == models.replay_patience(curve, 3) == len(model.trees) and model.held_losses == pytest.approx(curve[:best], rel=1e-9)
+
+
+def test_missing_values_go_where_they_do_better(spark):
+    rows = [(None if i % 4 == 0 else float(i % 10), 9.0 if i % 4 == 0 else float(i % 10 > 5)) for i in range(400)]
+    train = spark.createDataFrame(rows, "a double, label double")
+    model, _ = models.fit(train, None, ["a"], "regression", models.Settings(rounds=1, patience=1, least_rows=5, depth=2))
+    got = {(r.a, round(r.p, 9)) for r in models.predict(model, train, ["a"]).collect()}
+    # odd values up to 5, above it, and none are told apart by two splits
+    assert got == {(x, 9.0 if x is None else float(x > 5)) for x, _ in rows}
+    assert any(model.trees[0].missing_left) or model.trees[0].feature[0] == 0
+    with pytest.raises(models.ModelError):
+        models.predict(model, train, ["a"], "binary")
 
 
 def test_saved_models_and_native_losses(spark, tmp_path):
