@@ -103,6 +103,13 @@ def inventory_difference(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return absent.unionByName(beyond).groupBy("source").agg(F.count_if(F.col("side") == "missing").alias("missing"), F.count_if(F.col("side") == "extra").alias("extra"))
 
 
+def content_digests(rows: DataFrame, by: str, order: str, *columns: str) -> DataFrame:
+    """(by, sha256): of each entity's rows in order, every column as text; a row an entity and date is gathered by entity, as many as the calendar has days."""
+    line = F.concat_ws("|", order, *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns])
+    each = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order), line.alias("l")))).alias("r"))
+    return each.select(by, F.sha2(F.array_join(F.transform("r", lambda x: x["l"]), "\n"), 256).alias("sha256"))
+
+
 def provenance_mismatch(actual: DataFrame, provenance: DataFrame) -> DataFrame:
     """Both (stock_id, source, sha256): the files whose digest isn't the one that labels were derived from."""
     said = provenance.select("stock_id", "source", F.col("sha256").alias("said"))

@@ -23,8 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from ..functions.storage import shared_folder
 
+ship(__name__)
+
 #: The bin of a missing value, and rounds after which margins are written anew.
 NO_BIN, EVERY = 255, 20
 

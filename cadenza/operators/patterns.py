@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ranks import quantiles
+from ..functions.shipping import ship
 from . import rules as ru
 
+ship(__name__)
+
 FAMILIES = {"platform": "P", "bottom_volume": "B", "ascending_channel": "C"}
 VIEWS = ("all_qualifying_days", "first_after_5_clear_days")
 CLEAR_DAYS = 5

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict
 
@@ -22,7 +23,6 @@ from .split_queries import FIRST, FOLDS, LENGTH, SPLIT_CTES, plan
 NAMES = list(ft.FEATURES)
 #: A smaller patience than the operators' 200 of 10,000 rounds, as a tree here is several jobs; both still act.
 SETTINGS = md.Settings(rounds=200, patience=4)
-FIXED_ROUNDS = 6
 
 
 def sources(spark: SparkSession, sf_dir: str) -> list[ex.FoldSource]:
@@ -32,10 +32,25 @@ def sources(spark: SparkSession, sf_dir: str) -> list[ex.FoldSource]:
     return [ex.FoldSource(assigned, samples, f, NAMES, gather=gather) for f in (*[f"F{i:02}" for i in range(1, FOLDS + 1)], "holdout")]
 
 
-def folds_of(spark: SparkSession, sf_dir: str, kind: str, rounds: int | None = None) -> list[ex.FoldResult]:
+def each_fold(spark: SparkSession, sf_dir: str, kind: str, rounds: int | None = None) -> list[tuple[ex.FoldResult, md.Boosted]]:
     """Folds are independent and their jobs small, so they run side by side."""
     with ThreadPoolExecutor(FOLDS) as pool:
-        return list(pool.map(lambda s: ex.run_fold(s, kind, SETTINGS, rounds)[0], sources(spark, sf_dir)[:FOLDS]))
+        return list(pool.map(lambda s: ex.run_fold(s, kind, SETTINGS, rounds), sources(spark, sf_dir)[:FOLDS]))
+
+
+def fitted(spark: SparkSession, sf_dir: str, kind: str) -> list[tuple[ex.FoldResult, md.Boosted]]:
+    """The folds' results and models, fitted once for an input: kept as a row a fold, with the model's text."""
+
+    def build() -> DataFrame:
+        rows = [(r.fold, r.rounds, json.dumps(r.scores), m.text()) for r, m in each_fold(spark, sf_dir, kind)]
+        return spark.createDataFrame(rows, "fold string, rounds int, scores string, model string")
+
+    found = prep.kept(spark, sf_dir, f"models_{kind}", build, {"settings": asdict(SETTINGS), "plan": [FIRST, LENGTH, FOLDS]}).orderBy("fold").collect()  # a row a fold
+    return [(ex.FoldResult(r.fold, r.rounds, json.loads(r.scores)), md.Boosted.from_text(r.model)) for r in found]
+
+
+def folds_of(spark: SparkSession, sf_dir: str, kind: str) -> list[ex.FoldResult]:
+    return [r for r, _ in fitted(spark, sf_dir, kind)]
 
 
 def table(spark: SparkSession, results: list[ex.FoldResult]) -> DataFrame:
@@ -45,33 +60,29 @@ def table(spark: SparkSession, results: list[ex.FoldResult]) -> DataFrame:
     return spark.createDataFrame([(r.fold, r.rounds, *(r.scores[n] for n in names)) for r in results], f"fold string, rounds int, {kinds}")
 
 
-def fold_query(kind: str, rounds: int | None = None):
-    return lambda spark, sf_dir: table(spark, folds_of(spark, sf_dir, kind, rounds))
+def fold_query(kind: str):
+    return lambda spark, sf_dir: table(spark, folds_of(spark, sf_dir, kind))
+
+
+def gbt_fixed_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fold fitted again without validation rows, for the rounds that are frozen from all folds: the median of their best."""
+    frozen = ho.frozen_rounds([max(1, r.rounds) for r in folds_of(spark, sf_dir, "regression")])
+    return table(spark, [r for r, _ in each_fold(spark, sf_dir, "regression", frozen)])
 
 
 def feature_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every fold's model at its best rounds: gain and splits by feature. A row a fold and feature."""
-    with ThreadPoolExecutor(FOLDS) as pool:
-        used = list(pool.map(lambda s: [(s.fold, *row) for row in md.feature_usage(ex.run_fold(s, "regression", SETTINGS)[1], NAMES)], sources(spark, sf_dir)[:FOLDS]))
-    return spark.createDataFrame([row for rows in used for row in rows], "fold string, feature string, gain_share double, splits int")
+    used = [(r.fold, *row) for r, m in fitted(spark, sf_dir, "regression") for row in md.feature_usage(m, NAMES)]
+    return spark.createDataFrame(used, "fold string, feature string, gain_share double, splits int")
 
 
 def predictions(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """(fold, row_id, p) of every fold's scored rows by its model. Kept, as several scores read them."""
-
-    def build() -> DataFrame:
-        def one(source: ex.FoldSource) -> DataFrame:
-            _, model = ex.run_fold(source, kind, SETTINGS)
-            return md.predict(model, source.features("score"), NAMES, kind).select(F.lit(source.fold).alias("fold"), "row_id", "p")
-
-        with ThreadPoolExecutor(FOLDS) as pool:
-            frames = list(pool.map(one, sources(spark, sf_dir)[:FOLDS]))
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out
-
-    return prep.kept(spark, sf_dir, f"predictions_{kind}", build, {"settings": asdict(SETTINGS), "plan": [FIRST, LENGTH, FOLDS]})
+    """(fold, row_id, p) of every fold's scored rows by its model."""
+    out = None
+    for source, (result, model) in zip(sources(spark, sf_dir), fitted(spark, sf_dir, kind), strict=False):
+        one = md.predict(model, source.features("score"), NAMES, kind).select(F.lit(result.fold).alias("fold"), "row_id", "p")
+        out = one if out is None else out.unionByName(one)
+    return stored(out)
 
 
 def predicted_rows(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
@@ -121,7 +132,7 @@ def gathered_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "gbt_regression_folds": fold_query("regression"), "gbt_classification_folds": fold_query("binary"), "gbt_fixed_rounds": fold_query("regression", FIXED_ROUNDS), "feature_usage": feature_usage, "gbt_regression_scores": gbt_regression_scores, "gbt_classification_scores": gbt_classification_scores, "holdout_evaluation": holdout_evaluation,
+    "gbt_regression_folds": fold_query("regression"), "gbt_classification_folds": fold_query("binary"), "gbt_fixed_rounds": gbt_fixed_rounds, "feature_usage": feature_usage, "gbt_regression_scores": gbt_regression_scores, "gbt_classification_scores": gbt_classification_scores, "holdout_evaluation": holdout_evaluation,
     "training_matrix": training_matrix, "gathered_samples": gathered_samples,
 }
 

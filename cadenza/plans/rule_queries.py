@@ -118,6 +118,22 @@ def feature_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.join(ru.correlation(m.long.where("phase = 'discovery'")), "feature", "left").select("feature", "rules", "discovery_over", "confirmation_over", F.expr(f"{rounded('correlation')} AS correlation"))
 
 
+def feature_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per feature: its conditions, what is there in each phase, correlations, how many rules and events are above 65 % or supported, and the best representative of a direction."""
+    m, some = Mined(spark, sf_dir), chosen(spark, sf_dir)
+    classes = m.classes(spark)
+    d, c = (ru.over_65(F.col(f"{p}_hits"), F.col(f"{p}_n")) for p in ("discovery", "confirmation"))
+    counted = classes.groupBy("feature").agg(F.count_if(d | c).alias("empirical_over"), F.count_if(d).alias("discovery_over"), F.count_if(d & c).alias("both_over"), F.count_if(F.col("state") == "supported_cross_period").alias("supported"))
+    best = classes.where("event IN ('up', 'down')").join(F.broadcast(some.select(*ru.RULE)), list(ru.RULE)).withColumn("nth", F.expr("row_number() OVER (PARTITION BY feature ORDER BY discovery_n DESC, lo, hi, event DESC)")).where("nth = 1")
+    best = best.select("feature", F.col("event").alias("best_event"), F.col("lo").alias("best_lo"), F.col("hi").alias("best_hi"), (F.col("discovery_hits") / F.col("discovery_n")).alias("best_discovery_rate"), (F.col("confirmation_hits") / F.nullif("confirmation_n", F.lit(0))).alias("best_confirmation_rate"), F.col("state").alias("best_state"))
+    there = m.long.groupBy("feature").agg(*[F.count(F.when(F.col("phase") == p, F.col("x"))).alias(f"{p}_finite") for p in ("discovery", "confirmation")])
+    pearson = [ru.correlation(m.long.where(F.col("phase") == p)).select("feature", F.col("correlation").alias(f"{p}_pearson")) for p in ("discovery", "confirmation")]
+    out = m.cuts.select("feature", ((F.size("cuts") + 1) * (F.size("cuts") + 2) / 2 + 1).cast("long").alias("conditions"))
+    for part in (there, counted, *pearson, best):  # a row a feature each
+        out = out.join(part, "feature", "left")
+    return shown(out.na.fill(0, ["empirical_over", "discovery_over", "both_over", "supported"]), ("discovery_pearson", "confirmation_pearson", "best_discovery_rate", "best_confirmation_rate"))
+
+
 def correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ru.correlation(long_rows(scored(spark, sf_dir)).where("phase = 'discovery'")).select("feature", "n", F.expr(f"{rounded('correlation')} AS correlation"))
 
@@ -184,7 +200,7 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(out, ("low", "high"))
 
 
-QUERIES = {f.__name__: f for f in (cuts, intervals, bins, interval_stats, fold_stats, classify_rules, pooled_over65, pooled_over65_counts, representatives, feature_overview, correlation, events_ten, phase_baselines, over65, bootstrap_ci, representative_periods, representative_days, representative_sensitivity, selected_rows)}
+QUERIES = {f.__name__: f for f in (cuts, intervals, bins, interval_stats, fold_stats, classify_rules, pooled_over65, pooled_over65_counts, representatives, feature_overview, correlation, events_ten, phase_baselines, over65, bootstrap_ci, representative_periods, representative_days, representative_sensitivity, selected_rows, feature_summary)}
 
 # -- the SQL, by hand
 _HITS = ", ".join(f"count_if({e}) AS {e}" for e in EVENTS)
@@ -267,6 +283,12 @@ ORACLES = {
     "pooled_over65_counts": sql("SELECT feature, count(*) AS rules, count(DISTINCT event) AS events FROM pooled GROUP BY feature", "pooled"),
     "representatives": sql(f"SELECT feature, event, {_EDGES}, discovery_n AS n, discovery_hits AS hits FROM dlong WHERE {_OVER['discovery']} AND {_ABLE['discovery']} QUALIFY row_number() OVER (PARTITION BY feature, event ORDER BY discovery_n DESC, lo, hi) = 1", "dlong"),
     "feature_overview": sql(f"SELECT feature, rules, discovery_over, confirmation_over, {round_sql('c')} AS correlation FROM (SELECT feature, count(*) AS rules, count_if({_OVER['discovery']}) AS discovery_over, count_if({_OVER['confirmation']}) AS confirmation_over FROM classes GROUP BY feature) LEFT JOIN corr_ USING (feature)", "classes", "corr_"),
+    "feature_summary": sql(f"""WITH pear AS (SELECT feature, phase, CASE WHEN count(*) >= 2 AND stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN corr(x, y) END AS c FROM long WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY feature, phase),
+best AS (SELECT c.* FROM classes c JOIN reps r ON r.feature = c.feature AND r.event = c.event AND r.lo = c.lo AND r.hi = c.hi WHERE c.event IN ('up', 'down') QUALIFY row_number() OVER (PARTITION BY c.feature ORDER BY discovery_n DESC, c.lo, c.hi, c.event DESC) = 1),
+tot AS (SELECT feature, count_if(({_OVER['discovery']}) OR ({_OVER['confirmation']})) AS eo, count_if({_OVER['discovery']}) AS d_o, count_if({_OVER['discovery']} AND {_OVER['confirmation']}) AS bo, count_if(state = 'supported_cross_period') AS su FROM classes GROUP BY feature)
+SELECT i.feature, conditions, discovery_finite, confirmation_finite, coalesce(eo, 0) AS empirical_over, coalesce(d_o, 0) AS discovery_over, coalesce(bo, 0) AS both_over, coalesce(su, 0) AS supported, {round_sql('pd.c')} AS discovery_pearson, {round_sql('pc.c')} AS confirmation_pearson, b.event AS best_event, CAST(b.lo AS INTEGER) AS best_lo, CAST(b.hi AS INTEGER) AS best_hi, {round_sql('b.discovery_hits / CAST(b.discovery_n AS DOUBLE)')} AS best_discovery_rate, {round_sql('b.confirmation_hits / CAST(nullif(b.confirmation_n, 0) AS DOUBLE)')} AS best_confirmation_rate, b.state AS best_state
+FROM (SELECT feature, count(*) AS conditions FROM ints GROUP BY feature) i JOIN (SELECT feature, count_if(phase = 'discovery' AND x IS NOT NULL) AS discovery_finite, count_if(phase = 'confirmation' AND x IS NOT NULL) AS confirmation_finite FROM long GROUP BY feature) USING (feature)
+LEFT JOIN tot ON tot.feature = i.feature LEFT JOIN (SELECT * FROM pear WHERE phase = 'discovery') pd ON pd.feature = i.feature LEFT JOIN (SELECT * FROM pear WHERE phase = 'confirmation') pc ON pc.feature = i.feature LEFT JOIN best b ON b.feature = i.feature""", "classes", "reps", "long", "ints"),
     "correlation": sql(f"SELECT feature, n, {round_sql('c')} AS correlation FROM corr_", "corr_"),
     "events_ten": sql(f"SELECT phase, count(*) AS n, {_HITS} FROM scored GROUP BY phase", "scored"),
     "phase_baselines": sql(f"SELECT phase, count(*) AS n, count(DISTINCT day) AS dates, count(DISTINCT entity) AS stocks, {round_sql('avg(y)')} AS mean_y, {round_sql('avg(CASE WHEN up THEN 1e0 ELSE 0e0 END)')} AS up_rate, {round_sql('median(y)')} AS median_y FROM scored GROUP BY phase", "scored"),
