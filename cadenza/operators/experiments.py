@@ -156,17 +156,25 @@ def predictions_digest(predictions: DataFrame) -> str:
     return blocks.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda x: x["h"]), ","), 256)).head()[0]
 
 
-def run_holdout(source: FoldSource, plan: FinalPlan, registry: Registry, folder: str) -> dict:
-    """Reserve the rows, fit the frozen rounds, write and digest the predictions, expose, and only then read the targets and score."""
-    attempt = registry.reserve(source.predicted_rows(), {"plan": plan.identity, "text": plan_text(plan)})
+def run_holdout(source: FoldSource, plan: FinalPlan, registry: Registry, folder: str, attempt: str | None = None) -> dict:
+    """Reserve the rows, fit the frozen rounds, write and digest the predictions, expose, and only then read the targets and score.
+
+    attempt: one of the same plan that was reserved and never exposed, to go on with; only one run can expose it.
+    """
+    attempt = attempt or registry.reserve(source.predicted_rows(), {"plan": plan.identity, "text": plan_text(plan)})
     settings = md.Settings(**{**plan.settings, "rounds": plan.rounds})
     model, _ = md.fit(labelled(source.training(), plan.kind), None, list(plan.features), plan.kind, settings)
     path = f"{folder}/predictions-{attempt}"
-    md.predict(model, source.features(), list(plan.features), plan.kind).select("row_id", "p").write.parquet(path)
-    sealed = source.samples.sparkSession.read.parquet(path)
-    digest = predictions_digest(sealed)
+    md.predict(model, source.features(), list(plan.features), plan.kind).select("row_id", "p").write.mode("overwrite").parquet(path)
+    digest = predictions_digest(source.samples.sparkSession.read.parquet(path))
     md.check_reload(model, f"{folder}/model-{attempt}", source.features(), list(plan.features), plan.kind)
     registry.expose(attempt, {"plan": plan.identity, "predictions": digest})
+    return finish_exposed(source, plan, registry, folder, attempt, digest)
+
+
+def finish_exposed(source: FoldSource, plan: FinalPlan, registry: Registry, folder: str, attempt: str, digest: str) -> dict:
+    """Scores the sealed predictions of an exposed attempt, whose digest is on record; none are made anew."""
+    sealed = source.samples.sparkSession.read.parquet(f"{folder}/predictions-{attempt}")
     source.enable_scoring()
     result = {**scored(sealed, source.targets(), plan.kind).head().asDict(), "rounds": plan.rounds, "predictions": digest}
     if predictions_digest(sealed) != digest:
@@ -176,8 +184,12 @@ def run_holdout(source: FoldSource, plan: FinalPlan, registry: Registry, folder:
 
 
 def holdout_once(source: FoldSource, plan: FinalPlan, registry: Registry, folder: str) -> dict:
-    """The result on record of this very plan on these rows, or else a run, which the registry refuses if any other attempt has seen them."""
+    """The result on record of this very plan on these rows; or the rest of an attempt of this plan that crashed; or else a run, which the registry refuses if any other attempt has seen the rows."""
     for known in registry.attempts():
-        if known["state"] == "finished" and known.get("exposed", {}).get("plan") == plan.identity:
-            return known["finished"]
+        if known["reserved"]["configuration"].get("plan") == plan.identity and (known["state"] != "finished" or "exposed" in known):
+            if known["state"] == "finished":
+                return known["finished"]
+            if known["state"] == "exposed":
+                return finish_exposed(source, plan, registry, folder, known["attempt"], known["exposed"]["predictions"])
+            return run_holdout(source, plan, registry, folder, known["attempt"])
     return run_holdout(source, plan, registry, folder)

@@ -4,6 +4,7 @@ import math
 import os
 import random
 import struct
+import time
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
@@ -247,6 +248,18 @@ def test_holdout_is_scored_after_its_predictions_are_sealed(spark, tmp_path):
         experiments.holdout_once(again, other, registry, f"file://{tmp_path}")
     with pytest.raises(holdout.HoldoutError):
         again.targets()
+    # a run of this plan that crashed before its exposure goes on; one that crashed after it is finished from its sealed predictions
+    crashed = holdout.Registry(spark, f"file://{tmp_path}/crashed")
+    attempt = crashed.reserve(again.predicted_rows(), {"plan": plan.identity})
+    real_finish, crashed.finish = crashed.finish, lambda *_: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        experiments.holdout_once(again, plan, crashed, f"file://{tmp_path}/c")
+    crashed.finish = real_finish
+    assert crashed.state(attempt) == "exposed"
+    last, _ = folds_source(spark, "holdout")
+    last.key = ("stock_idx", "cal_idx")
+    assert {k: v for k, v in experiments.holdout_once(last, plan, crashed, f"file://{tmp_path}/c").items() if k != "state"} == result
+    assert [(a["attempt"], a["state"]) for a in crashed.attempts()] == [(attempt, "finished")]
     assert experiments.description_for("binary", {"target": "next_return", "rows": 5}) == {"target": "next_return>0", "rows": 5}
 
 
@@ -297,7 +310,7 @@ def test_changed_bytes_or_code_build_anew(spark, tmp_path, monkeypatch):
     folder = tmp_path / "in"
     folder.mkdir()
     for name in prepared.INPUTS:
-        pq.write_table(pa.table({"k": pa.array([1, 2, 3]), "x": pa.array([0.5, 1234.5678, 2.5])}), folder / f"{name}.parquet", compression="none", use_dictionary=False, write_statistics=False)
+        pq.write_table(pa.table({"k": pa.array([1, 2, 3]), "x": pa.array([0.5, 1234.5678, 2.5]), "run": pa.array([time.time_ns()] * 3)}), folder / f"{name}.parquet", compression="none", use_dictionary=False, write_statistics=False)
     sf_dir, built = f"file://{folder}", []
     build = lambda: built.append(1) or spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("k", "2 * x AS x")
     look = lambda: sorted(r.x for r in prepared.kept(spark, sf_dir, "twice", build).collect())
