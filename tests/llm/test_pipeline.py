@@ -5,6 +5,7 @@ import shutil
 from collections import Counter
 
 import duckdb
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -41,11 +42,13 @@ def test_stages(spark, data, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(spark, data, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    for t in ("documents", "pages", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     want = con.execute(queries.oracle_sql()[name]).fetchdf()
     got = queries.queries()[name](spark, data).toPandas()
     assert sorted(got.columns) == sorted(want.columns)
-    tidy = lambda df: sorted(map(repr, df[sorted(df.columns)].astype(str).itertuples(index=False)))
+    cell = lambda x: None if pd.isna(x) else x if isinstance(x, str | bool) else round(float(x), 9)
+    tidy = lambda df: sorted(repr([cell(x) for x in row]) for row in df[sorted(df.columns)].astype(object).itertuples(index=False))
     assert tidy(got) == tidy(want)
 
 
