@@ -901,6 +901,14 @@ def test_mixture(spark):
         often = mixing.repetitions(tokens, want)
         for r in mixing.source_plan(counts, entropy, 2.0).collect():
             assert abs(r.weight - want.get(r.mix_source, 0)) < 1e-6 and abs(r.passes - often.get(r.mix_source, 1)) < 1e-5
+    # by hand: the least source, a tenth of the most, may repeat twice, so 10 ** (1 - alpha) = 2
+    by_hand = 1 - math.log(2) / math.log(10)
+    assert abs(alpha - by_hand) < 1e-6
+    raw = {s: (n / 8400) ** by_hand for s, n in tokens.items()}
+    assert {(r.source or "null", round(r.weight, 5)) for r in got if r.n_tokens} == {(s, round(x / sum(raw.values()), 5)) for s, x in raw.items()}
+    # rows without a doc_id take places of their own
+    none = mixing.mixture(frame(spark, [(None, prose(rng, 20 + i), "a") for i in range(50)])).collect()
+    assert len({r.position for r in none}) == 50 and sum(r.n_tokens for r in none) == sum(20 + i for i in range(50))
     again = mixing.mixed_documents(frame(spark, docs))
     assert again.columns == frame(spark, docs).columns and {r.doc_id for r in again.collect()} == set(uses)
     assert mixing.mixture(frame(spark, [])).count() == 0
