@@ -166,6 +166,21 @@ def test_rounds_are_those_of_the_library(spark, monkeypatch, kind):
     assert best == models.replay_patience(curve, 3) == len(model.trees) and model.held_losses == pytest.approx(curve[:best], rel=1e-9)
 
 
+def test_edges_of_many_features_keep_few_columns(spark):
+    """Distinct values of 49 features: an aggregate of some columns a feature, where the registers of approx_count_distinct made hundreds a feature."""
+    names = [f"x{i}" for i in range(49)]
+    rows = spark.range(300).select(*[(F.col("id") * (i + 3) % (4 + 6 * i)).cast("float").alias(n) for i, n in enumerate(names)], F.lit(None).cast("float").alias("none"))
+    plan = models.distinct_values(rows, names)._jdf.queryExecution().sparkPlan()
+    while plan.children().size():
+        assert plan.output().size() <= 2 * len(names)
+        plan = plan.children().head()
+    counted = models.distinct_values(rows, [*names, "none"]).head()
+    exact = rows.agg(*[F.count_distinct(n).alias(n) for n in [*names, "none"]]).head()
+    assert all(counted[n] == exact[n] for n in [*names, "none"])
+    edges = models.feature_edges(rows, [*names, "none"], 8)
+    assert edges[0] == [0.5, 1.5, 2.5] and edges[-1] == [] and all(0 < len(e) < 8 for e in edges[:-1])
+
+
 def test_missing_values_go_where_they_do_better(spark):
     rows = [(None if i % 4 == 0 else float(i % 10), 9.0 if i % 4 == 0 else float(i % 10 > 5)) for i in range(400)]
     train = spark.createDataFrame(rows, "a double, label double")
