@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
@@ -99,15 +100,27 @@ class FoldResult:
 
 def run_fold(source: FoldSource, kind: str, settings: md.Settings, rounds: int | None = None) -> tuple[FoldResult, object]:
     """Fit with patience on the fold's scores (or for fixed rounds), predict, score; returns the result and the model."""
-    train = labelled(source.training(), kind)
-    source.enable_scoring()  # a development fold's scores stop its training
-    valid = labelled(source.features("score").join(source.targets(), "row_id"), kind)
-    if rounds is None:
-        model, best = md.fit(train, valid, source.names, kind, settings)
-    else:
-        model, best = md.fit(train, None, source.names, kind, md.Settings(**{**asdict(settings), "rounds": rounds}))
-    predictions = md.predict(model, source.features("score"), source.names, kind).select("row_id", "p")
-    return FoldResult(source.fold, best, scored(predictions, source.targets(), kind).head().asDict()), model
+    return run_folds([source], kind, settings, rounds)[0]
+
+
+def run_folds(sources: list[FoldSource], kind: str, settings: md.Settings, rounds: int | None = None) -> list[tuple[FoldResult, object]]:
+    """`run_fold` of each. The models grow together; what is small and independent runs side by side."""
+
+    def rows(source: FoldSource) -> tuple[DataFrame, DataFrame | None]:
+        train = labelled(source.training(), kind)
+        source.enable_scoring()  # a development fold's scores stop its training
+        return train, labelled(source.features("score").join(source.targets(), "row_id"), kind) if rounds is None else None
+
+    def result(source: FoldSource, model: md.Boosted, best: int) -> FoldResult:
+        predictions = md.predict(model, source.features("score"), source.names, kind).select("row_id", "p")
+        return FoldResult(source.fold, best, scored(predictions, source.targets(), kind).head().asDict())
+
+    names = sources[0].names
+    with ThreadPoolExecutor(len(sources)) as pool:
+        parts = list(pool.map(rows, sources))
+        fitted = md.fit_parts(parts, names, kind, settings if rounds is None else md.Settings(**{**asdict(settings), "rounds": rounds}))
+        results = list(pool.map(lambda x: result(x[0], *x[1]), zip(sources, fitted, strict=True)))
+    return [(r, model) for r, (model, _) in zip(results, fitted, strict=True)]
 
 
 @dataclass(frozen=True)

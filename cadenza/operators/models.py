@@ -5,6 +5,7 @@ since the margin was written, take the gradient, route rows through the part of
 node, feature and bin; what they found is summed by Spark, and a row a node, feature and bin reaches the driver, which picks the
 splits. The pass that begins a round also gives the losses of all trees before it, on rows to fit and on rows held
 back, so that patience costs no pass. Margins are written anew every `EVERY` rounds, so no task adds more trees than that.
+Several models on rows of their own grow side by side as parts of one frame: a pass serves them all.
 
 A missing value has no bin; each split sends it to the side where it does better. Trees split by variance of the negative
 gradient, and a leaf is its mean; the first tree has weight 1 and is fitted to the labels, the others have the learning rate.
@@ -15,7 +16,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass, field, fields
 
 import numpy as np
@@ -66,8 +67,8 @@ class Settings:
         return cls(**given)
 
 
-def matrix_faults(rows: DataFrame, names: list[str], label: str | None = "label") -> DataFrame:
-    """One row: infinite features, and labels that are missing or not finite. All zero for rows that may be fitted."""
+def matrix_faults(rows: DataFrame, names: list[str], label: str | None = "label", *by: str) -> DataFrame:
+    """One row (or one a group): infinite features, and labels that are missing or not finite. All zero for rows that may be fitted."""
     bad = F.lit(0)
     for n in names:
         bad = bad + F.coalesce(F.abs(F.col(n).cast("double")) == float("inf"), F.lit(False)).cast("int") + F.coalesce(F.isnan(F.col(n).cast("double")), F.lit(False)).cast("int")
@@ -75,7 +76,7 @@ def matrix_faults(rows: DataFrame, names: list[str], label: str | None = "label"
     if label:
         y = F.col(label).cast("double")
         out.append(F.count_if(y.isNull() | F.isnan(y) | (F.abs(y) == float("inf"))).alias("bad_labels"))
-    return rows.agg(*out)
+    return rows.groupBy(*by).agg(*out)
 
 
 def check_matrix(rows: DataFrame, names: list[str], label: str | None = "label") -> None:
@@ -166,32 +167,43 @@ def binned(batch: pa.RecordBatch, names: list[str], edges: list[list[float]]) ->
     return out
 
 
-def distinct_values(rows: DataFrame, names: list[str]) -> DataFrame:
-    """About how many distinct values each feature has, exactly if they are some hundred: one row.
+def distinct_values(rows: DataFrame, names: list[str], *by: str) -> DataFrame:
+    """About how many distinct values each feature has, exactly if they are some hundred: one row (or one a group).
 
     A sketch is one binary value, where the registers of approx_count_distinct are hundreds of columns a feature.
     """
-    return rows.agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(F.when(F.col(n).isNotNull(), F.xxhash64(F.col(n).cast("double"))))).alias(n) for n in names])
+    return rows.groupBy(*by).agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(F.when(F.col(n).isNotNull(), F.xxhash64(F.col(n).cast("double"))))).alias(n) for n in names])
 
 
 def feature_edges(train: DataFrame, names: list[str], bins: int) -> list[list[float]]:
-    """Of each feature the mid-points of its values if they are at most `bins`, else quantiles. A row of `bins` values a feature."""
+    """Of each feature the mid-points of its values if they are at most `bins`, else quantiles."""
+    return part_edges(train.withColumn("part", F.lit(0)), names, bins).get(0, [[] for _ in names])
+
+
+def part_edges(rows: DataFrame, names: list[str], bins: int) -> dict[int, list[list[float]]]:
+    """The edges of each part. A row a part, of `bins` values a feature."""
     if not 2 <= bins < NO_BIN:
         raise ValueError(f"bins are 2 to {NO_BIN - 1}")
-    x = {n: F.col(n).cast("double") for n in names}
-    about = distinct_values(train, names).head()
-    few = [n for n in names if about[n] <= 2 * bins]  # may be few enough; the estimate is within some percent
+    about = {r.part: r for r in distinct_values(rows, names, "part").collect()}
+    few = {n: [p for p, r in about.items() if r[n] <= 2 * bins] for n in names}  # may be few enough; the estimate is within some percent
     points = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    found = train.agg(*[(F.array_sort(F.collect_set(x[n])) if n in few else F.percentile_approx(x[n], points, 10_000)).alias(n) for n in names]).head()
-    out = []
-    for n in names:
-        values = sorted(set(found[n] or []))
-        if n in few and len(values) <= bins:
-            out.append([(a + b) / 2 for a, b in zip(values, values[1:], strict=False)])
-        elif n in few:
-            out.append(sorted({values[(i * len(values)) // bins] for i in range(1, bins)}))
-        else:
-            out.append(values)
+    wanted = []
+    for k, n in enumerate(names):
+        x, among = F.col(n).cast("double"), F.col("part").isin(few[n])
+        if few[n]:
+            wanted.append(F.array_sort(F.collect_set(F.when(among, x))).alias(f"values_{k}"))
+        if len(few[n]) < len(about):
+            wanted.append(F.percentile_approx(F.when(~among, x), points, 10_000).alias(f"quantiles_{k}"))
+    out = {}
+    for row in rows.groupBy("part").agg(*wanted).collect() if about else []:
+        out[row.part] = []
+        for k, n in enumerate(names):
+            if row.part not in few[n]:
+                out[row.part].append(sorted(set(row[f"quantiles_{k}"] or [])))
+            elif len(values := sorted(set(row[f"values_{k}"]))) <= bins:
+                out[row.part].append([(a + b) / 2 for a, b in zip(values, values[1:], strict=False)])
+            else:
+                out[row.part].append(sorted({values[(i * len(values)) // bins] for i in range(1, bins)}))
     return out
 
 
@@ -206,23 +218,35 @@ def losses(label: np.ndarray, margin: np.ndarray, kind: str) -> np.ndarray:
     return 2 * np.logaddexp(0, -2 * label * margin) if kind == "binary" else (label - margin) ** 2
 
 
-STATE = "bins binary, label double, held boolean, margin double, row long"
+STATE = "part int, bins binary, label double, held boolean, margin double, row long"
+
+
+def kept_rows(parts: list[tuple[DataFrame, DataFrame | None]], names: list[str]) -> DataFrame:
+    """Rows to fit and rows held back of every part. Written to the shared folder, as checks, edges and bins read them."""
+    out = None
+    for i, (train, held) in enumerate(parts):
+        if missing := [n for n in names if n not in train.columns]:
+            raise ModelError(f"features are missing: {missing}")
+        for rows, back in ((train, False), (held, True)):
+            if rows is not None:
+                one = rows.select(F.lit(i).alias("part"), *names, "label", F.lit(back).alias("held"))
+                out = one if out is None else out.unionByName(one)
+    return _written(out)
 
 
-def kept_state(train: DataFrame, held: DataFrame | None, names: list[str], edges: list[list[float]], kind: str) -> DataFrame:
-    """Rows to fit and rows held back, binned. Written to the shared folder."""
-    rows = train.select(*names, "label", F.lit(False).alias("held"))
-    if held is not None:
-        rows = rows.unionByName(held.select(*names, "label", F.lit(True).alias("held")))
+def kept_state(rows: DataFrame, names: list[str], edges: dict[int, list[list[float]]], kind: str) -> DataFrame:
+    """The rows binned, each by its part's edges. Written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bins = binned(batch, names, edges)
+            bins = np.empty((len(batch), len(names)), np.uint8)
+            for p, at in _by_part(batch, edges):
+                bins[at] = binned(batch.take(pa.array(at)), names, edges[p])
             label = batch.column("label").to_numpy()
             label = np.where(label > 0.5, 1.0, -1.0) if kind == "binary" else label
-            yield pa.RecordBatch.from_arrays([pa.array([b.tobytes() for b in bins], pa.binary()), pa.array(label), batch.column("held"), pa.array(np.zeros(len(batch))), batch.column("row")], [c.split()[0] for c in STATE.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array([b.tobytes() for b in bins], pa.binary()), pa.array(label), batch.column("held"), pa.array(np.zeros(len(batch))), batch.column("row")], [c.split()[0] for c in STATE.split(", ")])
 
-    cast = rows.select(*[F.col(n).cast("double").alias(n) for n in names], F.col("label").cast("double"), "held", F.xxhash64(*[F.col(n).cast("double") for n in names], F.col("label").cast("double"), F.monotonically_increasing_id()).alias("row"))
+    cast = rows.select("part", *[F.col(n).cast("double").alias(n) for n in names], F.col("label").cast("double"), "held", F.xxhash64(*[F.col(n).cast("double") for n in names], F.col("label").cast("double"), F.monotonically_increasing_id()).alias("row"))
     return _written(cast.mapInArrow(run, STATE))
 
 
@@ -238,8 +262,16 @@ def _gone(df: DataFrame) -> None:
         path(folder).getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path(folder), True)
 
 
+def _by_part(batch: pa.RecordBatch, parts: Iterable[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Of these parts those that a batch has rows of, and where."""
+    part = batch.column("part").to_numpy()
+    for p in parts:
+        if len(at := np.flatnonzero(part == p)):
+            yield p, at
+
+
 def _arrays(batch: pa.RecordBatch, width: int, trees: list[Tree], weights: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bins, labels and margins of a batch, the trees added that the margins don't have yet."""
+    """Bins, labels and margins of a part's rows, the trees added that the margins don't have yet."""
     bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(len(batch), width)
     margin = batch.column("margin").to_numpy().copy()
     for t, w in zip(trees, weights, strict=True):
@@ -247,34 +279,57 @@ def _arrays(batch: pa.RecordBatch, width: int, trees: list[Tree], weights: list[
     return bins, batch.column("label").to_numpy(), margin
 
 
-def histograms(state: DataFrame, kind: str, width: int, slots: int, trees: list[Tree], weights: list[float], first: bool, growing: Tree, level: int, sample: tuple[float, int]) -> dict[int, tuple[int, float]]:
-    """By cell (node of the level, feature and slot, the last one for missing values) the rows to fit and the sum of their residuals; -1 and -2: rows and summed losses of those to fit, and held back."""
+@dataclass
+class Histogram:
+    """Of a part: rows to fit and sums of their residuals by node of the level, feature and slot (the last one for missing values); rows and mean losses of those to fit, and held back."""
+
+    n: np.ndarray
+    s: np.ndarray
+    rows: list[int]
+    losses: list[float]
+
+
+def histograms(state: DataFrame, kind: str, width: int, slots: int, added: dict[int, tuple[list[Tree], list[float]]], first: bool, growing: dict[int, Tree], level: int, sample: tuple[float, int]) -> dict[int, Histogram]:
+    """Of each part that grows. added: the trees that its margins lack, and their weights."""
+    start, nodes = 2**level - 1, 2**level
+    cells = nodes * width * slots  # of a part
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, cells = 2**level - 1, 2**level * width * slots
-        counts, sums, told = np.zeros(cells, np.int64), np.zeros(cells), np.zeros((2, 2))
-        for batch in batches:
-            bins, label, margin = _arrays(batch, width, trees, weights)
-            held = batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
-            if level == 0:
-                each = losses(label, margin, kind)
-                told += [[(~held).sum(), each[~held].sum()], [held.sum(), each[held].sum()]]
-            fit = ~held
-            if sample[0] < 1:
-                x = (batch.column("row").to_numpy().view(np.uint64) + np.uint64(sample[1])) * np.uint64(0x9E3779B97F4A7C15)
-                fit &= ((x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(11)) / 2.0**53 < sample[0]
-            node = growing.nodes(bins) - start
-            at = np.flatnonzero(fit & (node >= 0) & (node < 2**level))
-            r = residual(label[at], margin[at], kind, first)
-            slot = np.minimum(bins[at], slots - 1).astype(np.int64)
-            cell = (node[at, None] * width + np.arange(width)) * slots + slot
-            counts += np.bincount(cell.ravel(), minlength=cells)
-            sums += np.bincount(cell.ravel(), weights=np.repeat(r, width), minlength=cells)
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((some, [-1, -2]))), pa.array(np.concatenate((counts[some], told[:, 0].astype(np.int64)))), pa.array(np.concatenate((sums[some], told[:, 1])))], ["cell", "n", "s"])
-
-    out = state.mapInArrow(run, "cell long, n long, s double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    return {r.cell: (r.n, r.s) for r in out.collect()}  # a row a node, feature and bin
+        counts, sums, told = ({p: np.zeros(m, kind_) for p in growing} for m, kind_ in ((cells, np.int64), (cells, float), ((2, 2), float)))
+        for whole in batches:
+            for p, at in _by_part(whole, growing):
+                batch = whole.take(pa.array(at))
+                bins, label, margin = _arrays(batch, width, *added[p])
+                held = batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
+                if level == 0:
+                    each = losses(label, margin, kind)
+                    told[p] += [[(~held).sum(), each[~held].sum()], [held.sum(), each[held].sum()]]
+                fit = ~held
+                if sample[0] < 1:
+                    x = (batch.column("row").to_numpy().view(np.uint64) + np.uint64(sample[1])) * np.uint64(0x9E3779B97F4A7C15)
+                    fit &= ((x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(11)) / 2.0**53 < sample[0]
+                node = growing[p].nodes(bins) - start
+                at = np.flatnonzero(fit & (node >= 0) & (node < nodes))
+                r = residual(label[at], margin[at], kind, first)
+                slot = np.minimum(bins[at], slots - 1).astype(np.int64)
+                cell = (node[at, None] * width + np.arange(width)) * slots + slot
+                counts[p] += np.bincount(cell.ravel(), minlength=cells)
+                sums[p] += np.bincount(cell.ravel(), weights=np.repeat(r, width), minlength=cells)
+        for p in growing:
+            some = np.flatnonzero(counts[p])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some) + 2, p, np.int32)), pa.array(np.concatenate((some, [-1, -2]))), pa.array(np.concatenate((counts[p][some], told[p][:, 0].astype(np.int64)))), pa.array(np.concatenate((sums[p][some], told[p][:, 1])))], ["part", "cell", "n", "s"])
+
+    rows = state.where(F.col("part").isin(list(growing)))
+    summed = rows.mapInArrow(run, "part int, cell long, n long, s double").groupBy("part", "cell").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    part, cell, n, s = (c.to_numpy() for c in summed.toArrow().columns)  # a row a part, node, feature and bin
+    out = {}
+    for p in growing:
+        own, told = (part == p) & (cell >= 0), [(part == p) & (cell == c) for c in (-1, -2)]
+        filled = Histogram(np.zeros(cells, np.int64), np.zeros(cells), [int(n[t].sum()) for t in told], [float(s[t].sum()) / max(1, int(n[t].sum())) for t in told])
+        filled.n[cell[own]], filled.s[cell[own]] = n[own], s[own]
+        filled.n, filled.s = (x.reshape(nodes, width, slots) for x in (filled.n, filled.s))
+        out[p] = filled
+    return out
 
 
 def best_split(n: np.ndarray, s: np.ndarray, cuts: list[int], least: int) -> tuple | None:
@@ -297,67 +352,92 @@ def best_split(n: np.ndarray, s: np.ndarray, cuts: list[int], least: int) -> tup
 
 def fit(train: DataFrame, valid: DataFrame | None, names: list[str], kind: str = "regression", settings: Settings | None = None) -> tuple[Boosted, int]:
     """A model and its rounds: the best before `patience` rounds pass without a better one; without validation rows, all of the settings'."""
+    return fit_parts([(train, valid)], names, kind, settings)[0]
+
+
+def fit_parts(parts: list[tuple[DataFrame, DataFrame | None]], names: list[str], kind: str = "regression", settings: Settings | None = None) -> list[tuple[Boosted, int]]:
+    """Models of several (train, valid), each as `fit` gives it. They grow together, a level of all their trees a job; one that is done is left out of later jobs."""
     settings = settings or Settings()
-    check_matrix(train, names)
-    edges = feature_edges(train, names, settings.bins)
-    cuts, width = [len(e) for e in edges], len(names)
-    slots = max(cuts, default=0) + 2
-    state = kept_state(train, valid, names, edges, kind)
-    model, written = Boosted(kind, list(names), edges), 0  # trees that the margins on disk have
-    best, at = math.inf, 0
+    rows = kept_rows(parts, names)
     try:
-        while True:
-            done = len(model.trees)
-            tree = Tree.empty(settings.depth)
+        fitted = rows.where("NOT held")
+        faults = {r.part: r.asDict() for r in matrix_faults(fitted, names, "label", "part").collect()}
+        for i in range(len(parts)):
+            if i not in faults or faults[i]["infinite_features"] or faults[i]["bad_labels"]:
+                raise ModelError(f"rows can't be used: {faults.get(i, 'there are none')}")
+        edges = part_edges(fitted, names, settings.bins)
+        state = kept_state(rows, names, edges, kind)
+    finally:
+        _gone(rows)
+    width, slots = len(names), max((len(e) for each in edges.values() for e in each), default=0) + 2
+    growing = {i: Boosted(kind, list(names), edges[i]) for i in range(len(parts))}
+    best, at, out = dict.fromkeys(growing, math.inf), dict.fromkeys(growing, 0), {}
+    done = written = 0  # trees of all that grow, and of these in the margins on disk
+    try:
+        while growing:
+            made = {i: Tree.empty(settings.depth) for i in growing}
+            trees = made  # those that may be split further
             for level in range(settings.depth):
-                found = histograms(state, kind, width, slots, model.trees[written:], model.weights[written:], done == 0, tree, level, (settings.subsample, settings.seed + 7919 * done))
+                added = {i: (growing[i].trees[written:], growing[i].weights[written:]) for i in trees}
+                found = histograms(state, kind, width, slots, added, done == 0, trees, level, (settings.subsample, settings.seed + 7919 * done))
                 if level == 0 and done:
-                    model.losses.append(found[-1][1] / found[-1][0])
-                    if valid is not None:
-                        model.held_losses.append(found[-2][1] / found[-2][0] if found[-2][0] else math.inf)
-                        if model.held_losses[-1] < best:
-                            best, at = model.held_losses[-1], done
-                        elif done - at >= settings.patience:
-                            return model.cut_to(at), at
+                    for i in list(growing):
+                        model, h = growing[i], found[i]
+                        model.losses.append(h.losses[0])
+                        if parts[i][1] is not None:
+                            model.held_losses.append(h.losses[1] if h.rows[1] else math.inf)
+                            if model.held_losses[-1] < best[i]:
+                                best[i], at[i] = model.held_losses[-1], done
+                            elif done - at[i] >= settings.patience:
+                                out[i] = (model.cut_to(at[i]), at[i])
+                                del growing[i]
                 if done == settings.rounds:
                     break
-                n, s = np.zeros(2**level * width * slots, np.int64), np.zeros(2**level * width * slots)
-                some = [c for c in found if c >= 0]
-                n[some], s[some] = [found[c][0] for c in some], [found[c][1] for c in some]
-                n, s = n.reshape(2**level, width, slots), s.reshape(2**level, width, slots)
-                grown = False
-                for k in range(2**level):
-                    node = 2**level - 1 + k
-                    if not n[k, 0].sum():
-                        continue
-                    if level == 0:
-                        tree.value[0] = float(s[k, 0].sum() / n[k, 0].sum())
-                    if (split := best_split(n[k], s[k], cuts, settings.least_rows)) is not None:
-                        tree.gain[node], tree.feature[node], tree.cut[node], tree.missing_left[node] = split[:4]
-                        for child, (rows, total) in zip((2 * node + 1, 2 * node + 2), split[4:], strict=True):
-                            tree.value[child] = total / rows
-                        grown = True
-                if not grown:
+                trees = {i: t for i, t in trees.items() if i in growing and _grow(t, level, found[i], [len(e) for e in edges[i]], settings.least_rows)}
+                if not trees:
                     break
             if done == settings.rounds:
-                return (model.cut_to(at), at) if valid is not None else (model, settings.rounds)
-            model.trees.append(tree)
-            model.weights.append(settings.learning_rate if done else 1.0)
-            if len(model.trees) - written >= EVERY:
-                state, written = with_margins(state, width, model.trees[written:], model.weights[written:]), len(model.trees)
+                out |= {i: (m.cut_to(at[i]), at[i]) if parts[i][1] is not None else (m, settings.rounds) for i, m in growing.items()}
+                break
+            for i, model in growing.items():
+                model.trees.append(made[i])
+                model.weights.append(settings.learning_rate if done else 1.0)
+            done += 1
+            if growing and done - written >= EVERY:
+                state, written = with_margins(state, width, {i: (m.trees[written:], m.weights[written:]) for i, m in growing.items()}), done
     finally:
         _gone(state)
+    return [out[i] for i in range(len(parts))]
+
+
+def _grow(tree: Tree, level: int, found: Histogram, cuts: list[int], least: int) -> bool:
+    """Splits the nodes of a level that can be; whether any was."""
+    grown = False
+    for k in range(2**level):
+        node = 2**level - 1 + k
+        if not (rows := found.n[k, 0].sum()):
+            continue
+        if level == 0:
+            tree.value[0] = float(found.s[k, 0].sum() / rows)
+        if (split := best_split(found.n[k], found.s[k], cuts, least)) is not None:
+            tree.gain[node], tree.feature[node], tree.cut[node], tree.missing_left[node] = split[:4]
+            for child, (n, total) in zip((2 * node + 1, 2 * node + 2), split[4:], strict=True):
+                tree.value[child] = total / n
+            grown = True
+    return grown
 
 
-def with_margins(state: DataFrame, width: int, trees: list[Tree], weights: list[float]) -> DataFrame:
-    """The state with these trees in its margins, written anew; the old one goes."""
+def with_margins(state: DataFrame, width: int, added: dict[int, tuple[list[Tree], list[float]]]) -> DataFrame:
+    """The parts that still grow with these trees in their margins, written anew; the old state goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            margin = _arrays(batch, width, trees, weights)[2]
+            margin = batch.column("margin").to_numpy().copy()
+            for p, at in _by_part(batch, added):
+                margin[at] = _arrays(batch.take(pa.array(at)), width, *added[p])[2]
             yield batch.set_column(batch.schema.get_field_index("margin"), "margin", pa.array(margin))
 
-    out = _written(state.mapInArrow(run, STATE))
+    out = _written(state.where(F.col("part").isin(list(added))).mapInArrow(run, STATE))
     _gone(state)
     return out
 

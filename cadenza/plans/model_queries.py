@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +32,7 @@ def sources(spark: SparkSession, sf_dir: str) -> list[ex.FoldSource]:
 
 
 def each_fold(spark: SparkSession, sf_dir: str, kind: str, rounds: int | None = None) -> list[tuple[ex.FoldResult, md.Boosted]]:
-    """Folds are independent and their jobs small, so they run side by side."""
-    with ThreadPoolExecutor(FOLDS) as pool:
-        return list(pool.map(lambda s: ex.run_fold(s, kind, SETTINGS, rounds), sources(spark, sf_dir)[:FOLDS]))
+    return ex.run_folds(sources(spark, sf_dir)[:FOLDS], kind, SETTINGS, rounds)
 
 
 def fitted(spark: SparkSession, sf_dir: str, kind: str) -> list[tuple[ex.FoldResult, md.Boosted]]:

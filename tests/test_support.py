@@ -181,6 +181,30 @@ def test_edges_of_many_features_keep_few_columns(spark):
     assert edges[0] == [0.5, 1.5, 2.5] and edges[-1] == [] and all(0 < len(e) < 8 for e in edges[:-1])
 
 
+def test_models_that_grow_together_are_those_fitted_alone(spark, monkeypatch):
+    """Parts that stop at rounds of their own, margins written on the way; a pass serves all that still grow."""
+    monkeypatch.setattr(models, "EVERY", 3)
+    rng = random.Random(5)
+    parts = []
+    for n, noise in ((300, 0.1), (200, 3.0), (260, 0.5)):
+        made = [(rng.randrange(30) / 20, None if rng.random() < 0.2 else rng.randrange(9) / 7) for _ in range(n)]
+        rows = [(a, b, a * (b or 0.3) + noise * (rng.random() - 0.5)) for a, b in made]
+        parts.append(tuple(spark.createDataFrame(x, "a double, b double, label double") for x in (rows[:n // 2], rows[n // 2:])))
+    s, passes, real = models.Settings(rounds=12, patience=2, least_rows=5), [], models.histograms
+    monkeypatch.setattr(models, "histograms", lambda *a: passes.append(1) or real(*a))
+    alone = [models.fit(t, v, ["a", "b"], "regression", s) for t, v in parts]
+    each, passes[:] = len(passes), []
+    together = models.fit_parts(parts, ["a", "b"], "regression", s)
+    assert len({best for _, best in alone}) > 1 and [b for _, b in together] == [b for _, b in alone] and len(passes) < each
+    for (x, _), (y, _) in zip(alone, together, strict=True):
+        assert x.edges == y.edges and [(t.feature, t.cut, t.missing_left) for t in x.trees] == [(t.feature, t.cut, t.missing_left) for t in y.trees]
+        assert x.losses == pytest.approx(y.losses) and x.held_losses == pytest.approx(y.held_losses)
+    fixed = models.fit_parts([(t, None) for t, _ in parts], ["a", "b"], "regression", models.Settings(rounds=4, patience=2, least_rows=5))
+    assert [(b, len(m.trees)) for m, b in fixed] == [(4, 4)] * 3
+    with pytest.raises(models.ModelError):
+        models.fit_parts([parts[0], (parts[1][0].where("a > 9"), None)], ["a", "b"])
+
+
 def test_missing_values_go_where_they_do_better(spark):
     rows = [(None if i % 4 == 0 else float(i % 10), 9.0 if i % 4 == 0 else float(i % 10 > 5)) for i in range(400)]
     train = spark.createDataFrame(rows, "a double, label double")
