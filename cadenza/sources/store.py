@@ -30,7 +30,10 @@ def rows_digest(frame: DataFrame) -> str:
     # places are hashed with values, as a hash alone passes over nulls
     values = [x for i, c in enumerate(columns) for x in (F.when(F.col(f"`{c}`").isNotNull(), i), F.col(f"`{c}`"))]
     each = frame.select(F.xxhash64(*values).alias("a"), F.xxhash64(F.lit(7), *reversed(values)).alias("b"))
-    found = each.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(F.col(c).cast("decimal(38,0)")), F.lit(0)).cast("string") for c in "ab"], *[F.coalesce(F.bit_xor(c), F.lit(0)) for c in "ab"]).head()
+    # a sum of longs in pieces of 21 bits, each a long for 2**42 rows; a sum of decimals makes objects for every row
+    pieces = [F.coalesce(F.sum(p), F.lit(0)) for c in "ab" for p in (F.shiftright(c, 42), F.shiftright(c, 21).bitwiseAND(2**21 - 1), F.col(c).bitwiseAND(2**21 - 1))]
+    n, *sums, xor_a, xor_b = each.agg(F.count(F.lit(1)), *pieces, *[F.coalesce(F.bit_xor(c), F.lit(0)) for c in "ab"]).head()
+    found = [n, *[str((high << 42) + (middle << 21) + low) for high, middle, low in (sums[:3], sums[3:])], xor_a, xor_b]
     return hashlib.sha256(json.dumps([columns, *found], default=str).encode()).hexdigest()
 
 

@@ -1,9 +1,12 @@
-"""Bars of a panel: sums by integers against decimals, lines that are hashed and not sorted."""
+"""Bars of a panel and digests of its inputs: sums by integers against decimals, lines that are hashed and not sorted."""
 
+import hashlib
+import json
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from cadenza.sources import store
 from cadenza.sources import trade_panel as src
 
 LINE = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_linestatus string, l_shipdate timestamp_ntz"
@@ -47,3 +50,14 @@ def test_market_closes_are_exact(spark, tmp_path):
     want = {(src.MARKET_OF[r.l_linestatus], r.cal_idx): r.close for r in lines.groupBy("l_linestatus", "cal_idx").agg((F.sum(price * size).cast("double") / F.sum(size).cast("double")).alias("close")).collect()}
     got = {(r.symbol, r.cal_idx): r.close for r in src.market_closes(spark, tmp_path, days).collect()}
     assert got == {key: want.get(key) for key in got} and len(got) == 4 and len(want) == 3
+
+
+def test_digest_of_rows_adds_whole_hashes(spark):
+    rows = spark.range(1000).withColumn("x", F.when(F.col("id") % 3 > 0, F.col("id") * -1.5))
+    each = rows.select(F.xxhash64(F.when(F.col("id").isNotNull(), 0), "id", F.when(F.col("x").isNotNull(), 1), "x").alias("a"), F.xxhash64(F.lit(7), "x", F.when(F.col("x").isNotNull(), 1), "id", F.when(F.col("id").isNotNull(), 0)).alias("b")).collect()
+    xor = [0, 0]
+    for r in each:
+        xor = [xor[0] ^ r.a, xor[1] ^ r.b]
+    want = [["id", "x"], 1000, str(sum(r.a for r in each)), str(sum(r.b for r in each)), *xor]
+    assert store.rows_digest(rows) == hashlib.sha256(json.dumps(want).encode()).hexdigest()
+    assert store.rows_digest(rows.limit(0)) == hashlib.sha256(json.dumps([["id", "x"], 0, "0", "0", 0, 0]).encode()).hexdigest()
