@@ -45,6 +45,14 @@ def rule_grid(config: dict, canonical: dict[str, tuple] = CANONICAL) -> list[dic
     return out
 
 
+def joined_grid(rules: list[dict], more: list[dict]) -> list[dict]:
+    """The rules, and those of another grid of their family that aren't among them, numbered on."""
+    bare = lambda r: {k: v for k, v in r.items() if k != "rule_id"}
+    there = [bare(r) for r in rules]
+    new = [r for r in more if bare(r) not in there]
+    return rules + [r | {"rule_id": f"{FAMILIES[r['family']]}{number:03}"} for number, r in enumerate(new, len(rules) + 1)]
+
+
 def rule_text(rule: dict) -> str:
     """What a rule says, with shares in percent."""
     w, share = rule["window"], lambda x: f"{100 * x:g} %"

@@ -10,7 +10,7 @@ import pytest
 
 from cadenza.functions import ranks
 from cadenza.operators import audit, features, indicators, metrics, panel, patterns, rules, splits, targets
-from cadenza.plans import catalog, reference_sql, rule_queries
+from cadenza.plans import catalog, pattern_queries, reference_sql, rule_queries
 
 BAR = "stock_id string, d date, open double, high double, low double, close double, volume_shares double, amount_yuan double, turnover double"
 
@@ -195,6 +195,37 @@ def test_rules_as_bits_by_brute_force(spark):
     assert set(cover) == {r["rule_id"] for r in grid} and all(cover[i].signals == sum(h for (k, _, _), (h, _, _) in want.items() if k == i) for i in cover)
 
 
+def test_channels_of_both_scales(spark, data):
+    """pattern_channel judges the grid that all chart queries share under its numbers, and every channel on the panel's scale; none twice."""
+    con = duckdb.connect()
+    for t in ("lineitem", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    assert sorted(r[0] for r in con.execute(catalog.oracle_sql()["pattern_channel"]).fetchall()) == [f"C{i:03}" for i in range(1, 64)]
+    judged = pattern_queries.FAMILY_RULES["ascending_channel"]
+    assert judged[:36] == [r for r in pattern_queries.RULES if r["family"] == "ascending_channel"] and [r["rule_id"] for r in judged] == [f"C{i:03}" for i in range(1, 64)]
+    spans = lambda gains, widths: {(w, g, x, p) for w in (20, 40, 60) for g in gains for x in widths for p in ("all", "lower", "upper")}
+    keys = [(r["window"], r["gain"], r["width"], r["position"]) for r in judged]
+    assert len(keys) == len(set(keys)) and set(keys) == spans((-0.5, 0.1), (0.2, 20.0)) | spans((-0.5, 0.0), (2.0, 20.0))
+    rng = random.Random(5)
+    rows = [(d, [(rng.choice([-0.6, -0.2, 0.0, 0.05, 0.3]), rng.choice([None, 0.001, 0.5, 0.5]), rng.choice([0.0, 0.04, 0.2, 0.6, 1.0]), rng.choice([-1.0, -0.05, 0.0, 0.05, 1.0])) for _ in range(3)]) for d in range(1500)]
+    names = [f"channel_{n}_{k}" for k in (20, 40, 60) for n in ("gain", "r2", "sigma", "offset")]
+    panel_ = spark.createDataFrame([("S", d, 1, *[x for f in fits for x in f]) for d, fits in rows], "stock_id string, cal_idx int, state int, " + ", ".join(f"{n} double" for n in names))
+    want = {}
+    for r in judged:
+        for d, fits in rows:
+            gain, r2, sigma, offset = fits[(20, 40, 60).index(r["window"])]
+            if r2 is not None and sigma > 1e-12:
+                side = {"all": True, "lower": offset < 0, "upper": offset >= 0}[r["position"]]
+                want[r["rule_id"], d] = gain >= r["gain"] and r2 >= 0.01 and 4 * sigma <= math.log1p(r["width"]) and abs(offset) <= 2 * sigma and side
+    assert {(x.rule_id, x.cal_idx): x.hit for x in patterns.unpacked(patterns.packed(panel_, judged), judged).collect()} == want
+    assert {i for (i, _), hit in want.items() if hit} == {r["rule_id"] for r in judged}
+
+
+@pytest.mark.parametrize("name", ["pattern_channel", "pattern_platform", "pattern_bottom"])
+def test_families_against_duckdb(spark, data, name):
+    test_against_duckdb(spark, data, name)
+
+
 def test_texts_of_rules_and_conditions():
     assert [rules.condition_text("f", [0.1, 2.0], lo, hi) for lo, hi in ((0, 1), (1, 2), (2, 3), (0, 3), (3, 4))] == ["f < 0.10000000000000001", "f >= 0.10000000000000001 and f < 2", "f >= 2", "f present", "f missing"]
     grid = patterns.rule_grid({"platform": {"windows": (20,), "maximum_widths": (0.1, 0.2), "breakout_minimums": (0.0,), "volume_minimums": (None, 1.5)}, "bottom_volume": {"windows": (120,), "minimum_drawdowns": (0.2,), "maximum_low_distances": (0.08,), "volume_minimums": (2.0,), "rising_today": (True, False)}, "ascending_channel": {"windows": (60,), "minimum_gains": (0.1,), "maximum_widths": (0.2,), "positions": ("all", "lower"), "minimum_r_squared": 0.5, "sigma_zero_tolerance": 1e-12}})
